@@ -1,0 +1,75 @@
+"""Connected components of a distributed set of links, by alternating stars.
+
+Each round joins every node with the least node among its neighbours; the links stay in tables, never on the driver.
+Only a count and a checksum come back between rounds.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from seamline.workspace import Workspace
+
+LINKS = "a long, b long"
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As few links as join the same nodes: each node with the least of its component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        before = label.copy()
+        np.minimum.at(label, label[x], low)
+        np.minimum.at(label, label[y], low)
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        label = label[label]
+        if np.array_equal(before, label):
+            break
+    away = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[away], nodes[label[away]]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = (np.asarray(batch.column(i)).astype(np.int64) for i in (0, 1))
+        a, b = forest(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _star(links: DataFrame, large: bool) -> DataFrame:
+    """links has a > b. large: each node's larger neighbours join the least of all its neighbours; else its smaller ones do."""
+    if large:
+        both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        out = links.select(F.col("b").alias("u"), F.col("a").alias("v")).join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    else:
+        least = links.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        out = links.select(F.col("a").alias("u"), F.col("b").alias("v")).join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b"))
+    return out.where("a <> b").distinct()
+
+
+def connected_components(links: DataFrame, work: Workspace) -> DataFrame:
+    """node, label (the least node of its component) for every node of links (a, b: long) that isn't the least itself.
+
+    Null ends and links of a node with itself are ignored; repeated links and either direction count once. No links: no rows.
+    """
+    pairs = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now = work.keep(pairs.mapInArrow(_contract, LINKS).distinct(), "links0")
+    state, n = None, 0
+    while True:
+        for large in (True, False):
+            n += 1
+            now = work.keep(_star(now, large), f"links{n}")
+            if n > 2:
+                work.drop(f"links{n - 2}")
+        row = now.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b") % (1 << 30)), F.lit(0)).alias("s")).first()
+        if state == (row["n"], row["s"]) or not row["n"]:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        state = (row["n"], row["s"])
