@@ -7,6 +7,8 @@ at its target, up to one document. Groups of bounded size settle all but one doc
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
@@ -17,6 +19,11 @@ WORDS = r"[^\x20\x09-\x0D]+"
 ROWS = "doc_id long, source string, size long, n long, p double, extra long"
 
 
+def words(text) -> F.Column:
+    """Words of a text; none in a null one."""
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORDS)), F.lit(0)).cast("long")
+
+
 def source_targets(sizes: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1, 2), most: float = 2.0) -> DataFrame:
     """source, source_size, target, rate: one row for each source of sizes (source, size).
 
@@ -76,6 +83,13 @@ def settle(rows: pd.DataFrame, seed: int, last: bool) -> pd.DataFrame:
     return rows
 
 
+def _settler(seed: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return settle(rows, seed, last)[["doc_id", "source", "size", "n", "p", "extra"]]
+
+    return run
+
+
 def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1, 2), most: float = 2.0, group: int = 10_000, seed: int = 7) -> DataFrame:
     """doc_id, size, source, source_size, target, copies for each row of docs (doc_id, text, source): how often the mix takes it.
 
@@ -84,9 +98,8 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1,
     the same copies, whatever the partitions.
     """
     work = Workspace(docs.sparkSession, "mixing")
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORDS)), F.lit(0)).cast("long")
     # Equal rows become one before anything is dealt out.
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"))
     sizes = work.keep(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")), "sizes")
     weighed = sizes.select("source", (F.col("size") * F.col("n")).alias("size"))
     targets = work.keep(source_targets(weighed, share, weights, most), "targets")
@@ -100,12 +113,8 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1,
         groups = max(1, -(-most_rows // group))
         last = groups == 1
 
-        def run(pdf: pd.DataFrame, last: bool = last, level: int = level) -> pd.DataFrame:
-            out = settle(pdf.drop(columns="_g"), seed + level, last)
-            return out[["doc_id", "source", "size", "n", "p", "extra"]]
-
         spread = rows.withColumn("_g", F.pmod(F.xxhash64("doc_id", "size", F.lit(level)), F.lit(groups)))
-        settled = work.keep(spread.groupBy("source", "_g").applyInPandas(run, ROWS), f"level{level}")
+        settled = work.keep(spread.groupBy("source", "_g").applyInPandas(_settler(seed + level, last), ROWS), f"level{level}")
         done.append(settled.where("p = 0"))
         if last:
             break
