@@ -40,11 +40,17 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
-    copies = mixing.mix(docs).where("copies > 0").groupBy("doc_id", "source").agg(F.max("copies").alias("_copies"))
-    a, b = docs.alias("a"), copies.alias("b")
-    joined = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.source").eqNullSafe(F.col("b.source")))
-    return joined.select("a.*", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select(*docs.columns)
+    """Each document as often as the mix takes it: not at all, once or twice. Rows with equal doc_id, source and size share their copies by content."""
+    key = ["doc_id", "source", "_size"]
+    copies = mixing.mix(docs).groupBy("doc_id", "source", F.col("size").alias("_size")).agg(F.min("copies").alias("_least"), F.sum("copies").alias("_all"), F.count("*").alias("_n"))
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text"), "text"))
+    a = docs.withColumn("_size", mixing.words(F.col("text"))).withColumn("_nth", nth).alias("a")
+    b = copies.alias("b")
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a._size") == F.col("b._size"))
+    # The first rows take the copies that don't go round.
+    taken = F.col("_least") + (F.col("_nth") <= F.col("_all") - F.col("_least") * F.col("_n")).cast("long")
+    joined = a.join(b, same).withColumn("_copies", taken).where("_copies > 0")
+    return joined.select("a.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
