@@ -61,7 +61,7 @@ def mojo(pred: DataFrame, truth: DataFrame) -> DataFrame:
         return pd.DataFrame({"moves": [n - int(kept)], "n": [n], "mojosim": [(1 - (n - kept) / n) * 100]})
 
     # One task sees the table of clusters, never the nodes.
-    return contingency(pred, truth).groupBy(F.lit(1)).applyInPandas(run, "moves long, n long, mojosim double")
+    return contingency(pred, truth).withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(run, "moves long, n long, mojosim double")
 
 
 def _crossed(deps: DataFrame, part: DataFrame) -> DataFrame:
