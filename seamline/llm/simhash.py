@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from seamline.llm.components import LINKS, connected_components, forest
+from seamline.operators.components import LINKS, connected_components, forest
 from seamline.workspace import Workspace
 
 BITS = 64
