@@ -153,7 +153,7 @@ FULL = f"{STRUCT}, {BRANDS}, fullm AS (SELECT i, j, v FROM struct UNION ALL SELE
 TRUTH = f"{BRANDS}, truth AS (SELECT n, no % 5 AS c FROM brands), pred AS (SELECT n, no // 7 AS c FROM brands)"
 NATIONS = """deps AS (SELECT c_nationkey AS s, s_nationkey AS t, count(*) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
 cl AS (SELECT n_nationkey AS n, n_nationkey % 4 AS c FROM nation), x AS (SELECT d.*, a.c AS cs, b.c AS ct FROM deps d JOIN cl a ON a.n = s JOIN cl b ON b.n = t)"""
-SESSIONS = f"""e AS (SELECT user_id AS g, ts, event_id, epoch_ms(ts) AS t, event_type AS n FROM events),
+SESSIONS = f"""e AS (SELECT user_id AS g, ts, event_id, (epoch_us(ts) // 1000) AS t, event_type AS n FROM events),
 starts(g, k, s) AS (SELECT g, 0, min(t) FROM e GROUP BY g UNION ALL SELECT r.g, r.k + 1, (SELECT min(t) FROM e WHERE e.g = r.g AND e.t > r.s + {CAP_MS}) FROM starts r WHERE r.s IS NOT NULL),
 ss AS (SELECT e.*, (SELECT max(k) FROM starts r WHERE r.g = e.g AND r.s <= e.t) AS session FROM e)"""
 
@@ -233,8 +233,8 @@ def user_spans(spark, d):
     return e.select(F.col("user_id").alias("g"), F.col("event_id").alias("sid"), millis().alias("s"), (millis() + F.floor("value") * 60_000).alias("t"))
 
 
-SPANS = """w AS (SELECT user_id AS g, event_id AS wid, epoch_ms(ts) AS ws, epoch_ms(ts) + 7200000 AS wt FROM events WHERE event_type = 'signup'),
-s AS (SELECT user_id AS g, event_id AS sid, epoch_ms(ts) AS s, epoch_ms(ts) + CAST(floor(value) AS BIGINT) * 60000 AS t FROM events WHERE event_type <> 'signup')"""
+SPANS = """w AS (SELECT user_id AS g, event_id AS wid, (epoch_us(ts) // 1000) AS ws, (epoch_us(ts) // 1000) + 7200000 AS wt FROM events WHERE event_type = 'signup'),
+s AS (SELECT user_id AS g, event_id AS sid, (epoch_us(ts) // 1000) AS s, (epoch_us(ts) // 1000) + CAST(floor(value) AS BIGINT) * 60000 AS t FROM events WHERE event_type <> 'signup')"""
 
 
 @query(f"WITH {SPANS} SELECT sid, wid FROM s JOIN w ON s.g = w.g AND s.s >= ws - 50 AND s.t <= wt + 50")
@@ -253,8 +253,8 @@ def alignment_ratio(spark, d):
     return rounded(spans.alignment(w, pairs.interval_join(user_spans(spark, d), w, ["g"], 50), "wid"))
 
 
-@query("""WITH v AS (SELECT user_id AS g, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'view'),
-p AS (SELECT user_id AS g, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'purchase'),
+@query("""WITH v AS (SELECT user_id AS g, (epoch_us(ts) // 1000) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'view'),
+p AS (SELECT user_id AS g, (epoch_us(ts) // 1000) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'purchase'),
 x AS (SELECT p.t - v.t AS dt FROM v JOIN p USING (g, k))
 SELECT count(*) AS n, round(avg(dt), 3) AS mean, round(stddev_pop(dt), 3) AS sd, min(dt) AS low, max(dt) AS high FROM x""")
 def ordinal_match_delta(spark, d):
