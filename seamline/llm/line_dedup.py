@@ -63,22 +63,22 @@ def dedup_lines(docs: DataFrame, size: int = 3) -> DataFrame:
     """
     work = Workspace(docs.sparkSession, "lines")
     docs = docs.drop("n_lines", "n_removed")
-    base = docs.withColumns({"_key": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "_th": F.coalesce(F.xxhash64("text"), F.lit(0))})
-    windows = work.keep(_windows(base.where("text is not null").select("_key", "_th", F.col("text").cast("string")), size), "windows")
+    # The row travels as one column, so its names can't clash with those used here.
+    base = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"))
+    windows = work.keep(_windows(base.where("row.text is not null").select("id", "th", F.col("row.text").cast("string").alias("text")), size), "windows")
     order = F.struct("doc_id", "th", "first")
     heads = windows.groupBy("key").agg(F.min(order).alias("head"), F.max(order).alias("tail")).where("head <> tail").select("key", "head")
     later = windows.join(heads, "key").where(order != F.col("head")).select("doc_id", "th", "first", "last")
-    spans = work.keep(later, "spans").groupBy(F.col("doc_id").alias("_key"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
-    joined = base.join(spans, ["_key", "_th"], "left").select(*docs.columns, F.col("_spans.first").alias("_first"), F.col("_spans.last").alias("_last"))
-    at = docs.columns.index("text")
+    spans = work.keep(later, "spans").groupBy(F.col("doc_id").alias("id"), "th").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    joined = base.join(spans, ["id", "th"], "left").select("row", "spans.first", "spans.last")
+    names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_columns - 2
-            rows = [_cut(t.as_py(), list(zip(a.as_py() or (), b.as_py() or ()))) for t, a, b in zip(batch.column(at), batch.column(n), batch.column(n + 1))]
-            columns = [batch.column(i) for i in range(n)]
+            columns = batch.column(0).flatten()
+            rows = [_cut(t.as_py(), list(zip(a.as_py() or (), b.as_py() or ()))) for t, a, b in zip(columns[at].cast(pa.string()), batch.column(1), batch.column(2))]
             columns[at] = pa.array([r[0] for r in rows], pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32())], names=[*batch.schema.names[:n], "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32())], names=[*names, "n_lines", "n_removed"])
 
     schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType) for f in docs.schema.fields] + [T.StructField("n_lines", T.IntegerType()), T.StructField("n_removed", T.IntegerType())])
     return joined.mapInArrow(run, schema)

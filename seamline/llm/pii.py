@@ -196,13 +196,15 @@ def pseudonymise(docs: DataFrame, key: str = "seamline", kinds: tuple[str, ...]
             out = F.when(fits, KINDS[k](m, key)) if out is None else out.when(fits, KINDS[k](m, key))
         return out.otherwise(m)
 
-    text = F.col("text").cast("string")
+    # The row travels as one column, so its names can't clash with those used here.
+    docs = docs.drop("n_replaced")
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    text = F.col("text")
     # Most texts have neither a digit nor an @, and nothing is searched in them.
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    swaps = F.transform("_found", lambda m: F.struct(m.alias("old"), one(m).alias("new")))
-    changed = F.size(F.filter("_swaps", lambda x: x["old"] != x["new"]))
-    between = F.split(text, F.lit(pattern), -1)
-    joined = F.array_join(F.zip_with(between, F.col("_swaps"), lambda a, x: F.concat(a, F.coalesce(x["new"], F.lit("")))), "")
-    out = docs.drop("n_replaced").withColumn("_found", found).withColumn("_swaps", swaps).withColumn("n_replaced", changed)
-    text_out = F.when(text.isNull(), text).when(F.col("n_replaced") > 0, joined).otherwise(text)
-    return out.withColumn("text", text_out).drop("_found", "_swaps")
+    swaps = F.transform("found", lambda m: F.struct(m.alias("old"), one(m).alias("new")))
+    changed = F.coalesce(F.size(F.filter("swaps", lambda x: x["old"] != x["new"])), F.lit(0))
+    joined = F.array_join(F.zip_with(F.split(text, F.lit(pattern), -1), F.col("swaps"), lambda a, x: F.concat(a, F.coalesce(x["new"], F.lit("")))), "")
+    out = rows.withColumn("found", found).withColumn("swaps", swaps).withColumn("n_replaced", changed)
+    new = F.when(F.col("n_replaced") > 0, joined).otherwise(text)
+    return out.select(*(new.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns), "n_replaced")

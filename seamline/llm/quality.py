@@ -165,11 +165,13 @@ def score(docs: DataFrame, trees: Trees, limit: float = 0.7) -> DataFrame:
 
 def accepted(docs: DataFrame, trees: Trees, limit: float = 0.7) -> DataFrame:
     """The rows of docs that score `limit` or more, with all their columns."""
-    at = docs.columns.index("text")
+    names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_scores(batch.column(at), trees) >= limit))
+            columns = batch.column(0).flatten()
+            kept = pa.array(_scores(columns[at].cast(pa.string()), trees) >= limit)
+            yield pa.RecordBatch.from_arrays([c.filter(kept) for c in columns], names=names)
 
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields])
-    return docs.mapInArrow(run, schema)
+    return docs.select(F.struct("*").alias("row")).mapInArrow(run, schema)  # as one column, whatever the names in it
