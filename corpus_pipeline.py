@@ -34,23 +34,23 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     first = found.where("doc_id = component_id").select("doc_id").distinct()
     nameless = docs.where("doc_id is null")
     # Rows of one doc_id are ordered by their hash, and only doc_ids that stand twice are sorted at all.
-    kept = docs.join(first, "doc_id", "left_semi")
+    kept = docs.join(first, "doc_id", "left_semi").select(F.struct("*").alias("row"), "doc_id", "text")
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    return kept.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns).union(nameless.select(*docs.columns))
+    return kept.withColumn("nth", nth).where("nth = 1").select("row.*").union(nameless)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice. Rows with equal doc_id, source and size share their copies by content."""
-    key = ["doc_id", "source", "_size"]
-    copies = mixing.mix(docs).groupBy("doc_id", "source", F.col("size").alias("_size")).agg(F.min("copies").alias("_least"), F.sum("copies").alias("_all"), F.count("*").alias("_n"))
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text"), "text"))
-    a = docs.withColumn("_size", mixing.words(F.col("text"))).withColumn("_nth", nth).alias("a")
+    copies = mixing.mix(docs).groupBy("doc_id", "source", "size").agg(F.min("copies").alias("least"), F.sum("copies").alias("taken"), F.count("*").alias("n"))
+    # The row travels as one column, so its names can't clash with those used here.
+    a = docs.select(F.struct("*").alias("row"), "doc_id", "source", mixing.words(F.col("text")).alias("size"), "text")
+    a = a.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.xxhash64("text"), "text"))).alias("a")
     b = copies.alias("b")
-    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a._size") == F.col("b._size"))
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.size") == F.col("b.size"))
     # The first rows take the copies that don't go round.
-    taken = F.col("_least") + (F.col("_nth") <= F.col("_all") - F.col("_least") * F.col("_n")).cast("long")
-    joined = a.join(b, same).withColumn("_copies", taken).where("_copies > 0")
-    return joined.select("a.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).select(*docs.columns)
+    times = F.col("least") + (F.col("nth") <= F.col("taken") - F.col("least") * F.col("n")).cast("long")
+    joined = a.join(b, same).select("row", times.alias("times")).where("times > 0")
+    return joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

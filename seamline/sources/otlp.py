@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _VALUE = "struct<stringValue:string,intValue:string,boolValue:string,doubleValue:string>"
@@ -23,11 +25,11 @@ def attributes(c: Column) -> Column:
 
 def merged(*maps: Column) -> Column:
     """Maps in one; later ones win."""
-    out = maps[0]
-    for m in maps[1:]:
-        keys = F.map_keys(m)
-        out = F.map_concat(F.map_filter(out, lambda k, _, keys=keys: ~F.array_contains(keys, k)), m)
-    return out
+
+    def over(low: Column, high: Column) -> Column:
+        return F.map_concat(F.map_filter(low, lambda k, _: ~F.array_contains(F.map_keys(high), k)), high)
+
+    return reduce(over, maps)
 
 
 def read_spans(spark: SparkSession, path: str, service: str | None = None) -> DataFrame:
