@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from seamline.functions.math import clip, sigmoid
+from seamline.workspace import Workspace
 
 
 def minmax(sim: DataFrame, diagonal: float | None = None, least_range: float = 1e-9) -> DataFrame:
@@ -58,7 +59,9 @@ def row_sigmoid(full: DataFrame) -> DataFrame:
 
 def refine(full: DataFrame, target_mean: float = 0.5, top_k: int = 0) -> DataFrame:
     """The semantic refiner on a full matrix (both directions and the diagonal): row sigmoids, scaled over all cells, moved half-way to a mean, made sparse and symmetric; i < j come back."""
-    scaled = minmax(row_sigmoid(full.select("i", "j", clip(F.col("v")).alias("v"))))
+    # Written once: the scaling, its mean and the result are passes over a table, not over the windows.
+    rows = Workspace(full.sparkSession, "refine").keep(row_sigmoid(full.select("i", "j", clip(F.col("v")).alias("v"))), "rows")
+    scaled = minmax(rows)
     mean = scaled.agg(F.avg("v").alias("m"))
     moved = scaled.join(F.broadcast(mean)).select("i", "j", (0.5 * clip(F.col("v") * (target_mean / F.greatest("m", F.lit(1e-9)))) + 0.5 * F.col("v")).alias("v"))  # one row
     if top_k:

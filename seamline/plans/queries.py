@@ -78,14 +78,25 @@ def brands(spark, d):
     return table(spark, d, "part").select(F.col("p_brand").alias("n")).distinct()
 
 
-def uncertainty(spark, d):
-    static = fusion.fuse([(struct(spark, d), 0.5), (sem(spark, d), 0.5)])
-    return normalize.minmax(fusion.disagreement(static, temp(spark, d)), least_range=0.0)
+def kept(spark, df, name):
+    """A matrix that is read several times, as a table: later passes scan it instead of joining again."""
+    return Workspace(spark, "queries").keep(df, name)
+
+
+def uncertainty(spark, d, s=None):
+    static = fusion.fuse([(struct(spark, d) if s is None else s, 0.5), (sem(spark, d), 0.5)])
+    return normalize.minmax(kept(spark, fusion.disagreement(static, temp(spark, d)), "gap"), least_range=0.0)
+
+
+def certainty(spark, d):
+    """The structural matrix and its uncertainty, both tables."""
+    s = kept(spark, struct(spark, d), "struct")
+    return s, kept(spark, uncertainty(spark, d, s), "uncertainty")
 
 
 def full(spark, d):
     diagonal = brands(spark, d).select(F.col("n").alias("i"), F.col("n").alias("j"), F.lit(1.0).alias("v"))
-    return pairs.mirrored(struct(spark, d)).union(diagonal)
+    return pairs.mirrored(kept(spark, struct(spark, d), "struct")).union(diagonal)
 
 
 def brand_no():
@@ -577,17 +588,17 @@ b AS (SELECT s.i, s.j, s.v AS s, coalesce(u.v, 0) AS u, m FROM struct s LEFT JOI
 
 @query(f"WITH {DAMPED} SELECT i, j, round(s * exp(-2 * u), 6) AS v FROM b")
 def uncertainty_exp(spark, d):
-    return rounded(fusion.damped(struct(spark, d), uncertainty(spark, d), 25, "exp"))
+    return rounded(fusion.damped(*certainty(spark, d), 25, "exp"))
 
 
 @query(f"WITH {DAMPED} SELECT i, j, round(CASE WHEN u >= m THEN s * pow(1 - u, 2) ELSE s * (1 - u) END, 6) + 0.0 AS v FROM b")
 def uncertainty_gate(spark, d):
-    return rounded(fusion.damped(struct(spark, d), uncertainty(spark, d), 25, "gate"))
+    return rounded(fusion.damped(*certainty(spark, d), 25, "gate"))
 
 
 @query(f"WITH {DAMPED} SELECT i, j, round(s * (1 - 1 / (1 + exp(-15 * (u - m)))), 6) AS v FROM b")
 def uncertainty_sigmoid(spark, d):
-    return rounded(fusion.damped(struct(spark, d), uncertainty(spark, d), 25, "sigmoid"))
+    return rounded(fusion.damped(*certainty(spark, d), 25, "sigmoid"))
 
 
 @query(f"WITH {STRUCT}, c AS (SELECT v FROM struct UNION ALL SELECT v FROM struct UNION ALL SELECT 1 FROM generate_series(1, 25)) SELECT round(least(quantile_cont(v, 0.7), 0.5), 6) AS tau FROM c WHERE v > 0")
@@ -597,8 +608,8 @@ def dpep_threshold(spark, d):
 
 @query(f"WITH {DAMPED} SELECT count(*) FILTER (WHERE s > 0.1) AS strong, count(*) FILTER (WHERE s > 0.1 AND s * (1 - 1 / (1 + exp(-15 * (u - m)))) <= 0.7 * s) AS suppressed FROM b")
 def suppressed_edges(spark, d):
-    s = struct(spark, d)
-    return fusion.suppressed(s, fusion.damped(s, uncertainty(spark, d), 25, "sigmoid"))
+    s, u = certainty(spark, d)
+    return fusion.suppressed(s, fusion.damped(s, u, 25, "sigmoid"))
 
 
 @query(f"WITH {UNCERTAINTY}, {TRUTH} SELECT s.i, s.j, round(s.v, 6) AS v, round(u.v, 6) AS u FROM sem s JOIN u ON s.i = u.i AND s.j = u.j JOIN truth a ON a.n = s.i JOIN truth b ON b.n = s.j WHERE s.v > 0.5 AND u.v < 0.9 AND a.c <> b.c ORDER BY round(s.v, 9) DESC, round(u.v, 9), s.i, s.j LIMIT 10")
@@ -609,7 +620,7 @@ def boundary_pairs(spark, d):
 @query(f"""WITH {DAMPED}, {TRUTH} SELECT b.i, b.j, CASE WHEN x.c = y.c THEN 'split' ELSE 'merged' END AS change, round(2 * (s - s * exp(-2 * u)) + s + 0.5 * u, 6) AS score FROM b JOIN u uu ON uu.i = b.i AND uu.j = b.j JOIN truth x ON x.n = b.i JOIN truth y ON y.n = b.j JOIN pred p ON p.n = b.i JOIN pred q ON q.n = b.j
 WHERE (x.c = y.c) <> (p.c = q.c) ORDER BY round(2 * (s - s * exp(-2 * u)) + s + 0.5 * u, 9) DESC, b.i, b.j LIMIT 10""")
 def case_edge(spark, d):
-    s, u = struct(spark, d), uncertainty(spark, d)
+    s, u = certainty(spark, d)
     return rounded(fusion.case_edges(s, fusion.damped(s, u, 25, "exp"), u, brand_truth(spark, d), brand_pred(spark, d)))
 
 
@@ -669,8 +680,6 @@ def connected_components(spark, d):
     return components.connected_components(x.select(F.col("o_custkey").alias("a"), (F.lit(10_000_000) + F.col("l_partkey")).alias("b")), Workspace(spark, "components"))
 
 
-def swept(spark, d):
-    return cluster.swept(normalize.knn_graph(full(spark, d), 4), [0.8, 1.0, 1.2, 1.5], 3)
 
 
 @query()
@@ -685,12 +694,13 @@ def merge_tiny(spark, d):
 
 @query()
 def resolution_sweep(spark, d):
-    return rounded(cluster.best_resolution(normalize.knn_graph(full(spark, d), 4), swept(spark, d), 2, 8))
+    graph = kept(spark, normalize.knn_graph(full(spark, d), 4), "graph")
+    return rounded(cluster.best_resolution(graph, kept(spark, cluster.swept(graph, [0.8, 1.0, 1.2, 1.5], 3), "parts"), 2, 8))
 
 
 @query()
 def damping_grid(spark, d):
-    s, u = struct(spark, d), uncertainty(spark, d)
+    s, u = certainty(spark, d)
     out = None
     for mode in ("exp", "gate", "sigmoid"):
         part = metrics.modularity(fusion.damped(s, u, 25, mode), brand_truth(spark, d)).withColumn("mode", F.lit(mode))
@@ -718,10 +728,10 @@ def uncertainty_shuffle(spark, d):
 
 @query()
 def cold_start(spark, d):
-    out = None
+    items, out = kept(spark, order_items(spark, d), "items"), None
     for rate in (0.0, 0.2, 0.4, 0.6, 0.8, 0.9):
-        kept = pairs.jaccard(sampling.drop_exact(order_items(spark, d), "g", rate))
-        part = normalize.intra_inter(kept, brand_truth(spark, d).withColumnRenamed("cluster", "label")).withColumn("rate", F.lit(rate))
+        left = pairs.jaccard(sampling.drop_exact(items, "g", rate))
+        part = normalize.intra_inter(left, brand_truth(spark, d).withColumnRenamed("cluster", "label")).withColumn("rate", F.lit(rate))
         out = part if out is None else out.union(part)
     return rounded(out)
 
@@ -751,7 +761,7 @@ def mean_std_rollup(spark, d):
 @query(f"""WITH {STRUCT}, {TRUTH}, r AS (SELECT avg(v) FILTER (WHERE a.c = b.c) / avg(v) FILTER (WHERE a.c <> b.c) AS ratio FROM struct JOIN truth a ON a.n = i JOIN truth b ON b.n = j), s AS (SELECT count(*) FILTER (WHERE v > 0) AS edges FROM struct)
 SELECT edges, round(2 * edges / 600, 6) AS density, round(ratio, 6) AS ratio, concat_ws(',', CASE WHEN edges < 10 THEN 'edges' END, CASE WHEN 2 * edges / 600 < 0.001 THEN 'density' END, CASE WHEN ratio < 1.2 THEN 'ratio' END) AS reasons, CASE WHEN edges < 10 OR 2 * edges / 600 < 0.001 OR ratio < 1.2 THEN 'FAIL' ELSE 'PASS' END AS status FROM r, s""")
 def gate_report(spark, d):
-    s = struct(spark, d)
+    s = kept(spark, struct(spark, d), "struct")
     ratio = normalize.intra_inter(s, brand_truth(spark, d).withColumnRenamed("cluster", "label")).select("ratio")
     stats = s.agg(F.count_if(F.col("v") > 0).alias("edges")).withColumn("density", 2 * F.col("edges") / 600)
     return rounded(report.gate(stats.join(ratio)))  # one row each
