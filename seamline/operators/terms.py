@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from seamline.functions.text import ascii_words
+from seamline.functions.words import stopwords
 
-#: Words of code and architecture that say nothing about a domain.
-STOPWORDS = ("the", "and", "for", "get", "set", "void", "string", "int", "class", "public", "private", "return", "new", "null", "service", "impl", "util", "test")
+STOPWORDS = stopwords()
 
 
 def document_frequency(docs: DataFrame, least_length: int = 3) -> DataFrame:

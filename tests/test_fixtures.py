@@ -211,7 +211,7 @@ def test_reports(spark):
 
 
 def test_terms(spark):
-    docs = spark.createDataFrame([(1, "Alpha beta beta"), (2, "beta gamma the"), (3, None)], "d int, text string")
+    docs = spark.createDataFrame([(1, "Alpha beta beta"), (2, "beta gamma this"), (3, None)], "d int, text string")
     got = {r["word"]: r["df"] for r in terms.document_frequency(docs).collect()}
     assert got == {"alpha": 1, "beta": 2, "gamma": 1}
     assert {r["d"]: r["distilled"] for r in terms.distilled(docs, F.lit("N"), 1.5).collect()} == {1: "N N N alpha", 2: "N N N gamma", 3: "N N N"}
