@@ -114,8 +114,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, bits: int = 5, qu
     n, m = v.count(), q.count()
     rows, columns = max(1, -(-m // query_block)), max(1, -(-n // vector_block))
     # Every block of queries meets every block of vectors in a cell of a grid, and each cell has a bounded number of rows.
-    q = q.withColumn("row", F.pmod(F.xxhash64("vec_id"), F.lit(rows))).withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
-    v = v.withColumn("column", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(columns))).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    # The keys have the same types on both sides, as equal numbers of different types are dealt out differently.
+    q = q.withColumn("row", F.pmod(F.xxhash64("vec_id"), F.lit(rows)).cast("int")).withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    v = v.withColumn("column", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(columns)).cast("int")).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})

@@ -28,6 +28,20 @@ def test_against_brute_force(spark, rows):
     assert rows(got) == want
 
 
+def test_cells_meet_over_many_partitions(spark, rows):
+    rng = random.Random(2)
+    data = [(i, [float(round(rng.gauss(0, 0.2), 2)) for _ in range(6)]) for i in range(300)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        got = rows(va_topk.top_k(df, df.where("vec_id % 4 = 0"), k=3, query_block=8, vector_block=32))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == brute(data, [r for r in data if r[0] % 4 == 0], 3)
+
+
 def test_bounds_hold_and_prune():
     import numpy as np
 
