@@ -90,7 +90,7 @@ def _settler(seed: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1, 2), most: float = 2.0, group: int = 10_000, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1, 2), most: float = 2.0, group: int = 500, seed: int = 7) -> DataFrame:
     """doc_id, size, source, source_size, target, copies for each row of docs (doc_id, text, source): how often the mix takes it.
 
     size: words of the text (null: 0). Documents without words are never taken. Rows with the same doc_id, source and size stand for each other: the
