@@ -36,13 +36,7 @@ class Tokens:
     """
 
     def __init__(self, json_path: str, ranks_path: str | None, pattern: str, special: dict[str, int], separator: int):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.exact = Tokenizer.from_file(json_path)
-        self.special, self.separator, self.fast = special, separator, None
+        self.json_path, self.special, self.separator, self.fast, self.slow = json_path, special, separator, None, None
         if ranks_path:
             import base64
 
@@ -59,7 +53,14 @@ class Tokens:
     def _ids(self, text: str) -> np.ndarray | list[int]:
         if self.fast and not any(s in text for s in self.special) and self._plain(text):
             return self.fast.encode_to_numpy(text, disallowed_special=())
-        return self.exact.encode(text, add_special_tokens=False).ids
+        if self.slow is None:
+            import os
+
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.json_path)
+        return self.slow.encode(text, add_special_tokens=False).ids
 
     @staticmethod
     def _plain(text: str) -> bool:
@@ -92,7 +93,7 @@ def tokenise(docs: DataFrame, json_path: str, ranks_path: str | None, pattern: s
                     part = data[4 * a : 4 * b]
                     rows.append((doc, k, a, b - a, part, zlib.crc32(part)))
                 held += len(data)
-                if held > 16_000_000:
+                if held > 4_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
                     rows, held = [], 0
             if rows:
@@ -187,40 +188,38 @@ def pack(pieces: DataFrame, capacity: int = 2048, slot_rows: int = 50_000) -> Da
     About `slot_rows` pieces of one length are ranked together.
     """
     spark = pieces.sparkSession
-    pieces = pieces.drop("sequence_id", "offset", "_slot", "_rank", "_before")
+    pieces = pieces.drop("sequence_id", "offset")
     fits = F.col("length").between(1, capacity)
     histogram = {int(n): int(k) for n, k in pieces.where(fits).groupBy("length").count().collect()}  # at most `capacity` rows
     slots = max(64, -(-max(histogram.values(), default=0) // slot_rows))
-    slotted = pieces.withColumn("_slot", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slots)))
-    counts = slotted.where(fits).groupBy("length", "_slot").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_slot")) - F.col("_n")).drop("_n")
+    # The row travels as one column, so its names can't clash with those used here.
+    slotted = pieces.select(F.struct("*").alias("row"), "doc_id", "piece", F.col("length").cast("long").alias("length"), F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slots)).alias("slot"))
+    counts = slotted.where(fits).groupBy("length", "slot").agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("slot")) - F.col("n")).drop("n")
     plan = best_fit_plan(histogram, capacity)
     table = np.array(plan, np.int64).reshape(-1, 6)
     keys = (table[:, 0] << 44) + table[:, 1]
     order = np.argsort(keys, kind="stable")
     keys, table = keys[order], table[order]
+    names = pieces.columns
     held = spark.sparkContext.broadcast((keys, table))  # its size follows the capacity, not the pieces
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, table = held.value
         for batch in batches:
-            names = batch.schema.names
-            length, rank = (batch.column(names.index(c)) for c in ("length", "_rank"))
-            sequence = np.zeros(len(batch), np.int64)
-            offset = np.zeros(len(batch), np.int64)
-            known = ~np.asarray(rank.is_null())
+            row, length, rank = batch.columns
+            sequence, offset = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            known = np.asarray(rank.is_valid())
             if known.any():
-                n, r = np.asarray(length.fill_null(0)).astype(np.int64)[known], np.asarray(rank.fill_null(0)).astype(np.int64)[known]
-                row = table[np.searchsorted(keys, (n << 44) + r, "right") - 1]
-                nth = r - row[:, 1]
-                sequence[known], offset[known] = row[:, 4] + nth // row[:, 3], row[:, 5] + nth % row[:, 3] * n
-            keep = [i for i, c in enumerate(names) if c != "_rank"]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + [pa.array(x, mask=~known) for x in (sequence, offset)], names=[names[i] for i in keep] + ["sequence_id", "offset"])
-
-    within = Window.partitionBy("length", "_slot").orderBy("doc_id", "piece")
-    ranked = slotted.withColumn("_rank", F.when(fits, F.row_number().over(within) - 1).cast("long"))
-    ranked = ranked.join(before, ["length", "_slot"], "left").withColumn("_rank", F.col("_rank") + F.col("_before"))
-    ranked = ranked.select(*pieces.columns, "_rank")
+                n, r = np.asarray(length.fill_null(0))[known], np.asarray(rank.fill_null(0))[known]
+                at = table[np.searchsorted(keys, (n << 44) + r, "right") - 1]
+                nth = r - at[:, 1]
+                sequence[known], offset[known] = at[:, 4] + nth // at[:, 3], at[:, 5] + nth % at[:, 3] * n
+            yield pa.RecordBatch.from_arrays([*row.flatten(), *(pa.array(x, mask=~known) for x in (sequence, offset))], names=[*names, "sequence_id", "offset"])
+
+    within = Window.partitionBy("length", "slot").orderBy("doc_id", "piece")
+    ranked = slotted.withColumn("nth", F.row_number().over(within) - 1).join(before, ["length", "slot"], "left")
+    ranked = ranked.select("row", "length", F.when(fits, F.col("nth") + F.col("before")).alias("rank"))
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return ranked.mapInArrow(place, schema)
 
