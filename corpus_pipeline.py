@@ -29,14 +29,17 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates. Rows of one doc_id count as copies of it; the first by content stays."""
-    found = simhash.near_duplicates(docs)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    nameless = docs.where("doc_id is null")
-    # Rows of one doc_id are ordered by their hash, and only doc_ids that stand twice are sorted at all.
-    kept = docs.join(first, "doc_id", "left_semi").select(F.struct("*").alias("row"), "doc_id", "text")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    return kept.withColumn("nth", nth).where("nth = 1").select("row.*").union(nameless)
+    """One document of each group of near-duplicates: those joined by a similarity of 0.8 or more of their five-word shingles.
+
+    The one with the smallest doc_id stays, and of rows with that id the first by content; of groups without any doc_id, one row.
+    """
+    known = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id")
+    found = simhash.similar_documents(docs)
+    first = found.groupBy("label").agg(F.min(F.struct(known, "th")).alias("m")).select("m.id", "m.th")
+    # The row travels as one column, so its names can't clash with those used here.
+    rows = docs.select(F.struct("*").alias("row"), known, simhash.text_hash(F.col("text")).alias("th"))
+    nth = F.row_number().over(Window.partitionBy("id", "th").orderBy(F.xxhash64("row")))
+    return rows.join(first, ["id", "th"], "left_semi").withColumn("nth", nth).where("nth = 1").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Connected components of a distributed set of links, by alternating stars.
 
 Each round joins every node with the least node among its neighbours; the links stay in tables, never on the driver.
-Only a count and a checksum come back between rounds.
+Only whether they are done comes back between rounds.
 """
 
 from __future__ import annotations
@@ -55,21 +55,25 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def connected_components(links: DataFrame, work: Workspace) -> DataFrame:
+def _are_stars(links: DataFrame) -> bool:
+    """Whether each node has one link at most to a lesser one, and lesser ones have none: every component is a star around its least node."""
+    ends = links.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(links.select("b", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not nodes.where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).limit(1).collect()
+
+
+def connected_components(links: DataFrame) -> DataFrame:
     """node, label (the least node of its component) for every node of links (a, b: long) that isn't the least itself.
 
     Null ends and links of a node with itself are ignored; repeated links and either direction count once. No links: no rows.
     """
+    work = Workspace(links.sparkSession, "components")
     pairs = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now = work.keep(pairs.mapInArrow(_contract, LINKS).distinct(), "links0")
-    state, n = None, 0
-    while True:
+    now, n = work.keep(pairs.mapInArrow(_contract, LINKS).distinct(), "links0"), 0
+    while not _are_stars(now):
         for large in (True, False):
             n += 1
             now = work.keep(_star(now, large), f"links{n}")
-            if n > 2:
+            if n > 1:
                 work.drop(f"links{n - 2}")
-        row = now.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b") % (1 << 30)), F.lit(0)).alias("s")).first()
-        if state == (row["n"], row["s"]) or not row["n"]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
-        state = (row["n"], row["s"])
+    return now.select(F.col("a").alias("node"), F.col("b").alias("label"))

@@ -677,7 +677,7 @@ def graph_modularity(spark, d):
 u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r(n, m) AS (SELECT DISTINCT a, a FROM u UNION SELECT u.b, r.m FROM r JOIN u ON u.a = r.n) SELECT n AS node, min(m) AS label FROM r GROUP BY n HAVING min(m) <> n""")
 def connected_components(spark, d):
     x = table(spark, d, "lineitem").where("l_quantity = 50 and l_discount = 0.05").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return components.connected_components(x.select(F.col("o_custkey").alias("a"), (F.lit(10_000_000) + F.col("l_partkey")).alias("b")), Workspace(spark, "components"))
+    return components.connected_components(x.select(F.col("o_custkey").alias("a"), (F.lit(10_000_000) + F.col("l_partkey")).alias("b")))
 
 
 

@@ -7,7 +7,6 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from seamline.operators import cluster, components, edl, metrics, pairs
-from seamline.workspace import Workspace
 
 
 def test_metrics_ignore_names_and_order(spark):
@@ -85,10 +84,10 @@ def union(rows):
 def test_components_of_chains_stars_and_noise(spark):
     rng = random.Random(9)
     rows = [(k, k + 1) for k in range(100, 400)] + [(1000, k) for k in range(1001, 1400)] + [(rng.randint(2000, 2200), rng.randint(2000, 2200)) for _ in range(150)] + [(5, 5), (None, 7)]
-    got = {r["node"]: r["label"] for r in components.connected_components(spark.createDataFrame(rows, "a long, b long").repartition(5), Workspace(spark, "test")).collect()}
+    got = {r["node"]: r["label"] for r in components.connected_components(spark.createDataFrame(rows, "a long, b long").repartition(5)).collect()}
     want = union([r for r in rows if None not in r])
     assert got == {n: m for n, m in want.items() if n != m}
-    assert components.connected_components(spark.createDataFrame([], "a long, b long"), Workspace(spark, "test")).count() == 0
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_gradients_are_those_of_the_loss():
