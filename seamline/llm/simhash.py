@@ -8,12 +8,13 @@ blocks, and a block passes on a spanning forest instead of its pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations, islice, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from seamline.operators.components import LINKS, connected_components, forest
 from seamline.workspace import Workspace
@@ -25,8 +26,8 @@ HEAVY = 8192
 PAIRS = 1 << 20
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """Unsigned 64-bit SimHash; zero for a text without words. Each of the shingles counts, repeats too."""
+def fingerprint(text: str | None, shingle: int = 3, repeats: bool = True) -> int:
+    """Unsigned 64-bit SimHash; zero for a text without words. Each of the shingles counts, repeated ones only if `repeats`."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -36,6 +37,8 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         shingles: Iterator[bytes] = iter([b" ".join(words)])
     else:
         shingles = map(b" ".join, zip(*(islice(words, i, None) for i in range(shingle))))
+    if not repeats:
+        shingles = iter(set(shingles))
     ones, n = np.zeros(BITS, np.int64), 0
     while len(h := np.fromiter(map(xxhash.xxh64_intdigest, islice(shingles, 1 << 15), repeat(42)), np.uint64)):
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -43,15 +46,25 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp: the fingerprint of each row's whole text, as a signed long with the same bits. Null texts have no words."""
+def fingerprints(docs: DataFrame, shingle: int = 3, repeats: bool = True) -> DataFrame:
+    """doc_id, th, fp: a hash of each row's whole text and its fingerprint, as a signed long with the same bits. Null texts have no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            fp = np.array([fingerprint(t.as_py(), shingle, repeats) for t in batch.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], names=["doc_id", "th", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return _hashed(docs).mapInArrow(run, "doc_id long, th long, fp long")
+
+
+def text_hash(text: Column) -> Column:
+    """A hash of the whole text; a null one is empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("th"), text.alias("text"))
 
 
 def _bits(fp: np.ndarray) -> np.ndarray:
@@ -90,7 +103,7 @@ def part_values(fp: np.ndarray, part: list[int]) -> np.ndarray:
 
 
 def _ball(width: int, radius: int) -> int:
-    return sum(len(list(combinations(range(width), e))) for e in range(radius + 1))
+    return sum(math.comb(width, e) for e in range(radius + 1))
 
 
 class Thresholds:
@@ -299,7 +312,7 @@ def _verified(distance: int):
     return run
 
 
-def near_links(fps: DataFrame, distance: int, work: Workspace) -> DataFrame:
+def near_links(fps: DataFrame, distance: int) -> DataFrame:
     """Links a, b that join the same fingerprints as all pairs within the distance do. fps: a table of distinct fingerprints fp."""
     n = fps.count()
     parts = correlated_parts(_pair_counts(fps), n, choose_parts(n, distance))
@@ -318,10 +331,115 @@ def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3) -> Dat
     work = Workspace(docs.sparkSession, "simhash")
     marked = work.keep(fingerprints(docs, shingle), "fingerprints")
     nodes = work.keep(marked.groupBy("fp").agg(F.min("doc_id").alias("root")), "nodes")
-    labels = work.keep(connected_components(near_links(nodes.select("fp"), distance, work), work), "labels")
-    named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "root", F.coalesce("label", "fp").alias("label"))
-    # Only fingerprints with links need another root than their own.
-    joined = labels.select(F.col("node").alias("fp"), "label").union(labels.select(F.col("label").alias("fp"), "label").distinct())
-    roots = joined.join(nodes, "fp").groupBy("label").agg(F.min("root").alias("component"))
-    named = named.join(roots, "label", "left").select("fp", F.coalesce("component", "root").alias("component_id"))
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    labels = work.keep(connected_components(near_links(nodes.select("fp"), distance)), "labels")
+    return marked.join(_named(nodes, labels, "fp"), "fp").select("doc_id", "fp", "component_id")
+
+
+def _named(nodes: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """key, label, component_id for nodes (key, root) and the labels of those that have links."""
+    named = nodes.join(labels.withColumnRenamed("node", key), key, "left").select(key, "root", F.coalesce("label", key).alias("label"))
+    # Only nodes with links need another root than their own.
+    joined = labels.select(F.col("node").alias(key), "label").union(labels.select(F.col("label").alias(key), "label").distinct())
+    roots = joined.join(nodes, key).groupBy("label").agg(F.min("root").alias("component"))
+    return named.join(roots, "label", "left").select(key, "label", F.coalesce("component", "root").alias("component_id"))
+
+
+#: Shingles that a side of a cell of texts to compare has, about.
+CELL = 1 << 19
+
+
+def _shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """The distinct shingles of a text as sorted 64-bit hashes; fewer words are one shingle."""
+    import xxhash
+
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    parts = [b" ".join(words)] if 0 < len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle))))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64))
+
+
+def _alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    if not len(a) or not len(b):
+        return len(a) == len(b)
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (len(a) + len(b) - both)
+
+
+def _compare(fp: np.ndarray, sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, distance: int, least: float) -> list[tuple[int, int]]:
+    """A forest over the texts of a cell that joins what its pairs of similar texts join. Pairs already joined are not compared."""
+    root = np.arange(len(fp))
+    out = []
+    for u in rows.tolist():
+        near = columns[np.bitwise_count(fp[columns] ^ fp[u]) <= distance]
+        while len(near := near[root[near] != root[u]]):
+            v = int(near[0])
+            if _alike(sets[u], sets[v], least):
+                out.append((u, v))
+                root[root == root[v]] = root[u]
+            near = near[1:]
+    return out
+
+
+def _similar(groups: DataFrame, distance: int, least: float) -> DataFrame:
+    """Links a, b of texts (group, th, fp, shingles, n) of one group that are within the distance and similar.
+
+    A group with many shingles is a grid: each text goes to one cell for each part of its group, and every pair meets in one cell.
+    """
+    size = groups.groupBy("group").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / CELL)).cast("int").alias("side"))
+    rows = groups.join(size, "group").withColumn("own", F.pmod("th", "side").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("side") - 1)))
+    cells = rows.select("group", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "th", "fp", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                own, th, fp, data = zip(*held)
+                side, fp = np.array(own), np.array(fp, np.int64).view(np.uint64)
+                sets = [np.frombuffer(x, np.uint64) for x in data]
+                at = np.arange(len(held))
+                links = _compare(fp, sets, at[side == now[1]], at[side == now[2]], distance, least)
+                if links:
+                    a, b = zip(*((th[x], th[y]) for x, y in links))
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for g, a, b, own, th, fp, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if (g, a, b) != now:
+                    yield from out()
+                    now, held = (g, a, b), []
+                held.append((own, th, fp, data))
+        yield from out()
+
+    return cells.repartition("group", "a", "b").sortWithinPartitions("group", "a", "b").mapInArrow(run, LINKS)
+
+
+def similar_documents(docs: DataFrame, least: float = 0.8, shingle: int = 5, distance: int = 8) -> DataFrame:
+    """doc_id, th (hash of the text), label, component_id for each row of docs (doc_id, text): documents joined by Jaccard similarity of `least` or more of their distinct
+    word shingles (A-Z in lower case). The label is the least text hash of a component, and names those without any doc_id too.
+
+    Candidates are groups that SimHash joins over distinct single words, at `distance` bits or fewer: a changed word turns fewer bits there than it turns over shingles. In a group
+    each pair within the distance is compared exactly, unless other pairs join it already. Pairs that are similar but further apart are missed; the README has the recall.
+    Texts without words are similar to each other. Nulls, repeated rows and other columns are as in near_duplicates().
+    """
+    work = Workspace(docs.sparkSession, "similar")
+    marked = work.keep(fingerprints(docs, 1, repeats=False), "fingerprints")
+    texts = work.keep(marked.groupBy("th", "fp").agg(F.min("doc_id").alias("root")), "texts")
+    fps = work.keep(texts.select("fp").distinct(), "fps")
+    groups = work.keep(connected_components(near_links(fps, distance)), "groups")
+    grouped = texts.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("th", "fp", F.coalesce("label", "fp").alias("group"))
+    many = grouped.groupBy("group").agg(F.count("*").alias("k")).where("k > 1").select("group")
+    picked = work.keep(grouped.join(many, "group"), "candidates")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [_shingle_hashes(t.as_py(), shingle) for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([len(x) + 1 for x in sets], pa.int64())], names=["group", "th", "fp", "shingles", "n"])
+
+    # One row for each text that has a candidate, however many copies there are.
+    one = _hashed(docs).join(picked, "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
+    sets = one.join(picked, "th").select("group", "th", "fp", "text").mapInArrow(run, "group long, th long, fp long, shingles binary, n long")
+    labels = work.keep(connected_components(_similar(work.keep(sets, "sets"), distance, least)), "labels")
+    nodes = texts.select("th", "root")
+    return marked.join(_named(nodes, labels, "th"), "th").select("doc_id", "th", "label", "component_id")

@@ -10,7 +10,7 @@ from seamline.llm import quality
 from tests.llm.test_lines import brute as brute_lines
 from tests.llm.test_mixing import targets
 from tests.llm.test_packing import layout
-from tests.llm.test_simhash import plain
+from tests.llm.test_simhash import jaccard_components
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data absent")
@@ -57,20 +57,8 @@ def test_lines(stages):
 
 def test_one_of_each_group(stages):
     before, after = stages[2]
-    fps = sorted((r["doc_id"], plain(r["text"])) for r in before.collect())
-    label = {d: d for d, _ in fps}
-
-    def find(d):
-        while label[d] != d:
-            d = label[d]
-        return d
-
-    for i, (a, x) in enumerate(fps):
-        for b, y in fps[:i]:
-            if bin(x ^ y).count("1") <= 3:
-                p, q = sorted((find(a), find(b)))
-                label[q] = p
-    assert ids(after) == Counter(d for d in label if find(d) == d)
+    groups = jaccard_components([(r["doc_id"], r["text"]) for r in before.collect()], 0.8, 5)
+    assert ids(after) == Counter(min(g) for g in groups)
 
 
 def test_mix(stages):
@@ -103,6 +91,8 @@ def test_odd_documents(spark, odd, documents, tmp_path):
         assert f(spark, odd, str(tmp_path)).columns == odd.columns and f(spark, odd.limit(0), str(tmp_path)).count() == 0
     once = corpus_pipeline.keep_one_of_each(spark, documents([(4, "a b c d e", "s")] * 3 + [(9, "a b c d e", "s"), (12, "q r s t u v", "s")]), "")
     assert ids(once) == Counter([4, 12])
+    nameless = corpus_pipeline.keep_one_of_each(spark, documents([(None, "a b c d e", "s")] * 2 + [(None, "q r s t u v", None)]), "")
+    assert sorted(r["text"] for r in nameless.collect()) == ["a b c d e", "q r s t u v"]
     mixed = corpus_pipeline.mix_sources(spark, documents([(1, "a b", "s")] * 4 + [(2, "a b c", "s"), (None, "x y", None), (None, "x y z", None)]), "")
     assert all(k <= 8 for k in ids(mixed).values()) and {r["text"] for r in mixed.where("doc_id is null").collect()} <= {"x y", "x y z"}
     assert corpus_pipeline.pack_sequences(spark, odd, "").count() >= odd.count()

@@ -51,7 +51,7 @@ def test_links_join_what_all_pairs_join(spark, monkeypatch, distance, heavy):
     fps |= {0, (1 << 64) - 1, 1 << 63, *(1 << b for b in range(12))}
     signed = [int(np.uint64(f).view(np.int64)) for f in fps]
     table = Workspace(spark, "test").keep(spark.createDataFrame([(f,) for f in signed], "fp long"), "fps")
-    links = simhash.near_links(table, distance, Workspace(spark, "test")).collect()
+    links = simhash.near_links(table, distance).collect()
     unsigned = lambda x: x & (1 << 64) - 1
     found, groups = {}, []
     for a, b in ((unsigned(r["a"]), unsigned(r["b"])) for r in links):
@@ -98,3 +98,52 @@ def test_null_ids_alone(documents):
 def test_long_text_is_counted_whole():
     words = [f"w{i}" for i in range(100_000)]
     assert simhash.fingerprint(" ".join(words[:40_000])) == plain(" ".join(words[:40_000])) != simhash.fingerprint(" ".join(words))
+
+
+def edited(rng, words, edits):
+    out = list(words)
+    for at in rng.sample(range(len(out)), edits):
+        out[at] = f"z{rng.randint(0, 10**6)}"
+    return out
+
+
+def jaccard_components(docs, least, shingle):
+    def shingles(t):
+        w = (t or "").encode("utf-8", "surrogatepass").lower().split()
+        return {tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1)} if len(w) >= shingle else {tuple(w)} - {()}
+
+    sets = [shingles(t) for _, t in docs]
+    label = list(range(len(docs)))
+    find = lambda x: x if label[x] == x else find(label[x])
+    for i in range(len(docs)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= least * (len(sets[i]) + len(sets[j]) - both):
+                label[find(i)] = find(j)
+    groups = {}
+    for i, (d, _) in enumerate(docs):
+        groups.setdefault(find(i), set()).add(d)
+    return {frozenset(g) for g in groups.values()}
+
+
+@pytest.mark.parametrize("cell", [1 << 19, 300])  # 300: groups become grids
+def test_similar_documents(documents, monkeypatch, cell):
+    monkeypatch.setattr(simhash, "CELL", cell)
+    rng = random.Random(8)
+    docs, n = [], 0
+    for _ in range(12):
+        words = [f"w{rng.randint(0, 400)}" for _ in range(rng.choice([4, 60, 150, 300]))]
+        for _ in range(rng.choice([1, 2, 9])):
+            docs.append((n, " ".join(edited(rng, words, rng.randint(0, len(words) // 60)))))
+            n += 1
+    docs += [(n, ""), (n + 1, None), (n + 2, " "), (n + 3, docs[0][1]), (n + 4, docs[0][1].upper())]
+    got = {}
+    for r in simhash.similar_documents(documents([(d, t, "s") for d, t in docs])).collect():
+        got.setdefault(r["component_id"], set()).add(r["doc_id"])
+    assert {frozenset(g) for g in got.values()} == jaccard_components(docs, 0.8, 5) and all(c == min(g) for c, g in got.items())
+
+
+def test_similar_odd_documents(odd):
+    got = simhash.similar_documents(odd).collect()
+    assert len(got) == odd.count() and simhash.similar_documents(odd.limit(0)).count() == 0
+    assert {r["component_id"] for r in got if r["doc_id"] in (1, 2, 3)} == {1}
