@@ -20,7 +20,7 @@ from seamline.workspace import Workspace
 
 SLOT_BITS = 14
 #: Text bytes worked on at once, and packed bytes gathered before they are sent.
-CHUNK, FLUSH = 4 << 20, 32 << 20
+CHUNK, FLUSH = 2 << 20, 24 << 20
 BLOBS = "bucket int, blob binary"
 SPANS = "doc_id long, th long, start int, end int"
 
@@ -232,7 +232,7 @@ def _count_buckets(packed: DataFrame, k: int, buckets: int) -> DataFrame:
                 blobs.append(blob.as_py())
         yield from out()
 
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, SPANS)
+    return packed.repartition(max(1, buckets // 3), "bucket").sortWithinPartitions("bucket").mapInArrow(run, SPANS)
 
 
 def _count_heavy(docs: DataFrame, k: int, m: int, bucket: np.ndarray, work: Workspace) -> DataFrame:
@@ -271,7 +271,7 @@ def _keep_words(text: str | None, spans: list[tuple[int, int]]) -> tuple[int, in
     return len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass")
 
 
-def remove_repeats(docs: DataFrame, k: int = 13, m: int = 3, bucket_bytes: int = 24 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = 13, m: int = 3, bucket_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by one space) for each row of docs (doc_id, text).
 
     A word goes if a window of k words over it also starts in a document with a smaller doc_id; windows are judged on the input. Fewer than k words:
