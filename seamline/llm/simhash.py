@@ -22,6 +22,8 @@ from seamline.workspace import Workspace
 BITS = 64
 #: A value of a part held by so many fingerprints, or by a thousandth of them if that is more, is noted as heavy.
 HEAVY = 8192
+#: What a row in a bucket costs, in pairs verified: it is made, dealt out and sorted.
+ROW_COST = 40.0
 #: Pairs verified at once.
 PAIRS = 1 << 20
 
@@ -138,7 +140,7 @@ class Thresholds:
             out = np.maximum(out, known[:, None])
         return out
 
-    def choose(self, values: list[np.ndarray], row_cost: float = 10.0) -> np.ndarray:
+    def choose(self, values: list[np.ndarray], row_cost: float = ROW_COST) -> np.ndarray:
         """Units (threshold + 1) of each part for each fingerprint; a row costs as much as row_cost candidates."""
         units, m = self.distance + 1, len(self.parts)
         best, picks = None, []
@@ -164,7 +166,7 @@ def choose_parts(n: int, distance: int) -> int:
     def cost(m: int) -> float:
         width, units = BITS // m, [(distance + 1) // m + (i < (distance + 1) % m) for i in range(m)]
         balls = [_ball(width, u - 1) for u in units if u]
-        return sum(10 * b + b * n / 2.0**width for b in balls) + 10 * m
+        return sum(ROW_COST * b + b * n / 2.0**width for b in balls) + ROW_COST * m
 
     return min(range(1 if distance == 0 else 2, distance + 2), key=cost)
 
