@@ -101,7 +101,7 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
     return out
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, bits: int = 5, query_block: int = 2048, vector_block: int = 8192) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, bits: int = 5, query_block: int = 1024, vector_block: int = 4096) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k rows of vectors with the highest integer inner product for each row of queries (both vec_id, embedding).
 
     Rows with the query's own id don't count; equal scores go to the smaller vec_id, and fewer than k rows are all returned. Only vectors of one length compare. Equal rows are candidates each; a
