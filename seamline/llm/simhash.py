@@ -25,7 +25,7 @@ HEAVY = 8192
 #: What a row in a bucket costs, in pairs verified: it is made, dealt out and sorted.
 ROW_COST = 40.0
 #: Pairs verified at once.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 
 
 def fingerprint(text: str | None, shingle: int = 3, repeats: bool = True) -> int:
