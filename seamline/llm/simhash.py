@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from seamline.llm.rolling import mix
 from seamline.operators.components import LINKS, connected_components, forest
 from seamline.workspace import Workspace
 
@@ -359,6 +360,57 @@ def _shingle_hashes(text: str, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64))
 
 
+#: Minima of a band, and how likely a pair of the least similarity may share none of the bands.
+BAND_ROWS, MISSED = 5, 1e-5
+
+
+def band_count(least: float) -> int:
+    """How many bands leave a pair of similarity `least` unmet with probability MISSED at most, whatever kind of edit parts it."""
+    return 1 if least >= 1 else math.ceil(math.log(MISSED) / math.log1p(-(least**BAND_ROWS)))
+
+
+def minhash_bands(hashes: np.ndarray, bands: int) -> np.ndarray:
+    """A key for each band: the least of the hashes under BAND_ROWS permutations of 32 bits, mixed with the band's number."""
+    rng = np.random.default_rng(42)
+    turn, odd = rng.integers(0, 1 << 32, (2, bands * BAND_ROWS, 1), dtype=np.uint32)
+    h, low = (hashes >> np.uint64(32)).astype(np.uint32), np.full(len(odd), (1 << 32) - 1, np.uint32)
+    for lo in range(0, len(h), 1024):
+        low = np.minimum(low, ((h[lo : lo + 1024] ^ turn) * (odd | np.uint32(1))).min(axis=1))
+    key = np.arange(bands, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for row in low.reshape(bands, BAND_ROWS).T:
+            key = mix(key * np.uint64(0x9FB21C651E98DF25) + row)
+    return key
+
+
+def _signatures(docs: DataFrame, shingle: int, bands: int) -> DataFrame:
+    """doc_id, th, fp (over distinct words), bands: those of the text's shingles, none for a text without words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.array([fingerprint(t.as_py(), 1, False) for t in batch.column(2)], np.uint64).view(np.int64)
+            keys = [minhash_bands(h, bands).view(np.int64) if len(h := _shingle_hashes(t.as_py(), shingle)) else [] for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "th", "fp", "bands"])
+
+    return _hashed(docs).mapInArrow(run, "doc_id long, th long, fp long, bands array<long>")
+
+
+def _band_links(texts: DataFrame) -> DataFrame:
+    """Links a, b that join the fingerprints of texts (fp, bands) with a band in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            key, fp = (np.concatenate([x[-1:], np.asarray(batch.column(i))]) for i, x in enumerate((key, fp)))  # the last key may go on
+            same = (key[1:] == key[:-1]) & (fp[1:] != fp[:-1])
+            if same.any():
+                a, b = forest(fp[1:][same], fp[:-1][same])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    rows = texts.select(F.explode("bands").alias("key"), "fp")
+    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, LINKS)
+
+
 def _alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     if not len(a) or not len(b):
         return len(a) == len(b)
@@ -368,12 +420,13 @@ def _alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return both >= least * (len(a) + len(b) - both)
 
 
-def _compare(fp: np.ndarray, sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, distance: int, least: float) -> list[tuple[int, int]]:
+def _compare(fp: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, distance: int, least: float) -> list[tuple[int, int]]:
     """A forest over the texts of a cell that joins what its pairs of similar texts join. Pairs already joined are not compared."""
     root = np.arange(len(fp))
     out = []
     for u in rows.tolist():
-        near = columns[np.bitwise_count(fp[columns] ^ fp[u]) <= distance]
+        near = columns[root[columns] != root[u]]
+        near = near[(np.bitwise_count(fp[near] ^ fp[u]) <= distance) | (bands[near] == bands[u]).any(axis=1)]
         while len(near := near[root[near] != root[u]]):
             v = int(near[0])
             if _alike(sets[u], sets[v], least):
@@ -384,34 +437,35 @@ def _compare(fp: np.ndarray, sets: list[np.ndarray], rows: np.ndarray, columns:
 
 
 def _similar(groups: DataFrame, distance: int, least: float) -> DataFrame:
-    """Links a, b of texts (group, th, fp, shingles, n) of one group that are within the distance and similar.
+    """Links a, b of texts (group, th, fp, bands, shingles, n) of one group that are within the distance or share a band, and are similar.
 
     A group with many shingles is a grid: each text goes to one cell for each part of its group, and every pair meets in one cell.
     """
     size = groups.groupBy("group").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / CELL)).cast("int").alias("side"))
     rows = groups.join(size, "group").withColumn("own", F.pmod("th", "side").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("side") - 1)))
-    cells = rows.select("group", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "th", "fp", "shingles")
+    cells = rows.select("group", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "th", "fp", "bands", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def out() -> Iterator[pa.RecordBatch]:
             if len(held) > 1:
-                own, th, fp, data = zip(*held)
+                own, th, fp, bands, data = zip(*held)
                 side, fp = np.array(own), np.array(fp, np.int64).view(np.uint64)
+                bands = np.frombuffer(b"".join(bands), np.uint32).reshape(len(held), -1)
                 sets = [np.frombuffer(x, np.uint64) for x in data]
                 at = np.arange(len(held))
-                links = _compare(fp, sets, at[side == now[1]], at[side == now[2]], distance, least)
+                links = _compare(fp, bands, sets, at[side == now[1]], at[side == now[2]], distance, least)
                 if links:
                     a, b = zip(*((th[x], th[y]) for x, y in links))
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for g, a, b, own, th, fp, data in zip(*(c.to_pylist() for c in batch.columns)):
+            for g, a, b, own, th, fp, bands, data in zip(*(c.to_pylist() for c in batch.columns)):
                 if (g, a, b) != now:
                     yield from out()
                     now, held = (g, a, b), []
-                held.append((own, th, fp, data))
+                held.append((own, th, fp, bands, data))
         yield from out()
 
     return cells.repartition("group", "a", "b").sortWithinPartitions("group", "a", "b").mapInArrow(run, LINKS)
@@ -421,15 +475,17 @@ def similar_documents(docs: DataFrame, least: float = 0.8, shingle: int = 5, dis
     """doc_id, th (hash of the text), label, component_id for each row of docs (doc_id, text): documents joined by Jaccard similarity of `least` or more of their distinct
     word shingles (A-Z in lower case). The label is the least text hash of a component, and names those without any doc_id too.
 
-    Candidates are groups that SimHash joins over distinct single words, at `distance` bits or fewer: a changed word turns fewer bits there than it turns over shingles. In a group
-    each pair within the distance is compared exactly, unless other pairs join it already. Pairs that are similar but further apart are missed; the README has the recall.
+    Candidates are groups joined by either of two signatures: SimHash over distinct single words, at `distance` bits or fewer, and bands of the least hashes of the shingles, which
+    a pair of the similarity shares however its edits lie (all but MISSED of the pairs at `least` itself, fewer above). In a group each pair that shares a signature is compared
+    exactly, unless other pairs join it already. The README has the recall for each kind of edit.
     Texts without words are similar to each other. Nulls, repeated rows and other columns are as in near_duplicates().
     """
     work = Workspace(docs.sparkSession, "similar")
-    marked = work.keep(fingerprints(docs, 1, repeats=False), "fingerprints")
-    texts = work.keep(marked.groupBy("th", "fp").agg(F.min("doc_id").alias("root")), "texts")
+    bands = band_count(least)
+    marked = work.keep(_signatures(docs, shingle, bands), "fingerprints")
+    texts = work.keep(marked.groupBy("th", "fp").agg(F.min("doc_id").alias("root"), F.first("bands").alias("bands")), "texts")
     fps = work.keep(texts.select("fp").distinct(), "fps")
-    groups = work.keep(connected_components(near_links(fps, distance)), "groups")
+    groups = work.keep(connected_components(near_links(fps, distance).union(_band_links(texts))), "groups")
     grouped = texts.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("th", "fp", F.coalesce("label", "fp").alias("group"))
     many = grouped.groupBy("group").agg(F.count("*").alias("k")).where("k > 1").select("group")
     picked = work.keep(grouped.join(many, "group"), "candidates")
@@ -437,11 +493,14 @@ def similar_documents(docs: DataFrame, least: float = 0.8, shingle: int = 5, dis
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [_shingle_hashes(t.as_py(), shingle) for t in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([len(x) + 1 for x in sets], pa.int64())], names=["group", "th", "fp", "shingles", "n"])
+            # A band is cut to 32 bits: a chance match costs a comparison.
+            keys = [(minhash_bands(x, bands) if len(x) else np.zeros(bands, np.uint64)).astype(np.uint32).tobytes() for x in sets]
+            data = [pa.array(keys, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([len(x) + 1 for x in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *data], names=["group", "th", "fp", "bands", "shingles", "n"])
 
     # One row for each text that has a candidate, however many copies there are.
     one = _hashed(docs).join(picked, "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
-    sets = one.join(picked, "th").select("group", "th", "fp", "text").mapInArrow(run, "group long, th long, fp long, shingles binary, n long")
+    sets = one.join(picked, "th").select("group", "th", "fp", "text").mapInArrow(run, "group long, th long, fp long, bands binary, shingles binary, n long")
     labels = work.keep(connected_components(_similar(work.keep(sets, "sets"), distance, least)), "labels")
     nodes = texts.select("th", "root")
-    return marked.join(_named(nodes, labels, "th"), "th").select("doc_id", "th", "label", "component_id")
+    return marked.select("doc_id", "th").join(_named(nodes, labels, "th"), "th").select("doc_id", "th", "label", "component_id")

@@ -147,3 +147,20 @@ def test_similar_odd_documents(odd):
     got = simhash.similar_documents(odd).collect()
     assert len(got) == odd.count() and simhash.similar_documents(odd.limit(0)).count() == 0
     assert {r["component_id"] for r in got if r["doc_id"] in (1, 2, 3)} == {1}
+
+
+@pytest.mark.parametrize("kind", ["appended", "shortened", "inserted"])
+def test_similar_documents_with_blocks(documents, kind):
+    """Copies with one block more or less, near a similarity of 0.8 on both sides."""
+    rng = random.Random(kind)
+    docs = []
+    for n in range(40):
+        words = [f"w{rng.randint(0, 5000)}" for _ in range(rng.randint(60, 400))]
+        block = [f"x{rng.randint(0, 5000)}" for _ in range(int(len(words) * rng.uniform(0.1, 0.3)))]
+        at = rng.randint(1, len(words) - 1)
+        copy = {"appended": words + block, "shortened": words[: len(words) - int(len(block) * 0.8)], "inserted": words[:at] + block + words[at:]}[kind]
+        docs += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(copy))]
+    got = {}
+    for r in simhash.similar_documents(documents([(d, t, "s") for d, t in docs])).collect():
+        got.setdefault(r["component_id"], set()).add(r["doc_id"])
+    assert {frozenset(g) for g in got.values()} == jaccard_components(docs, 0.8, 5)
