@@ -94,11 +94,19 @@ def _mod97(s: Column) -> Column:
     return F.aggregate(_chars(s), F.lit(0).cast("long"), step)
 
 
+def _card_fits(d: Column) -> Column:
+    return F.pmod(_luhn(d), F.lit(10)) == 0
+
+
+def _iban_fits(d: Column) -> Column:
+    return _mod97(F.concat(F.substr(d, F.lit(5)), F.substr(d, F.lit(1), F.lit(4)))) == 1
+
+
 def _card(m: Column, key: str) -> Column:
     def changed(d: Column) -> Column:
         body = permute_text(F.substr(d, F.lit(1), F.length(d) - 1), key, "card")
         whole = _let(body, lambda b: F.concat(b, F.pmod(-_luhn(F.concat(b, F.lit("0"))), F.lit(10).cast("long")).cast("string")))
-        return F.when(F.pmod(_luhn(d), F.lit(10)) == 0, _refill(m, whole)).otherwise(m)
+        return F.when(_card_fits(d), _refill(m, whole)).otherwise(m)
 
     return _let(F.regexp_replace(m, "[^0-9]", ""), changed)
 
@@ -107,7 +115,7 @@ def _iban(m: Column, key: str) -> Column:
     def changed(d: Column) -> Column:
         country, rest = F.substr(d, F.lit(1), F.lit(2)), F.substr(d, F.lit(5))
         new = _let(permute_text(rest, key, "iban"), lambda b: F.concat(country, F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
-        return F.when(_mod97(F.concat(rest, F.substr(d, F.lit(1), F.lit(4)))) == 1, _refill(m, new)).otherwise(m)
+        return F.when(_iban_fits(d), _refill(m, new)).otherwise(m)
 
     return _let(F.replace(m, F.lit(" "), F.lit("")), changed)
 
@@ -180,12 +188,58 @@ def _email(m: Column, key: str) -> Column:
 KINDS: dict[str, Callable[[Column, str], Column]] = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _digits("phone", r"^\+[0-9]{1,3}(?=[ .(-])"), "card": _card}
 
 
+#: Kinds whose candidates may run on into what follows, as an expiry date or a code: check of the letters and digits, and what to strip for it.
+GROUPED: dict[str, tuple[Callable[[Column], Column], str]] = {"card": (_card_fits, "[ -]"), "iban": (_iban_fits, " ")}
+
+
+def _valid_prefix(m: Column, kinds: tuple[str, ...]) -> Column:
+    """The longest valid card or IBAN among the shorter prefixes of whole groups of a candidate; null if there is none."""
+
+    def valid(p: Column) -> Column:
+        out = F.lit(False)
+        for k in GROUPED.keys() & set(kinds):
+            fits, marks = GROUPED[k]
+            out = F.when(p.rlike(f"^(?:{PATTERNS[k]})$"), _let(F.regexp_replace(p, marks, ""), fits)).otherwise(out)
+        return out
+
+    def best(groups: Column) -> Column:
+        n = F.size(groups)
+        counts = F.when(n > 1, F.sequence(n - 1, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+        return F.get(F.filter(F.transform(counts, lambda k: F.substr(m, F.lit(1), F.length(F.array_join(F.slice(groups, F.lit(1), k), "-")))), valid), F.lit(0))
+
+    return _let(F.split(m, "[ -]"), best)
+
+
+def _rescanned(line: Column, pattern: str, one: Callable[[Column], Column], kinds: tuple[str, ...]) -> Column:
+    """A line's candidates one after the other, so that what follows a shorter prefix is searched again; a struct s, n. No pattern goes beyond a line."""
+    after_first = f"(?!^)(?:{pattern})"  # the first character was looked at before
+
+    def step(a: Column, _: Column) -> Column:
+        def of(m: Column) -> Column:
+            def taken(x: Column) -> Column:
+                lead, rest, old, new = x["cut"][0], x["cut"][1], x["old"], x["new"]
+                left = F.concat(F.substr(old, F.length(old)), F.substr(m, F.length(old) + 1), rest)
+                return F.struct(F.concat(a["s"], F.substr(lead, F.lit(2)), new).alias("s"), (a["n"] + (old != new).cast("int")).alias("n"), left.alias("left"))
+
+            whole = F.struct(m.alias("old"), one(m).alias("new"))
+            chosen = _let(whole, lambda w: F.when(w["old"] != w["new"], w).otherwise(_let(F.coalesce(_valid_prefix(m, kinds), m), lambda p: F.struct(p.alias("old"), one(p).alias("new")))))
+            both = _let(chosen, lambda w: F.struct(w["old"].alias("old"), w["new"].alias("new"), F.split(a["left"], F.lit(after_first), 2).alias("cut")))
+            end = F.struct(F.concat(a["s"], F.substr(a["left"], F.lit(2))).alias("s"), a["n"].alias("n"), F.lit("").alias("left"))
+            return F.when(m == "", end).otherwise(_let(both, taken))
+
+        return F.when(a["left"] == "", a).otherwise(_let(F.regexp_extract(a["left"], after_first, 0), of))
+
+    # Each candidate has a digit or an @ of its own; the last step finds none.
+    start = F.struct(F.lit("").alias("s"), F.lit(0).alias("n"), F.concat(F.lit("\n"), line).alias("left"))
+    return F.aggregate(F.sequence(F.lit(1), F.regexp_count(line, F.lit("[0-9]+|@")) + 1), start, step, lambda a: F.struct(a["s"].alias("s"), a["n"].alias("n")))
+
+
 def pseudonymise(docs: DataFrame, key: str = "seamline", kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
     """docs with text's personal numbers and dates replaced, and n_replaced (int) added; a column of that name is replaced, others pass unchanged.
 
     Valid are: cards by Luhn's rule, IBANs modulo 97, addresses with bytes below 256, dates that exist from 1900-01-01 on for 72,900 days, social
     security numbers outside the unused ranges, and telephone numbers and e-mail addresses by form. A pseudonym is valid too and has the same separators.
-    A null text stays null, an empty one empty. Equal rows get equal results, no rows give none.
+    A card or IBAN that runs on into further groups is the longest valid prefix of whole groups. A null text stays null, an empty one empty. Equal rows get equal results, no rows give none.
     """
     pattern = "|".join(f"(?:{PATTERNS[k]})" for k in kinds)
 
@@ -205,6 +259,10 @@ def pseudonymise(docs: DataFrame, key: str = "seamline", kinds: tuple[str, ...]
     swaps = F.transform("found", lambda m: F.struct(m.alias("old"), one(m).alias("new")))
     changed = F.coalesce(F.size(F.filter("swaps", lambda x: x["old"] != x["new"])), F.lit(0))
     joined = F.array_join(F.zip_with(F.split(text, F.lit(pattern), -1), F.col("swaps"), lambda a, x: F.concat(a, F.coalesce(x["new"], F.lit("")))), "")
-    out = rows.withColumn("found", found).withColumn("swaps", swaps).withColumn("n_replaced", changed)
-    new = F.when(F.col("n_replaced") > 0, joined).otherwise(text)
+    # Few texts have a candidate that is valid only in part; those are gone through again.
+    cut = F.coalesce(F.exists("swaps", lambda x: (x["old"] == x["new"]) & x["old"].rlike("[ -]") & _valid_prefix(x["old"], kinds).isNotNull()), F.lit(False))
+    again = F.when(F.col("cut"), F.transform(F.split(text, F.lit("\n"), -1), lambda line: _rescanned(line, pattern, one, kinds)))
+    out = rows.withColumn("found", found).withColumn("swaps", swaps).withColumn("cut", cut).withColumn("again", again)
+    out = out.withColumn("n_replaced", F.when(F.col("cut"), F.aggregate("again", F.lit(0), lambda n, x: n + x["n"])).otherwise(changed))
+    new = F.when(F.col("cut"), F.array_join(F.transform("again", lambda x: x["s"]), "\n")).when(F.col("n_replaced") > 0, joined).otherwise(text)
     return out.select(*(new.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns), "n_replaced")

@@ -45,6 +45,22 @@ def test_keys_differ_and_clean_text_stays(documents):
     assert texts(d)[1] != texts(d, key="other")[1] and texts(d)[2] == "room 12, 3.5 kg, 2020"
 
 
+def test_runs_on_into_further_groups(documents):
+    card, iban = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    d = documents([
+        (1, f"{card} 12/26", "a"), (2, "4111111111111111 123", "a"), (3, "4111111111111111-123", "a"), (4, f"{iban} 12 May", "a"), (5, f"{iban} 2024 x", "a"), (6, card, "a"), (7, iban, "a"),
+        (8, f"😀 {card} 079-05-1120\n{card} 12.02.2024 a.b@c.de {card} 12/26\n", "a"), (9, "4111 1111 1111 1112 12/26 and ES92 2100 0418 4502 0005 1332 12 May", "a"),
+    ])
+    rows = {r["doc_id"]: (r["text"], r["n_replaced"]) for r in pii.pseudonymise(d).collect()}
+    c, i = rows[6][0], rows[7][0]
+    assert c != card and luhn(c) and i != iban
+    assert rows[1] == (f"{c} 12/26", 1) and rows[2] == (c.replace(" ", "") + " 123", 1) and rows[3] == (c.replace(" ", "") + "-123", 1)
+    assert rows[4] == (f"{i} 12 May", 1) and rows[5] == (f"{i} 2024 x", 1)
+    m = re.fullmatch(r"😀 (.{19}) (\d{3}-\d\d-\d{4})\n(.{19}) (\d\d\.\d\d\.\d{4}) ([a-z]\.[a-z])@c\.de (.{19}) 12/26\n", rows[8][0])
+    assert m and m[1] == m[3] == m[6] == c and m[2] != "079-05-1120" and m[4] != "12.02.2024" and rows[8][1] == 6
+    assert rows[9] == ("4111 1111 1111 1112 12/26 and ES92 2100 0418 4502 0005 1332 12 May", 0)
+
+
 def test_odd_documents(odd):
     got = pii.pseudonymise(odd)
     assert set(got.columns) == set(odd.columns) and got.schema["n_replaced"].dataType.simpleString() == "int"
