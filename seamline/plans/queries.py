@@ -680,6 +680,13 @@ def connected_components(spark, d):
     return components.connected_components(x.select(F.col("o_custkey").alias("a"), (F.lit(10_000_000) + F.col("l_partkey")).alias("b")))
 
 
+@query()
+def connected_components_all(spark, d):
+    """Over all links; the SQL of connected_components, which is recursive over all pairs, holds for its sample only."""
+    x = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return components.connected_components(x.select(F.col("o_custkey").alias("a"), (F.lit(10_000_000) + F.col("l_partkey")).alias("b")))
+
+
 
 
 @query()
