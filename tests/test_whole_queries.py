@@ -1,11 +1,14 @@
 """Queries over whole tables against brute force."""
 
 import os
+from collections import Counter
+from itertools import combinations
 
 import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
+from seamline.operators import structure
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data absent")
@@ -46,3 +49,21 @@ def test_components_of_all_links(spark, tmp_path):
     tables(spark, str(tmp_path), links)
     got = {r["node"]: r["label"] for r in entry.queries()["connected_components_all"](spark, str(tmp_path)).collect()}
     assert got == labels((c, 10_000_000 + p) for c, p in links) and len(set(got.values())) == 3
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_bridges_of_all_pairs(spark, sf):
+    path = f"/root/testdata/{sf}"
+    nation, by = dict(read("supplier", "s_suppkey", "s_nationkey", sf=path)), {}
+    for p, k in read("lineitem", "l_partkey", "l_suppkey", sf=path):
+        if k in nation:
+            by.setdefault(p, set()).add(nation[k])
+    want = Counter(pair for ns in by.values() for pair in combinations(sorted(ns), 2))
+    assert {(r["i"], r["j"]): r["n"] for r in entry.queries()["entity_bridging_all"](spark, path).collect()} == want
+
+
+def test_default_cap_of_bridges(spark):
+    uses = spark.createDataFrame([(n, "x") for n in range(70)] + [(n, "y") for n in range(25)], "n long, entity string")
+    got = {(r["i"], r["j"]): r["n"] for r in structure.bridges(uses).collect()}
+    want = Counter(list(combinations(range(70), 2))[:2000]) + Counter(combinations(range(25), 2))
+    assert got == want and sum(got.values()) == 2300
