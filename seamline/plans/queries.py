@@ -804,10 +804,11 @@ def call_chain_summary(spark, d):
 def edl_infer(spark, d):
     s, m, t = struct(spark, d), sem(spark, d), temp(spark, d)
     both = s.select("i", "j", F.col("v").alias("struct")).join(m.select("i", "j", F.col("v").alias("sem")), ["i", "j"], "full").join(t.select("i", "j", F.col("v").alias("temp")), ["i", "j"], "full").fillna(0.0, ["struct", "sem", "temp"])
-    counts = table(spark, d, "part").groupBy(F.col("p_brand").alias("n"), "p_type").agg(F.count("*").cast("double").alias("c")).groupBy("n").agg(F.array_sort(F.collect_list(F.struct("p_type", "c"))).alias("x"))
-    kinds = 6  # a brand without parts of a type would shorten its vector
-    vectors = counts.where(F.size("x") == kinds).select("n", F.transform("x", lambda y: y["c"]).alias("e"))
+    part = table(spark, d, "part").select(F.col("p_brand").alias("n"), "p_type")
+    cells = part.select("n").distinct().crossJoin(F.broadcast(part.select("p_type").distinct()))  # a handful of types
+    counts = cells.join(part.groupBy("n", "p_type").agg(F.count("*").cast("double").alias("c")), ["n", "p_type"], "left").fillna(0.0, ["c"])
+    vectors = counts.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("p_type", "c"))).alias("x")).select("n", F.transform("x", lambda y: y["c"]).alias("e"))
     x = edl.pair_features(vectors, both.withColumn("fused", 0.4 * F.col("struct") + 0.4 * F.col("sem") + 0.2 * F.col("temp")))
     truth = brand_truth(spark, d)
     x = x.join(truth.select(F.col("n").alias("i"), F.col("cluster").alias("a")), "i").join(truth.select(F.col("n").alias("j"), F.col("cluster").alias("b")), "j").withColumn("y", (F.col("a") == F.col("b")).cast("int"))
-    return rounded(edl.infer(x, edl.train_sample(x, epochs=5)), 4)
+    return rounded(edl.infer(x, edl.train_sample(x)), 4)

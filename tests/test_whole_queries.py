@@ -8,7 +8,8 @@ import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
-from seamline.operators import structure
+from seamline.operators import edl, structure
+from seamline.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data absent")
@@ -67,3 +68,14 @@ def test_default_cap_of_bridges(spark):
     got = {(r["i"], r["j"]): r["n"] for r in structure.bridges(uses).collect()}
     want = Counter(list(combinations(range(70), 2))[:2000]) + Counter(combinations(range(25), 2))
     assert got == want and sum(got.values()) == 2300
+
+
+def test_uncertainty_of_all_pairs(spark, monkeypatch):
+    """Brands that lack a type stay, and training has the operator's epochs."""
+    asked, train = [], edl.train
+    monkeypatch.setattr(edl, "train", lambda x, y, **settings: asked.append(settings) or train(x, y, **settings))
+    got = {(r["i"], r["j"]) for r in entry.queries()["edl_infer"](spark, SF).collect()}
+    want = set()
+    for of in (plans.struct, plans.sem, plans.temp):
+        want |= {(r["i"], r["j"]) for r in of(spark, SF).select("i", "j").collect()}
+    assert got == want and len(want) > 1 and asked[0].get("epochs", 30) == 30
