@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from seamline.operators.skew import join_counted
 from seamline.workspace import Workspace
 
 LINKS = "a long, b long"
@@ -43,15 +44,18 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
-    """links has a > b. large: each node's larger neighbours join the least of all its neighbours; else its smaller ones do."""
+def _star(links: DataFrame, large: bool, n: int) -> DataFrame:
+    """links, n of them, has a > b. large: each node's larger neighbours join the least of all its neighbours; else its smaller ones do.
+
+    The centre of a large component is a hot key, and is joined as one.
+    """
     if large:
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = links.select(F.col("b").alias("u"), F.col("a").alias("v")).join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        out = join_counted(links.select(F.col("b").alias("u"), F.col("a").alias("v")), least, "u", 2 * n).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
-        least = links.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        out = links.select(F.col("a").alias("u"), F.col("b").alias("v")).join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b"))
+        least = links.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        out = join_counted(links.select(F.col("a").alias("u"), F.col("b").alias("v")), least, "u", n).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b"))
     return out.where("a <> b").distinct()
 
 
@@ -62,18 +66,20 @@ def _are_stars(links: DataFrame) -> bool:
     return not nodes.where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).limit(1).collect()
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, contracted: bool = False) -> DataFrame:
     """node, label (the least node of its component) for every node of links (a, b: long) that isn't the least itself.
 
     Null ends and links of a node with itself are ignored; repeated links and either direction count once. No links: no rows.
+    contracted: the links come as forests already, from an operator whose Python workers need no second one behind them.
     """
     work = Workspace(links.sparkSession, "components")
     pairs = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now, n = work.keep(pairs.mapInArrow(_contract, LINKS).distinct(), "links0"), 0
+    now, step = work.keep((pairs if contracted else pairs.mapInArrow(_contract, LINKS)).distinct(), "links0"), 0
     while not _are_stars(now):
+        n = now.count()
         for large in (True, False):
-            n += 1
-            now = work.keep(_star(now, large), f"links{n}")
-            if n > 1:
-                work.drop(f"links{n - 2}")
+            step += 1
+            now = work.keep(_star(now, large, n if large else now.count()), f"links{step}")
+            if step > 1:
+                work.drop(f"links{step - 2}")
     return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
