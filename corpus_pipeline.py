@@ -39,7 +39,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     # The row travels as one column, so its names can't clash with those used here.
     rows = docs.select(F.struct("*").alias("row"), known, simhash.text_hash(F.col("text")).alias("th"))
     nth = F.row_number().over(Window.partitionBy("id", "th").orderBy(F.xxhash64("row")))
-    return rows.join(first, ["id", "th"], "left_semi").withColumn("nth", nth).where("nth = 1").select("row.*")
+    return rows.join(first.hint("shuffle_hash"), ["id", "th"], "left_semi").withColumn("nth", nth).where("nth = 1").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
+from seamline.operators.skew import join_counted
 from seamline.workspace import Workspace
 
+#: Windows sent at once.
+FLUSH = 50_000
 WINDOWS = "key binary, doc_id long, th long, first int, last int"
 
 
@@ -23,37 +25,29 @@ def _windows(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        held: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=["key", "doc_id", "th", "first", "last"])
+
         for batch in batches:
-            keys, doc, first, last = [], [], [], []
+            ids, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, text in enumerate(batch.column(2)):
                 lines = (text.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n")
                 full = [(j, s) for j, x in enumerate(lines) if (s := x.strip())]
                 for a in range(len(full) - size + 1):
                     part = full[a : a + size]
-                    keys.append(xxhash.xxh3_128_digest(b"\n".join([s for _, s in part])))
-                    doc.append(i)
-                    first.append(part[0][0])
-                    last.append(part[-1][0])
-            at = pa.array(doc, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(0).take(at), batch.column(1).take(at), pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=["key", "doc_id", "th", "first", "last"])
+                    held.append((xxhash.xxh3_128_digest(b"\n".join([s for _, s in part])), ids[i], hashes[i], part[0][0], part[-1][0]))
+                    if len(held) >= FLUSH:
+                        yield out()
+                        held.clear()
+        if held:
+            yield out()
 
     return docs.mapInArrow(run, WINDOWS)
 
 
-def _cut(text: str | None, spans: list[tuple[int, int]]) -> tuple[str | None, int, int]:
-    if text is None:
-        return None, 0, 0
-    lines = text.split("\n")
-    if not spans:
-        return text, len(lines), 0
-    covered = np.zeros(len(lines) + 1, np.int64)
-    for a, b in spans:
-        covered[a] += 1
-        covered[b + 1] -= 1
-    kept = [x for x, c in zip(lines, np.cumsum(covered).tolist()) if not c]
-    return "\n".join(kept), len(lines), len(lines) - len(kept)
-
-
 def dedup_lines(docs: DataFrame, size: int = 3) -> DataFrame:
     """docs with text cut, and n_lines and n_removed (int) added; columns of docs with those names are replaced, others pass unchanged.
 
@@ -67,18 +61,21 @@ def dedup_lines(docs: DataFrame, size: int = 3) -> DataFrame:
     base = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"))
     windows = work.keep(_windows(base.where("row.text is not null").select("id", "th", F.col("row.text").cast("string").alias("text")), size), "windows")
     order = F.struct("doc_id", "th", "first")
-    heads = windows.groupBy("key").agg(F.min(order).alias("head"), F.max(order).alias("tail")).where("head <> tail").select("key", "head")
-    later = windows.join(heads, "key").where(order != F.col("head")).select("doc_id", "th", "first", "last")
+    heads = windows.groupBy("key").agg(F.min(order).alias("head"), F.max(order).alias("tail"), F.count("*").alias("n")).where("head <> tail").select("key", "head", "n")
+    later = join_counted(windows, work.keep(heads, "heads"), "key", windows.count()).where(order != F.col("head")).select("doc_id", "th", "first", "last")
     spans = work.keep(later, "spans").groupBy(F.col("doc_id").alias("id"), "th").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    joined = base.join(spans, ["id", "th"], "left").select("row", "spans.first", "spans.last")
-    names, at = docs.columns, docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = batch.column(0).flatten()
-            rows = [_cut(t.as_py(), list(zip(a.as_py() or (), b.as_py() or ()))) for t, a, b in zip(columns[at].cast(pa.string()), batch.column(1), batch.column(2))]
-            columns[at] = pa.array([r[0] for r in rows], pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32())], names=[*names, "n_lines", "n_removed"])
-
-    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType) for f in docs.schema.fields] + [T.StructField("n_lines", T.IntegerType()), T.StructField("n_removed", T.IntegerType())])
-    return joined.mapInArrow(run, schema)
+    work.drop("windows", "heads")
+    # The lines of few documents are looked up for many: no side is sorted, and the texts stay in the JVM.
+    joined = base.join(spans.hint("shuffle_hash"), ["id", "th"], "left")
+    lines = F.split(F.col("row.text").cast("string"), F.lit("\n"), -1)
+    covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"]))))
+    joined = joined.select("row", F.when(F.col("row.text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"), covered.alias("gone"))
+    left = F.array_except(F.sequence(F.lit(0), F.col("n_lines") - 1), "gone")
+    cut = F.when(F.col("gone").isNull(), F.col("row.text").cast("string")).otherwise(F.array_join(_taken(lines, left), "\n"))
+    removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("int")
+    return joined.select(*(cut.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns), F.col("n_lines").cast("int").alias("n_lines"), removed.alias("n_removed"))
+
+
+def _taken(values: Column, places: Column) -> Column:
+    """The values at the places, with the array of values made once."""
+    return F.transform(F.array(values), lambda v: F.transform(places, lambda i: F.get(v, i)))[0]

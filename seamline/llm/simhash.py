@@ -15,14 +15,18 @@ from itertools import combinations, islice, repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from seamline.llm.rolling import mix
 from seamline.operators.components import LINKS, connected_components, forest
+from seamline.operators.skew import join_counted
 from seamline.workspace import Workspace
 
 BITS = 64
-#: A value of a part held by so many fingerprints, or by a thousandth of them if that is more, is noted as heavy.
+#: Members of a bucket, and rows that probe it, that meet in one cell. A value of a part held by so many fingerprints, or by a thousandth of them if that is more, is noted as heavy when thresholds are priced.
 HEAVY = 8192
+#: Rows for the buckets sent at once.
+ROWS = 1 << 18
 #: What a row in a bucket costs, in pairs verified: it is made, dealt out and sorted.
 ROW_COST = 40.0
 #: Pairs verified at once.
@@ -232,14 +236,11 @@ def _heavy_values(fps: DataFrame, parts: list[list[int]], n: int) -> list[dict[i
     return out
 
 
-ENTRIES = "part int, value long, cell int, fp long, kind byte"
+ENTRIES = "part int, value long, fp long, kind byte"
 
 
 def _entries(fps: DataFrame, thresholds: Thresholds) -> DataFrame:
-    """Rows for the buckets: each fingerprint is a member of its value's bucket in each part (kind 1) and probes the values within its threshold (kind 2; both: 3).
-
-    A heavy value's bucket is a grid of cells: members lie along one axis, those that probe along the other.
-    """
+    """Rows for the buckets: each fingerprint is a member of its value's bucket in each part (kind 1) and probes the values within its threshold (kind 2; both: 3)."""
     parts = thresholds.parts
 
     def run(batches):
@@ -249,79 +250,94 @@ def _entries(fps: DataFrame, thresholds: Thresholds) -> DataFrame:
                 values = [part_values(fp, p) for p in parts]
                 units = thresholds.choose(values)
                 for k, part in enumerate(parts):
-                    rows = [(values[k], fp, np.where(units[k] > 0, 3, 1).astype(np.int8))]
+                    held, n = [(values[k], fp, np.where(units[k] > 0, 3, 1).astype(np.int8))], len(fp)
+
+                    def out():
+                        value, owner, kind = (np.concatenate(x) for x in zip(*held))
+                        return pa.RecordBatch.from_arrays([pa.array(np.full(len(value), k, np.int32)), pa.array(value.view(np.int64)), pa.array(owner.view(np.int64)), pa.array(kind)], names=["part", "value", "fp", "kind"])
+
                     for e in range(1, int(units[k].max(initial=0))):
                         far = units[k] > e
+                        v, f, two = values[k][far], fp[far], np.full(int(far.sum()), 2, np.int8)
                         for bits in combinations(range(len(part)), e):
-                            flip = np.uint64(sum(1 << b for b in bits))
-                            rows.append((values[k][far] ^ flip, fp[far], np.full(int(far.sum()), 2, np.int8)))
-                    value, owner, kind = (np.concatenate(x) for x in zip(*rows))
-                    cell = np.zeros(len(value), np.int32)
-                    if len(hv := thresholds.heavy_values[k]):
-                        at = np.clip(np.searchsorted(hv, value), 0, len(hv) - 1)
-                        side = np.where(hv[at] == value, -(-thresholds.heavy_counts[k][at] // HEAVY), 1).astype(np.int64)
-                        mine = ((owner * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % side
-                        split = np.flatnonzero(side > 1)
-                        more = [(value[split[:0]], owner[split[:0]], kind[split[:0]], cell[split[:0]])]
-                        for i in split:
-                            s, c = int(side[i]), int(mine[i])
-                            for bit, cells in ((1, [c * s + x for x in range(s)]), (2, [x * s + c for x in range(s)])):
-                                if kind[i] & bit:
-                                    more.append((np.full(s, value[i]), np.full(s, owner[i]), np.full(s, bit, np.int8), np.array(cells, np.int32)))
-                        whole = side == 1
-                        value, owner, kind, cell = (np.concatenate(x) for x in zip((value[whole], owner[whole], kind[whole], cell[whole]), *more))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), k, np.int32)), pa.array(value.view(np.int64)), pa.array(cell), pa.array(owner.view(np.int64)), pa.array(kind)], names=["part", "value", "cell", "fp", "kind"])
+                            held.append((v ^ np.uint64(sum(1 << b for b in bits)), f, two))
+                            n += len(f)
+                            if n > ROWS:
+                                yield out()
+                                held, n = [], 0
+                    if held:
+                        yield out()
 
     return fps.select("fp").mapInArrow(run, ENTRIES)
 
 
+def _dealt(entries: DataFrame, work: Workspace) -> DataFrame:
+    """entries with the cell of their bucket. A bucket of more than HEAVY members or probing rows is a grid: members lie along one axis, those that probe along the other,
+    so a cell has about HEAVY of each at most, however many rows share a value."""
+    member, probe = F.col("kind").bitwiseAND(1) > 0, F.col("kind").bitwiseAND(2) > 0
+    sizes = entries.groupBy("part", "value").agg(F.count_if(member).alias("members"), F.count_if(probe).alias("probes")).where(f"members > 0 and greatest(members, probes) > {HEAVY}")
+    grids = work.keep(sizes.select("part", "value", *(F.greatest(F.lit(1), F.ceil(F.col(c) / HEAVY)).cast("int").alias(a) for a, c in (("m", "members"), ("p", "probes")))), "grids")
+    whole = entries.withColumn("cell", F.lit(0))
+    if not grids.limit(1).collect():
+        return whole
+    split = entries.join(grids, ["part", "value"])  # Spark broadcasts the table of grids if it is small, and splits a key that isn't
+    own = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
+    place = lambda kind, at: F.struct(F.lit(kind).cast("byte").alias("kind"), at.cast("int").alias("cell"))
+    none = F.array().cast("array<struct<kind:tinyint,cell:int>>")
+    along = F.when(member, F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda x: place(1, own("m") * F.col("p") + x))).otherwise(none)
+    across = F.when(probe, F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda x: place(2, x * F.col("p") + own("p")))).otherwise(none)
+    cells = split.select("part", "value", "fp", F.explode(F.concat(along, across)).alias("x")).select("part", "value", "fp", "x.kind", "x.cell")
+    return entries.join(grids, ["part", "value"], "left_anti").withColumn("cell", F.lit(0)).unionByName(cells)
+
+
 def _verified(distance: int):
-    """Links of the buckets that come sorted by bucket and fingerprint: each probing row against the bucket's members before it."""
+    """Links of the buckets that come sorted by bucket and fingerprint: each probing row against the bucket's members before it, of which only those are held."""
 
     def links(key: np.ndarray, fp: np.ndarray, kind: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         first = np.repeat(new, np.diff(np.append(new, len(key))))
+        members = np.flatnonzero((kind & 1) > 0)
+        before = np.concatenate([[0], np.cumsum((kind & 1) > 0)])  # members before each row
         probing = np.flatnonzero((kind & 2) > 0)
-        counts = probing - first[probing]
+        start = before[first[probing]]
+        counts = before[probing] - start
+        busy = counts > 0
+        probing, start, counts = probing[busy], start[busy], counts[busy]
         ends = np.cumsum(counts)
         lo = 0
         while lo < len(probing):
             hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, "right")))
             n = counts[lo:hi]
             j = np.repeat(probing[lo:hi], n)
-            i = np.repeat(first[probing[lo:hi]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            near = (np.bitwise_count(fp[i] ^ fp[j]) <= distance) & (fp[i] != fp[j]) & ((kind[i] & 1) > 0)
+            i = members[np.repeat(start[lo:hi], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            near = (np.bitwise_count(fp[i] ^ fp[j]) <= distance) & (fp[i] != fp[j])
             if near.any():
                 yield forest(fp[i[near]].view(np.int64), fp[j[near]].view(np.int64))
             lo = hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int8)]
-
-        def out(parts):
-            for a, b in parts:
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
+        open_key, open_fp = np.zeros(0, np.uint64), np.zeros(0, np.uint64)  # the members of a bucket that may go on
         for batch in batches:
             part, value, cell, fp, kind = (np.asarray(batch.column(i)) for i in range(5))
-            key = value.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + cell.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
-            held = [np.concatenate(x) for x in zip(held, (key, fp.astype(np.int64).view(np.uint64), kind))]
-            other = np.flatnonzero(held[0] != held[0][-1]) if len(held[0]) else np.zeros(0, np.int64)
-            last = int(other[-1]) + 1 if len(other) else 0  # the last bucket may go on in the next batch
-            yield from out(links(*(x[:last] for x in held)))
-            held = [x[last:] for x in held]
-        yield from out(links(*held))
+            with np.errstate(over="ignore"):
+                key = value.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + cell.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+            key, fp, kind = np.concatenate([open_key, key]), np.concatenate([open_fp, fp.astype(np.int64).view(np.uint64)]), np.concatenate([np.ones(len(open_key), np.int8), kind])
+            for a, b in links(key, fp, kind):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            last = (key == key[-1:]) & ((kind & 1) > 0) if len(key) else np.zeros(0, bool)
+            open_key, open_fp = key[last], fp[last]
 
     return run
 
 
 def near_links(fps: DataFrame, distance: int) -> DataFrame:
     """Links a, b that join the same fingerprints as all pairs within the distance do. fps: a table of distinct fingerprints fp."""
+    work = Workspace(fps.sparkSession, "near")
     n = fps.count()
     parts = correlated_parts(_pair_counts(fps), n, choose_parts(n, distance))
     thresholds = Thresholds(parts, _byte_counts(fps, parts), n, _heavy_values(fps, parts, n), distance)
-    entries = _entries(fps, thresholds)  # carries the tables: byte counts and at most a thousand heavy values for each part
-    bucketed = entries.repartition("part", "value", "cell").sortWithinPartitions("part", "value", "cell", "fp")
+    entries = work.keep(_entries(fps, thresholds), "entries")  # carries the tables: byte counts and at most a thousand heavy values for each part
+    bucketed = _dealt(entries, work).select("part", "value", "cell", "fp", "kind").repartition("part", "value", "cell").sortWithinPartitions("part", "value", "cell", "fp")
     return bucketed.mapInArrow(_verified(distance), LINKS)
 
 
@@ -334,7 +350,7 @@ def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3) -> Dat
     work = Workspace(docs.sparkSession, "simhash")
     marked = work.keep(fingerprints(docs, shingle), "fingerprints")
     nodes = work.keep(marked.groupBy("fp").agg(F.min("doc_id").alias("root")), "nodes")
-    labels = work.keep(connected_components(near_links(nodes.select("fp"), distance)), "labels")
+    labels = work.keep(connected_components(near_links(nodes.select("fp"), distance), contracted=True), "labels")
     return marked.join(_named(nodes, labels, "fp"), "fp").select("doc_id", "fp", "component_id")
 
 
@@ -347,7 +363,7 @@ def _named(nodes: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     return named.join(roots, "label", "left").select(key, "label", F.coalesce("component", "root").alias("component_id"))
 
 
-#: Shingles that a side of a cell of texts to compare has, about.
+#: Shingles that a side of a cell of texts to compare has, about; a group with more is large.
 CELL = 1 << 19
 
 
@@ -420,9 +436,9 @@ def _alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return both >= least * (len(a) + len(b) - both)
 
 
-def _compare(fp: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, distance: int, least: float) -> list[tuple[int, int]]:
-    """A forest over the texts of a cell that joins what its pairs of similar texts join. Pairs already joined are not compared."""
-    root = np.arange(len(fp))
+def _compare(th: np.ndarray, fp: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, distance: int, least: float) -> list[tuple[int, int]]:
+    """A forest over the texts of a cell that joins what its pairs of similar texts join. Pairs already joined are not compared; a text may stand on both sides."""
+    root = np.unique(th, return_inverse=True)[1]
     out = []
     for u in rows.tolist():
         near = columns[root[columns] != root[u]]
@@ -436,71 +452,132 @@ def _compare(fp: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], rows: np
     return out
 
 
-def _similar(groups: DataFrame, distance: int, least: float) -> DataFrame:
-    """Links a, b of texts (group, th, fp, bands, shingles, n) of one group that are within the distance or share a band, and are similar.
+#: Texts of a large group that all others are compared with first.
+LEADERS = 3
+CELLS = ("group", "a", "b")
 
-    A group with many shingles is a grid: each text goes to one cell for each part of its group, and every pair meets in one cell.
-    """
-    size = groups.groupBy("group").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / CELL)).cast("int").alias("side"))
-    rows = groups.join(size, "group").withColumn("own", F.pmod("th", "side").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("side") - 1)))
-    cells = rows.select("group", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "th", "fp", "bands", "shingles")
+
+def _cells(rows: DataFrame, distance: int, least: float) -> DataFrame:
+    """Links a, b of similar texts that share a signature and meet in a cell (group, a, b): those with side 0 or 2 against those with side 1 or 2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def out() -> Iterator[pa.RecordBatch]:
             if len(held) > 1:
-                own, th, fp, bands, data = zip(*held)
-                side, fp = np.array(own), np.array(fp, np.int64).view(np.uint64)
+                side, th, fp, bands, data = zip(*held)
+                side, th, fp = np.array(side), np.array(th, np.int64), np.array(fp, np.int64).view(np.uint64)
                 bands = np.frombuffer(b"".join(bands), np.uint32).reshape(len(held), -1)
-                sets = [np.frombuffer(x, np.uint64) for x in data]
-                at = np.arange(len(held))
-                links = _compare(fp, bands, sets, at[side == now[1]], at[side == now[2]], distance, least)
+                links = _compare(th, fp, bands, [np.frombuffer(x, np.uint64) for x in data], np.flatnonzero(side != 1), np.flatnonzero(side != 0), distance, least)
                 if links:
-                    a, b = zip(*((th[x], th[y]) for x, y in links))
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    a, b = np.array(links).T
+                    yield pa.RecordBatch.from_arrays([pa.array(th[a]), pa.array(th[b])], names=["a", "b"])
 
         for batch in batches:
-            for g, a, b, own, th, fp, bands, data in zip(*(c.to_pylist() for c in batch.columns)):
+            for g, a, b, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if (g, a, b) != now:
                     yield from out()
                     now, held = (g, a, b), []
-                held.append((own, th, fp, bands, data))
+                held.append(row)
         yield from out()
 
-    return cells.repartition("group", "a", "b").sortWithinPartitions("group", "a", "b").mapInArrow(run, LINKS)
+    return rows.select(*CELLS, "side", "th", "fp", "bands", "shingles").repartition(*CELLS).sortWithinPartitions(*CELLS).mapInArrow(run, LINKS)
+
+
+def _led(rows: DataFrame, least: float) -> DataFrame:
+    """group, th, lead for each text of rows (group, th, shingles, parts): a leader of its group that it is joined with, null if there is none.
+
+    The leaders of a group, LEADERS texts with the least hashes, go to each of the group's parts; of those that join each other the first stands for all.
+    """
+    nth = F.row_number().over(Window.partitionBy("group").orderBy(F.xxhash64("th"), "th"))
+    first = rows.select("group", "th").withColumn("nth", nth).where(F.col("nth") <= LEADERS)
+    lead = rows.join(first.select("th", "nth"), "th")
+    lead = lead.select("group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "nth", "th", "shingles")
+    members = rows.select("group", F.pmod(F.xxhash64("th", F.lit(1)), "parts").cast("int").alias("part"), F.lit(LEADERS + 1).alias("nth"), "th", "shingles")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, heads = None, []
+        for batch in batches:
+            out = []
+            for g, part, nth, th, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if (g, part) != now:
+                    now, heads = (g, part), []
+                own = np.frombuffer(data, np.uint64)
+                if nth <= LEADERS:
+                    heads.append((own, next((x for s, x in heads if _alike(own, s, least)), th)))
+                else:
+                    out.append((g, th, next((x for s, x in heads if _alike(own, s, least)), None)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["group", "th", "lead"])
+
+    keys = ("group", "part")
+    return lead.unionByName(members).repartition(*keys).sortWithinPartitions(*keys, "nth").mapInArrow(run, "group long, th long, lead long")
+
+
+def _similar(sets: DataFrame, distance: int, least: float, work: Workspace) -> DataFrame:
+    """Links a, b of texts (group, th, fp, bands, shingles, n) of one group that are within the distance or share a band, and are similar.
 
-def similar_documents(docs: DataFrame, least: float = 0.8, shingle: int = 5, distance: int = 8) -> DataFrame:
+    A group of few shingles is one cell. Of a large one each text is first compared with the group's leaders, which joins most copies of one text at once; the texts that
+    joined the largest part of the group need no comparison with each other, and only the rest meet all others, in a grid of cells.
+    """
+    sizes = sets.groupBy("group").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("parts"), F.count("*").alias("k")).where("parts > 1")
+    large = work.keep(sizes, "large")
+    few = sets.join(large, "group", "left_anti").withColumns({"a": F.lit(0), "b": F.lit(0), "side": F.lit(2)})
+    links = _cells(few, distance, least)
+    if not large.limit(1).collect():
+        return links
+    total = sets.count()
+    rows = work.keep(join_counted(sets, large, "group", total, "k"), "large_rows")
+    found = work.keep(_led(rows, least), "led")
+    joined = found.where("lead is not null").groupBy("group", "lead").agg(F.count("*").alias("c"))
+    main = joined.groupBy("group").agg(F.max(F.struct("c", "lead")).alias("m")).select("group", F.col("m.lead").alias("main"))
+    named = work.keep(large.join(main, "group"), "main")  # each leader joins itself
+    rest = work.keep(join_counted(found, named, "group", total, "k").where("lead is null or lead <> main").select("th"), "rest")
+    others = rows.join(rest, "th", "left_semi")
+    open_ = work.keep(others.groupBy("group").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / CELL)).cast("int").alias("rest_parts")).join(large, "group").select("group", "rest_parts", "k"), "open")
+    part = lambda seed, n: F.pmod(F.xxhash64("th", F.lit(seed)), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    grid = join_counted(rows, open_, "group", total, "k")
+    left = grid.join(rest, "th", "left_semi").withColumns({"a": part(2, "rest_parts"), "b": every("parts"), "side": F.lit(0)})
+    right = grid.withColumns({"b": part(3, "parts"), "a": every("rest_parts"), "side": F.lit(1)})
+    led = found.where("lead <> th").select(F.col("th").alias("a"), F.col("lead").alias("b"))
+    return links.union(led).union(_cells(left.unionByName(right), distance, least))
+
+
+def similar_documents(docs: DataFrame, least: float = 0.8, shingle: int = 5, distance: int = 3) -> DataFrame:
     """doc_id, th (hash of the text), label, component_id for each row of docs (doc_id, text): documents joined by Jaccard similarity of `least` or more of their distinct
     word shingles (A-Z in lower case). The label is the least text hash of a component, and names those without any doc_id too.
 
     Candidates are groups joined by either of two signatures: SimHash over distinct single words, at `distance` bits or fewer, and bands of the least hashes of the shingles, which
-    a pair of the similarity shares however its edits lie (all but MISSED of the pairs at `least` itself, fewer above). In a group each pair that shares a signature is compared
-    exactly, unless other pairs join it already. The README has the recall for each kind of edit.
+    a pair of the similarity shares however its edits lie (all but MISSED of the pairs at `least` itself, fewer above). In a group pairs that share a signature are compared
+    exactly, unless other pairs join them already. The README has the recall for each kind of edit.
     Texts without words are similar to each other. Nulls, repeated rows and other columns are as in near_duplicates().
     """
     work = Workspace(docs.sparkSession, "similar")
     bands = band_count(least)
     marked = work.keep(_signatures(docs, shingle, bands), "fingerprints")
     texts = work.keep(marked.groupBy("th", "fp").agg(F.min("doc_id").alias("root"), F.first("bands").alias("bands")), "texts")
-    fps = work.keep(texts.select("fp").distinct(), "fps")
-    groups = work.keep(connected_components(near_links(fps, distance).union(_band_links(texts))), "groups")
-    grouped = texts.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("th", "fp", F.coalesce("label", "fp").alias("group"))
-    many = grouped.groupBy("group").agg(F.count("*").alias("k")).where("k > 1").select("group")
-    picked = work.keep(grouped.join(many, "group"), "candidates")
+    fps = work.keep(texts.groupBy("fp").agg(F.count("*").alias("n")), "fps")
+    groups = work.keep(connected_components(near_links(fps.select("fp"), distance).union(_band_links(texts)), contracted=True), "groups")
+    grouped = work.keep(fps.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", F.coalesce("label", "fp").alias("group")), "grouped")
+    many = work.keep(grouped.groupBy("group").agg(F.sum("n").alias("texts"), F.count("*").alias("k")).where("texts > 1").select("group", "k"), "many")
+    named = work.keep(join_counted(grouped, many, "group", grouped.count(), "k"), "named")
+    picked = work.keep(join_counted(texts.select("th", "fp"), named, "fp", texts.count()), "candidates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [_shingle_hashes(t.as_py(), shingle) for t in batch.column(3)]
-            # A band is cut to 32 bits: a chance match costs a comparison.
-            keys = [(minhash_bands(x, bands) if len(x) else np.zeros(bands, np.uint64)).astype(np.uint32).tobytes() for x in sets]
-            data = [pa.array(keys, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([len(x) + 1 for x in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *data], names=["group", "th", "fp", "bands", "shingles", "n"])
+            for lo in range(0, len(batch), 1000):
+                part = batch.slice(lo, 1000)
+                sets = [_shingle_hashes(t.as_py(), shingle) for t in part.column(3)]
+                # A band is cut to 32 bits: a chance match costs a comparison.
+                keys = [(minhash_bands(x, bands) if len(x) else np.zeros(bands, np.uint64)).astype(np.uint32).tobytes() for x in sets]
+                data = [pa.array(keys, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([len(x) + 1 for x in sets], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *data], names=["group", "th", "fp", "bands", "shingles", "n"])
 
     # One row for each text that has a candidate, however many copies there are.
-    one = _hashed(docs).join(picked, "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
+    one = _hashed(docs).join(picked.select("th").hint("shuffle_hash"), "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
     sets = one.join(picked, "th").select("group", "th", "fp", "text").mapInArrow(run, "group long, th long, fp long, bands binary, shingles binary, n long")
-    labels = work.keep(connected_components(_similar(work.keep(sets, "sets"), distance, least)), "labels")
+    labels = work.keep(connected_components(_similar(work.keep(sets, "sets"), distance, least, work), contracted=True), "labels")
+    work.drop("fps", "groups", "grouped", "many", "named", "candidates", "sets")
     nodes = texts.select("th", "root")
     return marked.select("doc_id", "th").join(_named(nodes, labels, "th"), "th").select("doc_id", "th", "label", "component_id")
