@@ -66,26 +66,33 @@ def _one_level(links: list[dict[int, float]], inner: list[float], resolution: fl
 
 def merge_small(part: dict, i: np.ndarray, j: np.ndarray, v: np.ndarray, least: int = 3) -> dict:
     """Nodes of clusters below `least` move to the neighbour cluster they are tied to most (then the smaller one), one at a time."""
+    import heapq
+
     part, links = dict(part), {}
     for a, b, w in zip(i, j, v):
         links.setdefault(a, []).append((b, w))
         links.setdefault(b, []).append((a, w))
-    stuck = set()
-    while True:
-        members: dict = {}
-        for n, c in part.items():
-            members.setdefault(c, []).append(n)
-        small = [n for c in sorted(members) if len(members[c]) < least for n in sorted(members[c]) if n not in stuck]
-        if not small:
-            return part
-        node = small[0]
+    members: dict = {}
+    for n, c in part.items():
+        members.setdefault(c, set()).add(n)
+    heap = [(c, n) for c, own in members.items() if len(own) < least for n in own]
+    heapq.heapify(heap)
+    moved = set()  # each node moves once
+    while heap:
+        c, node = heapq.heappop(heap)
+        if node in moved or part[node] != c or len(members[c]) >= least:
+            continue
+        moved.add(node)
         tie: dict = {}
         for b, w in links.get(node, ()):
-            if part[b] != part[node]:
+            if part[b] != c:
                 tie[part[b]] = tie.get(part[b], 0.0) + w
         if tie:
-            part[node] = min(tie, key=lambda c: (-tie[c], c))
-        stuck.add(node)  # each node moves once
+            to = min(tie, key=lambda x: (-tie[x], x))
+            part[node] = to
+            members[c].discard(node)
+            members[to].add(node)
+    return part
 
 
 def swept(edges: DataFrame, resolutions: list[float], least: int = 0) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from seamline.functions.text import leaf_package
+from seamline.operators import ranges
 
 
 def degrees(sim: DataFrame) -> DataFrame:
@@ -30,7 +31,7 @@ def cluster_links(sim: DataFrame, part: DataFrame) -> DataFrame:
 
 def cap_sweep(sim: DataFrame, caps: list[float], quantile: float = 0.7) -> DataFrame:
     """cap, tau, edges, share: for each cap, the edge threshold min(quantile of positive values, cap) and what is above it. The grid is unrolled beside one row of counts a value."""
-    tau = sim.where("v > 0").agg(F.percentile("v", F.lit(quantile)).alias("q"))
+    tau = ranges.quantiles(sim.where("v > 0"), [quantile]).select(F.col("q")[0].alias("q"))
     grid = tau.select("q", F.explode(F.array(*(F.lit(float(c)) for c in caps))).alias("cap")).select("cap", F.least("q", "cap").alias("tau"))
     x = sim.join(F.broadcast(grid))  # one row for each cap
     return x.groupBy("cap", "tau").agg(F.count_if(F.col("v") > F.col("tau")).alias("edges"), F.avg((F.col("v") > F.col("tau")).cast("double")).alias("share"))
@@ -38,7 +39,7 @@ def cap_sweep(sim: DataFrame, caps: list[float], quantile: float = 0.7) -> DataF
 
 def adaptive_k(u: DataFrame) -> DataFrame:
     """One row k: ln 2 over the median uncertainty of all pairs, so that the median pair is damped to a half; null for a median of zero."""
-    m = u.agg(F.percentile("v", F.lit(0.5)).alias("m"))
+    m = ranges.quantiles(u, [0.5]).select(F.col("q")[0].alias("m"))
     return m.select(F.when(F.col("m") > 0, F.log(F.lit(2.0)) / F.col("m")).alias("k"))
 
 

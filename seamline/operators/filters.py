@@ -5,10 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from seamline.functions import words
 from seamline.functions.text import library_prefix, package, simple_name
+from seamline.operators import ranges
 
 
 def any_of(tests: list[Column]) -> Column:
@@ -69,7 +69,7 @@ def candidates(names: DataFrame, semantic: DataFrame, base: str) -> DataFrame:
 def covered(flags: DataFrame) -> DataFrame:
     """n, pos: names with text and a call or an import, by code point. flags: n, has_callgraph, has_dependency, has_semantic."""
     good = flags.where("has_semantic and (has_callgraph or has_dependency)").select("n").distinct()
-    return good.select("n", (F.row_number().over(Window.orderBy("n")) - 1).alias("pos"))  # a table of names; one row each
+    return ranges.ranked(good, [F.col("n")], "pos").withColumn("pos", F.col("pos").cast("int"))
 
 
 def without_plumbing(names: DataFrame, mode: str = "substring") -> DataFrame:

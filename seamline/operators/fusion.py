@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from seamline.functions import math
+from seamline.operators import ranges
 
 
 def fuse(parts: list[tuple[DataFrame, float]], renormalise: bool = True) -> DataFrame:
@@ -38,10 +39,10 @@ def median_full(u: DataFrame, n: int) -> DataFrame:
 
 
 def _median_from(u: DataFrame, counted: DataFrame, pairs: int, cells: int, n: int) -> DataFrame:
-    # Values with their weights: percentile takes a frequency, so no cell is made.
+    # Values with their weights, so no cell is made.
     zeros = counted.select(F.lit(0.0).alias("v"), (F.lit(n) + 2 * (F.lit(pairs) - F.col("k"))).cast("long").alias("w"))
     weighted = u.select("v", F.lit(2).cast("long").alias("w")).union(zeros).where("w > 0")
-    return weighted.agg(F.percentile("v", F.lit(0.5), F.col("w")).alias("m"))
+    return ranges.quantiles(weighted, [0.5], weight=F.col("w")).select(F.col("q")[0].alias("m"))
 
 
 def damped(sim: DataFrame, u: DataFrame, n: int, mode: str, k: float = 2.0, power: float = 2.0, alpha: float = 15.0) -> DataFrame:
@@ -57,7 +58,7 @@ def edge_threshold(sim: DataFrame, quantile: float = 0.7, cap: float = 0.02, dia
     cells = sim.where("v > 0").select("v", F.lit(2).cast("long").alias("w"))
     if diagonal:
         cells = cells.union(sim.sparkSession.range(1).select(F.lit(1.0).alias("v"), F.lit(diagonal).cast("long").alias("w")))
-    return cells.agg(F.least(F.percentile("v", F.lit(quantile), F.col("w")), F.lit(cap)).alias("tau"))
+    return ranges.quantiles(cells, [quantile], weight=F.col("w")).select(F.least(F.col("q")[0], F.lit(cap)).alias("tau"))
 
 
 def suppressed(sim: DataFrame, damped_sim: DataFrame, strong: float = 0.1, left: float = 0.7) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from seamline.functions.math import clip, sigmoid
+from seamline.operators import ranges
 from seamline.workspace import Workspace
 
 
@@ -32,7 +33,7 @@ def quantile_ranks(sim: DataFrame) -> DataFrame:
 
 def robust(sim: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """v scaled between two quantiles and clipped."""
-    stats = sim.agg(F.percentile("v", F.lit(low)).alias("a"), F.percentile("v", F.lit(high)).alias("b"))
+    stats = ranges.quantiles(sim, [low, high]).select(F.col("q")[0].alias("a"), F.col("q")[1].alias("b"))
     scaled = F.when(F.col("b") - F.col("a") < 1e-12, F.lit(0.0)).otherwise(clip((F.col("v") - F.col("a")) / (F.col("b") - F.col("a"))))
     return sim.join(F.broadcast(stats)).select("i", "j", scaled.alias("v"))  # one row
 
@@ -72,8 +73,9 @@ def refine(full: DataFrame, target_mean: float = 0.5, top_k: int = 0) -> DataFra
 
 def summary(sim: DataFrame) -> DataFrame:
     """One row: count, mean, population deviation, quantiles and shares of large values."""
-    q = F.percentile("v", F.array(*(F.lit(x) for x in (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0))))
-    row = sim.agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), q.alias("q"), *(F.avg((F.col("v") >= c).cast("double")).alias(f"share_{int(c * 100)}") for c in (0.5, 0.8, 0.9)))
+    q = ranges.quantiles(sim, [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0])
+    row = sim.agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), *(F.avg((F.col("v") >= c).cast("double")).alias(f"share_{int(c * 100)}") for c in (0.5, 0.8, 0.9)))
+    row = row.join(F.broadcast(q))  # one row each
     return row.select("n", "mean", "sd", *(F.col("q")[i].alias(name) for i, name in enumerate(("q0", "q5", "q25", "q50", "q75", "q95", "q100"))), "share_50", "share_80", "share_90")
 
 

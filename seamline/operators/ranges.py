@@ -27,3 +27,21 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> Data
 def ranked(df: DataFrame, order: list[Column], name: str = "nth") -> DataFrame:
     """df with each row's place in the order, from 0."""
     return running(df, order, {name: F.lit(1).cast("long")})
+
+
+def quantiles(df: DataFrame, shares: list[float], value: str = "v", weight: Column | None = None) -> DataFrame:
+    """One row q: the values at the shares of all rows (an array), between two values by linear interpolation; null for no rows.
+
+    A row counts `weight` times. Equal values are one row before anything is ordered, and places come from running sums over ranges of values, so no task holds all of them.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.sum(F.lit(1) if weight is None else weight).cast("long").alias("w")).where("w > 0")
+    placed = running(counted, [F.col("v")], {"before": F.col("w")})
+    total = counted.agg(F.sum("w").alias("total"))  # one row
+    at = lambda place: F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("w")), F.col("v")))
+    out = []
+    for q in shares:
+        place = F.lit(float(q)) * (F.col("total") - 1)
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        part = F.max(place - F.floor(place))
+        out.append(low + (high - low) * part)
+    return placed.join(F.broadcast(total)).agg(F.array(*out).alias("q"))

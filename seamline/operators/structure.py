@@ -59,11 +59,17 @@ def longest_prefix(paths: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def bridges(uses: DataFrame, cap: int = 2000) -> DataFrame:
-    """i, j, n: nodes that share entities (n, entity), at most `cap` pairs for each entity, in order."""
-    a = uses.distinct()
-    both = a.select("entity", F.col("n").alias("i")).join(a.select("entity", F.col("n").alias("j")), "entity").where("i < j")
-    nth = F.row_number().over(Window.partitionBy("entity").orderBy("i", "j"))
-    return both.withColumn("_k", nth).where(F.col("_k") <= cap).groupBy("i", "j").agg(F.count("*").alias("n"))
+    """i, j, n: nodes that share entities (n, entity), at most `cap` pairs for each entity, in order.
+
+    A pair's place in that order follows from the places of its two nodes, so a popular entity is cut before its nodes meet: about `cap` pairs of it are made.
+    """
+    nth = F.row_number().over(Window.partitionBy("entity").orderBy("n"))
+    near = uses.select("n", "entity").distinct().withColumn("k", nth).where(F.col("k") <= cap + 1).withColumn("m", F.count("*").over(Window.partitionBy("entity")))
+    # Pairs of the nodes before the kth: m - 1 of the first, m - 2 of the second ...
+    left = near.withColumn("before", (F.col("k") - 1) * (2 * F.col("m") - F.col("k")) / 2).where(F.col("before") < cap).select("entity", F.col("n").alias("i"), F.col("k").alias("a"), "before")
+    right = near.select("entity", F.col("n").alias("j"), F.col("k").alias("b"))
+    both = left.join(right, "entity").where((F.col("a") < F.col("b")) & (F.col("before") + F.col("b") - F.col("a") <= cap))
+    return both.groupBy("i", "j").agg(F.count("*").alias("n"))
 
 
 def boost(sim: DataFrame, adjacent: DataFrame, factor: float) -> DataFrame:

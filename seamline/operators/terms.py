@@ -19,16 +19,23 @@ def document_frequency(docs: DataFrame, least_length: int = 3) -> DataFrame:
     return df.join(F.broadcast(n)).select("word", "df", (F.log((1.0 + F.col("total")) / (1.0 + F.col("df"))) + 1).alias("idf"))  # one row
 
 
-def distilled(docs: DataFrame, names: Column, least_idf: float = 1.35) -> DataFrame:
+def distilled(docs: DataFrame, names: Column, least_idf: float = 1.35, most: int = 20_000) -> DataFrame:
     """d, distilled: the name's words three times, then the text's words with an inverse frequency of at least least_idf, in order. docs: d, text.
 
-    Words and their places are rows, joined with the frequencies; frequent words, whose rows are many, are dropped before anything is gathered.
+    A word below the limit stands in a share exp(1 - least_idf) of all documents or more, so there are few such words whatever the corpus: they are known to each task and
+    filtered out where the text lies. Only if there are over `most` of them are words and their places joined with the frequencies.
     """
-    idf = document_frequency(docs.select("d", "text")).where(F.col("idf") >= least_idf).select("word")
+    idf = document_frequency(docs.select("d", "text"))
+    title = F.repeat(F.concat(names, F.lit(" ")), F.lit(3))
+    common = [r["word"] for r in idf.where(F.col("idf") < least_idf).select("word").limit(most + 1).collect()]
+    if len(common) <= most:
+        rare = lambda w: (F.length(w) >= 3) & ~w.isin(*STOPWORDS, *common)
+        return docs.select("d", F.trim(F.concat(title, F.coalesce(F.array_join(F.filter(ascii_words(F.col("text")), rare), " "), F.lit("")))).alias("distilled"))
+    idf = idf.where(F.col("idf") >= least_idf).select("word")
     words = docs.select("d", F.posexplode(ascii_words(F.col("text"))).alias("k", "word"))
     kept = words.join(idf, "word").groupBy("d").agg(F.array_sort(F.collect_list(F.struct("k", "word"))).alias("w"))
     body = F.array_join(F.transform("w", lambda x: x["word"]), " ")
-    return docs.select("d", names.alias("name")).join(kept, "d", "left").select("d", F.trim(F.concat(F.repeat(F.concat("name", F.lit(" ")), F.lit(3)), F.coalesce(body, F.lit("")))).alias("distilled"))
+    return docs.select("d", title.alias("title")).join(kept, "d", "left").select("d", F.trim(F.concat("title", F.coalesce(body, F.lit("")))).alias("distilled"))
 
 
 def keywords(bags: DataFrame, k: int = 12) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seamline.functions import text, words
 from seamline.operators import code, diagnose, filters, metrics, normalize, spans, terms
-from seamline.plans.queries import BRANDS, COSINES, STRUCT, TRUTH, UNCERTAINTY, brand_truth, half_cosines, kept, micros, query, rounded, sem, struct, table, uncertainty, user_events, vec_truth
+from seamline.plans.queries import BRANDS, COSINES, STRUCT, TRUTH, UNCERTAINTY, brand_truth, half_cosines, kept, micros, n_brands, query, rounded, sem, struct, table, uncertainty, user_events, vec_truth
 
 
 def names(spark, d):
@@ -85,9 +85,9 @@ def glue_classes(spark, d):
     return rounded(diagnose.degrees(struct(spark, d)))
 
 
-@query(f"WITH {STRUCT} SELECT 2 * count(*) AS edges, round(2 * count(*) / 600, 6) AS density, round(2 * count(*) / 625, 6) AS ratio FROM struct WHERE v > 0")
+@query(f"WITH {STRUCT} SELECT 2 * count(*) AS edges, round(2 * count(*) / max(n * n - n), 6) AS density, round(2 * count(*) / max(n * n), 6) AS ratio FROM struct, (SELECT count(DISTINCT p_brand) AS n FROM part) WHERE v > 0")
 def offdiag_density(spark, d):
-    return rounded(diagnose.density(struct(spark, d), 25))
+    return rounded(diagnose.density(struct(spark, d), n_brands(spark, d)))
 
 
 @query("SELECT event_type AS label, count(*) AS n FROM events GROUP BY ALL ORDER BY n DESC, label LIMIT 3")

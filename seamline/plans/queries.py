@@ -99,6 +99,10 @@ def full(spark, d):
     return pairs.mirrored(kept(spark, struct(spark, d), "struct")).union(diagonal)
 
 
+def n_brands(spark, d):
+    return brands(spark, d).count()
+
+
 def brand_no():
     return F.regexp_extract("n", "[0-9]+", 0).cast("int")
 
@@ -388,13 +392,12 @@ def span_rule_resolve(spark, d):
     return spans.resolve(values, spark.createDataFrame(rules, "field string, kind string, pattern string, node string"))
 
 
-@query(r"""SELECT a.n AS a, b.n AS b, len(string_split(a.n, '.')) + len(string_split(b.n, '.')) - 2 * (SELECT count(*) FROM generate_series(1, least(len(string_split(a.n, '.')), len(string_split(b.n, '.')))) g(k) WHERE string_split(a.n, '.')[1:k] = string_split(b.n, '.')[1:k]) AS dist
-FROM (SELECT DISTINCT p_brand || '.' || p_type || '.x' AS n FROM part) a JOIN (SELECT DISTINCT p_brand || '.' || p_type AS n FROM part) b ON true""")
+@query(rf"""WITH {ITEMS}, {jaccard_sql('struct', 'items')}, p AS (SELECT i AS a, j AS b, string_split(i[1:5] || '.' || i[7:7] || '.' || i[8:], '.') AS x, string_split(j[1:5] || '.' || j[7:7] || '.' || j[8:] || '.x', '.') AS y FROM struct_co)
+SELECT a, b, len(x) + len(y) - 2 * (SELECT count(*) FROM generate_series(1, least(len(x), len(y))) g(k) WHERE x[1:k] = y[1:k]) AS dist FROM p""")
 def package_distance(spark, d):
-    p = table(spark, d, "part").select("p_brand", "p_type").distinct()
-    a, b = p.select(F.concat_ws(".", "p_brand", "p_type", F.lit("x")).alias("a")), p.select(F.concat_ws(".", "p_brand", "p_type").alias("b"))
-    # The operator's own matrix is all pairs of names: a vocabulary, which doesn't grow with the orders.
-    return a.join(b).select("a", "b", math.package_distance(F.col("a"), F.col("b")).cast("long").alias("dist"))
+    """Of brands that meet in orders, as paths of their letters and digits."""
+    path = lambda c: F.concat_ws(".", F.substring(c, 1, 5), F.substring(c, 7, 1), F.substring(c, 8, 9))
+    return pairs.cooccurrence(order_items(spark, d)).select(F.col("i").alias("a"), F.col("j").alias("b"), math.package_distance(path("i"), F.concat(path("j"), F.lit(".x"))).cast("long").alias("dist"))
 
 
 # Normalisation and summaries.
@@ -491,8 +494,12 @@ def matrix_diff(spark, d):
 # Structure.
 
 
-EDGES = "ed AS (SELECT p_brand AS s, p_name AS t FROM part), dg AS (SELECT t, count(DISTINCT s) AS deg FROM ed GROUP BY t), lv AS (SELECT min(deg) AS level FROM (SELECT deg FROM dg ORDER BY deg DESC LIMIT 5)), hw AS (SELECT t, deg, ln(90.0 / (deg + 1)) / ln(90.0) AS idf, deg >= level AS is_hub FROM dg, lv)"
-N_NAMES = 89
+EDGES = "ed AS (SELECT p_brand AS s, p_name AS t FROM part), dg AS (SELECT t, count(DISTINCT s) AS deg FROM ed GROUP BY t), nn AS (SELECT count(*) AS nn FROM (SELECT s FROM ed UNION SELECT t FROM ed)), lv AS (SELECT min(deg) AS level FROM (SELECT deg FROM dg ORDER BY deg DESC LIMIT (SELECT greatest(1, ceil(0.05 * nn)) FROM nn))), hw AS (SELECT t, deg, ln((nn + 1.0) / (deg + 1)) / ln(nn + 1.0) AS idf, deg >= level AS is_hub FROM dg, lv, nn)"
+
+
+def n_names(spark, d):
+    e = name_edges(spark, d)
+    return e.select("source").union(e.select("target")).distinct().count()
 
 
 @query(f"WITH {EDGES} SELECT s AS source, t AS target, count(*) AS w FROM ed GROUP BY ALL")
@@ -502,25 +509,25 @@ def dep_counts(spark, d):
 
 @query(f"WITH {EDGES} SELECT t AS n, deg, round(idf, 6) + 0.0 AS idf, is_hub FROM hw")
 def degree_hubs(spark, d):
-    return rounded(structure.hub_weights(name_edges(spark, d), N_NAMES))
+    return rounded(structure.hub_weights(name_edges(spark, d), n_names(spark, d)))
 
 
 @query(f"WITH {EDGES} SELECT least(s, e.t) AS i, greatest(s, e.t) AS j, round(max(idf), 6) + 0.0 AS v FROM (SELECT DISTINCT * FROM ed) e JOIN hw USING (t) WHERE idf >= 0.12 AND NOT is_hub GROUP BY ALL")
 def hub_idf_edges(spark, d):
-    return rounded(structure.denoised(name_edges(spark, d), N_NAMES))
+    return rounded(structure.denoised(name_edges(spark, d), n_names(spark, d)))
 
 
-CALLS = "cc AS (SELECT c_nationkey AS s, s_nationkey AS t, count(*) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'R' AND l_quantity > 45 AND c_nationkey <> s_nationkey GROUP BY ALL)"
+CALLS = "cc AS (SELECT c_nationkey AS s, s_nationkey AS t, count(*) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL)"
 
 
 def calls(spark, d):
-    x = table(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity > 45").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    x = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     return x.select(F.col("c_nationkey").alias("source"), F.col("s_nationkey").alias("target"))
 
 
-@query(f"WITH {CALLS}, cr AS (SELECT t, count(*) AS callers FROM cc GROUP BY t) SELECT a.s AS source, a.t AS target, round(a.w * CASE WHEN b.s IS NULL THEN 1e0 ELSE 2e0 END * CASE WHEN callers >= 20 THEN 2e-1 ELSE 1e0 END, 6) AS w FROM cc a LEFT JOIN cc b ON a.s = b.t AND a.t = b.s JOIN cr ON cr.t = a.t")
+@query(f"WITH {CALLS}, cr AS (SELECT t, count(*) AS callers FROM cc GROUP BY t) SELECT a.s AS source, a.t AS target, round(a.w * CASE WHEN b.s IS NULL THEN 1e0 ELSE 2e0 END * CASE WHEN callers >= ceil(0.8 * (SELECT count(*) FROM nation)) THEN 2e-1 ELSE 1e0 END, 6) AS w FROM cc a LEFT JOIN cc b ON a.s = b.t AND a.t = b.s JOIN cr ON cr.t = a.t")
 def bidirectional_supernode(spark, d):
-    return rounded(structure.weighted_calls(calls(spark, d), 25, 0.8))
+    return rounded(structure.weighted_calls(calls(spark, d), table(spark, d, "nation").count(), 0.8))
 
 
 @query(f"WITH {CALLS} SELECT least(s, t) AS i, greatest(s, t) AS j, CAST(sum(w) AS BIGINT) AS w FROM cc GROUP BY ALL")
@@ -529,25 +536,15 @@ def call_pairs(spark, d):
 
 
 BRIDGES = """us AS (SELECT DISTINCT s_nationkey AS n, l_partkey AS e FROM lineitem JOIN supplier ON l_suppkey = s_suppkey), bp AS (SELECT a.e, a.n AS i, b.n AS j FROM us a JOIN us b ON a.e = b.e AND a.n < b.n),
-bk AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY i, j) AS k FROM bp), br AS (SELECT i, j, count(*) AS n FROM bk WHERE k <= 100 GROUP BY ALL)"""
+bk AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY i, j) AS k FROM bp), br AS (SELECT i, j, count(*) AS n FROM bk WHERE k <= 2000 GROUP BY ALL)"""
 
 
 def uses(spark, d):
     return table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").alias("n"), F.col("l_partkey").alias("entity"))
 
 
-def shared(spark, d):
-    return structure.bridges(uses(spark, d), 100)
-
-
 @query(f"WITH {BRIDGES} SELECT i, j, n FROM br")
 def entity_bridging(spark, d):
-    return shared(spark, d)
-
-
-@query()
-def entity_bridging_all(spark, d):
-    """With the operator's own cap, which 25 nations don't reach; the SQL of entity_bridging has a cap of 100."""
     return structure.bridges(uses(spark, d))
 
 
@@ -591,34 +588,34 @@ def modality_uncertainty(spark, d):
     return rounded(uncertainty(spark, d))
 
 
-DAMPED = f"""{UNCERTAINTY}, cells AS (SELECT v FROM u UNION ALL SELECT v FROM u UNION ALL SELECT 0 FROM generate_series(1, 625 - 2 * (SELECT count(*) FROM u))), md AS (SELECT quantile_cont(v, 0.5) AS m FROM cells),
+DAMPED = f"""{UNCERTAINTY}, cells AS (SELECT v FROM u UNION ALL SELECT v FROM u UNION ALL SELECT 0 FROM generate_series(1, (SELECT count(DISTINCT p_brand) * count(DISTINCT p_brand) FROM part) - 2 * (SELECT count(*) FROM u))), md AS (SELECT quantile_cont(v, 0.5) AS m FROM cells),
 b AS (SELECT s.i, s.j, s.v AS s, coalesce(u.v, 0) AS u, m FROM struct s LEFT JOIN u ON s.i = u.i AND s.j = u.j, md)"""
 
 
 @query(f"WITH {DAMPED} SELECT i, j, round(s * exp(-2 * u), 6) AS v FROM b")
 def uncertainty_exp(spark, d):
-    return rounded(fusion.damped(*certainty(spark, d), 25, "exp"))
+    return rounded(fusion.damped(*certainty(spark, d), n_brands(spark, d), "exp"))
 
 
 @query(f"WITH {DAMPED} SELECT i, j, round(CASE WHEN u >= m THEN s * pow(1 - u, 2) ELSE s * (1 - u) END, 6) + 0.0 AS v FROM b")
 def uncertainty_gate(spark, d):
-    return rounded(fusion.damped(*certainty(spark, d), 25, "gate"))
+    return rounded(fusion.damped(*certainty(spark, d), n_brands(spark, d), "gate"))
 
 
 @query(f"WITH {DAMPED} SELECT i, j, round(s * (1 - 1 / (1 + exp(-15 * (u - m)))), 6) AS v FROM b")
 def uncertainty_sigmoid(spark, d):
-    return rounded(fusion.damped(*certainty(spark, d), 25, "sigmoid"))
+    return rounded(fusion.damped(*certainty(spark, d), n_brands(spark, d), "sigmoid"))
 
 
-@query(f"WITH {STRUCT}, c AS (SELECT v FROM struct UNION ALL SELECT v FROM struct UNION ALL SELECT 1 FROM generate_series(1, 25)) SELECT round(least(quantile_cont(v, 0.7), 0.5), 6) AS tau FROM c WHERE v > 0")
+@query(f"WITH {STRUCT}, c AS (SELECT v FROM struct UNION ALL SELECT v FROM struct UNION ALL SELECT 1 FROM generate_series(1, (SELECT count(DISTINCT p_brand) FROM part))) SELECT round(least(quantile_cont(v, 0.7), 0.5), 6) AS tau FROM c WHERE v > 0")
 def dpep_threshold(spark, d):
-    return rounded(fusion.edge_threshold(struct(spark, d), 0.7, 0.5, 25))
+    return rounded(fusion.edge_threshold(struct(spark, d), 0.7, 0.5, n_brands(spark, d)))
 
 
 @query(f"WITH {DAMPED} SELECT count(*) FILTER (WHERE s > 0.1) AS strong, count(*) FILTER (WHERE s > 0.1 AND s * (1 - 1 / (1 + exp(-15 * (u - m)))) <= 0.7 * s) AS suppressed FROM b")
 def suppressed_edges(spark, d):
     s, u = certainty(spark, d)
-    return fusion.suppressed(s, fusion.damped(s, u, 25, "sigmoid"))
+    return fusion.suppressed(s, fusion.damped(s, u, n_brands(spark, d), "sigmoid"))
 
 
 @query(f"WITH {UNCERTAINTY}, {TRUTH} SELECT s.i, s.j, round(s.v, 6) AS v, round(u.v, 6) AS u FROM sem s JOIN u ON s.i = u.i AND s.j = u.j JOIN truth a ON a.n = s.i JOIN truth b ON b.n = s.j WHERE s.v > 0.5 AND u.v < 0.9 AND a.c <> b.c ORDER BY round(s.v, 9) DESC, round(u.v, 9), s.i, s.j LIMIT 10")
@@ -630,7 +627,7 @@ def boundary_pairs(spark, d):
 WHERE (x.c = y.c) <> (p.c = q.c) ORDER BY round(2 * (s - s * exp(-2 * u)) + s + 0.5 * u, 9) DESC, b.i, b.j LIMIT 10""")
 def case_edge(spark, d):
     s, u = certainty(spark, d)
-    return rounded(fusion.case_edges(s, fusion.damped(s, u, 25, "exp"), u, brand_truth(spark, d), brand_pred(spark, d)))
+    return rounded(fusion.case_edges(s, fusion.damped(s, u, n_brands(spark, d), "exp"), u, brand_truth(spark, d), brand_pred(spark, d)))
 
 
 # Clustering quality.
@@ -666,7 +663,7 @@ def ned(spark, d):
 
 
 @query(f"""WITH {NATIONS}, sz AS (SELECT c, count(*) AS n FROM cl GROUP BY c), fl AS (SELECT cs AS c, sum(CASE WHEN cs = ct THEN w ELSE 0 END) AS a, sum(CASE WHEN cs <> ct THEN w ELSE 0 END) AS b FROM x WHERE s <> t GROUP BY cs),
-y AS (SELECT CASE WHEN n > 1 THEN coalesce(a, 0) / (n * (n - 1)) ELSE 0 END AS coh, coalesce(b, 0) / (n * (25 - n)) AS cou FROM sz LEFT JOIN fl USING (c)) SELECT round(avg(coh), 6) AS cohesion, round(avg(cou), 6) AS coupling, round(avg(coh) - avg(cou), 6) AS sm FROM y""")
+y AS (SELECT CASE WHEN n > 1 THEN coalesce(a, 0) / (n * (n - 1)) ELSE 0 END AS coh, coalesce(b, 0) / (n * ((SELECT count(*) FROM nation) - n)) AS cou FROM sz LEFT JOIN fl USING (c)) SELECT round(avg(coh), 6) AS cohesion, round(avg(cou), 6) AS coupling, round(avg(coh) - avg(cou), 6) AS sm FROM y""")
 def structural_modularity(spark, d):
     return rounded(metrics.structural_modularity(nation_deps(spark, d), nation_part(spark, d)))
 
@@ -682,22 +679,15 @@ def graph_modularity(spark, d):
     return rounded(metrics.modularity(struct(spark, d), brand_truth(spark, d)))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, 10000000 + l_partkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity = 50 AND l_discount = 0.05),
-u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r(n, m) AS (SELECT DISTINCT a, a FROM u UNION SELECT u.b, r.m FROM r JOIN u ON u.a = r.n) SELECT n AS node, min(m) AS label FROM r GROUP BY n HAVING min(m) <> n""")
+#: The least node within 40 links, round by round; no component of the tables is as wide.
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, 10000000 + l_partkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e UNION ALL SELECT DISTINCT a, a FROM e UNION ALL SELECT DISTINCT b, b FROM e),
+r(k, n, m) AS (SELECT 0, a, a FROM u WHERE a = b UNION ALL SELECT r.k + 1, u.b, min(r.m) FROM r JOIN u ON u.a = r.n WHERE r.k < 40 GROUP BY r.k, u.b) SELECT n AS node, m AS label FROM r WHERE k = 40 AND m <> n""")
 def connected_components(spark, d):
-    x = table(spark, d, "lineitem").where("l_quantity = 50 and l_discount = 0.05").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return components.connected_components(x.select(F.col("o_custkey").alias("a"), (F.lit(10_000_000) + F.col("l_partkey")).alias("b")))
-
-
-@query()
-def connected_components_all(spark, d):
-    """Over all links; the SQL of connected_components, which is recursive over all pairs, holds for its sample only."""
     x = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return components.connected_components(x.select(F.col("o_custkey").alias("a"), (F.lit(10_000_000) + F.col("l_partkey")).alias("b")))
 
 
-
-
 @query()
 def louvain(spark, d):
     return cluster.swept(normalize.knn_graph(full(spark, d), 4), [1.0])
@@ -719,7 +709,7 @@ def damping_grid(spark, d):
     s, u = certainty(spark, d)
     out = None
     for mode in ("exp", "gate", "sigmoid"):
-        part = metrics.modularity(fusion.damped(s, u, 25, mode), brand_truth(spark, d)).withColumn("mode", F.lit(mode))
+        part = metrics.modularity(fusion.damped(s, u, n_brands(spark, d), mode), brand_truth(spark, d)).withColumn("mode", F.lit(mode))
         out = part if out is None else out.union(part)
     return rounded(out)
 
@@ -774,12 +764,12 @@ def mean_std_rollup(spark, d):
     return rounded(report.mean_rows(part_metrics(spark, d).drop("n"), "system", ["total"]), 4)
 
 
-@query(f"""WITH {STRUCT}, {TRUTH}, r AS (SELECT avg(v) FILTER (WHERE a.c = b.c) / avg(v) FILTER (WHERE a.c <> b.c) AS ratio FROM struct JOIN truth a ON a.n = i JOIN truth b ON b.n = j), s AS (SELECT count(*) FILTER (WHERE v > 0) AS edges FROM struct)
-SELECT edges, round(2 * edges / 600, 6) AS density, round(ratio, 6) AS ratio, concat_ws(',', CASE WHEN edges < 10 THEN 'edges' END, CASE WHEN 2 * edges / 600 < 0.001 THEN 'density' END, CASE WHEN ratio < 1.2 THEN 'ratio' END) AS reasons, CASE WHEN edges < 10 OR 2 * edges / 600 < 0.001 OR ratio < 1.2 THEN 'FAIL' ELSE 'PASS' END AS status FROM r, s""")
+@query(f"""WITH {STRUCT}, {TRUTH}, nb AS (SELECT count(*) * (count(*) - 1) AS cells FROM brands), r AS (SELECT avg(v) FILTER (WHERE a.c = b.c) / avg(v) FILTER (WHERE a.c <> b.c) AS ratio FROM struct JOIN truth a ON a.n = i JOIN truth b ON b.n = j), s AS (SELECT count(*) FILTER (WHERE v > 0) AS edges FROM struct)
+SELECT edges, round(2 * edges / cells, 6) AS density, round(ratio, 6) AS ratio, concat_ws(',', CASE WHEN edges < 10 THEN 'edges' END, CASE WHEN 2 * edges / cells < 0.001 THEN 'density' END, CASE WHEN ratio < 1.2 THEN 'ratio' END) AS reasons, CASE WHEN edges < 10 OR 2 * edges / cells < 0.001 OR ratio < 1.2 THEN 'FAIL' ELSE 'PASS' END AS status FROM r, s, nb""")
 def gate_report(spark, d):
-    s = kept(spark, struct(spark, d), "struct")
+    s, n = kept(spark, struct(spark, d), "struct"), n_brands(spark, d)
     ratio = normalize.intra_inter(s, brand_truth(spark, d).withColumnRenamed("cluster", "label")).select("ratio")
-    stats = s.agg(F.count_if(F.col("v") > 0).alias("edges")).withColumn("density", 2 * F.col("edges") / 600)
+    stats = s.agg(F.count_if(F.col("v") > 0).alias("edges")).withColumn("density", 2 * F.col("edges") / (n * (n - 1)))
     return rounded(report.gate(stats.join(ratio)))  # one row each
 
 

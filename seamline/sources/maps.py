@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window
+
+from seamline.operators import ranges
 
 
 def _whole(spark: SparkSession, path: str) -> DataFrame:
@@ -62,8 +63,7 @@ def inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 def class_dim(names: DataFrame) -> DataFrame:
     """node_id, fqcn: distinct names by code point."""
-    nth = F.row_number().over(Window.orderBy("fqcn")) - 1  # a table of names; one row each
-    return names.select("fqcn").distinct().select(nth.alias("node_id"), "fqcn")
+    return ranges.ranked(names.select("fqcn").distinct(), [F.col("fqcn")]).select(F.col("nth").cast("int").alias("node_id"), "fqcn")
 
 
 def write_matrix(sim: DataFrame, path: str, system: str, modality: str) -> None:

@@ -43,12 +43,12 @@ def tables(spark, path, links):
 
 
 def test_components_of_all_links(spark, tmp_path):
-    got = {r["node"]: r["label"] for r in entry.queries()["connected_components_all"](spark, SF).collect()}
+    got = {r["node"]: r["label"] for r in entry.queries()["connected_components"](spark, SF).collect()}
     orders = dict(read("orders", "o_orderkey", "o_custkey"))
     assert got == labels((orders[o], 10_000_000 + p) for o, p in read("lineitem", "l_orderkey", "l_partkey"))
-    links = [(1, 1), (2, 1), (2, 2), (5, 7), (6, 7), (9, 9)]  # none has the quantity and discount of the sample
+    links = [(1, 1), (2, 1), (2, 2), (5, 7), (6, 7), (9, 9)]
     tables(spark, str(tmp_path), links)
-    got = {r["node"]: r["label"] for r in entry.queries()["connected_components_all"](spark, str(tmp_path)).collect()}
+    got = {r["node"]: r["label"] for r in entry.queries()["connected_components"](spark, str(tmp_path)).collect()}
     assert got == labels((c, 10_000_000 + p) for c, p in links) and len(set(got.values())) == 3
 
 
@@ -60,7 +60,7 @@ def test_bridges_of_all_pairs(spark, sf):
         if k in nation:
             by.setdefault(p, set()).add(nation[k])
     want = Counter(pair for ns in by.values() for pair in combinations(sorted(ns), 2))
-    assert {(r["i"], r["j"]): r["n"] for r in entry.queries()["entity_bridging_all"](spark, path).collect()} == want
+    assert {(r["i"], r["j"]): r["n"] for r in entry.queries()["entity_bridging"](spark, path).collect()} == want
 
 
 def test_default_cap_of_bridges(spark):
