@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from seamline.workspace import Workspace
+
 
 def louvain(i: np.ndarray, j: np.ndarray, v: np.ndarray, resolution: float = 1.0) -> dict:
     """Node -> cluster (the least node of it). Nodes are visited in order, ties go to the smaller cluster, so reruns agree."""
@@ -95,14 +97,15 @@ def merge_small(part: dict, i: np.ndarray, j: np.ndarray, v: np.ndarray, least:
     return part
 
 
-def swept(edges: DataFrame, resolutions: list[float], least: int = 0) -> DataFrame:
-    """resolution, n, cluster: Louvain of the graph (i, j, v) at each resolution, then merging of clusters below `least`.
+def swept(edges: DataFrame, resolutions: list[float], least: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, resolution, n, cluster: Louvain of each graph (by, i, j, v) at each resolution, then merging of clusters below `least`.
 
     The grid is spread over the cluster; one graph fits in a task. Pairs are summed before, so a graph has at most one row for each pair of nodes.
     """
     grid = F.explode(F.array(*(F.lit(float(r)) for r in resolutions)))
     kind = edges.schema["i"].dataType.simpleString()
-    graph = edges.where("v > 0").groupBy("i", "j").agg(F.sum("v").alias("v")).withColumn("resolution", grid)
+    graph = edges.where("v > 0").groupBy(*by, "i", "j").agg(F.sum("v").alias("v")).withColumn("resolution", grid)
+    points = "".join(f"{c} {edges.schema[c].dataType.simpleString()}, " for c in by)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["i", "j"])
@@ -110,22 +113,62 @@ def swept(edges: DataFrame, resolutions: list[float], least: int = 0) -> DataFra
         part = louvain(i, j, v, float(pdf["resolution"].iloc[0]))
         if least:
             part = merge_small(part, i, j, v, least)
-        return pd.DataFrame({"resolution": pdf["resolution"].iloc[0], "n": list(part), "cluster": list(part.values())})
+        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in by}, "resolution": pdf["resolution"].iloc[0], "n": list(part), "cluster": list(part.values())})
+
+    return graph.groupBy(*by, "resolution").applyInPandas(run, f"{points}resolution double, n {kind}, cluster {kind}")
+
+
+def resolutions(low: float = 0.1, high: float = 8.0, step: float = 0.05) -> list[float]:
+    """low, low + step ... below high."""
+    return [round(float(x), 10) for x in np.arange(low, high, step)]
+
 
-    return graph.groupBy("resolution").applyInPandas(run, f"resolution double, n {kind}, cluster {kind}")
+def scored(edges: DataFrame, parts: DataFrame, by: tuple[str, ...] = (), penalty: float = 0.05) -> DataFrame:
+    """by, resolution, k, q, ratio, score of each partition (by, resolution, n, cluster) of the graph (by, i, j, v): clusters, modularity, share of crossing edges, and q less `penalty` of it."""
+    point = [*by, "resolution"]
+    e = edges.where("v > 0").groupBy(*by, "i", "j").agg(F.sum("v").alias("v"))
+    side = lambda n, c: parts.select(*point, F.col("n").alias(n), F.col("cluster").alias(c))
+    x = side("i", "ci").join(e, [*by, "i"]).join(side("j", "cj"), [*point, "j"])
+    ends = x.select(*point, F.col("ci").alias("c"), "v", F.when(F.col("ci") == F.col("cj"), F.col("v")).otherwise(0.0).alias("inside")).union(x.select(*point, F.col("cj"), "v", F.lit(0.0)))
+    m = x.groupBy(*point).agg(F.sum("v").alias("m"), F.avg((F.col("ci") != F.col("cj")).cast("double")).alias("ratio"))
+    gain = F.col("inside") / F.col("m") - F.pow(F.col("deg") / (2 * F.col("m")), F.lit(2.0))
+    q = ends.groupBy(*point, "c").agg(F.sum("v").alias("deg"), F.sum("inside").alias("inside")).join(m, point).groupBy(*point).agg(F.sum(gain).alias("q"), F.max("ratio").alias("ratio"))
+    k = parts.groupBy(*point).agg(F.countDistinct("cluster").alias("k"))
+    return q.join(k, point).withColumn("score", F.col("q") - penalty * F.col("ratio")).select(*point, "k", "q", "ratio", "score")
 
 
-def best_resolution(edges: DataFrame, parts: DataFrame, k_low: int, k_high: int, penalty: float = 0.05) -> DataFrame:
-    """resolution, k, q, ratio, score, status: each point's modularity and share of crossing edges; the best of those with k in range is chosen, or none is."""
+def best_resolution(edges: DataFrame, parts: DataFrame, k_low: int, k_high: int, penalty: float = 0.05, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, resolution, k, q, ratio, score, status: each point's modularity and share of crossing edges; the best of those with k in range is chosen, or none is. A positive modularity comes first."""
     from pyspark.sql.window import Window
 
-    e = edges.select("i", "j", "v")
-    x = parts.select("resolution", F.col("n").alias("i"), F.col("cluster").alias("ci")).join(e, "i").join(parts.select("resolution", F.col("n").alias("j"), F.col("cluster").alias("cj")), ["resolution", "j"])
-    ends = x.select("resolution", F.col("ci").alias("c"), "v", F.when(F.col("ci") == F.col("cj"), F.col("v")).otherwise(0.0).alias("inside")).union(x.select("resolution", F.col("cj"), "v", F.lit(0.0)))
-    m = x.groupBy("resolution").agg(F.sum("v").alias("m"), F.avg((F.col("ci") != F.col("cj")).cast("double")).alias("ratio"))
-    q = ends.groupBy("resolution", "c").agg(F.sum("v").alias("deg"), F.sum("inside").alias("inside")).join(m, "resolution").groupBy("resolution").agg(F.sum(F.col("inside") / F.col("m") - F.pow(F.col("deg") / (2 * F.col("m")), F.lit(2.0))).alias("q"), F.max("ratio").alias("ratio"))
-    k = parts.groupBy("resolution").agg(F.countDistinct("cluster").alias("k"))
-    table = q.join(k, "resolution").withColumn("score", F.col("q") - penalty * F.col("ratio"))
     good = F.col("k").between(k_low, k_high)
-    nth = F.row_number().over(Window.orderBy(good.desc(), (F.col("q") > 0).desc(), F.desc("score"), "resolution"))  # one row for each grid point
-    return table.select("resolution", "k", "q", "ratio", "score", F.when((nth == 1) & good, "chosen").when(good, "valid").otherwise("no solution").alias("status"))
+    nth = F.row_number().over(Window.orderBy(good.desc(), (F.col("q") > 0).desc(), F.desc(F.round("score", 9)), *by, "resolution"))  # one row for each grid point
+    return scored(edges, parts, by, penalty).select(*by, "resolution", "k", "q", "ratio", "score", F.when((nth == 1) & good, "chosen").when(good, "valid").otherwise("no solution").alias("status"))
+
+
+def chosen_partition(edges: DataFrame, k_low: int, k_high: int, grid: list[float], least: int = 0) -> DataFrame:
+    """n, cluster, resolution: the partition of the best point of a sweep, merged; no rows if there is none, or if merging takes its number of clusters out of the range."""
+    work = Workspace(edges.sparkSession, "sweep")
+    graph = work.keep(edges, "graph")
+    parts = work.keep(swept(graph, grid), "parts")
+    best = work.keep(best_resolution(graph, parts, k_low, k_high).where("status = 'chosen'").select("resolution"), "best")  # one row
+    point = [r["resolution"] for r in best.collect()]
+    if not point:
+        return parts.where("false").select("n", "cluster", "resolution")
+    final = work.keep(swept(graph, point, least), "final")
+    inside = final.agg(F.count_distinct("cluster").between(k_low, k_high).alias("ok"))  # one row
+    return final.join(F.broadcast(inside)).where("ok").select("n", "cluster", "resolution")
+
+
+def damping_points(sim: DataFrame, u: DataFrame, n: int, modes: dict[str, list[float]], floors: list[float]) -> DataFrame:
+    """mode, param, floor, i, j, v: the graph of every point of a grid: similarities damped by each mode with each of its parameters, without edges below the floor."""
+    from seamline.operators import fusion
+
+    out = None
+    for mode, params in modes.items():
+        for p in params:
+            named = {"exp": {"k": p}, "gate": {"power": p}, "sigmoid": {"alpha": p}}[mode]
+            one = fusion.damped(sim, u, n, mode, **named).select(F.lit(mode).alias("mode"), F.lit(float(p)).alias("param"), "i", "j", "v")
+            out = one if out is None else out.union(one)
+    floor = F.explode(F.array(*(F.lit(float(f)) for f in floors)))
+    return out.withColumn("floor", floor).where("v >= floor and v > 0").select("mode", "param", "floor", "i", "j", "v")

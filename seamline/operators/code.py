@@ -15,9 +15,15 @@ def bare(c: Column) -> Column:
 
 
 def public_methods(files: DataFrame) -> DataFrame:
-    """path, k, name: public methods in order, each once, without main. files: path, text."""
-    pattern = r"(?m)^\s*public\s+(?!class\b|interface\b|enum\b)(?:[\w<>\[\], ?]+\s+)+([A-Za-z_]\w*)\s*\("
-    names = F.array_distinct(F.filter(F.regexp_extract_all(bare(F.col("text")), F.lit(pattern), F.lit(1)), lambda n: n != "main"))
+    """path, k, name: public methods in order, each once, without main. files: path, text.
+
+    What stands between `public` and the first parenthesis, without type arguments, is looked at word by word: the last one is the name, and a type must stand before it.
+    """
+    heads = F.regexp_extract_all(bare(F.col("text")), F.lit(r"(?m)^\s*public\s([^(){};=]*)\("), F.lit(1))
+    plain = lambda h: F.regexp_replace(F.regexp_replace(h, r"<[^<>]*(?:<[^<>]*>[^<>]*)*>", " "), r"[\[\],]", " ")
+    words = F.transform(heads, lambda h: F.filter(F.split(plain(h), r"\s+"), lambda w: w != ""))
+    is_method = lambda w: (F.size(w) > 1) & ~F.arrays_overlap(w, F.array(*map(F.lit, ("class", "interface", "enum")))) & F.element_at(w, -1).rlike(r"^[A-Za-z_]\w*$")
+    names = F.array_distinct(F.filter(F.transform(F.filter(words, is_method), lambda w: F.element_at(w, -1)), lambda n: n != "main"))
     return files.select("path", F.posexplode(names).alias("k", "name"))
 
 
@@ -78,3 +84,59 @@ def prompt(system: str, packages: DataFrame, k: int) -> DataFrame:
     line = F.concat(F.lit("- "), "pkg", F.lit(" ("), F.col("n").cast("string"), F.lit("): "), F.array_join("members", ", "))
     body = packages.agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("b"))
     return body.select(F.concat(F.lit(f"Group the classes of {system} into {k} services.\n"), "b").alias("prompt"))
+
+
+def inverted(services: DataFrame) -> DataFrame:
+    """n, cluster: classes by service, from service, classes (array); a class of several services belongs to the first by name."""
+    return services.select("service", F.explode("classes").alias("n")).groupBy("n").agg(F.min("service").alias("cluster"))
+
+
+def assembled_prompt(system: str, packages: DataFrame, classes: DataFrame, low: int, high: int) -> DataFrame:
+    """One row: the text that asks for `low` to `high` services, from summaries of packages (pkg, n, members) and classes (n, keywords array)."""
+    line = F.concat(F.lit("- "), "pkg", F.lit(" ("), F.col("n").cast("string"), F.lit("): "), F.array_join("members", ", "))
+    words = F.concat(F.lit("- "), "n", F.lit(": "), F.array_join("keywords", ", "))
+    gathered = lambda df, c, name: df.agg(F.array_join(F.sort_array(F.collect_list(c)), "\n").alias(name))  # noqa: E731  a prompt is one text
+    both = gathered(packages, line, "p").join(F.broadcast(gathered(classes, words, "c")))  # one row each
+    return both.select(F.concat(F.lit(f"Group the classes of {system} into {low} to {high} services.\nAnswer with JSON: service to list of classes.\n\nPackages:\n"), "p", F.lit("\n\nClasses:\n"), "c").alias("prompt"))
+
+
+def methods(files: DataFrame) -> DataFrame:
+    """path, fqcn, name, first, last, text: methods of the first type of each file, by their braces; a name that comes again has its own lines. files: path, text.
+
+    Comments are blanked out where they stand, so places hold for the original; braces inside string literals are not told apart.
+    """
+    schema = "path string, name string, first int, last int, text string"
+
+    def run(frames):
+        import re
+
+        import pandas as pd
+
+        head = re.compile(r"\b([A-Za-z_]\w*)\s*\(([^()]*)\)\s*(?:throws\s+[\w.,\s]+)?\{")
+        for f in frames:
+            out = []
+            for path, text in zip(f["path"], f["text"]):
+                text = text or ""
+                blank = re.sub(r"/\*.*?\*/|//[^\n]*", lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
+                for m in head.finditer(blank):
+                    if m[1] in ("if", "for", "while", "switch", "catch", "synchronized", "try", "return", "new"):
+                        continue
+                    depth, at = 1, m.end()
+                    while at < len(blank) and depth:
+                        depth += {"{": 1, "}": -1}.get(blank[at], 0)
+                        at += 1
+                    out.append((path, m[1], blank.count("\n", 0, m.start(1)) + 1, blank.count("\n", 0, at) + 1, text[m.start(1) : at]))
+            yield pd.DataFrame(out, columns=["path", "name", "first", "last", "text"])
+
+    found = files.select("path", "text").mapInPandas(run, schema)
+    return found.join(types(files).select("path", "fqcn"), "path").select("path", "fqcn", "name", "first", "last", "text").dropDuplicates(["fqcn", "name", "first", "last"])
+
+
+def call_edges(found: DataFrame) -> DataFrame:
+    """source, target: methods (fqcn.name) that call a method's name which one class alone has, or else the caller's own class; other calls have no sure target and are left out. found: fqcn, name, text."""
+    called = F.array_distinct(F.regexp_extract_all(F.regexp_replace("text", r"^\w+", ""), F.lit(r"\b([A-Za-z_]\w*)\s*\("), F.lit(1)))
+    calls = found.select("fqcn", F.concat_ws(".", "fqcn", "name").alias("source"), F.explode(called).alias("name")).distinct()
+    owners = found.select("fqcn", "name").distinct().groupBy("name").agg(F.min("fqcn").alias("only"), F.count("*").alias("k"))
+    own = found.select("fqcn", "name", F.lit(True).alias("own")).distinct()
+    target = F.when(F.col("own"), F.concat_ws(".", "fqcn", "name")).when(F.col("k") == 1, F.concat_ws(".", "only", "name"))
+    return calls.join(owners, "name").join(own, ["fqcn", "name"], "left").select("source", target.alias("target")).where("target is not null and target <> source").distinct()

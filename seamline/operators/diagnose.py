@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from seamline.functions.text import leaf_package
 from seamline.operators import ranges
+from seamline.operators.components import connected_components
 
 
 def degrees(sim: DataFrame) -> DataFrame:
@@ -74,6 +75,52 @@ def cross_share(sim: DataFrame, labels: DataFrame, top: int) -> DataFrame:
     return x.agg(F.count("*").alias("top"), F.count_if(F.col("a") != F.col("b")).alias("crossing"), F.avg((F.col("a") != F.col("b")).cast("double")).alias("share"))
 
 
+def keyword_counts(pairs: DataFrame, keywords: list[str]) -> DataFrame:
+    """keyword, n: how many names at the ends of pairs (i, j) contain each of the keywords, whatever the case."""
+    ends = pairs.select(F.explode(F.array(F.lower("i"), F.lower("j"))).alias("n"))
+    hit = F.filter(F.array(*(F.lit(k.lower()) for k in keywords)), lambda k: F.contains("n", k))
+    return ends.select(F.explode(hit).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("n"))
+
+
+def partition_stats(sim: DataFrame, part: DataFrame, least: float = 0.3) -> DataFrame:
+    """One row: k, intra and inter (means over clusters, and over pairs of clusters, of their mean similarity), edges of `least` or more, their density, nodes without one.
+
+    part: n, cluster, a row for each node. Absent pairs are 0; clusters of one node have no intra. Only sums and sizes are used.
+    """
+    sizes = part.groupBy("cluster").agg(F.count("*").alias("c"))
+    x = sim.join(part.select(F.col("n").alias("i"), F.col("cluster").alias("ci")), "i").join(part.select(F.col("n").alias("j"), F.col("cluster").alias("cj")), "j")
+    sums = x.groupBy(F.least("ci", "cj").alias("a"), F.greatest("ci", "cj").alias("b")).agg(F.sum("v").alias("s"))
+    known = sums.join(sizes.select(F.col("cluster").alias("a"), F.col("c").alias("na")), "a").join(sizes.select(F.col("cluster").alias("b"), F.col("c").alias("nb")), "b")
+    within = F.when((F.col("a") == F.col("b")) & (F.col("na") > 1), F.col("s") / (F.col("na") * (F.col("na") - 1) / 2))
+    between = F.when(F.col("a") != F.col("b"), F.col("s") / (F.col("na") * F.col("nb")))
+    means = known.agg(F.coalesce(F.sum(within), F.lit(0.0)).alias("within"), F.coalesce(F.sum(between), F.lit(0.0)).alias("between"))
+    counts = sizes.agg(F.count("*").alias("k"), F.sum("c").alias("n"), F.count_if(F.col("c") > 1).alias("many"))
+    strong = sim.where(F.col("v") >= least)
+    touched = strong.select("i").union(strong.select("j")).distinct().agg(F.count("*").alias("touched"))
+    edges = strong.agg(F.count("*").alias("edges"))
+    row = counts.join(F.broadcast(means)).join(F.broadcast(edges)).join(F.broadcast(touched))  # one row each
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    k, n = F.col("k"), F.col("n")
+    return row.select("k", ratio(F.col("within"), F.col("many")).alias("intra"), ratio(F.col("between"), k * (k - 1) / 2).alias("inter"), "edges", ratio(2 * F.col("edges"), n * (n - 1)).alias("density"), (n - F.col("touched")).alias("isolated"))
+
+
+def component_ratio(sim: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row: intra, inter, ratio of similarities by the components of a session graph, whose nodes are tied where a session has both. sets: g, n; nodes: n (long); absent pairs are 0.
+
+    Sessions tie their nodes by a star, so no pairs of a session are made. A node of no session is a component of its own. ratio is infinite without any inter.
+    """
+    sets = sets.join(nodes, "n", "left_semi")
+    hub = sets.groupBy("g").agg(F.min("n").alias("h"))
+    labels = connected_components(sets.join(hub, "g").select(F.col("n").alias("a"), F.col("h").alias("b")))
+    part = nodes.distinct().join(labels.withColumnRenamed("node", "n"), "n", "left").select("n", F.coalesce("label", "n").alias("cluster"))
+    x = sim.join(part.select(F.col("n").alias("i"), F.col("cluster").alias("ci")), "i").join(part.select(F.col("n").alias("j"), F.col("cluster").alias("cj")), "j")
+    sums = x.agg(F.coalesce(F.sum(F.when(F.col("ci") == F.col("cj"), F.col("v"))), F.lit(0.0)).alias("a"), F.coalesce(F.sum(F.when(F.col("ci") != F.col("cj"), F.col("v"))), F.lit(0.0)).alias("b"))
+    sizes = part.groupBy("cluster").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("same"), F.sum("c").alias("n"))
+    mean = lambda s, k: F.when(k > 0, s / k)
+    row = sums.join(F.broadcast(sizes)).select(mean(F.col("a"), F.col("same")).alias("intra"), mean(F.col("b"), F.col("n") * (F.col("n") - 1) / 2 - F.col("same")).alias("inter"))  # one row each
+    return row.withColumn("ratio", F.when(F.col("inter") > 0, F.col("intra") / F.col("inter")).otherwise(F.lit(float("inf"))))
+
+
 def radar(metrics: DataFrame, pairs: dict[str, bool]) -> DataFrame:
     """system, method, and each metric scaled within its system so that the best method has 1 and the worst 0 (0.5 where all are equal)."""
     w = Window.partitionBy("system")
@@ -86,10 +133,11 @@ def radar(metrics: DataFrame, pairs: dict[str, bool]) -> DataFrame:
 
 
 def diagnosis(rows: DataFrame) -> DataFrame:
-    """rows (nonzero, suppressed, ifn_gain, f1_gain) with a verdict by rules: how much temporal evidence there was, and what damping did."""
-    v = F.when((F.col("ifn_gain") > 0) & (F.col("f1_gain") >= 0), "damping removed misleading links").when((F.col("ifn_gain") < 0) & (F.col("f1_gain") > 0), "accuracy rose at the price of coupling")
-    v = v.when((F.col("ifn_gain") == 0) & (F.col("f1_gain") == 0), F.when(F.col("suppressed") > 0, "suppressed links didn't matter").otherwise("nothing was suppressed")).when(F.col("nonzero") < 0.05, "too little temporal evidence")
-    return rows.withColumn("diagnosis", v.otherwise("mixed"))
+    """rows (nonzero, ifn_gain, f1_gain; any may be null) with a verdict: first whether there was evidence at all, then what damping did to coupling (a gain is less of it) and accuracy."""
+    less, more = F.col("ifn_gain") > 0, F.col("f1_gain") > 0
+    worse, poorer = F.col("ifn_gain") < 0, F.col("f1_gain") < 0
+    v = F.when(F.col("nonzero") < 0.05, "sparse evidence").when(less & poorer, "trade-off").when(less & more, "consistent gains").when(worse & poorer, "over-suppression")
+    return rows.withColumn("diagnosis", v.otherwise("depends on the system"))
 
 
 def spectral(sim: DataFrame, k: int, seed: int = 42) -> DataFrame:

@@ -40,11 +40,13 @@ class Network:
         self.b = [np.zeros(b) for b in sizes]
         self.mean, self.sd = np.zeros(dim), np.ones(dim)
 
-    def forward(self, x: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    def forward(self, x: np.ndarray, mask: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+        """Outputs of the layers, and alpha. mask: factors on the first layer's units, for dropout."""
         h = [(x - self.mean) / self.sd]
         for k, (w, b) in enumerate(zip(self.w, self.b)):
             z = h[-1] @ w + b
-            h.append(np.maximum(z, 0) if k < len(self.w) - 1 else z)
+            z = np.maximum(z, 0) if k < len(self.w) - 1 else z
+            h.append(z * mask if mask is not None and k == 0 else z)
         return h, np.logaddexp(0, h[-1]) + 1
 
     def uncertainty(self, x: np.ndarray, smooth: float = 0.1, scale: float = 1.0) -> np.ndarray:
@@ -52,8 +54,11 @@ class Network:
         return 2 / (evidence * scale + 1 + smooth).sum(axis=1)
 
 
-def train(x: np.ndarray, y: np.ndarray, epochs: int = 30, rate: float = 1e-3, batch: int = 256, kl_weight: float = 0.1, seed: int = 42, sizes: tuple[int, ...] = SIZES) -> Network:
-    """Expected squared error plus variance, and the divergence of misleading evidence with a weight that grows over the first ten epochs; Adam."""
+def train(x: np.ndarray, y: np.ndarray, epochs: int = 30, rate: float = 1e-3, batch: int = 256, kl_weight: float = 0.1, seed: int = 42, sizes: tuple[int, ...] = SIZES, dropout: float = 0.2, hard: float = 0.0) -> Network:
+    """Expected squared error plus variance, and the divergence of misleading evidence with a weight that grows over the first ten epochs; Adam.
+
+    dropout: share of the first layer's units that are left out in a step. hard: weight of the same loss over the batch's negative pairs (y = 0), added to it.
+    """
     net = Network(x.shape[1], seed, sizes)
     net.mean, net.sd = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
     rng, target = np.random.default_rng(seed), np.eye(2)[y.astype(int)]
@@ -64,7 +69,12 @@ def train(x: np.ndarray, y: np.ndarray, epochs: int = 30, rate: float = 1e-3, ba
         order = rng.permutation(len(x))
         for lo in range(0, len(x), batch):
             at = order[lo : lo + batch]
-            grads = _gradients(net, x[at], target[at], weight)
+            mask = (rng.random((len(at), net.w[0].shape[1])) >= dropout) / (1 - dropout) if dropout and len(net.w) > 1 else None
+            share = np.full(len(at), 1 / len(at))
+            negative = y[at] == 0
+            if hard and negative.any():
+                share = share + hard * negative / negative.sum()
+            grads = _gradients(net, x[at], target[at], weight, share, mask)
             t += 1
             for k, g in enumerate(grads):
                 m[k] = 0.9 * m[k] + 0.1 * g
@@ -89,8 +99,10 @@ def _trigamma(x: np.ndarray) -> np.ndarray:
     return out + 1 / x + 1 / (2 * x**2) + 1 / (6 * x**3) - 1 / (30 * x**5) + 1 / (42 * x**7)
 
 
-def _gradients(net: Network, x: np.ndarray, target: np.ndarray, weight: float) -> list[np.ndarray]:
-    h, alpha = net.forward(x)
+def _gradients(net: Network, x: np.ndarray, target: np.ndarray, weight: float, share: np.ndarray | None = None, mask: np.ndarray | None = None) -> list[np.ndarray]:
+    """Of the loss, whose rows count by `share` (evenly without it)."""
+    share = np.full(len(x), 1 / len(x)) if share is None else share
+    h, alpha = net.forward(x, mask)
     s = alpha.sum(axis=1, keepdims=True)
     p = alpha / s
     # d p_c / d alpha_k = (delta - p_c) / s
@@ -99,13 +111,15 @@ def _gradients(net: Network, x: np.ndarray, target: np.ndarray, weight: float) -
     misled = target + (1 - target) * alpha
     total = misled.sum(axis=1, keepdims=True)
     d_kl = (misled - 1) * _trigamma(misled) - _trigamma(total) * (misled - 1).sum(axis=1, keepdims=True)
-    d = (d_alpha + weight * d_kl * (1 - target)) / len(x) / (1 + np.exp(-h[-1]))
+    d = (d_alpha + weight * d_kl * (1 - target)) * share[:, None] / (1 + np.exp(-h[-1]))
     gw, gb = [], []
     for k in range(len(net.w) - 1, -1, -1):
         gw.append(h[k].T @ d)
         gb.append(d.sum(axis=0))
         if k:
             d = (d @ net.w[k].T) * (h[k] > 0)
+            if k == 1 and mask is not None:
+                d = d * mask
     return [*gw[::-1], *gb[::-1]]
 
 
@@ -128,7 +142,39 @@ def infer(features: DataFrame, net: Network, smooth: float = 0.1) -> DataFrame:
     return features.select("i", "j", "x").mapInPandas(run, f"i {kind}, j {kind}, v double")
 
 
+def smoothing_sensitivity(features: DataFrame, net: Network, smooths: tuple[float, ...] = (0.0, 0.05, 0.1, 0.2, 0.5), floor: float = 0.5) -> DataFrame:
+    """smooth, mean, sd, certain: the uncertainties of all pairs under each smoothing, and the share of them below `floor`. Pairs are read once for each."""
+    out = None
+    for s in smooths:
+        one = infer(features, net, s).agg(F.lit(float(s)).alias("smooth"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.avg((F.col("v") < floor).cast("double")).alias("certain"))
+        out = one if out is None else out.union(one)
+    return out
+
+
 def train_sample(features: DataFrame, sample: int = 20_000, seed: int = 42, **settings) -> Network:
     """Fit on at most `sample` pairs (i, j, x, y), those with the least hashes."""
     rows = features.orderBy(F.xxhash64("i", "j", F.lit(seed)), "i", "j").limit(sample).select("x", "y").collect()
     return train(np.array([r["x"] for r in rows], float), np.array([r["y"] for r in rows]), seed=seed, **settings)
+
+
+def standardised(rows: DataFrame, column: str = "x") -> DataFrame:
+    """rows with each component of an array column less its mean and over its population deviation (1 where that is 0), both over all rows."""
+    stats = rows.select(F.posexplode(column).alias("k", "_x")).groupBy("k").agg(F.avg("_x").alias("m"), F.stddev_pop("_x").alias("s"))
+    listed = stats.agg(F.array_sort(F.collect_list(F.struct("k", "m", "s"))).alias("_stats"))  # one row, a component each
+    scaled = F.zip_with(column, "_stats", lambda x, t: (x - t["m"]) / F.when(t["s"] > 0, t["s"]).otherwise(F.lit(1.0)))
+    return rows.join(F.broadcast(listed)).withColumn(column, scaled).drop("_stats")
+
+
+def save(spark, net: Network, path: str) -> None:
+    """A network's layers and its scaler as a table."""
+    arrays = [("mean", 0, net.mean), ("sd", 0, net.sd), *(("w", k, w) for k, w in enumerate(net.w)), *(("b", k, b) for k, b in enumerate(net.b))]
+    rows = [(name, k, list(a.shape), a.ravel().tolist()) for name, k, a in arrays]
+    spark.createDataFrame(rows, "name string, k int, shape array<int>, data array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load(spark, path: str) -> Network:
+    held = {(r["name"], r["k"]): np.array(r["data"]).reshape(r["shape"]) for r in spark.read.parquet(path).collect()}  # a row for each array of the network
+    n = sum(name == "w" for name, _ in held)
+    net = Network(len(held["mean", 0]), sizes=tuple(held["w", k].shape[1] for k in range(n)))
+    net.w, net.b, net.mean, net.sd = [held["w", k] for k in range(n)], [held["b", k] for k in range(n)], held["mean", 0], held["sd", 0]
+    return net

@@ -89,3 +89,39 @@ def unreachable_rules(rules: DataFrame, normal) -> DataFrame:
     odd = rules.where(normal(F.col("key")) != F.col("key")).select("key", F.lit("not normal").alias("problem"))
     twice = rules.groupBy("key").count().where("count > 1").select("key", F.lit("duplicate").alias("problem"))
     return odd.union(twice)
+
+
+def server_spans(spans: DataFrame) -> DataFrame:
+    """Spans (kind) that a server made."""
+    return spans.where("kind = 2")
+
+
+#: Attributes that say what a span did.
+TELLING = ("http.", "url.", "db.", "rpc.", "code.", "otel.", "net.", "server.", "client.")
+
+
+def telling(attrs: Column, prefixes: tuple[str, ...] = TELLING) -> Column:
+    """The entries of an attribute map whose keys start with one of the prefixes."""
+    return F.map_filter(attrs, lambda k, _: starts_with_any(k, prefixes))
+
+
+def without_attributes(spans: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """spans whose attrs lack the keys."""
+    return spans.withColumn("attrs", F.map_filter("attrs", lambda k, _: ~k.isin(*keys)))
+
+
+def labelled(rows: DataFrame, drop: str = "", part: str = "", prefix: str = "", only_success: bool = False) -> DataFrame:
+    """Load-test rows by label: without those a pattern finds, with a part, with a prefix, successful ones only."""
+    if drop:
+        rows = rows.where(~F.coalesce(F.col("label"), F.lit("")).rlike(drop))
+    if part:
+        rows = rows.where(F.contains("label", F.lit(part)))
+    if prefix:
+        rows = rows.where(F.startswith("label", F.lit(prefix)))
+    return rows.where(F.lower("success").isin("true", "1", "t", "yes")) if only_success else rows
+
+
+def gated(labels: DataFrame, rules: DataFrame, normal) -> DataFrame:
+    """labels (label, and others) with node for each class of the gate's rule (key, nodes): both sides in the gate's own normal form, so its rules are met whatever their spelling."""
+    keyed = rules.select(normal(F.col("key")).alias("_key"), F.explode("nodes").alias("node")).distinct()
+    return labels.withColumn("_key", normal(F.col("label"))).join(keyed, "_key").drop("_key")

@@ -83,3 +83,37 @@ def case_edges(sim: DataFrame, damped_sim: DataFrame, u: DataFrame, before: Data
     x = x.where((F.col("bi") == F.col("bj")) != (F.col("ai") == F.col("aj")))
     x = x.withColumn("score", 2 * (F.col("s") - F.col("d")) + F.col("s") + 0.5 * F.col("u"))
     return x.orderBy(F.desc(F.round("score", 9)), "i", "j").limit(top).select("i", "j", F.when(F.col("bi") == F.col("bj"), "split").otherwise("merged").alias("change"), "score")
+
+
+def deemphasised(sim: DataFrame, names: DataFrame, both: float = 0.6, one: float = 0.8) -> DataFrame:
+    """Similarities times `both` between two data holders and times `one` between one and another class, clipped. names: n, entity (boolean)."""
+    x = sim.join(names.select(F.col("n").alias("i"), F.col("entity").alias("_a")), "i").join(names.select(F.col("n").alias("j"), F.col("entity").alias("_b")), "j")
+    factor = F.when(F.col("_a") & F.col("_b"), both).when(F.col("_a") | F.col("_b"), one).otherwise(1.0)
+    return x.select("i", "j", math.clip(F.col("v") * factor).alias("v"))
+
+
+def scaled(sim: DataFrame) -> DataFrame:
+    """v scaled to 0 .. 1 over the cells of the whole matrix, of which absent ones are 0; no range gives zeros."""
+    stats = sim.agg(F.least(F.min("v"), F.lit(0.0)).alias("low"), F.greatest(F.max("v"), F.lit(0.0)).alias("high"))
+    wide = F.col("high") - F.col("low")
+    return sim.join(F.broadcast(stats)).select("i", "j", F.when(wide > 0, (F.col("v") - F.col("low")) / wide).otherwise(F.lit(0.0)).alias("v"))  # one row
+
+
+def call_mix(direct: DataFrame, indirect: DataFrame, share: float = 0.5) -> DataFrame:
+    """Calls between classes by `share`, and similarity of what they call outside (scaled) by the rest. Where no call was matched directly, only the latter counts."""
+    any_ = direct.limit(1).agg(F.count("*").alias("k"))  # one row
+    known = lambda df, w: df.join(F.broadcast(any_)).select("i", "j", (F.col("v") * w).alias("v"))
+    both = known(direct, F.lit(share)).union(known(scaled(indirect), F.when(F.col("k") > 0, 1 - share).otherwise(F.lit(1.0))))
+    return both.groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
+#: Weights of inheritance, dependencies, calls and packages; those of two systems differ.
+STRUCTURAL = {"": (0.30, 0.30, 0.30, 0.10), "daytrader": (0.30, 0.15, 0.35, 0.20), "plants": (0.25, 0.15, 0.35, 0.25)}
+#: The share of direct calls.
+DIRECT = {"": 0.5, "daytrader": 0.7}
+
+
+def structural(inherits: DataFrame, depends: DataFrame, calls: DataFrame, packages: DataFrame, system: str = "") -> DataFrame:
+    """The four structural modalities (i, j, v), each scaled, by the system's weights."""
+    weights = STRUCTURAL.get(system, STRUCTURAL[""])
+    return fuse([(scaled(df), w) for df, w in zip((inherits, depends, calls, packages), weights)])

@@ -57,3 +57,8 @@ def balanced_pairs(pairs: DataFrame, hard_share: float = 0.3, ratio: float = 2.0
     hard = neg.where(is_hard).orderBy("_u", "i", "j").limit(hard_n).drop("_u")
     plain = neg.where(~is_hard).orderBy("_u", "i", "j").limit(max(0, int(n["pos"] * ratio) - hard_n)).drop("_u")
     return pairs.where("y = 1").union(hard).union(plain)
+
+
+def capped(df: DataFrame, cap: int, *keys: str, seed: int = 42) -> DataFrame:
+    """At most `cap` rows, those with the least hashes of their keys (which tell rows apart)."""
+    return df.withColumn("_u", uniform(*keys, seed=seed)).orderBy("_u", *keys).limit(cap).drop("_u")

@@ -70,3 +70,14 @@ def hit_percentiles(sessions: DataFrame) -> DataFrame:
     hits = sessions.select("g", "session", "n").distinct().groupBy("g", "session").agg(F.count("*").alias("h"))
     q = F.percentile("h", F.array(F.lit(0.5), F.lit(0.9)))
     return hits.agg(F.count("*").alias("sessions"), q.alias("q")).select("sessions", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p90"))
+
+
+def gate_sessions(rows: DataFrame, cap: int = 0, least: int = 1) -> DataFrame:
+    """g, seq, n: the gate's sessions, by thread and iteration (or the group's threads where the iteration is unknown) without a time limit. rows: threadName, threadIteration, grpThreads, seq, n.
+
+    cap: only the first so many events of a session, 0: all. Sessions of fewer than `least` events (before the cap) go. Rows without a thread or a node are left out.
+    """
+    iteration = F.coalesce(F.col("threadIteration").try_cast("long"), F.col("grpThreads").try_cast("long"), F.lit(-1))
+    known = rows.where("trim(threadName) <> '' and n is not null").select(group_key(F.trim("threadName"), iteration).alias("g"), "seq", "n")
+    whole = known.withColumn("_k", F.row_number().over(Window.partitionBy("g").orderBy("seq"))).withColumn("_all", F.count("*").over(Window.partitionBy("g")))
+    return whole.where((F.col("_all") >= least) & (F.lit(cap == 0) | (F.col("_k") <= cap))).select("g", "seq", "n")

@@ -5,20 +5,74 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from seamline.functions.text import action_token, query_action, query_params
 
-def resolve(values: DataFrame, rules: DataFrame) -> DataFrame:
-    """id, node: nodes of all rules that fit a span's fields. values: id, field, value. rules: field, kind (exact, prefix, contains), pattern, node.
 
-    Exact rules are an equi-join. The others meet distinct values only, field by field.
+def resolve(values: DataFrame, rules: DataFrame, fold: bool = True) -> DataFrame:
+    """id, node: nodes of all rules that fit a span's fields. values: id, field, value. rules: field, kind (exact, prefix, contains, longest), pattern, node.
+
+    Exact rules are an equi-join. The others meet distinct values only, field by field; of `longest` rules only the longest pattern of a field counts (then the least). fold: case doesn't count.
     """
-    v = values.where("value is not null").withColumn("value", F.lower("value"))
-    r = rules.withColumn("pattern", F.lower("pattern"))
+    v, r = values.where("value is not null"), rules
+    if fold:
+        v, r = v.withColumn("value", F.lower("value")), r.withColumn("pattern", F.lower("pattern"))
     exact = v.join(r.where("kind = 'exact'").select("field", F.col("pattern").alias("value"), "node"), ["field", "value"])
     words = v.select("field", "value").distinct()
-    loose = words.join(r.where("kind <> 'exact'"), "field").where(F.when(F.col("kind") == "prefix", F.startswith("value", "pattern")).otherwise(F.contains("value", "pattern")))
+    loose = words.join(r.where("kind <> 'exact' and pattern <> ''"), "field").where(F.when(F.col("kind") == "prefix", F.startswith("value", "pattern")).otherwise(F.contains("value", "pattern")))
+    best = F.min(F.when(F.col("kind") == "longest", F.struct((-F.length("pattern")).alias("l"), "pattern"))).over(Window.partitionBy("field", "value"))
+    loose = loose.withColumn("best", best["pattern"]).where("kind <> 'longest' or pattern = best")
     return exact.select("id", "node").union(v.join(loose.select("field", "value", "node"), ["field", "value"]).select("id", "node")).distinct()
 
 
+def evidence(spans: DataFrame) -> DataFrame:
+    """id, field, value: what a span says about its classes, for resolve(fold=False). spans: id, name, attrs (map), body (of its log record, or null).
+
+    target: route, else path, else URL. page: the path, else target, in lower case. query: the first key of the query, without _ and -, in lower case. action: the query's action, or
+    null. hints: name, route and path in lower case, only where there is no action. request: query and path in lower case. name, name_key (lower case), collection, statement (with the body, lower case).
+    """
+    get = lambda k: F.nullif(F.trim(F.col("attrs")[k]), F.lit(""))
+    or_empty = lambda c: F.coalesce(c, F.lit(""))
+    bare = lambda c: F.lower(F.translate(c, "_-", ""))
+    target = F.coalesce(get("http.route"), get("url.path"), get("url.full"))
+    action = F.coalesce(action_token(get("url.query")), F.nullif(query_params(get("url.query"))["action"], F.lit("")))
+    fields = {
+        "target": target, "page": F.lower(F.coalesce(get("url.path"), target)), "query": bare(query_action(get("url.query"))), "action": bare(action),
+        "hints": F.when(action.isNull(), F.lower(F.concat_ws(" ", or_empty(F.col("name")), or_empty(get("http.route")), or_empty(get("url.path"))))),
+        "request": F.lower(F.concat(or_empty(get("url.query")), F.lit(" "), or_empty(F.coalesce(get("url.path"), target)))),
+        "name": F.col("name"), "name_key": F.lower("name"), "collection": get("db.mongodb.collection"), "statement": F.lower(F.concat(or_empty(get("db.statement")), or_empty(F.col("body")))),
+    }
+    pairs = F.array(*(F.struct(F.lit(k).alias("field"), v.alias("value")) for k, v in fields.items()))
+    return spans.select("id", F.explode(pairs).alias("x")).select("id", "x.field", "x.value").where("value is not null and value <> ''")
+
+
+def span_classes(spans: DataFrame, rules: DataFrame, classes: DataFrame) -> DataFrame:
+    """id, node: all classes (n) that a span's evidence points to: the class or service its attributes name, and those of the rules."""
+    named = spans.select("id", F.coalesce(F.nullif(F.col("attrs")["code.namespace"], F.lit("")), F.col("attrs")["rpc.service"]).alias("node"))
+    return resolve(evidence(spans), rules, fold=False).union(named).join(classes.select(F.col("n").alias("node")), "node", "left_semi").select("id", "node").distinct()
+
+
+def first_class(found: DataFrame) -> DataFrame:
+    """id, node: one class of each span, the least."""
+    return found.groupBy("id").agg(F.min("node").alias("node"))
+
+
+def trace_sets(traces: DataFrame, logs: DataFrame) -> DataFrame:
+    """trace_id, node: the classes of a trace by its spans or its log records (trace_id, node), each once."""
+    both = traces.select("trace_id", "node").union(logs.select("trace_id", "node"))
+    return both.where("trace_id is not null and node is not null").distinct()
+
+
+def backend_names(spans: DataFrame) -> DataFrame:
+    """w, names: what the spans of a window (w, seq, attrs) name at the back: class and method, a class alone, or else scope, route and service; each once, in order."""
+    get = lambda k: F.nullif(F.col("attrs")[k], F.lit(""))
+    dotted = lambda a, b: F.when(a.isNotNull(), F.concat_ws(".", a, b))
+    known = F.coalesce(dotted(get("code.namespace"), get("code.function")), dotted(get("code.class"), get("code.method")))
+    rest = F.array_compact(F.array(*(F.concat(F.lit(f"{k}="), get(k)) for k in ("otel.scope.name", "http.route", "service.name"))))
+    each = spans.select("w", "seq", F.when(known.isNotNull(), F.array(known)).otherwise(rest).alias("names"))
+    whole = each.groupBy("w").agg(F.array_sort(F.collect_list(F.struct("seq", "names"))).alias("x"))
+    return whole.select("w", F.array_distinct(F.flatten(F.transform("x", lambda s: s["names"]))).alias("names"))
+
+
 def longest_rule(values: DataFrame, rules: DataFrame) -> DataFrame:
     """id, node: the node of the longest pattern (then the least) a value contains. values: id, value. rules: pattern, node."""
     words = values.select("value").where("value is not null").distinct()

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from seamline.functions.math import package_distance
+from seamline.functions.text import package
+
 
 def edge_counts(edges: DataFrame) -> DataFrame:
     """source, target, w: how often each edge stands there."""
@@ -100,3 +103,34 @@ def conflict_rate(a: DataFrame, b: DataFrame) -> DataFrame:
     x, y = a.select("i", "j").distinct().withColumn("x", F.lit(1)), b.select("i", "j").distinct().withColumn("y", F.lit(1))
     both = x.join(y, ["i", "j"], "full").agg(F.count("*").alias("either"), F.count_if(F.col("x").isNull() | F.col("y").isNull()).alias("differ"))
     return both.withColumn("rate", F.when(F.col("either") > 0, F.col("differ") / F.col("either")).otherwise(F.lit(0.0)))
+
+
+def vector_fill(nodes: DataFrame, vectors: DataFrame) -> DataFrame:
+    """n, e, origin: a node's own vector (n, e), else the mean of its package's, else of all. nodes: n, pkg. Means are taken by component, so a package of any size is no row."""
+    own = nodes.join(vectors, "n", "left").withColumn("has", F.col("e").isNotNull())
+    parts = own.where("has").select("pkg", F.posexplode("e").alias("k", "x"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda y: y["x"])
+    per = parts.groupBy("pkg", "k").agg(F.avg("x").alias("x")).groupBy("pkg").agg(whole.alias("mean"))
+    every = vectors.where("e is not null").select(F.posexplode("e").alias("k", "x")).groupBy("k").agg(F.avg("x").alias("x")).agg(whole.alias("all"))
+    origin = F.when(F.col("has"), "own").when(F.col("mean").isNotNull(), "package").otherwise("all")
+    return own.join(per, "pkg", "left").join(F.broadcast(every)).select("n", F.coalesce("e", "mean", "all").alias("e"), origin.alias("origin"))  # one row
+
+
+def package_similarity(names: DataFrame, block: int = 1024) -> DataFrame:
+    """i, j, v for every pair of names (n): 1 in one package, else 1 / (1 + steps between the packages). Pairs meet in cells of a grid, by its keys."""
+    n = names.distinct().count()
+    blocks = max(1, -(-n // block))
+    v = names.select("n").distinct().withColumn("own", F.pmod(F.xxhash64("n"), F.lit(blocks)))
+    cells = v.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other"))
+    left = cells.where("own = a").select("a", "b", F.col("n").alias("x"))
+    right = cells.where("own = b").select("a", "b", F.col("n").alias("y"))
+    pairs = left.join(right, ["a", "b"]).where("a < b or x < y")
+    i, j = F.least("x", "y"), F.greatest("x", "y")
+    p, q = package(i), package(j)
+    return pairs.select(i.alias("i"), j.alias("j"), F.when(p == q, 1.0).otherwise(1 / (1 + package_distance(p, q))).alias("v"))
+
+
+def dedup_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row by `order` of each combination of the keys; null and empty keys are one."""
+    norm = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*norm).orderBy(*order))).where("_k = 1").drop("_k")

@@ -19,14 +19,18 @@ def document_frequency(docs: DataFrame, least_length: int = 3) -> DataFrame:
     return df.join(F.broadcast(n)).select("word", "df", (F.log((1.0 + F.col("total")) / (1.0 + F.col("df"))) + 1).alias("idf"))  # one row
 
 
-def distilled(docs: DataFrame, names: Column, least_idf: float = 1.35, most: int = 20_000) -> DataFrame:
-    """d, distilled: the name's words three times, then the text's words with an inverse frequency of at least least_idf, in order. docs: d, text.
+def distilled(docs: DataFrame, names: Column, least_idf: float = 1.35, most: int = 20_000, methods: Column | None = None, times: tuple[int, int] = (3, 2)) -> DataFrame:
+    """d, distilled: the name's words three times and the method's twice (`times`), then the text's words with an inverse frequency of at least least_idf, in order. docs: d, text.
+
+    The legacy form is times=(1, 1) and least_idf=0.
 
     A word below the limit stands in a share exp(1 - least_idf) of all documents or more, so there are few such words whatever the corpus: they are known to each task and
     filtered out where the text lies. Only if there are over `most` of them are words and their places joined with the frequencies.
     """
     idf = document_frequency(docs.select("d", "text"))
-    title = F.repeat(F.concat(names, F.lit(" ")), F.lit(3))
+    title = F.repeat(F.concat(names, F.lit(" ")), F.lit(times[0]))
+    if methods is not None:
+        title = F.concat(title, F.repeat(F.concat(methods, F.lit(" ")), F.lit(times[1])))
     common = [r["word"] for r in idf.where(F.col("idf") < least_idf).select("word").limit(most + 1).collect()]
     if len(common) <= most:
         rare = lambda w: (F.length(w) >= 3) & ~w.isin(*STOPWORDS, *common)

@@ -186,12 +186,12 @@ def radar_scores(spark, d):
     return rounded(diagnose.radar(m, {"n": True, "price": False}))
 
 
-@query("""WITH r AS (SELECT p_brand AS system, count(*) FILTER (WHERE p_size < 5) / count(*) AS nonzero, count(*) FILTER (WHERE p_size > 45) AS suppressed, round(avg(p_size) - 25, 0) AS ifn_gain, round(count(*) FILTER (WHERE p_type = 'SMALL') - count(*) FILTER (WHERE p_type = 'ECONOMY'), 0) AS f1_gain FROM part GROUP BY ALL)
-SELECT system, CASE WHEN ifn_gain > 0 AND f1_gain >= 0 THEN 'damping removed misleading links' WHEN ifn_gain < 0 AND f1_gain > 0 THEN 'accuracy rose at the price of coupling'
-WHEN ifn_gain = 0 AND f1_gain = 0 THEN CASE WHEN suppressed > 0 THEN 'suppressed links didn''t matter' ELSE 'nothing was suppressed' END WHEN nonzero < 0.05 THEN 'too little temporal evidence' ELSE 'mixed' END AS diagnosis FROM r""")
+@query("""WITH r AS (SELECT p_brand AS system, count(*) FILTER (WHERE p_size < 5) / count(*) AS nz, CASE WHEN count(*) % 7 > 0 THEN round(avg(p_size) - 25, 0) END AS ifn, round(count(*) FILTER (WHERE p_type = 'SMALL') - count(*) FILTER (WHERE p_type = 'ECONOMY'), 0) AS f1 FROM part GROUP BY ALL)
+SELECT system, CASE WHEN nz IS NOT NULL AND nz < 0.05 THEN 'sparse evidence' WHEN ifn > 0 AND f1 < 0 THEN 'trade-off' WHEN ifn > 0 AND f1 > 0 THEN 'consistent gains' WHEN ifn < 0 AND f1 < 0 THEN 'over-suppression' ELSE 'depends on the system' END AS diagnosis FROM r""")
 def conflict_diagnosis(spark, d):
     n = lambda c: F.count_if(c)
-    r = table(spark, d, "part").groupBy(F.col("p_brand").alias("system")).agg((n(F.col("p_size") < 5) / F.count("*")).alias("nonzero"), n(F.col("p_size") > 45).alias("suppressed"), F.round(F.avg("p_size") - 25, 0).alias("ifn_gain"), (n(F.col("p_type") == "SMALL") - n(F.col("p_type") == "ECONOMY")).alias("f1_gain"))
+    gain = F.when(F.count("*") % 7 > 0, F.round(F.avg("p_size") - 25, 0))
+    r = table(spark, d, "part").groupBy(F.col("p_brand").alias("system")).agg((n(F.col("p_size") < 5) / F.count("*")).alias("nonzero"), gain.alias("ifn_gain"), (n(F.col("p_type") == "SMALL") - n(F.col("p_type") == "ECONOMY")).alias("f1_gain"))
     return diagnose.diagnosis(r).select("system", "diagnosis")
 
 

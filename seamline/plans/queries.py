@@ -321,12 +321,17 @@ def label_normalize(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.label_key(F.concat("p_name", F.lit(" / "), "p_brand", F.lit("_("), "p_type", F.lit(")"))).alias("label"))
 
 
-@query(r"""WITH x AS (SELECT p_partkey AS id, upper(p_name[1]) || replace(p_name[2:], ' ', '') || p_type || 'Impl2HTTPServer_' || p_brand AS s FROM part),
-y AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(s, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Za-z])([0-9])|_', '\1 \2', 'g') AS s FROM x)
-SELECT id, list_filter(regexp_split_to_array(lower(s), '[^a-z0-9]+'), lambda w: w <> '') AS words FROM y""")
+def camel_name():
+    return F.concat(F.upper(F.substring("p_name", 1, 1)), F.replace(F.expr("substring(p_name, 2)"), F.lit(" "), F.lit("")), "p_type", F.lit("Impl2HTTPServer_"), "p_brand")
+
+
+CAMEL = """x AS (SELECT p_partkey AS id, upper(p_name[1]) || replace(p_name[2:], ' ', '') || p_type || 'Impl2HTTPServer_' || p_brand AS s FROM part)"""
+
+
+@query(rf"""WITH {CAMEL}, y AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(s, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[_\-0-9]+', ' ', 'g') AS s FROM x)
+SELECT id, list_filter(regexp_split_to_array(lower(s), '\s+'), lambda w: w <> '') AS words FROM y""")
 def camel_tokens(spark, d):
-    name = F.concat(F.upper(F.substring("p_name", 1, 1)), F.replace(F.expr("substring(p_name, 2)"), F.lit(" "), F.lit("")), "p_type", F.lit("Impl2HTTPServer_"), "p_brand")
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.camel_words(name).alias("words"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.camel_words(camel_name()).alias("words"))
 
 
 STOP = ", ".join(f"'{w}'" for w in terms.STOPWORDS)
@@ -480,10 +485,8 @@ def intra_inter_nz(spark, d):
 
 @query(f"WITH {COSINES} SELECT i, j, round(least(greatest(v * CASE WHEN li < 3 AND lj < 3 THEN 0.6 WHEN li < 3 OR lj < 3 THEN 0.8 ELSE 1 END, 0), 1), 6) AS v FROM cs")
 def semantic_deemphasis(spark, d):
-    l = table(spark, d, "embeddings").select("vec_id", (F.col("label") < 3).alias("entity"))
-    x = half_cosines(spark, d).join(l.select(F.col("vec_id").alias("i"), F.col("entity").alias("a")), "i").join(l.select(F.col("vec_id").alias("j"), F.col("entity").alias("b")), "j")
-    factor = F.when(F.col("a") & F.col("b"), 0.6).when(F.col("a") | F.col("b"), 0.8).otherwise(1.0)
-    return rounded(x.select("i", "j", math.clip(F.col("v") * factor).alias("v")))
+    entities = table(spark, d, "embeddings").select(F.col("vec_id").alias("n"), (F.col("label") < 3).alias("entity"))
+    return rounded(fusion.deemphasised(half_cosines(spark, d), entities))
 
 
 @query(f"WITH {MODALITIES} SELECT count(*) FILTER (WHERE d > 1e-12) AS changed, round(sum(d), 6) AS l1, round(sqrt(sum(d * d)), 6) AS l2, round(max(d), 6) AS linf FROM (SELECT abs(coalesce(a.v, 0) - coalesce(b.v, 0)) AS d FROM struct a FULL JOIN temp b ON a.i = b.i AND a.j = b.j)")
@@ -701,7 +704,7 @@ def merge_tiny(spark, d):
 @query()
 def resolution_sweep(spark, d):
     graph = kept(spark, normalize.knn_graph(full(spark, d), 4), "graph")
-    return rounded(cluster.best_resolution(graph, kept(spark, cluster.swept(graph, [0.8, 1.0, 1.2, 1.5], 3), "parts"), 2, 8))
+    return rounded(cluster.best_resolution(graph, kept(spark, cluster.swept(graph, cluster.resolutions(), 3), "parts"), 2, 8))
 
 
 @query()

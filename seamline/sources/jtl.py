@@ -12,10 +12,10 @@ COLUMNS = (
 _WHOLE = {"timeStamp", "elapsed", "bytes", "sentBytes", "grpThreads", "allThreads", "Latency", "IdleTime", "Connect", "threadIteration"}
 
 
-def read_jtl(spark: SparkSession, path: str) -> DataFrame:
+def read_jtl(spark: SparkSession, path: str, max_rows: int = 0) -> DataFrame:
     """COLUMNS with whole numbers cast (null where they can't be) and seq, the place of the row. A first line that names label and timeStamp is a header.
 
-    Short rows have nulls at their end. A header is recognised and its names are used, in any order and case.
+    Short rows have nulls at their end. A header is recognised and its names are used, in any order and case. max_rows: only the first ones, in the file's order; 0: all.
     """
     first = spark.read.text(path).limit(1).collect()
     line = first[0][0] if first else ""
@@ -29,7 +29,21 @@ def read_jtl(spark: SparkSession, path: str) -> DataFrame:
     for c in COLUMNS:
         col = F.col(f"`{lower[c.lower()]}`") if c.lower() in lower else F.lit(None).cast("string")
         out.append((col.try_cast("long") if c in _WHOLE else col).alias(c))
-    return raw.select(*out, F.col("_seq").alias("seq"))
+    rows = raw.select(*out, F.col("_seq").alias("seq"))
+    return rows.orderBy("seq").limit(max_rows) if max_rows else rows
+
+
+def read_positional(spark: SparkSession, path: str) -> DataFrame:
+    """t, label, url, seq by their places in a log without a header, in order of time; rows of the controllers Flow... and Transaction... are left out."""
+    schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(COLUMNS))])
+    raw = spark.read.schema(schema).option("mode", "PERMISSIVE").option("escape", '"').csv(path).withColumn("seq", F.monotonically_increasing_id())
+    rows = raw.select(F.col("c0").try_cast("long").alias("t"), F.col("c2").alias("label"), F.coalesce("c13", F.lit("")).alias("url"), "seq")
+    return rows.where("label is not null and not startswith(label, 'Flow') and not startswith(label, 'Transaction')").orderBy("t", "seq")
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file with a header, its kinds inferred."""
+    return spark.read.option("header", True).option("inferSchema", True).option("escape", '"').csv(path)
 
 
 def transactions(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seamline.operators import ranges
@@ -35,16 +39,82 @@ def read_graph(spark: SparkSession, path: str) -> DataFrame:
     return _whole(spark, path).select(F.explode(F.from_json("value", schema)["edges"]).alias("e")).select("e.source", "e.target")
 
 
-def read_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a JSON array, of lines of JSON, or of objects written one after another, by the first sign of the file."""
-    first = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
-    line = first[0][0].strip() if first else ""
-    if line.startswith("["):
-        return spark.read.schema(schema).option("multiLine", True).json(path)
+def json_texts(spark: SparkSession, path: str) -> DataFrame:
+    """value: each object, as JSON text, of files that are an array, lines of JSON, or objects one after another over any number of lines.
+
+    Files whose lines are objects are read in parts. Any other file is one value, gone through in one task; where it has no JSON, reading goes on with the next line.
+    """
     lines = spark.read.text(path).where("trim(value) <> ''")
-    # Objects on one line are parted where one ends and the next begins.
-    parts = lines.select(F.explode(F.split(F.regexp_replace("value", r"\}\s*\{", "}\u0001{"), "\u0001")).alias("value"))
-    return parts.select(F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r")).where("r is not null").select("r.*")
+    # A line is an object by itself if a parser takes it; two objects on a line are told by the text between them.
+    single = F.try_parse_json("value").isNotNull() & F.col("value").rlike(r"^\s*\{") & ~F.col("value").rlike(r"\}\s*\{")
+    if not lines.where(~F.coalesce(single, F.lit(False))).limit(1).collect():
+        return lines.select("value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = json.JSONDecoder()
+        for batch in batches:
+            for content in batch.column(0):
+                text, at, out, size = content.as_py().decode("utf-8", "replace"), 0, [], 0
+                while at < len(text):
+                    if text[at].isspace():
+                        at += 1
+                        continue
+                    try:
+                        value, at = decoder.raw_decode(text, at)
+                    except json.JSONDecodeError:
+                        at = text.find("\n", at) + 1 or len(text)
+                        continue
+                    for x in value if isinstance(value, list) else [value]:
+                        if isinstance(x, dict):
+                            out.append(json.dumps(x, ensure_ascii=False))
+                            size += len(out[-1])
+                        if size > 1 << 22:
+                            yield pa.RecordBatch.from_arrays([pa.array(out)], names=["value"])
+                            out, size = [], 0
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(out)], names=["value"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "value string")
+
+
+def read_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a JSON array, of lines of JSON, or of objects written one after another."""
+    return json_texts(spark, path).select(F.from_json("value", schema).alias("r")).where("r is not null").select("r.*")
+
+
+def first_existing(spark: SparkSession, paths: list[str]) -> str | None:
+    """The first of the paths that exists, in whatever store they are."""
+    return next((p for p in paths if _status(spark, p) is not None), None)
+
+
+def newest(spark: SparkSession, paths: list[str]) -> str | None:
+    """The path changed last; of equal times the first."""
+    found = [(s, -k, p) for k, p in enumerate(paths) if (s := _status(spark, p)) is not None]
+    return max(found)[2] if found else None
+
+
+def _status(spark: SparkSession, path: str) -> int | None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store.getFileStatus(target).getModificationTime() if store.exists(target) else None
+
+
+def scraped(lines: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """One row: for each pattern the first group of its last match in lines (seq, value) of a program's output, as a number; null without one."""
+    out = []
+    for name, p in patterns.items():
+        hit = F.col("value").rlike(p)
+        out.append(F.max(F.when(hit, F.struct("seq", F.regexp_extract("value", p, 1).try_cast("double").alias("x"))))["x"].alias(name))
+    return lines.agg(*out)
+
+
+def read_latest(spark: SparkSession, pattern: str, system: str) -> DataFrame:
+    """system, and the columns of a CSV file, from the newest file of each system. pattern: a path with * ; system: a regular expression whose first group is the system in a path."""
+    files = spark.read.format("binaryFile").load(pattern).select("path", "modificationTime", F.regexp_extract("path", system, 1).alias("system")).where("system <> ''")
+    latest = files.groupBy("system").agg(F.max(F.struct("modificationTime", "path"))["path"].alias("path"))
+    rows = spark.read.option("header", True).csv(pattern).withColumn("_path", F.col("_metadata.file_path"))
+    same = F.regexp_replace(F.col("_path"), "^file:/+", "/") == F.regexp_replace(F.col("path"), "^file:/+", "/")
+    return rows.join(F.broadcast(latest), same).drop("_path", "path")  # one row for each system
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
