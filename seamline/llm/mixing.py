@@ -10,13 +10,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
+from seamline.operators import ranges
 from seamline.workspace import Workspace
 
 WORDS = r"[^\x20\x09-\x0D]+"
 ROWS = "doc_id long, source string, size long, n long, p double, extra long"
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("size", pa.int64()), ("n", pa.int64()), ("p", pa.float64()), ("extra", pa.int64())])
+COLUMNS = SCHEMA.names
 
 
 def words(text) -> F.Column:
@@ -32,25 +35,23 @@ def source_targets(sizes: DataFrame, share: float = 1.5, weights: tuple[float, .
     weight, so the level follows from sums over the sources in order of their cap for each weight.
     """
     table = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    # One row for each source from here on.
-    nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (nth % len(weights) + 1).cast("int"))
-    table = table.select("source", "source_size", weight.alias("w")).withColumn("cap", F.lit(float(most)) * F.col("source_size"))
-    order = Window.orderBy((F.col("cap") / F.col("w")).asc(), F.col("source").asc_nulls_last())
-    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    left = F.lit(float(share)) * F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    level = left / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))  # if those before are capped
-    table = table.withColumn("level", level).withColumn("free", F.col("level") * F.col("w") <= F.col("cap"))
+    named = F.col("source").asc_nulls_last()
+    nth = ranges.ranked(table, [named])
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("nth") % len(weights) + 1).cast("int"))
+    table = nth.select("source", "source_size", weight.alias("w")).withColumn("cap", F.lit(float(most)) * F.col("source_size"))
+    before = ranges.running(table, [(F.col("cap") / F.col("w")).asc(), named], {"cap_before": F.col("cap"), "w_before": F.col("w")})
+    every = table.agg(F.sum("source_size").alias("all"), F.sum("w").alias("w_all"))  # one row
+    level = (F.lit(float(share)) * F.col("all") - F.col("cap_before")) / (F.col("w_all") - F.col("w_before"))  # if those before are capped
+    levels = before.join(F.broadcast(every)).withColumn("level", level)
     # The level is that of the first source that stays below its cap.
-    first = F.min(F.when(F.col("free"), F.struct(F.col("cap") / F.col("w"), "level"))).over(every)["level"]
-    target = F.when(first.isNull(), F.col("cap")).otherwise(F.least("cap", first * F.col("w")))
-    rate = F.when(target >= F.col("cap"), F.lit(float(most))).when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(F.lit(0.0))
-    return table.withColumn("target", target).select("source", "source_size", "target", rate.alias("rate"))
+    first = levels.where(F.col("level") * F.col("w") <= F.col("cap")).agg(F.min(F.struct(F.col("cap") / F.col("w"), "source", "level"))["level"].alias("first"))  # one row
+    target = F.when(F.col("first").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("first") * F.col("w")))
+    rate = F.when(F.col("target") >= F.col("cap"), F.lit(float(most))).when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    return table.join(F.broadcast(first)).withColumn("target", target).select("source", "source_size", "target", rate.alias("rate"))
 
 
 def settle(rows: pd.DataFrame, seed: int, last: bool) -> pd.DataFrame:
-    """Rows (size, p) of one group with p settled to 0 or 1, moved into extra; at most one keeps its p, and none if it is the last group of its source."""
+    """Rows (doc_id, source, size, p, extra) of one group with p settled to 0 or 1, moved into extra; at most one keeps its p, and none if it is the last group of its source."""
     import random
     import zlib
 
@@ -83,9 +84,11 @@ def settle(rows: pd.DataFrame, seed: int, last: bool) -> pd.DataFrame:
     return rows
 
 
-def _settler(seed: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return settle(rows, seed, last)[["doc_id", "source", "size", "n", "p", "extra"]]
+def _settler(seed: int, last: bool) -> Callable[[pa.Table], pa.Table]:
+    def run(rows: pa.Table) -> pa.Table:
+        # Nullable whole numbers, so that a null beside an id never makes it a rounded double.
+        frame = rows.select(COLUMNS).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
+        return pa.Table.from_pandas(settle(frame, seed, last)[COLUMNS], SCHEMA, preserve_index=False)
 
     return run
 
@@ -94,7 +97,7 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1,
     """doc_id, size, source, source_size, target, copies for each row of docs (doc_id, text, source): how often the mix takes it.
 
     size: words of the text (null: 0). Documents without words are never taken. Rows with the same doc_id, source and size stand for each other: the
-    number of their copies is settled together. Null doc_ids are ids like others. Empty input: no rows. Other columns are ignored. Reruns give
+    number of their copies is settled together. Null doc_ids are ids like others, and ids keep all their digits. Empty input: no rows. Other columns are ignored. Reruns give
     the same copies, whatever the partitions.
     """
     work = Workspace(docs.sparkSession, "mixing")
@@ -114,7 +117,7 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1,
         last = groups == 1
 
         spread = rows.withColumn("_g", F.pmod(F.xxhash64("doc_id", "size", F.lit(level)), F.lit(groups)))
-        settled = work.keep(spread.groupBy("source", "_g").applyInPandas(_settler(seed + level, last), ROWS), f"level{level}")
+        settled = work.keep(spread.groupBy("source", "_g").applyInArrow(_settler(seed + level, last), ROWS), f"level{level}")
         done.append(settled.where("p = 0"))
         if last:
             break

@@ -1,8 +1,9 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
+import corpus_pipeline
 from seamline.llm import mixing
 
 
@@ -62,5 +63,23 @@ def test_repeated_rows_share_their_copies(documents):
     assert abs(sum(r["size"] * r["copies"] for r in s) - s[0]["target"]) <= 3
 
 
+def test_large_ids_beside_a_null(documents):
+    """Ids above 2^53 come back as they are, whatever stands in their group."""
+    ids = [(1 << 60) + 2 * k + 1 for k in range(5)] + [None, -(1 << 62) - 3]
+    got = mixing.mix(documents([(i, "a b c", "s") for i in ids])).collect()
+    assert sorted(map(str, (r["doc_id"] for r in got))) == sorted(map(str, ids))
+    mixed = corpus_pipeline.mix_sources(documents([]).sparkSession, documents([(i, "a b c", "s") for i in ids] + [(9, "x " * 20, "t")]), "")
+    words = Counter(r["doc_id"] for r in mixed.where("source = 's'").collect())
+    assert set(words) <= set(ids) and sum(words.values()) == 14  # a small source is taken twice
+
+
+def test_many_sources(documents):
+    """A source for each document: targets come from sums over ranges of sources."""
+    rows = [(i, " ".join(["w"] * (i % 17)), f"host{i}") for i in range(700)]
+    got = {r["source"]: r["target"] for r in mixing.mix(documents(rows)).collect()}
+    want = targets({s: len(t.split()) for _, t, s in rows})
+    assert got == pytest.approx(want)
+
+
 def test_empty(odd):
     assert mixing.mix(odd.limit(0)).count() == 0 and mixing.mix(odd).count() == odd.count()
