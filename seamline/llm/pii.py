@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: In order of preference where several fit. Each starts at the edge of a number or word, so a long run is tried once.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,1000}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
+    "email": r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@[\p{L}\p{M}\p{N}-]{1,63}(?:\.[\p{L}\p{M}\p{N}-]{1,63}){1,8}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "ip": r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9])",
@@ -52,13 +52,38 @@ def permute_numbers(left: Column, right: Column, side: int, key: str, kind: str)
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(left.cast("long").alias("l"), right.cast("long").alias("r")), step)
 
 
-def permute_text(s: Column, key: str, kind: str) -> Column:
-    """A keyed permutation of the strings with the same digits, small and capital letters A-Z at the same places; other characters stay."""
+#: Ranges of code points that hold letters or digits of one kind, and nothing else.
+CLASSES = (
+    (0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A),  # digits, capital and small letters
+    (0xC0, 0xD6), (0xD8, 0xDE), (0xDF, 0xF6), (0xF8, 0xFF), (0x100, 0x17F),  # Latin letters with marks
+    (0x391, 0x3A1), (0x3A3, 0x3A9), (0x3B1, 0x3C9),  # Greek
+    (0x410, 0x42F), (0x430, 0x44F),  # Cyrillic
+    (0x561, 0x586), (0x5D0, 0x5EA), (0x621, 0x63A), (0x641, 0x64A), (0x660, 0x669),  # Armenian, Hebrew, Arabic
+    (0x905, 0x939), (0x966, 0x96F), (0xE01, 0xE2E), (0x10D0, 0x10F0),  # Devanagari, Thai, Georgian
+    (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3),  # kana, Han, Hangul
+)
+IN_CLASSES = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in CLASSES)
+
+
+def permute_text(s: Column, key: str, kind: str, classes: tuple[tuple[int, int], ...] = CLASSES[:3]) -> Column:
+    """A keyed permutation of the strings whose characters are of the same classes at the same places; characters of no class stay.
+
+    A Feistel network: in each round the one half, turned by a hash of the other, becomes the new other half.
+    """
+
+    def char(code: Column) -> Column:
+        if len(classes) <= 3:
+            return F.chr(code)
+        return F.when(code < 128, F.chr(code)).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
     def shifted(c: Column, by: Column) -> Column:
-        code = F.ascii(c)
-        turn = lambda base, n: F.chr((F.pmod(code - base + by, F.lit(n)) + base).cast("long"))
-        return F.when(c.rlike("^[0-9]$"), turn(48, 10)).when(c.rlike("^[A-Z]$"), turn(65, 26)).when(c.rlike("^[a-z]$"), turn(97, 26)).otherwise(c)
+        def turned(code: Column) -> Column:
+            new = F.lit(None).cast("long")
+            for a, b in reversed(classes):
+                new = F.when(code.between(a, b), F.pmod(code - a + by, F.lit(b - a + 1).cast("long")) + a).otherwise(new)
+            return F.coalesce(_let(new, char), c)
+
+        return _let(F.ascii(c).cast("long"), turned)
 
     def step(a: Column, i: Column) -> Column:
         def moved(h: Column) -> Column:
@@ -162,30 +187,40 @@ def _field(f: Column, day: Column) -> Column:
     return F.when(f == "yyyy", F.lpad(F.year(day).cast("string"), 4, "0")).when(f == "MM", F.lpad(F.month(day).cast("string"), 2, "0")).when(f == "dd", F.lpad(F.dayofmonth(day).cast("string"), 2, "0")).otherwise(f)
 
 
-def _digits(kind: str, keep: str = "") -> Callable[[Column, str], Column]:
-    """Permute the digits after those that `keep` matches; all separators stay."""
+#: Country codes of telephone numbers: one digit, two digits, and three for all others.
+COUNTRY = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
 
-    def changed(m: Column, key: str) -> Column:
-        def of(lead: Column) -> Column:
-            rest = F.substr(m, F.length(lead) + 1)
-            return F.concat(lead, _refill(rest, permute_text(F.regexp_replace(rest, "[^0-9]", ""), key, kind)))
 
-        return _let(F.regexp_extract(m, keep or "^", 0), of)
+def _digits(m: Column, key: str, kind: str) -> Column:
+    """m with its digits permuted; all separators stay."""
+    return _refill(m, permute_text(F.regexp_replace(m, "[^0-9]", ""), key, kind))
 
-    return changed
+
+def _phone(m: Column, key: str) -> Column:
+    """The national number is permuted: a country code stays, wherever separators stand, as what follows it has its form."""
+
+    def of(lead: Column) -> Column:
+        return F.concat(lead, _digits(F.substr(m, F.length(lead) + 1), key, "phone"))
+
+    return _let(F.regexp_extract(m, rf"^\+(?:{COUNTRY})|^", 0), of)
 
 
 def _ssn(m: Column, key: str) -> Column:
-    return F.when(m.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"), _digits("ssn")(m, key)).otherwise(m)
+    return F.when(m.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"), _digits(m, key, "ssn")).otherwise(m)
 
 
 def _email(m: Column, key: str) -> Column:
-    local = F.substring_index(m, "@", 1)
-    return F.concat(permute_text(local, key, "email"), F.lit("@"), F.substring_index(m, "@", -1))
+    """The name before the @ is permuted by the classes of its letters. A name with letters of no class becomes a hash of itself, as a part of it would stay."""
+
+    def of(name: Column) -> Column:
+        hashed = F.concat(F.lit("x"), F.substring(F.sha2(F.concat(F.lit(f"{key}/name/"), name), 256), 1, 16))
+        new = F.when(name.rlike("^[\\x00-\\x7F]*$"), permute_text(name, key, "email")).when(name.rlike(f"[[\\p{{L}}\\p{{M}}\\p{{N}}]&&[^{IN_CLASSES}]]"), hashed).otherwise(permute_text(name, key, "email", CLASSES))
+        return F.concat(new, F.lit("@"), F.substring_index(m, "@", -1))
+
+    return _let(F.substring_index(m, "@", 1), of)
 
 
-#: A country code stays, as what follows it has its form.
-KINDS: dict[str, Callable[[Column, str], Column]] = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _digits("phone", r"^\+[0-9]{1,3}(?=[ .(-])"), "card": _card}
+KINDS: dict[str, Callable[[Column, str], Column]] = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
 #: Kinds whose candidates may run on into what follows, as an expiry date or a code: check of the letters and digits, and what to strip for it.
@@ -234,12 +269,14 @@ def _rescanned(line: Column, pattern: str, one: Callable[[Column], Column], kind
     return F.aggregate(F.sequence(F.lit(1), F.regexp_count(line, F.lit("[0-9]+|@")) + 1), start, step, lambda a: F.struct(a["s"].alias("s"), a["n"].alias("n")))
 
 
-def pseudonymise(docs: DataFrame, key: str = "seamline", kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
     """docs with text's personal numbers and dates replaced, and n_replaced (int) added; a column of that name is replaced, others pass unchanged.
 
     Valid are: cards by Luhn's rule, IBANs modulo 97, addresses with bytes below 256, dates that exist from 1900-01-01 on for 72,900 days, social
     security numbers outside the unused ranges, and telephone numbers and e-mail addresses by form. A pseudonym is valid too and has the same separators.
-    A card or IBAN that runs on into further groups is the longest valid prefix of whole groups. A null text stays null, an empty one empty. Equal rows get equal results, no rows give none.
+    A card or IBAN that runs on into further groups is the longest valid prefix of whole groups. An e-mail name may be of any length and script; letters stay within their
+    script. A telephone number is its digits after the country code, so all ways to write it stay linked, with and without that code. Of dates with slashes the day comes first
+    unless it can't. `key` is the secret of the permutation and has no default: who has it can undo the numbers. A null text stays null, an empty one empty. Equal rows get equal results, no rows give none.
     """
     pattern = "|".join(f"(?:{PATTERNS[k]})" for k in kinds)
 
