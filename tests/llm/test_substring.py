@@ -59,3 +59,20 @@ def test_equal_hashes_of_different_windows_are_told_apart():
     low = np.array([1, 1, 1])
     substring._settle_collisions(order, group, new, low, doc, np.array([0, 6, 12]), np.array([5, 5, 5]), text)
     assert low.tolist() == [5, 1, 5]
+
+
+def test_strings_stay_packed_as_the_corpus_grows(documents):
+    """Buckets follow the bytes of the corpus: of varied texts nothing goes as rows, whatever the size, and a common passage is split off."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)] + ["the", "of"] * 300
+    for n in (20, 2000):
+        docs = documents([(i, " ".join(rng.choice(words) for _ in range(60)), "s") for i in range(n)]).select("doc_id", F.xxhash64("text").alias("th"), "text")
+        layout, total = substring.plan(docs, 13, 3, 4000)
+        assert len(layout.rows) == 0 and layout.buckets >= total / 4000
+    # a passage in each document fills its buckets: those are split, and what can't be goes as rows
+    passage = " ".join(words[:40])
+    docs = documents([(i, " ".join(rng.choice(words) for _ in range(20)) + " " + passage, "s") for i in range(1500)]).select("doc_id", F.xxhash64("text").alias("th"), "text")
+    layout, _ = substring.plan(docs, 13, 3, 20_000)
+    assert 0 < len(layout.split) < 40 and (layout.parts > 1).all() and 0 < len(layout.rows) < 100
