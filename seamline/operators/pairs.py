@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -39,29 +41,91 @@ def count_cosine(counts: DataFrame) -> DataFrame:
     )
 
 
-def dense_cosine(vectors: DataFrame, block: int = 1024) -> DataFrame:
-    """Cosine of all pairs of dense vectors (n: long, e: array<double>), block against block; a zero vector has cosine 0 with all.
+def _cosine_cells(vectors: DataFrame, found: Callable, schema: str, block: int) -> DataFrame:
+    """Rows that `found` makes of each cell of all pairs of vectors (n: long, e: array<double>, label): ids and labels of the left and the right rows, their cosines, and which cells are pairs.
 
-    Each vector goes to one cell for each block of the others, on or above the diagonal, so a cell has at most about two blocks of rows.
+    Each vector goes to one cell for each block of the others, on or above the diagonal, so a cell has at most about two blocks of rows. A zero vector has cosine 0 with all.
     """
     n = vectors.count()
     blocks = max(1, -(-n // block))
-    v = vectors.select("n", "e", F.pmod(F.xxhash64("n"), F.lit(blocks)).alias("own"))
+    v = vectors.select("n", "e", "label", F.pmod(F.xxhash64("n"), F.lit(blocks)).alias("own"))
     cells = v.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other"))
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
         left, right = pdf[pdf["own"] == a], pdf[pdf["own"] == b]
         if not len(left) or not len(right):
-            return pd.DataFrame({"i": [], "j": [], "v": []}).astype({"i": "int64", "j": "int64", "v": "float64"})
+            return pd.DataFrame({c: [] for c in names})
         unit = lambda x: (m := np.stack(x["e"].to_list()).astype(float)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
         s = unit(left) @ unit(right).T
         li, ri = left["n"].to_numpy(), right["n"].to_numpy()
         pick = li[:, None] < ri[None, :] if a == b else np.ones(s.shape, bool)
         x, y = np.nonzero(pick)
-        return pd.DataFrame({"i": np.minimum(li[x], ri[y]), "j": np.maximum(li[x], ri[y]), "v": s[x, y]})
+        return pd.DataFrame(dict(zip(names, found(li[x], ri[y], left["label"].to_numpy()[x], right["label"].to_numpy()[y], s[x, y]))))
+
+    return cells.groupBy("a", "b").applyInPandas(run, schema)
+
+
+def dense_cosine(vectors: DataFrame, block: int = 1024) -> DataFrame:
+    """i, j, v: the cosine of all pairs of dense vectors (n: long, e: array<double>), block against block; a zero vector has cosine 0 with all."""
+    return _cosine_cells(vectors.withColumn("label", F.lit(0)), lambda i, j, li, lj, c: (np.minimum(i, j), np.maximum(i, j), c), "i long, j long, v double", block)
+
+
+def cosine_histogram(vectors: DataFrame, bins: int = 60, block: int = 1024) -> DataFrame:
+    """same, bin, n: pairs of vectors (n, e, label: long) by whether they share a label and by the bin of (cosine + 1) / 2, counted where they are made."""
+
+    def found(i, j, li, lj, c):
+        v = np.round((c + 1) / 2, 9)
+        inside = (v >= 0) & (v <= 1)
+        cell = np.minimum(np.floor(v[inside] * bins), bins - 1).astype(int) * 2 + (li == lj)[inside]
+        at, n = np.unique(cell, return_counts=True)
+        return at % 2 == 1, (at // 2).astype(np.int32), n
+
+    return _cosine_cells(vectors, found, "same boolean, bin int, n long", block).groupBy("same", "bin").agg(F.sum("n").alias("n"))
+
 
-    return cells.select("n", "e", "own", "a", "b").groupBy("a", "b").applyInPandas(run, "i long, j long, v double")
+def cosine_above(vectors: DataFrame, least: float, block: int = 1024) -> DataFrame:
+    """same, n, total: how many pairs of vectors (n, e, label: long) have (cosine + 1) / 2 above `least`, and their sum, by whether they share a label. Negative labels are left out."""
+
+    def found(i, j, li, lj, c):
+        v = (c + 1) / 2
+        keep = (li >= 0) & (lj >= 0) & (v > least)
+        same, v = (li == lj)[keep], v[keep]
+        return [False, True], [int((~same).sum()), int(same.sum())], [float(v[~same].sum()), float(v[same].sum())]
+
+    return _cosine_cells(vectors, found, "same boolean, n long, total double", block).groupBy("same").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+def cosine_top(vectors: DataFrame, k: int, block: int = 1024) -> DataFrame:
+    """i, j, v, same: the k pairs of vectors (n, e, label: long) with the largest (cosine + 1) / 2 (to nine digits), then by i, j. A cell sends its k best."""
+
+    def found(i, j, li, lj, c):
+        i, j, v = np.minimum(i, j), np.maximum(i, j), np.round((c + 1) / 2, 9)
+        best = np.lexsort((j, i, -v))[:k]
+        return i[best], j[best], v[best], (li == lj)[best]
+
+    return _cosine_cells(vectors, found, "i long, j long, v double, same boolean", block).orderBy(F.desc("v"), "i", "j").limit(k)
+
+
+def cosine_intra_inter(vectors: DataFrame) -> DataFrame:
+    """One row: intra, inter, n_intra, n_inter, ratio of (cosine + 1) / 2 within and between labels of vectors (n, e, label; negative labels are out), without any pair.
+
+    The cosines of a set add up to the square of the sum of its unit vectors, less what each has with itself, by two.
+    """
+    size = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x))
+    unit = vectors.where("label >= 0").withColumn("z", size).select("label", (F.col("z") > 0).cast("long").alias("own"), F.when(F.col("z") > 0, F.transform("e", lambda x: x / F.col("z"))).otherwise(F.col("e")).alias("u"))
+    sums = unit.select("label", F.posexplode("u").alias("k", "x")).groupBy("label", "k").agg(F.sum("x").alias("s"))
+    squares = sums.groupBy("label").agg(F.sum(F.col("s") * F.col("s")).alias("q"))
+    counts = unit.groupBy("label").agg(F.count("*").alias("c"), F.sum("own").alias("own"))
+    labels = counts.join(squares, "label", "left").fillna(0.0, ["q"])
+    inside = labels.agg(F.sum((F.col("q") - F.col("own")) / 2).alias("cos_in"), F.sum(F.col("c") * (F.col("c") - 1) / 2).cast("long").alias("n_intra"), F.sum("c").alias("c"), F.sum("own").alias("own"))
+    whole = sums.groupBy("k").agg(F.sum("s").alias("s")).agg(F.coalesce(F.sum(F.col("s") * F.col("s")), F.lit(0.0)).alias("q"))
+    row = inside.join(F.broadcast(whole))  # one row each
+    row = row.select("cos_in", "n_intra", ((F.col("q") - F.col("own")) / 2 - F.col("cos_in")).alias("cos_out"), ((F.col("c") * (F.col("c") - 1) / 2).cast("long") - F.col("n_intra")).alias("n_inter"))
+    mean = lambda c, n: F.when(F.col(n) > 0, (F.col(c) / F.col(n) + 1) / 2)
+    out = row.select(mean("cos_in", "n_intra").alias("intra"), mean("cos_out", "n_inter").alias("inter"), "n_intra", "n_inter")
+    return out.withColumn("ratio", F.when(F.col("inter") != 0, F.col("intra") / F.col("inter")))
 
 
 def mirrored(sim: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seamline.functions import text, words
-from seamline.operators import code, diagnose, filters, metrics, normalize, spans, terms
-from seamline.plans.queries import BRANDS, COSINES, STRUCT, TRUTH, UNCERTAINTY, brand_truth, half_cosines, kept, micros, n_brands, query, rounded, sem, struct, table, uncertainty, user_events, vec_truth
+from seamline.operators import code, diagnose, filters, metrics, normalize, pairs, spans, terms
+from seamline.plans.queries import BRANDS, COSINES, STRUCT, TRUTH, UNCERTAINTY, brand_truth, kept, labelled_vectors, micros, n_brands, query, rounded, sem, struct, table, uncertainty, user_events, vec_truth
 
 
 def names(spark, d):
@@ -164,8 +164,9 @@ def threshold_cap_sweep(spark, d):
 
 @query(f"WITH {COSINES}, t AS (SELECT li, lj FROM cs ORDER BY round(v, 9) DESC, i, j LIMIT 100) SELECT count(*) AS top, count(*) FILTER (WHERE li <> lj) AS crossing, round(avg(CASE WHEN li <> lj THEN 1e0 ELSE 0e0 END), 6) AS share FROM t")
 def cross_domain_share(spark, d):
-    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("n"), "label")
-    return rounded(diagnose.cross_share(half_cosines(spark, d).withColumn("v", F.round("v", 9)), labels, 100))
+    crossing = ~F.col("same")
+    top = pairs.cosine_top(labelled_vectors(spark, d), 100)
+    return rounded(top.agg(F.count("*").alias("top"), F.count_if(crossing).alias("crossing"), F.avg(crossing.cast("double")).alias("share")))
 
 
 @query(f"WITH {BRANDS} SELECT no % 5 AS cluster, count(*) AS size, list(n ORDER BY n) AS members FROM brands GROUP BY ALL")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from seamline.functions import math, text
 from seamline.operators import cluster, components, edl, fusion, metrics, normalize, pairs, report, sampling, sessions, spans, structure, terms
@@ -460,13 +461,14 @@ def half_cosines(spark, d):
 
 @query(f"WITH {COSINES}, x AS (SELECT li = lj AS same, CAST(least(floor(round(v, 9) * 60), 59) AS INTEGER) AS bin FROM cs WHERE round(v, 9) BETWEEN 0 AND 1) SELECT same, bin, count(*) AS n, round(count(*) * 60 / sum(count(*)) OVER (PARTITION BY same), 6) AS density FROM x GROUP BY same, bin")
 def similarity_histogram(spark, d):
-    l = table(spark, d, "embeddings").select("vec_id", "label")
-    x = half_cosines(spark, d).join(l.select(F.col("vec_id").alias("i"), F.col("label").alias("li")), "i").join(l.select(F.col("vec_id").alias("j"), F.col("label").alias("lj")), "j")
-    return rounded(normalize.histogram(x.select((F.col("li") == F.col("lj")).alias("same"), F.round("v", 9).alias("v")), ["same"]))
+    counts = pairs.cosine_histogram(labelled_vectors(spark, d))
+    return rounded(counts.withColumn("density", F.col("n") * 60 / F.sum("n").over(Window.partitionBy("same"))))
 
 
-def vec_labels(spark, d):
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("n"), F.when(F.col("label") == 0, -1).otherwise(F.col("label")).alias("label"))
+def labelled_vectors(spark, d, out=None):
+    """Vectors with their labels; those of label `out` get -1."""
+    label = F.col("label").cast("long")
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("n"), F.col("embedding").cast("array<double>").alias("e"), (label if out is None else F.when(label == out, -1).otherwise(label)).alias("label"))
 
 
 INTRA = "round(avg(v) FILTER (WHERE li = lj), 6) AS intra, round(avg(v) FILTER (WHERE li <> lj), 6) AS inter, count(*) FILTER (WHERE li = lj) AS n_intra, count(*) FILTER (WHERE li <> lj) AS n_inter, round(avg(v) FILTER (WHERE li = lj) / avg(v) FILTER (WHERE li <> lj), 6) AS ratio"
@@ -474,13 +476,16 @@ INTRA = "round(avg(v) FILTER (WHERE li = lj), 6) AS intra, round(avg(v) FILTER (
 
 @query(f"WITH {COSINES} SELECT {INTRA} FROM cs WHERE li <> 0 AND lj <> 0")
 def intra_inter(spark, d):
-    return rounded(normalize.intra_inter(half_cosines(spark, d), vec_labels(spark, d)))
+    return rounded(pairs.cosine_intra_inter(labelled_vectors(spark, d, 0)))
 
 
 @query(f"WITH {COSINES}, t AS (SELECT i, j, li, lj, CASE WHEN v > 0.55 THEN v ELSE 0 END AS v FROM cs) SELECT {INTRA} FROM t WHERE li <> 0 AND lj <> 0 AND v > 0")
 def intra_inter_nz(spark, d):
-    sparse = half_cosines(spark, d).select("i", "j", F.when(F.col("v") > 0.55, F.col("v")).otherwise(0.0).alias("v"))
-    return rounded(normalize.intra_inter(sparse, vec_labels(spark, d), nonzero=True))
+    both = pairs.cosine_above(labelled_vectors(spark, d, 0), 0.55)
+    of = lambda same, c: F.coalesce(F.sum(F.when(F.col("same") == same, F.col(c))), F.lit(0))
+    mean = lambda same: F.when(of(same, "n") > 0, of(same, "total") / of(same, "n"))
+    out = both.agg(mean(True).alias("intra"), mean(False).alias("inter"), of(True, "n").alias("n_intra"), of(False, "n").alias("n_inter"))
+    return rounded(out.withColumn("ratio", F.col("intra") / F.col("inter")))
 
 
 @query(f"WITH {COSINES} SELECT i, j, round(least(greatest(v * CASE WHEN li < 3 AND lj < 3 THEN 0.6 WHEN li < 3 OR lj < 3 THEN 0.8 ELSE 1 END, 0), 1), 6) AS v FROM cs")
