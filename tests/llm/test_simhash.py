@@ -164,3 +164,38 @@ def test_similar_documents_with_blocks(documents, kind):
     for r in simhash.similar_documents(documents([(d, t, "s") for d, t in docs])).collect():
         got.setdefault(r["component_id"], set()).add(r["doc_id"])
     assert {frozenset(g) for g in got.values()} == jaccard_components(docs, 0.8, 5)
+
+
+def test_cells_of_a_skewed_value_are_bounded(spark, monkeypatch):
+    """A value that most rows share is a grid by its members and by the rows that probe it: no cell is large, and each pair meets once."""
+    monkeypatch.setattr(simhash, "HEAVY", 50)
+    work = Workspace(spark, "test")
+    sizes = {7: (400, 900), 8: (10, 300), 9: (0, 500), 10: (30, 40)}
+    rows = [(0, v, v * 10_000 + k, 1) for v, (m, _) in sizes.items() for k in range(m)] + [(0, v, v * 10_000 + 5000 + k, 2) for v, (_, p) in sizes.items() for k in range(p)]
+    rows += [(0, 7, 90_000 + k, 3) for k in range(60)]
+    entries = work.keep(spark.createDataFrame(rows, "part int, value long, fp long, kind int").selectExpr("part", "value", "fp", "cast(kind as byte) kind"), "entries")
+    cells = {}
+    for r in simhash._dealt(entries, work).collect():
+        c = cells.setdefault((r["value"], r["cell"]), [0, 0])
+        c[0] += r["kind"] & 1
+        c[1] += r["kind"] >> 1
+    assert all(max(c) <= 100 for (v, _), c in cells.items() if v != 9)
+    for v, (m, p) in sizes.items():
+        more = 60 if v == 7 else 0
+        assert sum(c[0] * c[1] for (x, _), c in cells.items() if x == v) == (m + more) * (p + more)
+
+
+def test_a_large_group_of_copies(documents, monkeypatch):
+    """Copies of one text join its leaders; what resembles only some of them is found among the rest."""
+    monkeypatch.setattr(simhash, "CELL", 400)
+    rng = random.Random(11)
+    words = [f"w{rng.randint(0, 5000)}" for _ in range(120)]
+    docs = [(n, " ".join(edited(rng, words, rng.randint(0, 3)))) for n in range(60)]
+    chain = list(words)
+    for n in range(60, 90):
+        chain = edited(rng, chain, 2)  # walks away from the others step by step
+        docs.append((n, " ".join(chain)))
+    got = {}
+    for r in simhash.similar_documents(documents([(d, t, "s") for d, t in docs])).collect():
+        got.setdefault(r["component_id"], set()).add(r["doc_id"])
+    assert {frozenset(g) for g in got.values()} == jaccard_components(docs, 0.8, 5)
