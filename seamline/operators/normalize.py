@@ -24,11 +24,10 @@ def minmax(sim: DataFrame, diagonal: float | None = None, least_range: float = 1
 
 
 def quantile_ranks(sim: DataFrame) -> DataFrame:
-    """v as its rank, evenly from 0 to 1; ties by i, j. Ranks come from counts by value range, so no task sorts all pairs."""
-    bins = sim.select("i", "j", "v", F.floor(F.col("v") * 4096).alias("_b"))
-    before = bins.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    nth = F.row_number().over(Window.partitionBy("_b").orderBy("v", "i", "j")) - 1 + F.col("_before")
-    return bins.join(before, "_b").select("i", "j", F.when(F.col("_all") > 1, nth / (F.col("_all") - 1)).otherwise(F.lit(0.0)).alias("v"))
+    """v as its rank, evenly from 0 to 1; ties by i, j. Ranks come from counts by ranges, so no task sorts all pairs."""
+    nth = ranges.ranked(sim.select("i", "j", "v"), [F.col("v"), F.col("i"), F.col("j")])
+    every = sim.agg(F.count("*").alias("_all"))  # one row
+    return nth.join(F.broadcast(every)).select("i", "j", F.when(F.col("_all") > 1, F.col("nth") / (F.col("_all") - 1)).otherwise(F.lit(0.0)).alias("v"))
 
 
 def robust(sim: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFrame:

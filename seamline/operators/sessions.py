@@ -18,18 +18,18 @@ def anchored_sessions(events: DataFrame, cap_ms: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, anchor, session = object(), None, 0
+        last, anchor, session = None, None, 0  # of the group that may go on in the next batch
         for batch in batches:
+            codes = batch.column(0).dictionary_encode()
+            code = np.asarray(codes.indices.fill_null(-1))
+            starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+            times = np.asarray(batch.column(2).fill_null(-1)).astype(np.int64)
             out = np.empty(len(batch), np.int64)
-            for k, (g, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
-                if g != group:
-                    group, anchor, session = g, None, 0
-                if t is not None and t >= 0:
-                    if anchor is None:
-                        anchor = t
-                    elif cap_ms > 0 and t - anchor > cap_ms:
-                        anchor, session = t, session + 1
-                out[k] = session
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(code)]):
+                group = (batch.column(0)[lo].as_py(),)
+                if group != last:
+                    last, anchor, session = group, None, 0
+                anchor, session = _split(times[lo:hi], out[lo:hi], anchor, session, cap_ms)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "session"])
 
     rows = events.select("g", "seq", "t", "n")
@@ -37,6 +37,35 @@ def anchored_sessions(events: DataFrame, cap_ms: int) -> DataFrame:
     return rows.repartition("g").sortWithinPartitions("g", "seq").mapInArrow(run, f"{schema}, session long")
 
 
+def _split(t: np.ndarray, out: np.ndarray, anchor: int | None, session: int, cap: int) -> tuple[int | None, int]:
+    """Sessions of one group's events into out, from where the group stands; its new state. Negative times neither open nor split. Goes from one first event to the next."""
+    known = np.flatnonzero(t >= 0)
+    high = np.maximum.accumulate(t[known]) if len(known) else t[:0]  # the first time above a limit is the first running maximum above it
+    at = 0
+    while at < len(t):
+        if anchor is None:
+            nxt = int(known[0]) if len(known) else len(t)
+            out[at:nxt] = session
+            if nxt == len(t):
+                return None, session
+            anchor, at = int(t[nxt]), nxt
+        first = int(np.searchsorted(known, at))
+        nxt = len(t)
+        if cap > 0 and first < len(known):
+            # times before `at` count in the maxima; where they hide the place, the rest is looked at by itself
+            if first and high[first - 1] > anchor + cap:
+                over = np.flatnonzero(t[known[first:]] > anchor + cap)
+                nxt = int(known[first + over[0]]) if len(over) else len(t)
+            else:
+                k = int(np.searchsorted(high, anchor + cap, "right"))
+                nxt = int(known[k]) if k < len(known) else len(t)
+        out[at:nxt] = session
+        if nxt < len(t):
+            anchor, session = int(t[nxt]), session + 1
+        at = nxt
+    return anchor, session
+
+
 def count_windows(rows: DataFrame, size: int, stride: int) -> DataFrame:
     """g, w, seq, n: full windows of `size` consecutive items of a group, one every `stride`. rows: g, seq, n."""
     order = Window.partitionBy("g").orderBy("seq")

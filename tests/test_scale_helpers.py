@@ -93,3 +93,30 @@ def test_tables_are_removed(spark):
     workspace._delete(spark, work.root)
     with pytest.raises(Exception):
         work.spark.read.parquet(f"{work.root}/t")
+
+
+def test_sessions_by_jumps():
+    """Against one event after another, with times that go back, are missing, and go on in the next batch."""
+    from seamline.operators.sessions import _split
+
+    rng = random.Random(5)
+    for _ in range(300):
+        cap, n = rng.choice([0, 5, 20]), rng.randint(0, 60)
+        t, at = [], 0
+        for _ in range(n):
+            at += rng.choice([0, 1, 3, 12, -4])
+            t.append(-1 if rng.random() < 0.1 else max(0, at))
+        anchor, session, want = None, 0, []
+        for x in t:
+            if x >= 0:
+                if anchor is None:
+                    anchor = x
+                elif cap > 0 and x - anchor > cap:
+                    anchor, session = x, session + 1
+            want.append(session)
+        cut, state, got = rng.randint(0, n), (None, 0), []
+        for part in (t[:cut], t[cut:]):
+            out = np.empty(len(part), np.int64)
+            state = _split(np.array(part, np.int64), out, *state, cap)
+            got += out.tolist()
+        assert got == want
