@@ -9,7 +9,7 @@ blocks, and a block passes on a spanning forest instead of its pairs.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations, islice, repeat
 
 import numpy as np
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from seamline.llm.rolling import mix
+from seamline.llm.rolling import mix, split_words, word_hashes
 from seamline.operators.components import LINKS, connected_components, forest
 from seamline.operators.skew import join_counted
 from seamline.workspace import Workspace
@@ -33,8 +33,8 @@ ROW_COST = 40.0
 PAIRS = 1 << 18
 
 
-def fingerprint(text: str | None, shingle: int = 3, repeats: bool = True) -> int:
-    """Unsigned 64-bit SimHash; zero for a text without words. Each of the shingles counts, repeated ones only if `repeats`."""
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """Unsigned 64-bit SimHash; zero for a text without words. Each of the shingles counts, repeated ones too."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -44,8 +44,6 @@ def fingerprint(text: str | None, shingle: int = 3, repeats: bool = True) -> int
         shingles: Iterator[bytes] = iter([b" ".join(words)])
     else:
         shingles = map(b" ".join, zip(*(islice(words, i, None) for i in range(shingle))))
-    if not repeats:
-        shingles = iter(set(shingles))
     ones, n = np.zeros(BITS, np.int64), 0
     while len(h := np.fromiter(map(xxhash.xxh64_intdigest, islice(shingles, 1 << 15), repeat(42)), np.uint64)):
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -53,12 +51,12 @@ def fingerprint(text: str | None, shingle: int = 3, repeats: bool = True) -> int
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, repeats: bool = True) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, th, fp: a hash of each row's whole text and its fingerprint, as a signed long with the same bits. Null texts have no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t.as_py(), shingle, repeats) for t in batch.column(2)], np.uint64).view(np.int64)
+            fp = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(2)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], names=["doc_id", "th", "fp"])
 
     return _hashed(docs).mapInArrow(run, "doc_id long, th long, fp long")
@@ -367,13 +365,55 @@ def _named(nodes: DataFrame, labels: DataFrame, key: str) -> DataFrame:
 CELL = 1 << 19
 
 
-def _shingle_hashes(text: str, shingle: int) -> np.ndarray:
-    """The distinct shingles of a text as sorted 64-bit hashes; fewer words are one shingle."""
-    import xxhash
+#: Bytes of text hashed at once.
+CHUNK = 1 << 20
+
+
+def hashed_sets(texts: Iterable[str | None], shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text its distinct words and its distinct shingles of `shingle` words (A-Z in lower case) as sorted 64-bit hashes; fewer words are one shingle, none have none.
+
+    Words are hashed for many texts at once, and a shingle's hash comes from those of its words.
+    """
+    held, size = [], 0
+
+    def done() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        buf = np.frombuffer(b"".join(b" ".join(t.split()) + b"\n" for t in held), np.uint8)
+        starts, ends, record = split_words(buf)
+        w = word_hashes(buf, starts, ends)
+        with np.errstate(over="ignore"):
+            g = np.zeros(max(0, len(w) - shingle + 1), np.uint64)
+            for j in range(shingle):
+                g = g * np.uint64(0x9FB21C651E98DF25) + w[j : j + len(g)]
+        g = mix(g)
+        bounds = np.searchsorted(record, np.arange(len(held) + 1))
+        for lo, hi in zip(bounds.tolist(), bounds[1:].tolist()):
+            words = w[lo:hi]
+            if hi - lo >= shingle:
+                yield np.unique(words), np.unique(g[lo : hi - shingle + 1])
+            elif hi > lo:
+                whole = 0
+                for x in words.tolist():
+                    whole = (whole * 0x9FB21C651E98DF25 + x + 1) & (1 << 64) - 1
+                yield np.unique(words), mix(np.array([whole], np.uint64))
+            else:
+                yield words, words
+
+    for t in texts:
+        held.append((t or "").encode("utf-8", "surrogatepass").lower())
+        size += len(held[-1])
+        if size > CHUNK:
+            yield from done()
+            held, size = [], 0
+    if held:
+        yield from done()
+
 
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    parts = [b" ".join(words)] if 0 < len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64))
+def word_fingerprint(words: np.ndarray) -> int:
+    """SimHash of a text's distinct words, given as hashes; zero for none."""
+    ones = np.zeros(BITS, np.int64)
+    for lo in range(0, len(words), 1 << 15):
+        ones += _bits(words[lo : lo + (1 << 15)]).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(words), bitorder="little").view(np.uint64)[0])
 
 
 #: Minima of a band, and how likely a pair of the least similarity may share none of the bands.
@@ -404,9 +444,12 @@ def _signatures(docs: DataFrame, shingle: int, bands: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t.as_py(), 1, False) for t in batch.column(2)], np.uint64).view(np.int64)
-            keys = [minhash_bands(h, bands).view(np.int64) if len(h := _shingle_hashes(t.as_py(), shingle)) else [] for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "th", "fp", "bands"])
+            fp, keys = [], []
+            for words, shingles in hashed_sets((t.as_py() for t in batch.column(2)), shingle):
+                fp.append(word_fingerprint(words))
+                keys.append(minhash_bands(shingles, bands).view(np.int64) if len(shingles) else [])
+            fps = pa.array(np.array(fp, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps, pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "th", "fp", "bands"])
 
     return _hashed(docs).mapInArrow(run, "doc_id long, th long, fp long, bands array<long>")
 
@@ -562,20 +605,21 @@ def similar_documents(docs: DataFrame, least: float = 0.8, shingle: int = 5, dis
     grouped = work.keep(fps.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", F.coalesce("label", "fp").alias("group")), "grouped")
     many = work.keep(grouped.groupBy("group").agg(F.sum("n").alias("texts"), F.count("*").alias("k")).where("texts > 1").select("group", "k"), "many")
     named = work.keep(join_counted(grouped, many, "group", grouped.count(), "k"), "named")
-    picked = work.keep(join_counted(texts.select("th", "fp"), named, "fp", texts.count()), "candidates")
+    picked = work.keep(join_counted(texts.select("th", "fp", "root"), named, "fp", texts.count()), "candidates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 1000):
                 part = batch.slice(lo, 1000)
-                sets = [_shingle_hashes(t.as_py(), shingle) for t in part.column(3)]
+                sets = [x for _, x in hashed_sets((t.as_py() for t in part.column(3)), shingle)]
                 # A band is cut to 32 bits: a chance match costs a comparison.
                 keys = [(minhash_bands(x, bands) if len(x) else np.zeros(bands, np.uint64)).astype(np.uint32).tobytes() for x in sets]
                 data = [pa.array(keys, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([len(x) + 1 for x in sets], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *data], names=["group", "th", "fp", "bands", "shingles", "n"])
 
-    # One row for each text that has a candidate, however many copies there are.
-    one = _hashed(docs).join(picked.select("th").hint("shuffle_hash"), "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
+    # One row for each text that has a candidate, the one with the least doc_id: its copies aren't looked up, so no key is large.
+    wanted = picked.select("th", "root").hint("shuffle_hash").alias("p")
+    one = _hashed(docs).alias("d").join(wanted, (F.col("d.th") == F.col("p.th")) & F.col("d.doc_id").eqNullSafe(F.col("p.root")), "left_semi").groupBy("th").agg(F.first("text").alias("text"))
     sets = one.join(picked, "th").select("group", "th", "fp", "text").mapInArrow(run, "group long, th long, fp long, bands binary, shingles binary, n long")
     labels = work.keep(connected_components(_similar(work.keep(sets, "sets"), distance, least, work), contracted=True), "labels")
     work.drop("fps", "groups", "grouped", "many", "named", "candidates", "sets")
