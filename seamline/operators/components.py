@@ -16,6 +16,8 @@ from seamline.operators.skew import join_counted
 from seamline.workspace import Workspace
 
 LINKS = "a long, b long"
+#: Links, two numbers each, that one task may well join.
+LIGHT = 1 << 20
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,10 +54,10 @@ def _star(links: DataFrame, large: bool, n: int) -> DataFrame:
     if large:
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        out = join_counted(links.select(F.col("b").alias("u"), F.col("a").alias("v")), least, "u", 2 * n).select(F.col("v").alias("a"), F.col("m").alias("b"))
+        out = join_counted(links.select(F.col("b").alias("u"), F.col("a").alias("v")), least, "u", 2 * n, light_rows=LIGHT).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         least = links.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        out = join_counted(links.select(F.col("a").alias("u"), F.col("b").alias("v")), least, "u", n).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b"))
+        out = join_counted(links.select(F.col("a").alias("u"), F.col("b").alias("v")), least, "u", n, light_rows=LIGHT).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b"))
     return out.where("a <> b").distinct()
 
 

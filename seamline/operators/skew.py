@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, functions as F
 HOT_SHARE = 1000
 
 
-def join_counted(rows: DataFrame, counted: DataFrame, on: str, total: int, count: str = "n") -> DataFrame:
+def join_counted(rows: DataFrame, counted: DataFrame, on: str, total: int, count: str = "n", light_rows: int = 0) -> DataFrame:
     """Inner join of rows with counted, which has one row for each key and in `count` how many of the `total` rows have it.
 
     Hot keys, fewer than HOT_SHARE, are broadcast and their rows stay where they are; the others meet by a shuffle in which no key is large.
     rows and counted are read twice, so they should be tables. `count` doesn't come back. A null key joins nothing.
+    light_rows: up to so many rows are no load for one task, whatever their keys, and are joined as they are.
     """
+    if total <= light_rows:
+        return rows.join(counted.drop(count), on)
     is_hot = F.col(count) * HOT_SHARE > F.lit(total)
     hot = F.broadcast(counted.where(is_hot).drop(count))
     light = rows.join(hot.select(on), on, "left_anti").join(counted.where(~is_hot).drop(count), on)

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from seamline.functions import math, text
 from seamline.operators import cluster, diagnose, edl, filters, fusion, metrics, normalize, pairs, ranges, report, sampling, sessions, spans, structure, terms
 from seamline.plans.queries import (
-    BRANDS, CAMEL, CONT, F1, IDF, MODALITIES, SEM, STOP, STRUCT, TEMP, TRUTH, brand_pred, brand_truth, camel_name, certainty, full, kept, n_brands, order_items, query, rounded, sem, struct, table, temp, trimodal, vec_pred, vec_truth,
+    BRANDS, CAMEL, CONT, F1, IDF, MODALITIES, SEM, STOP, STRUCT, TEMP, TRUTH, brand_pred, brand_truth, camel_name, certainty, full, kept, n_brands, query, rounded, sem, struct, table, temp, trimodal, vec_pred, vec_truth,
 )
 
 # Spans and logs. A page is a span: its URL has route, path and query, and some have a collection, a namespace or a log record.
 
 PATH, QUERY = r"^https?://[^/?#]+([^?#]*)", r"\?([^#]*)"
 PAGE_SPANS = rf"""p AS (SELECT page_id AS id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '{PATH}', 1) AS path, regexp_extract(url, '\?([^#]*)', 1) || CASE WHEN page_id % 5 = 0 THEN '&action=buy_Now' ELSE '' END AS q,
-CASE WHEN page_id % 11 = 0 THEN 'customer' ELSE '' END AS coll, CASE WHEN page_id % 13 = 0 THEN 'org.Page' WHEN page_id % 17 = 0 THEN 'org.Unknown' END AS ns, CASE WHEN page_id % 6 = 0 THEN 'select Flight' END AS body FROM pages),
+CASE WHEN page_id % 11 = 0 THEN 'customer' ELSE '' END AS coll, CASE WHEN page_id % 13 = 0 THEN 'org.Page' WHEN page_id % 17 = 0 THEN 'org.Unknown' END AS ns, CASE WHEN page_id % 6 = 0 THEN 'select Flight' END AS body, contains(url, '?') AS served FROM pages),
 s AS (SELECT *, 'GET ' || path AS name, CASE WHEN path <> '' THEN path END AS target FROM p)"""
 
 
@@ -26,7 +26,7 @@ def page_spans(spark, d):
         F.lit("url.path"), path, F.lit("url.query"), q, F.lit("db.mongodb.collection"), F.when(n % 11 == 0, "customer").otherwise(""), F.lit("code.namespace"), F.when(n % 13 == 0, "org.Page").when(n % 17 == 0, "org.Unknown"),
         F.lit("code.function"), F.when(n % 26 == 0, "run"), F.lit("service.name"), F.regexp_extract("url", r"^https?://([^/?#]+)", 1), F.lit("thread.id"), n.cast("string"),
     )
-    return table(spark, d, "pages").select(n.alias("id"), F.concat(F.lit("GET "), path).alias("name"), attrs.alias("attrs"), F.when(n % 6 == 0, "select Flight").alias("body"), F.when(n % 4 == 0, 2).otherwise(3).alias("kind"))
+    return table(spark, d, "pages").select(n.alias("id"), F.concat(F.lit("GET "), path).alias("name"), attrs.alias("attrs"), F.when(n % 6 == 0, "select Flight").alias("body"), F.when(F.contains("url", F.lit("?")), 2).otherwise(3).alias("kind"))
 
 
 RULES = [
@@ -72,7 +72,7 @@ def backend_names(spark, d):
     return spans.backend_names(page_spans(spark, d).select((F.col("id") % 40).alias("w"), F.col("id").alias("seq"), "attrs")).where(F.size("names") > 0)
 
 
-@query(f"WITH {PAGE_SPANS}, k AS (SELECT id, unnest(['url.path', 'url.query', 'db.mongodb.collection', 'code.namespace', 'code.function']) AS key, unnest([path, q, coll, ns, CASE WHEN id % 26 = 0 THEN 'run' END]) AS value FROM s WHERE id % 4 = 0) SELECT * FROM k WHERE key <> 'url.query'")
+@query(f"WITH {PAGE_SPANS}, k AS (SELECT id, unnest(['url.path', 'url.query', 'db.mongodb.collection', 'code.namespace', 'code.function']) AS key, unnest([path, q, coll, ns, CASE WHEN id % 26 = 0 THEN 'run' END]) AS value FROM s WHERE served) SELECT * FROM k WHERE key <> 'url.query'")
 def telling_attributes(spark, d):
     served = filters.without_attributes(filters.server_spans(page_spans(spark, d)), ("url.query",))
     return served.select("id", F.explode(filters.telling(F.col("attrs"))).alias("key", "value"))
@@ -149,12 +149,12 @@ def vectors_dedup_first(spark, d):
     return structure.dedup_first(v, ["e"], ["vec_id"]).select("vec_id")
 
 
-@query("""WITH v AS (SELECT vec_id AS n, label AS pkg, CASE WHEN label > 1 AND vec_id % 3 = 0 OR label = 1 THEN CAST(embedding AS DOUBLE[]) END AS e FROM embeddings), x AS (SELECT n, pkg, unnest(e) AS x, unnest(generate_series(1, len(e))) AS k FROM v WHERE e IS NOT NULL),
+@query("""WITH v AS (SELECT vec_id AS n, label AS pkg, CASE WHEN label > 1 AND embedding[1] > 0 OR label = 1 THEN CAST(embedding AS DOUBLE[]) END AS e FROM embeddings), x AS (SELECT n, pkg, unnest(e) AS x, unnest(generate_series(1, len(e))) AS k FROM v WHERE e IS NOT NULL),
 p AS (SELECT pkg, k, avg(x) AS m FROM x GROUP BY ALL), g AS (SELECT k, avg(x) AS m FROM x GROUP BY k), pe AS (SELECT pkg, list(m ORDER BY k) AS e FROM p GROUP BY pkg), ge AS (SELECT list(m ORDER BY k) AS e FROM g)
 SELECT n, list_transform(coalesce(v.e, pe.e, ge.e), lambda y: round(y, 6) + 0.0) AS e, CASE WHEN v.e IS NOT NULL THEN 'own' WHEN pe.e IS NOT NULL THEN 'package' ELSE 'all' END AS origin FROM v LEFT JOIN pe USING (pkg), ge""")
 def vector_fill(spark, d):
     t = table(spark, d, "embeddings")
-    known = t.where("(label > 1 and vec_id % 3 = 0) or label = 1").select(F.col("vec_id").alias("n"), F.col("embedding").cast("array<double>").alias("e"))
+    known = t.where("(label > 1 and embedding[0] > 0) or label = 1").select(F.col("vec_id").alias("n"), F.col("embedding").cast("array<double>").alias("e"))
     out = structure.vector_fill(t.select(F.col("vec_id").alias("n"), F.col("label").alias("pkg")), known)
     return out.select("n", F.transform("e", lambda x: F.round(x, 6) + F.lit(0.0)).alias("e"), "origin")
 
@@ -205,13 +205,13 @@ def radar_pairs(spark, d):
 
 
 def jtl_rows(spark, d):
-    """Events as load-test rows: users are threads; some iterations are unknown, and a few threads have no name."""
+    """Events as load-test rows: users are threads; some iterations are unknown, and errors name no thread."""
     e, k = table(spark, d, "events"), F.get_json_object("props", "$.k").cast("int")
-    thread = F.when(F.col("user_id") % 50 == 0, " ").otherwise(F.concat(F.lit("T "), F.col("user_id").cast("string")))
+    thread = F.when(F.col("event_type") == "error", " ").otherwise(F.concat(F.lit("T "), F.col("user_id").cast("string")))
     return e.select(thread.alias("threadName"), F.when(k % 3 == 0, (k % 2).cast("string")).alias("threadIteration"), F.when(F.col("user_id") % 2 == 0, "7").alias("grpThreads"), F.col("event_id").alias("seq"), F.col("event_type").alias("n"))
 
 
-GATE_SESSIONS = """je AS (SELECT user_id, event_id, event_type AS n, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE user_id % 50 <> 0), jg AS (SELECT *, CASE WHEN k % 3 = 0 THEN k % 2 WHEN user_id % 2 = 0 THEN 7 END AS it FROM je),
+GATE_SESSIONS = """je AS (SELECT user_id, event_id, event_type AS n, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE event_type <> 'error'), jg AS (SELECT *, CASE WHEN k % 3 = 0 THEN k % 2 WHEN user_id % 2 = 0 THEN 7 END AS it FROM je),
 js AS (SELECT 'T ' || user_id || CASE WHEN it IS NULL THEN '' ELSE '::it=' || it END AS g, event_id AS seq, n FROM jg), jk AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY seq) AS k, count(*) OVER (PARTITION BY g) AS c FROM js), jsess AS (SELECT g, seq, n FROM jk WHERE c >= 2 AND k <= 20)"""
 
 
@@ -225,7 +225,7 @@ def brand_ids(spark, d):
     return F.regexp_extract("n", "[0-9]+", 0).cast("long")
 
 
-SMALL_ORDERS = "so AS (SELECT l_orderkey AS g, no AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN brands ON brands.n = p_brand WHERE l_orderkey % 300 = 1)"
+LINES = "so AS (SELECT no // 10 AS g, no AS n FROM part JOIN brands ON brands.n = p_brand)"
 
 
 def gate_stats(spark, d):
@@ -258,15 +258,15 @@ def master_table(spark, d):
     return rounded(report.master_table(gated)).select("system", "n", "offdiag", "density", "intra", "inter", "ratio")
 
 
-@query(f"""WITH RECURSIVE {STRUCT}, {BRANDS}, {SMALL_ORDERS}, lk AS (SELECT DISTINCT a.n AS a, b.n AS b FROM so a JOIN so b USING (g)), nb AS (SELECT DISTINCT no AS n FROM brands), u AS (SELECT a, b FROM lk UNION SELECT n, n FROM nb),
+@query(f"""WITH RECURSIVE {STRUCT}, {BRANDS}, {LINES}, lk AS (SELECT DISTINCT a.n AS a, b.n AS b FROM so a JOIN so b USING (g)), nb AS (SELECT DISTINCT no AS n FROM brands), u AS (SELECT a, b FROM lk UNION SELECT n, n FROM nb),
 r(k, n, m) AS (SELECT 0, n, n FROM nb UNION ALL SELECT r.k + 1, u.b, min(r.m) FROM r JOIN u ON u.a = r.n WHERE r.k < 30 GROUP BY r.k, u.b), cc AS (SELECT n, m AS c FROM r WHERE k = 30), sz AS (SELECT count(*) AS n FROM cc GROUP BY c),
 x AS (SELECT sum(v) FILTER (WHERE a.c = b.c) AS s, sum(v) FILTER (WHERE a.c <> b.c) AS o FROM struct JOIN brands p ON p.n = i JOIN brands q ON q.n = j JOIN cc a ON a.n = p.no JOIN cc b ON b.n = q.no), y AS (SELECT sum(n * (n - 1) / 2) AS same, sum(n) * (sum(n) - 1) / 2 AS total FROM sz)
 SELECT round(CASE WHEN same > 0 THEN coalesce(s, 0) / same END, 6) AS intra, round(CASE WHEN total > same THEN coalesce(o, 0) / (total - same) END, 6) AS inter, CASE WHEN total > same AND coalesce(o, 0) > 0 THEN round((CASE WHEN same > 0 THEN coalesce(s, 0) / same END) / (o / (total - same)), 6) ELSE 'Infinity'::DOUBLE END AS ratio FROM x, y""")
 def component_ratio(spark, d):
-    """Similarities within and between what every 300th order ties together: a limit of the sessions, as all orders tie all brands."""
+    """Similarities within and between what sessions tie together: brands of one tens digit, as orders tie all brands."""
     no = lambda c: F.regexp_extract(c, "[0-9]+", 0).cast("long")
     sim = struct(spark, d).select(no("i").alias("i"), no("j").alias("j"), "v").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "v")
-    sets = order_items(spark, d).where("g % 300 = 1").select("g", no("n").alias("n"))
+    sets = table(spark, d, "part").select(F.floor(no("p_brand") / 10).alias("g"), no("p_brand").alias("n"))
     nodes = table(spark, d, "part").select(no("p_brand").alias("n")).distinct()
     return rounded(diagnose.component_ratio(kept(spark, sim, "sim"), sets, nodes))
 

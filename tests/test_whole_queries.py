@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
-from seamline.operators import edl, structure
+from seamline.operators import components, edl, structure
 from seamline.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
@@ -42,7 +42,9 @@ def tables(spark, path, links):
     spark.createDataFrame([(i, p, 1.0, 0.0) for i, (_, p) in enumerate(links)], "l_orderkey long, l_partkey long, l_quantity double, l_discount double").write.parquet(f"{path}/lineitem.parquet")
 
 
-def test_components_of_all_links(spark, tmp_path):
+@pytest.mark.parametrize("light", [1 << 20, 0])  # 0: hot keys are joined apart, as in large tables
+def test_components_of_all_links(spark, tmp_path, monkeypatch, light):
+    monkeypatch.setattr(components, "LIGHT", light)
     got = {r["node"]: r["label"] for r in entry.queries()["connected_components"](spark, SF).collect()}
     orders = dict(read("orders", "o_orderkey", "o_custkey"))
     assert got == labels((orders[o], 10_000_000 + p) for o, p in read("lineitem", "l_orderkey", "l_partkey"))
