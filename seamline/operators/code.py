@@ -140,3 +140,21 @@ def call_edges(found: DataFrame) -> DataFrame:
     own = found.select("fqcn", "name", F.lit(True).alias("own")).distinct()
     target = F.when(F.col("own"), F.concat_ws(".", "fqcn", "name")).when(F.col("k") == 1, F.concat_ws(".", "only", "name"))
     return calls.join(owners, "name").join(own, ["fqcn", "name"], "left").select("source", target.alias("target")).where("target is not null and target <> source").distinct()
+
+
+def source_roots(files: DataFrame) -> DataFrame:
+    """root, n: folders below which program files lie by their packages, and how many do. files: path, text. A file whose folder isn't that of its package has its own folder as root."""
+    pkg = F.regexp_extract(bare(F.col("text")), r"(?m)^\s*package\s+([\w.]+)\s*;", 1)
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    below = F.concat(F.lit("/"), F.replace(pkg, F.lit("."), F.lit("/")))
+    root = F.when((pkg != "") & F.endswith(folder, below), F.substr(folder, F.lit(1), F.length(folder) - F.length(below))).otherwise(folder)
+    return files.select(root.alias("root")).groupBy("root").agg(F.count("*").alias("n"))
+
+
+def outline(files: DataFrame) -> DataFrame:
+    """path, outline: JSON of each file's first type, its kind and bases, imports and public methods. files: path, text."""
+    listed = lambda df, c, name: df.groupBy("path").agg(F.sort_array(F.collect_set(c)).alias(name))
+    found = F.regexp_extract_all(bare(F.col("text")), F.lit(r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)\s*;"), F.lit(1))
+    own = types(files).join(files.select("path", F.array_sort(F.array_distinct(found)).alias("imports")), "path").join(listed(public_methods(files), "name", "methods"), "path", "left")
+    none = F.array().cast("array<string>")
+    return own.select("path", F.to_json(F.struct("fqcn", "kind", "bases", F.coalesce("imports", none).alias("imports"), F.coalesce("methods", none).alias("methods"))).alias("outline"))

@@ -125,3 +125,10 @@ def gated(labels: DataFrame, rules: DataFrame, normal) -> DataFrame:
     """labels (label, and others) with node for each class of the gate's rule (key, nodes): both sides in the gate's own normal form, so its rules are met whatever their spelling."""
     keyed = rules.select(normal(F.col("key")).alias("_key"), F.explode("nodes").alias("node")).distinct()
     return labels.withColumn("_key", normal(F.col("label"))).join(keyed, "_key").drop("_key")
+
+
+def rule_hits(labels: DataFrame, rules: DataFrame, normal) -> DataFrame:
+    """label, n, hit: each distinct label, how often it stands there, and whether a rule (key) maps it. labels: label."""
+    keys = rules.select(F.col("key").alias("_key")).distinct().withColumn("hit", F.lit(True))
+    counted = labels.groupBy("label").agg(F.count("*").alias("n")).withColumn("_key", normal(F.col("label")))
+    return counted.join(keys, "_key", "left").select("label", "n", F.coalesce("hit", F.lit(False)).alias("hit"))

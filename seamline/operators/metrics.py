@@ -125,7 +125,7 @@ def partitions_from(rows: Iterator[tuple[str, str]]) -> dict[str, list[str]]:
 
 
 def k_report(pred: DataFrame, truth: DataFrame) -> DataFrame:
-    """k, gt_k, k_diff (signed), k_gap (its size): clusters found and true ones, over the nodes (n, cluster) that both have."""
+    """k, gt_k, k_diff (signed), k_gap (its size), collapsed (two clusters or fewer where there are four or more): clusters found and true ones, over the nodes (n, cluster) that both have."""
     both = pred.select("n", F.col("cluster").alias("p")).join(truth.select("n", F.col("cluster").alias("t")), "n")
     row = both.agg(F.count_distinct("p").alias("k"), F.count_distinct("t").alias("gt_k")).withColumn("k_diff", F.col("k") - F.col("gt_k"))
-    return row.withColumn("k_gap", F.abs("k_diff"))
+    return row.withColumn("k_gap", F.abs("k_diff")).withColumn("collapsed", (F.col("k") <= 2) & (F.col("gt_k") >= 4))

@@ -180,7 +180,7 @@ def capped_sample(spark, d):
 # Figures and gates.
 
 
-@query(f"WITH {TRUTH}, k AS (SELECT count(DISTINCT pred.c) AS k, count(DISTINCT truth.c) AS gt_k FROM pred JOIN truth USING (n)) SELECT k, gt_k, k - gt_k AS k_diff, abs(k - gt_k) AS k_gap FROM k")
+@query(f"WITH {TRUTH}, k AS (SELECT count(DISTINCT pred.c) AS k, count(DISTINCT truth.c) AS gt_k FROM pred JOIN truth USING (n)) SELECT k, gt_k, k - gt_k AS k_diff, abs(k - gt_k) AS k_gap, k <= 2 AND gt_k >= 4 AS collapsed FROM k")
 def k_differences(spark, d):
     return metrics.k_report(brand_pred(spark, d), brand_truth(spark, d))
 
@@ -400,3 +400,20 @@ def smoothing_sensitivity(spark, d):
     x = x.join(truth.select(F.col("n").alias("i"), F.col("cluster").alias("a")), "i").join(truth.select(F.col("n").alias("j"), F.col("cluster").alias("b")), "j").withColumn("y", (F.col("a") == F.col("b")).cast("int"))
     x = kept(spark, x, "features")
     return rounded(edl.smoothing_sensitivity(x, edl.train_sample(x, hard=0.5)), 4)
+
+
+@query("SELECT event_type AS label, count(*) AS n, event_type IN ('view', 'purchase', 'error') AS hit FROM events GROUP BY ALL")
+def mapping_hits(spark, d):
+    rules = spark.createDataFrame([("view",), ("purchase",), ("error",), ("never",)], "key string")
+    return filters.rule_hits(table(spark, d, "events").select(F.col("event_type").alias("label")), rules, text.label_key)
+
+
+@query(f"""WITH {STRUCT}, {TRUTH}, g(cap) AS (VALUES (0.05e0), (0.1e0), (0.12e0), (0.14e0)), x AS (SELECT cap, a.c = b.c AS same, v FROM struct JOIN truth a ON a.n = i JOIN truth b ON b.n = j, g WHERE v > cap),
+p AS (SELECT cap, count(*) AS edges, round(count(*) FILTER (WHERE same) / count(*), 9) AS purity FROM x GROUP BY cap) SELECT cap, edges, round(purity, 6) AS purity FROM p ORDER BY p.purity DESC, edges DESC, cap LIMIT 1""")
+def best_point(spark, d):
+    """The point of a sweep over edge floors whose edges lie within true clusters most."""
+    truth = brand_truth(spark, d)
+    pairs_ = struct(spark, d).join(truth.select(F.col("n").alias("i"), F.col("cluster").alias("a")), "i").join(truth.select(F.col("n").alias("j"), F.col("cluster").alias("b")), "j")
+    grid = pairs_.withColumn("cap", F.explode(F.array(*map(F.lit, (0.05, 0.1, 0.12, 0.14))))).where("v > cap")
+    points = grid.groupBy("cap").agg(F.count("*").alias("edges"), F.round(F.avg((F.col("a") == F.col("b")).cast("double")), 9).alias("purity"))
+    return rounded(report.best(points.withColumn("all", F.lit(1)), ["all"], ["purity", "edges"], "cap").drop("all"))

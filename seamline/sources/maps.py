@@ -145,3 +145,21 @@ def fingerprint(sim: DataFrame) -> DataFrame:
     """One row: a hash of a matrix's size and statistics, 16 hex digits, whatever its order of rows."""
     row = sim.agg(F.count("*").alias("n"), F.round(F.sum("v"), 9).alias("s"), F.round(F.sum(F.col("v") * F.col("v")), 9).alias("q"), F.round(F.min("v"), 9).alias("a"), F.round(F.max("v"), 9).alias("b"))
     return row.select(F.substring(F.sha2(F.concat_ws(",", "n", "s", "q", "a", "b"), 256), 1, 16).alias("fingerprint"))
+
+
+def archive(spark: SparkSession, paths: list[str], folder: str, empty: bool = False) -> list[str]:
+    """Copy files or folders of results into a run's folder, in whatever stores they are; the copies that were made. Missing ones are skipped, and a copy that is there stays. empty: cut copied files to no bytes."""
+    jvm, conf, made = spark._jvm, spark._jsc.hadoopConfiguration(), []
+    target = jvm.org.apache.hadoop.fs.Path(folder)
+    store = target.getFileSystem(conf)
+    store.mkdirs(target)
+    for p in paths:
+        source = jvm.org.apache.hadoop.fs.Path(p)
+        own, copy = source.getFileSystem(conf), jvm.org.apache.hadoop.fs.Path(target, source.getName())
+        if not own.exists(source) or store.exists(copy):
+            continue
+        jvm.org.apache.hadoop.fs.FileUtil.copy(own, source, store, copy, False, conf)
+        made.append(copy.toString())
+        if empty and own.getFileStatus(source).isFile():
+            own.create(source, True).close()
+    return made

@@ -88,7 +88,7 @@ def test_reports_are_written(spark, tmp_path):
     report.write_csv(part, str(tmp_path / "c"))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 2
     report.write_meta(metrics.k_report(part, part), str(tmp_path / "m"), rate=0.2, system="shop")
-    assert spark.read.json(str(tmp_path / "m")).first().asDict() == {"k": 2, "gt_k": 2, "k_diff": 0, "k_gap": 0, "rate": 0.2, "system": "shop"}
+    assert spark.read.json(str(tmp_path / "m")).first().asDict() == {"k": 2, "gt_k": 2, "k_diff": 0, "k_gap": 0, "collapsed": False, "rate": 0.2, "system": "shop"}
     edges = spark.createDataFrame([("a", "b", 0.5)], "i string, j string, v double")
     report.append_edges(edges, str(tmp_path / "e"), cap=0.1)
     report.append_edges(edges, str(tmp_path / "e"), cap=0.2)
@@ -135,3 +135,22 @@ def test_camel_and_first_class(spark):
     assert one(text.camel_text(F.lit("HTTPServer2go-x_y"))) == "HTTP Server go x y"
     found = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], "id long, node string")
     assert sorted(map(tuple, spans.first_class(found).collect())) == [(1, "a"), (2, "c")]
+
+
+def test_roots_and_outlines(spark):
+    files = spark.createDataFrame([("/src/a/b/Shop.java", JAVA), ("/src/a/b/O.java", "package a.b;\nclass O { }"), ("/x/P.java", "package q;\nclass P { }"), ("/y/Q.java", "class Q { }")], "path string, text string")
+    assert sorted(map(tuple, code.source_roots(files).collect())) == [("/src", 2), ("/x", 1), ("/y", 1)]
+    got = {r["path"]: json.loads(r["outline"]) for r in code.outline(files).collect()}
+    assert got["/src/a/b/Shop.java"] == {"fqcn": "a.b.Shop", "kind": "class", "bases": ["Base"], "imports": ["a.c.Helper"], "methods": ["items"]}
+    assert len(got) == 4 and got["/y/Q.java"]["methods"] == []
+
+
+def test_archive(spark, tmp_path):
+    from seamline.sources import maps
+
+    (tmp_path / "t.json").write_text("x")
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "part").write_text("y")
+    paths = [str(tmp_path / n) for n in ("t.json", "d", "none")]
+    assert len(maps.archive(spark, paths, str(tmp_path / "run"), empty=True)) == 2 and maps.archive(spark, paths, str(tmp_path / "run")) == []
+    assert (tmp_path / "run/t.json").read_text() == "x" and (tmp_path / "run/d/part").read_text() == "y" and (tmp_path / "t.json").read_text() == "" and (tmp_path / "d/part").read_text() == "y"
