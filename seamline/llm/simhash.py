@@ -480,18 +480,33 @@ def _alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 
 
 def _compare(th: np.ndarray, fp: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, distance: int, least: float) -> list[tuple[int, int]]:
-    """A forest over the texts of a cell that joins what its pairs of similar texts join. Pairs already joined are not compared; a text may stand on both sides."""
+    """A forest over the texts of a cell that joins what its pairs of similar texts join. Pairs already joined are not compared; a text may stand on both sides.
+
+    A text is compared with all its candidates at once: its shingles are marked, and the marks under each candidate's shingles are counted.
+    """
     root = np.unique(th, return_inverse=True)[1]
-    out = []
+    size = np.array([len(x) for x in sets], np.int64)
+    ends = np.cumsum(size)
+    known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, out = np.zeros(len(known), bool), []
     for u in rows.tolist():
         near = columns[root[columns] != root[u]]
         near = near[(np.bitwise_count(fp[near] ^ fp[u]) <= distance) | (bands[near] == bands[u]).any(axis=1)]
-        while len(near := near[root[near] != root[u]]):
-            v = int(near[0])
-            if _alike(sets[u], sets[v], least):
-                out.append((u, v))
-                root[root == root[v]] = root[u]
-            near = near[1:]
+        if not len(near):
+            continue
+        mine = flat[ends[u] - size[u] : ends[u]]
+        mark[mine] = True
+        if len(near) < 16:
+            both = np.array([np.count_nonzero(mark[flat[ends[v] - size[v] : ends[v]]]) for v in near.tolist()])
+        else:
+            sums = np.concatenate([[0], np.cumsum(mark[flat])])
+            both = sums[ends[near]] - sums[ends[near] - size[near]]
+        mark[mine] = False
+        alike = near[both >= least * (size[u] + size[near] - both)]
+        if len(alike):
+            joined, first = np.unique(root[alike], return_index=True)
+            out += [(u, int(v)) for v in alike[first]]
+            root[np.isin(root, joined)] = root[u]
     return out
 
 
