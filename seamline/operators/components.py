@@ -1,7 +1,7 @@
 """Connected components of a distributed set of links, by alternating stars.
 
 Each round joins every node with the least node among its neighbours; the links stay in tables, never on the driver.
-Only whether they are done comes back between rounds.
+Only their number and whether they are done come back between rounds. Once there are LIGHT links or fewer, one task ends the work.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from seamline.operators.skew import join_counted
 from seamline.workspace import Workspace
 
 LINKS = "a long, b long"
-#: Links, two numbers each, that one task may well join.
+#: Links, two numbers each, that one task may well hold: 16 MB.
 LIGHT = 1 << 20
 
 
@@ -46,6 +46,14 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
+def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stars of all links of the batches, which are few."""
+    held = [(np.asarray(b.column(0)).astype(np.int64), np.asarray(b.column(1)).astype(np.int64)) for b in batches]
+    if held:
+        a, b = forest(*(np.concatenate(x) for x in zip(*held)))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
 def _star(links: DataFrame, large: bool, n: int) -> DataFrame:
     """links, n of them, has a > b. large: each node's larger neighbours join the least of all its neighbours; else its smaller ones do.
 
@@ -54,10 +62,10 @@ def _star(links: DataFrame, large: bool, n: int) -> DataFrame:
     if large:
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        out = join_counted(links.select(F.col("b").alias("u"), F.col("a").alias("v")), least, "u", 2 * n, light_rows=LIGHT).select(F.col("v").alias("a"), F.col("m").alias("b"))
+        out = join_counted(links.select(F.col("b").alias("u"), F.col("a").alias("v")), least, "u", 2 * n).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         least = links.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        out = join_counted(links.select(F.col("a").alias("u"), F.col("b").alias("v")), least, "u", n, light_rows=LIGHT).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b"))
+        out = join_counted(links.select(F.col("a").alias("u"), F.col("b").alias("v")), least, "u", n).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b"))
     return out.where("a <> b").distinct()
 
 
@@ -79,6 +87,10 @@ def connected_components(links: DataFrame, contracted: bool = False) -> DataFram
     now, step = work.keep((pairs if contracted else pairs.mapInArrow(_contract, LINKS)).distinct(), "links0"), 0
     while not _are_stars(now):
         n = now.count()
+        if n <= LIGHT:
+            now = work.keep(now.coalesce(1).mapInArrow(_finished, LINKS), "stars")
+            work.drop(f"links{step}")
+            break
         for large in (True, False):
             step += 1
             now = work.keep(_star(now, large, n if large else now.count()), f"links{step}")

@@ -42,7 +42,7 @@ def tables(spark, path, links):
     spark.createDataFrame([(i, p, 1.0, 0.0) for i, (_, p) in enumerate(links)], "l_orderkey long, l_partkey long, l_quantity double, l_discount double").write.parquet(f"{path}/lineitem.parquet")
 
 
-@pytest.mark.parametrize("light", [1 << 20, 0])  # 0: hot keys are joined apart, as in large tables
+@pytest.mark.parametrize("light", [1 << 20, 0])  # 0: by stars to the end, as in large tables until few links are left
 def test_components_of_all_links(spark, tmp_path, monkeypatch, light):
     monkeypatch.setattr(components, "LIGHT", light)
     got = {r["node"]: r["label"] for r in entry.queries()["connected_components"](spark, SF).collect()}
