@@ -1,6 +1,6 @@
 """Conversations as training windows, with DataFrame functions only.
 
-Turns are written between tags. Prefix sums of turn tokens choose turn-aligned spans of new turns; a window is the system turn, the end of the span before
+Turns are written between tags. Prefix sums of turn tokens choose turn-aligned spans of new turns, of which two are joined where the budget takes both; a window is the system turn, the end of the span before
 as history, and the new turns. Assistant texts are under the loss mask where they are new, so each counts once.
 
 Text and role have &, < and > as entities, so a tag never stands inside one, and unescaping gives the text back.
@@ -34,7 +34,7 @@ def chat_windows(turns: DataFrame, budget: int = 1024, history: int = 256, bytes
     of the span before, at most `history` tokens. The system turn is a first turn with role system; it stands first in every window.
 
     Null text and role are empty. Equal turn numbers are ordered by role, then text (nulls first); a null number comes first; repeated rows are turns of their own.
-    Null conv_ids are one conversation. Empty input: no rows. Other columns are ignored.
+    Null conv_ids are one conversation. A very long conversation is sorted and summed by one task, which spills. Empty input: no rows. Other columns are ignored.
     """
     t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
@@ -53,7 +53,11 @@ def chat_windows(turns: DataFrame, budget: int = 1024, history: int = 256, bytes
     t = t.withColumn("step", F.floor((F.col("sum") - 1) / F.col("half"))).withColumn("long", ~F.col("is_system") & (F.col("tokens") > F.col("half")))
     before = F.lag("is_system").over(order)
     starts = ~F.col("is_system") & ~F.coalesce(before, F.lit(True)) & ((F.col("step") != F.lag("step").over(order)) | F.col("long") | F.lag("long").over(order))
-    t = t.withColumn("window", F.sum(starts.cast("int")).over(order)).withColumn("windows", F.sum(starts.cast("int")).over(whole) + 1)
+    # Two neighbouring steps that fit together are one window.
+    t = t.withColumn("starts", starts).withColumn("part", F.sum(F.col("starts").cast("int")).over(order)).withColumn("pair", F.floor(F.col("part") / 2))
+    both = F.sum(F.when(F.col("is_system"), 0).otherwise(F.col("tokens"))).over(Window.partitionBy("conv_id", "pair"))
+    joined = (F.col("part") % 2 == 1) & (both <= F.lit(budget - history) - F.col("system_tokens"))
+    t = t.withColumn("starts", (F.col("starts") & ~joined).cast("int")).withColumn("window", F.sum("starts").over(order)).withColumn("windows", F.sum("starts").over(whole) + 1)
     span = Window.partitionBy("conv_id", "window")
     t = t.withColumn("tail", F.max("sum").over(span) - F.col("sum") + F.col("tokens"))
     again = ~F.col("is_system") & (F.col("tail") <= history) & (F.col("window") + 1 < F.col("windows"))

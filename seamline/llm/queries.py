@@ -59,11 +59,13 @@ WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 e AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS nth,
         '<turn ' || replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</turn>' || chr(10) AS piece FROM c),
 a AS (SELECT *, CAST(ceil(strlen(piece) / 4.0) AS BIGINT) AS tokens, nth = 1 AND role = 'system' AS sys FROM e),
-b AS (SELECT *, greatest(1, (768 - max(CASE WHEN sys THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id)) // 2) AS half,
+b AS (SELECT *, 768 - max(CASE WHEN sys THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id) AS room, greatest(1, (768 - max(CASE WHEN sys THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id)) // 2) AS half,
         sum(CASE WHEN sys THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY nth) AS total FROM a),
 d AS (SELECT *, floor((total - 1) / half) AS step, NOT sys AND tokens > half AS big FROM b),
 f AS (SELECT *, CASE WHEN NOT sys AND NOT coalesce(lag(sys) OVER o, true) AND (step <> lag(step) OVER o OR big OR lag(big) OVER o) THEN 1 ELSE 0 END AS starts FROM d WINDOW o AS (PARTITION BY conv_id ORDER BY nth)),
-g AS (SELECT *, sum(starts) OVER (PARTITION BY conv_id ORDER BY nth) AS w, 1 + sum(starts) OVER (PARTITION BY conv_id) AS ws FROM f),
+f1 AS (SELECT *, CAST(sum(starts) OVER (PARTITION BY conv_id ORDER BY nth) AS BIGINT) AS part FROM f),
+f2 AS (SELECT *, CASE WHEN part % 2 = 1 AND sum(CASE WHEN sys THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id, part // 2) <= room THEN 0 ELSE starts END AS st FROM f1),
+g AS (SELECT *, sum(st) OVER (PARTITION BY conv_id ORDER BY nth) AS w, 1 + sum(st) OVER (PARTITION BY conv_id) AS ws FROM f2),
 h AS (SELECT *, max(total) OVER (PARTITION BY conv_id, w) - total + tokens AS tail FROM g)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,

@@ -42,6 +42,7 @@ def test_budget_history_and_system(spark):
         by.setdefault(w["conv_id"], []).append(w)
     assert max(w["tokens"] for w in windows) <= 400  # no turn is longer than the half step
     assert any(w["n_repeated"] > 1 for w in windows)
+    assert sum(w["tokens"] for w in windows) > 220 * len(windows)  # more than half full on average
     for c, ws in by.items():
         assert sorted(w["window"] for w in ws) == list(range(len(ws)))
         assert all(w["text"].startswith("<turn system>") for w in ws) == bool(c % 2)
