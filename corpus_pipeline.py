@@ -38,7 +38,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     first = found.groupBy("label").agg(F.min(F.struct(known, "th")).alias("m")).select("m.id", "m.th")
     # The row travels as one column, so its names can't clash with those used here.
     rows = docs.select(F.struct("*").alias("row"), known, simhash.text_hash(F.col("text")).alias("th"))
-    nth = F.row_number().over(Window.partitionBy("id", "th").orderBy(F.xxhash64("row")))
+    content = [F.col("row")[c] for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]  # those have no hash
+    nth = F.row_number().over(Window.partitionBy("id", "th").orderBy(F.xxhash64(*content)))
     return rows.join(first.hint("shuffle_hash"), ["id", "th"], "left_semi").withColumn("nth", nth).where("nth = 1").select("row.*")
 
 

@@ -3,13 +3,14 @@
 Lengths are whole numbers up to the capacity, so a histogram of lengths (at most `capacity` rows,
 whatever the corpus) decides the packing. The driver packs the histogram with a segment tree over
 remaining capacities; each piece then finds its place from its rank among the pieces of its length.
-Ranks come from counts of (length, slot) with the slot a hash of the document, so a length that a third
-of all pieces share is ranked in many tasks.
+Ranks come from counts of (length, slot) with the slot a hash of the piece's whole row, so a length that a third
+of all pieces share is ranked in many tasks, even if their doc_id is one or null.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +71,12 @@ class Tokens:
         return bool(((points < _PLAIN_LIMIT) | ((points >= 0x2010) & (points <= 0x2027))).all())
 
 
+@lru_cache(maxsize=2)
+def loaded(json_path: str, ranks_path: str | None, pattern: str, special: tuple[tuple[str, int], ...], separator: int) -> Tokens:
+    """The tokenizer, read once for a Python worker however many partitions it has."""
+    return Tokens(json_path, ranks_path, pattern, dict(special), separator)
+
+
 def tokenise(docs: DataFrame, json_path: str, ranks_path: str | None, pattern: str, special: dict[str, int], capacity: int = 2048, separator: int = 0) -> DataFrame:
     """Rows of docs (doc_id, text) as pieces of at most `capacity` ids: PIECES.
 
@@ -77,10 +84,12 @@ def tokenise(docs: DataFrame, json_path: str, ranks_path: str | None, pattern: s
     so its first piece may be shorter. Repeated rows and null doc_ids are documents like others.
     """
 
+    named = tuple(sorted(special.items()))
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
-        tokens = Tokens(json_path, ranks_path, pattern, special, separator)
+        tokens = loaded(json_path, ranks_path, pattern, named, separator)
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64())])
         for batch in batches:
             rows: list[tuple] = []
@@ -192,8 +201,9 @@ def pack(pieces: DataFrame, capacity: int = 2048, slot_rows: int = 50_000) -> Da
     fits = F.col("length").between(1, capacity)
     histogram = {int(n): int(k) for n, k in pieces.where(fits).groupBy("length").count().collect()}  # at most `capacity` rows
     slots = max(64, -(-max(histogram.values(), default=0) // slot_rows))
+    hashed = [F.col(f"`{c}`") for c, kind in pieces.dtypes if "map<" not in kind and "variant" not in kind]  # those have no hash
     # The row travels as one column, so its names can't clash with those used here.
-    slotted = pieces.select(F.struct("*").alias("row"), "doc_id", "piece", F.col("length").cast("long").alias("length"), F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slots)).alias("slot"))
+    slotted = pieces.select(F.struct("*").alias("row"), "doc_id", "piece", F.col("length").cast("long").alias("length"), F.pmod(F.xxhash64(*hashed), F.lit(slots)).alias("slot"))
     counts = slotted.where(fits).groupBy("length", "slot").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("slot")) - F.col("n")).drop("n")
     plan = best_fit_plan(histogram, capacity)
