@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from seamline.llm import chat, line_dedup, mixing, packing, pii, quality, repetition, simhash, substring, va_topk
+from seamline.llm import audit, chat, line_dedup, mixing, packing, pii, quality, repetition, simhash, substring, toxicity, va_topk, whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -144,6 +144,41 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whitened = whiten.whitened(table(spark, sf_dir, "embeddings"))
+    return whitened.select("vec_id", "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13 = r"""
+WITH l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+d AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b,
+        100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 5 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d, coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY text), false) AS e FROM t LEFT JOIN l ON t.doc_id = l.doc_id),
+m AS (SELECT part, good, toxic, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, count(*) AS n FROM d GROUP BY ALL),
+f AS (SELECT chr(CAST(65 + i AS INTEGER)) AS letter, CAST(1 << i AS INTEGER) AS bit FROM range(5) r(i)),
+o AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, unnest([1, 2, 3, 4, 5]) AS step, unnest([a.bit, b.bit, c.bit, d.bit, e.bit]) AS bit,
+        unnest([0, a.bit, a.bit + b.bit, a.bit + b.bit + c.bit, 31 - e.bit]) AS before
+      FROM f a JOIN f b ON a.letter <> b.letter JOIN f c ON c.letter NOT IN (a.letter, b.letter) JOIN f d ON d.letter NOT IN (a.letter, b.letter, c.letter) JOIN f e ON e.letter NOT IN (a.letter, b.letter, c.letter, d.letter)),
+s AS (SELECT part, filter_order, step, bit, sum(CASE WHEN mask & (bit | before) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN mask & bit <> 0 AND mask & before <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN good AND mask & bit <> 0 AND mask & before = 0 THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN toxic AND mask & bit <> 0 AND mask & before = 0 THEN n ELSE 0 END) AS toxic_lost
+      FROM m CROSS JOIN o GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM s
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -151,8 +186,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op2_repetition, op3_chat, op4_pii, op5_lines, op6_mix, op7_quality, op8_substring, op9_packing, op10_simhash, pipeline)}
+    return {f.__name__: f for f in (op1_topk, op2_repetition, op3_chat, op4_pii, op5_lines, op6_mix, op7_quality, op8_substring, op9_packing, op10_simhash, op11_whiten, op12_toxicity, op13_audit, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": OP1, "op3_chat": OP3, "op5_lines": OP5, "op8_substring": OP8}
+    return {"op1_topk": OP1, "op3_chat": OP3, "op5_lines": OP5, "op8_substring": OP8, "op13_audit": OP13}

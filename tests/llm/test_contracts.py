@@ -15,6 +15,7 @@ from seamline.llm.queries import OPEN_KEY
 from tests.llm.test_mixing import targets
 from tests.llm.test_pii import plain as plain_pii
 from tests.llm.test_simhash import components, plain as plain_fingerprint
+from tests.llm.test_whiten import check as check_whitened
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data absent")
@@ -29,6 +30,9 @@ COLUMNS = {
     "op8_substring": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
     "op9_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
     "op10_simhash": "doc_id bigint, fingerprint string, component_id bigint",
+    "op11_whiten": "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double",
+    "op12_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op13_audit": "part string, filter_order string, step int, kept bigint, removed bigint, redundant bigint, unique_fails bigint, good_lost bigint, toxic_lost bigint, shapley bigint",
 }
 _read = {}
 
@@ -65,7 +69,7 @@ def test_columns(spark, name):
 
 
 def test_one_row_a_document(got, docs):
-    for name in ("op2_repetition", "op4_pii", "op5_lines", "op6_mix", "op7_quality", "op8_substring", "op10_simhash"):
+    for name in ("op2_repetition", "op4_pii", "op5_lines", "op6_mix", "op7_quality", "op8_substring", "op10_simhash", "op12_toxicity"):
         assert Counter(r["doc_id"] for r in got(name)) == Counter(list(docs)), name
 
 
@@ -179,3 +183,28 @@ def test_fingerprints(got, docs):
         first[group] = min(first.get(group, r["doc_id"]), r["doc_id"])
         r["group"] = group
     assert all(r["component_id"] == first[r["group"]] for r in rows)
+
+
+def test_whitening(got):
+    t = pq.read_table(f"{SF}/embeddings.parquet").to_pylist()
+    check_whitened(got("op11_whiten"), [(r["vec_id"], r["embedding"]) for r in t])
+
+
+def test_toxicity(got, docs):
+    labels = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{SF}/labels.parquet").to_pylist()}
+    wrong = 0
+    for r in got("op12_toxicity"):
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3)
+        if r["held_out"] and docs[r["doc_id"]]["lang"] == "en" and labels.get(r["doc_id"]) is not None:
+            wrong += r["predicted"] != labels[r["doc_id"]]
+    assert wrong <= 1
+
+
+def test_audit_parts(got, docs):
+    rows = got("op13_audit")
+    parts = Counter(r["source"] or "" for r in docs.values())
+    assert len(rows) == 600 * len(parts) and {r["part"] for r in rows} == set(parts)
+    for r in rows:
+        if r["step"] == 5:
+            assert r["kept"] + sum(x["removed"] for x in rows if x["part"] == r["part"] and x["filter_order"] == r["filter_order"]) == parts[r["part"]]
+            break
