@@ -1,4 +1,4 @@
-"""Clustering of weighted graphs: Louvain, small-cluster merging and sweeps, one task for each grid point; components over the whole graph."""
+"""Clustering of weighted graphs over grids of resolutions: sweeps, small-cluster merging, the choice of a partition."""
 
 from __future__ import annotations
 
@@ -6,66 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from seamline.operators.louvain import LIGHT, local as louvain, louvain as louvain_tables
 from seamline.workspace import Workspace
 
 
-def louvain(i: np.ndarray, j: np.ndarray, v: np.ndarray, resolution: float = 1.0) -> dict:
-    """Node -> cluster (the least node of it). Nodes are visited in order, ties go to the smaller cluster, so reruns agree."""
-    names, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-    links: list[dict[int, float]] = [{} for _ in names]
-    for a, b, w in zip(at[: len(i)].tolist(), at[len(i) :].tolist(), v.tolist()):
-        links[a][b] = links[a].get(b, 0.0) + w
-        links[b][a] = links[b].get(a, 0.0) + w if a != b else links[b].get(a, 0.0)
-    group = list(range(len(names)))
-    inner = [0.0] * len(names)
-    while True:
-        com, moved = _one_level(links, inner, resolution)
-        if not moved:
-            break
-        ids = {c: k for k, c in enumerate(sorted(set(com)))}
-        com = [ids[c] for c in com]
-        group = [com[g] for g in group]
-        new: list[dict[int, float]] = [{} for _ in ids]
-        new_inner = [0.0] * len(ids)
-        for a, row in enumerate(links):
-            new_inner[com[a]] += inner[a]
-            for b, w in row.items():
-                if com[a] == com[b]:
-                    new_inner[com[a]] += w
-                else:
-                    new[com[a]][com[b]] = new[com[a]].get(com[b], 0.0) + w
-        links, inner = new, new_inner
-    first: dict[int, int] = {}
-    for k, g in enumerate(group):
-        first.setdefault(g, k)
-    return {names[k]: names[first[g]] for k, g in enumerate(group)}
-
-
-def _one_level(links: list[dict[int, float]], inner: list[float], resolution: float) -> tuple[list[int], bool]:
-    deg = [sum(row.values()) + inner[a] for a, row in enumerate(links)]
-    two_m = sum(deg) or 1.0
-    com, total, any_ = list(range(len(links))), deg[:], False
-    for _ in range(100):
-        moved = False
-        for a, row in enumerate(links):
-            own = com[a]
-            total[own] -= deg[a]
-            to: dict[int, float] = {own: 0.0}
-            for b, w in row.items():
-                if b != a:
-                    to[com[b]] = to.get(com[b], 0.0) + w
-            gain = {c: w - resolution * total[c] * deg[a] / two_m for c, w in to.items()}
-            best = min(gain, key=lambda c: (-gain[c], c))
-            if gain[best] <= gain[own] + 1e-12:
-                best = own
-            total[best] += deg[a]
-            if best != own:
-                com[a], moved, any_ = best, True, True
-        if not moved:
-            break
-    return com, any_
-
-
 def merge_small(part: dict, i: np.ndarray, j: np.ndarray, v: np.ndarray, least: int = 3) -> dict:
     """Nodes of clusters below `least` move to the neighbour cluster they are tied to most (then the smaller one), one at a time."""
     import heapq
@@ -97,15 +41,88 @@ def merge_small(part: dict, i: np.ndarray, j: np.ndarray, v: np.ndarray, least:
     return part
 
 
-def swept(edges: DataFrame, resolutions: list[float], least: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
+def _merge_rest(items: list, near: list, size: dict, least: int) -> dict:
+    """New cluster of the nodes that move. items: (cluster, node) in the order of merge_small; near: (node, neighbour, the neighbour's cluster, weight); size: of the clusters that occur."""
+    part, links = {n: c for c, n in items}, {}
+    for n, b, c, w in near:
+        part.setdefault(b, c)
+        links.setdefault(n, []).append((b, w))
+    moved = {}
+    for c, n in sorted(items):
+        if size[c] >= least:
+            continue
+        tie: dict = {}
+        for b, w in links.get(n, ()):
+            if part[b] != c:
+                tie[part[b]] = tie.get(part[b], 0.0) + w
+        if tie:
+            to = min(tie, key=lambda x: (-tie[x], x))
+            part[n] = moved[n] = to
+            size[c] -= 1
+            size[to] += 1
+    return moved
+
+
+def merge_tables(parts: DataFrame, links: DataFrame, least: int = 3, light: int = LIGHT) -> DataFrame:
+    """p, n, cluster: what merge_small makes of each partition (p, n, cluster) of a graph (p, i, j, v), over tables.
+
+    Nodes of small clusters decide in the order of their clusters and names. One decides once no earlier undecided node is in, or has a neighbour in, a cluster with undecided nodes that it is in or next to itself:
+    then nothing that comes before it in the order can change what it sees, and it changes nothing that they see. All such nodes decide in one round. Once those that are left have `light` links, one task ends the work.
+    """
+    work = Workspace(parts.sparkSession, "merge")
+    kind = parts.schema["n"].dataType.simpleString()
+    both = links.where("v > 0 and i <> j").select("p", F.col("i").alias("n"), F.col("j").alias("b"), "v").union(links.where("v > 0 and i <> j").select("p", F.col("j").alias("n"), F.col("i").alias("b"), "v"))
+    sized = parts.groupBy("p", "cluster").agg(F.count("*").alias("size"))
+    small = parts.join(sized.where(F.col("size") < least), ["p", "cluster"])
+    items = work.keep(small.select("p", "n", F.col("cluster").alias("c")), "items0")
+    ties = work.keep(both.join(items.select("p", "n"), ["p", "n"]), "ties")  # the links of these nodes alone
+    state, step = work.keep(parts.select("p", "n", F.col("cluster").alias("c")), "state0"), 0
+    while left := items.count():
+        sizes = state.groupBy("p", "c").agg(F.count("*").alias("size"))
+        near = items.join(ties, ["p", "n"]).join(state.select("p", F.col("n").alias("b"), F.col("c").alias("d")), ["p", "b"])
+        near = work.keep(near.select("p", "n", "c", "b", "d", "v"), f"near{step}")
+        if near.count() + left <= light:
+            rows = items.select("p", "n", "c", F.lit(None).cast(kind).alias("b"), F.lit(None).cast(kind).alias("d"), F.lit(0.0).alias("v")).unionByName(near)
+            seen = rows.select("p", "c").union(near.select("p", F.col("d").alias("c"))).distinct().join(sizes, ["p", "c"])
+            found = rows.withColumn("size", F.lit(0).cast("long")).unionByName(seen.select("p", F.lit(None).cast(kind).alias("n"), "c", F.lit(None).cast(kind).alias("b"), F.lit(None).cast(kind).alias("d"), F.lit(0.0).alias("v"), "size"))
+
+            def end(pdf: pd.DataFrame) -> pd.DataFrame:
+                sizes, own, far = pdf[pdf["n"].isna()], pdf[pdf["n"].notna() & pdf["b"].isna()], pdf[pdf["b"].notna()]
+                far = far.sort_values(["n", "b"])
+                plain = lambda x, *cs: list(zip(*(x[c].astype(typed).tolist() for c in cs)))
+                moved = _merge_rest(plain(own, "c", "n"), [(n, b, d, w) for (n, b, d), w in zip(plain(far, "n", "b", "d"), far["v"])], dict(zip(sizes["c"].astype(typed).tolist(), sizes["size"].tolist())), least)
+                return pd.DataFrame({"p": pdf["p"].iloc[0], "n": list(moved), "to": list(moved.values())})
+
+            typed = "int64" if kind in ("bigint", "int", "smallint", "tinyint") else object
+            decided, items = work.keep(found.groupBy("p").applyInPandas(end, f"p int, n {kind}, to {kind}"), f"decided{step}"), items.where("false")
+        else:
+            key = F.struct("c", "n").alias("key")
+            touch = near.select("p", F.col("d").alias("at"), key, F.lit(0).alias("own")).union(items.select("p", F.col("c").alias("at"), key, F.lit(1).alias("own"))).distinct()
+            first = touch.groupBy("p", "at").agg(F.min("key").alias("first"), F.max("own").alias("own")).where("own = 1").drop("own")  # clusters with undecided nodes
+            waits = touch.drop("own").join(first, ["p", "at"]).where(F.col("first") < F.col("key")).select("p", F.col("key.n").alias("n")).distinct()
+            ready = work.keep(items.join(waits, ["p", "n"], "left_anti"), f"ready{step}")
+            tie = near.join(ready.select("p", "n"), ["p", "n"], "left_semi").where("d <> c").groupBy("p", "n", "c", "d").agg(F.sum("v").alias("w"))
+            best = tie.groupBy("p", "n", "c").agg(F.min(F.struct((-F.col("w")).alias("w"), "d"))["d"].alias("to"))
+            decided = work.keep(best.join(sizes.where(F.col("size") < least).select("p", "c"), ["p", "c"], "left_semi").select("p", "n", "to"), f"decided{step}")
+            items = work.keep(items.join(ready.select("p", "n"), ["p", "n"], "left_anti"), f"items{step + 1}")
+        step += 1
+        state = work.keep(state.join(decided, ["p", "n"], "left").select("p", "n", F.coalesce("to", "c").alias("c")), f"state{step}")
+        work.drop(f"near{step - 1}", f"state{step - 1}")
+    return state.select("p", "n", F.col("c").alias("cluster"))
+
+
+def swept(edges: DataFrame, resolutions: list[float], least: int = 0, by: tuple[str, ...] = (), light: int = LIGHT) -> DataFrame:
     """by, resolution, n, cluster: Louvain of each graph (by, i, j, v) at each resolution, then merging of clusters below `least`.
 
-    The grid is spread over the cluster; one graph fits in a task. Pairs are summed before, so a graph has at most one row for each pair of nodes.
+    Graphs of at most `light` pairs of nodes take a task for each resolution. Larger ones go through tables, all points of the grid at once.
     """
-    grid = F.explode(F.array(*(F.lit(float(r)) for r in resolutions)))
     kind = edges.schema["i"].dataType.simpleString()
-    graph = edges.where("v > 0").groupBy(*by, "i", "j").agg(F.sum("v").alias("v")).withColumn("resolution", grid)
     points = "".join(f"{c} {edges.schema[c].dataType.simpleString()}, " for c in by)
+    names = [*by, "resolution"]
+    work = Workspace(edges.sparkSession, "swept")
+    graph = work.keep(edges.where("v > 0").groupBy(*by, "i", "j").agg(F.sum("v").alias("v")), "graph")
+    large = graph.groupBy(*by).agg(F.count("*").alias("pairs")).where(F.col("pairs") > light).drop("pairs").collect()  # graphs of the grid
+    grid = F.explode(F.array(*(F.lit(float(r)) for r in resolutions)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["i", "j"])
@@ -115,7 +132,17 @@ def swept(edges: DataFrame, resolutions: list[float], least: int = 0, by: tuple[
             part = merge_small(part, i, j, v, least)
         return pd.DataFrame({**{c: pdf[c].iloc[0] for c in by}, "resolution": pdf["resolution"].iloc[0], "n": list(part), "cluster": list(part.values())})
 
-    return graph.groupBy(*by, "resolution").applyInPandas(run, f"{points}resolution double, n {kind}, cluster {kind}")
+    if not large:
+        return graph.withColumn("resolution", grid).groupBy(*names).applyInPandas(run, f"{points}resolution double, n {kind}, cluster {kind}")
+    each = [(p, *row, float(r)) for p, (row, r) in enumerate((row, r) for row in large for r in resolutions)]
+    of = F.broadcast(edges.sparkSession.createDataFrame(each, f"p int, {points}resolution double"))
+    wide = work.keep(graph.join(of, list(by)) if by else graph.crossJoin(of), "wide")  # one row for each pair and resolution
+    found = louvain_tables(wide.select("p", "i", "j", "v"), {x[0]: x[-1] for x in each}, light)
+    if least:
+        found = merge_tables(work.keep(found, "found"), wide.select("p", "i", "j", "v"), least, light)
+    found = found.join(of, "p").select(*names, "n", "cluster")
+    few = graph.join(of.select(*by).distinct(), list(by), "left_anti") if by else graph.where("false")
+    return few.withColumn("resolution", grid).groupBy(*names).applyInPandas(run, f"{points}resolution double, n {kind}, cluster {kind}").unionByName(found)
 
 
 def resolutions(low: float = 0.1, high: float = 8.0, step: float = 0.05) -> list[float]:
