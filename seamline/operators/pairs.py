@@ -9,32 +9,58 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from seamline.workspace import Workspace
+
 
 def items(df: DataFrame, group: Column, node: Column) -> DataFrame:
     """The set of nodes of each group: g, n."""
     return df.select(group.alias("g"), node.alias("n")).where("g is not null and n is not null").distinct()
 
 
-def cooccurrence(sets: DataFrame) -> DataFrame:
-    """i, j, co: groups that have both nodes. Counts are summed up before they are dealt out, so a busy pair is one row a task."""
-    a, b = sets.select("g", F.col("n").alias("i")), sets.select("g", F.col("n").alias("j"))
-    return a.join(b, "g").where("i < j").groupBy("i", "j").agg(F.count("*").alias("co"))
+#: Members of a group that meet each other in one piece.
+BLOCK = 1024
+
+
+def _meet(rows: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
+    """l, r: structs (n, x) of each two rows (key, n, x) of a group, the smaller n first; n stands once in a group. rows are read several times, so they should be a table.
+
+    A group of more than `block` members is cut into blocks, and each two blocks meet in a cell of their own: the triangle of cells is dealt out, and none makes more pairs than two blocks do.
+    A member goes to as many cells as the group has blocks.
+    """
+    large = rows.groupBy(key).agg(F.count("*").alias("_m")).where(F.col("_m") > block).select(key, F.ceil(F.col("_m") / (block / 2)).cast("int").alias("_blocks"))
+    r = rows.join(large, key, "left").select(key, F.struct("n", "x").alias("row"), F.coalesce("_blocks", F.lit(1)).alias("_blocks"))
+    r = r.withColumn("_own", F.pmod(F.xxhash64("row.n"), "_blocks").cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    cell = [key, "_a", "_b"]
+    r = r.select(key, "row", "_own", F.least("_own", "_other").alias("_a"), F.greatest("_own", "_other").alias("_b"))
+    left, right = r.where("_own = _a").select(*cell, F.col("row").alias("p")), r.where("_own = _b").select(*cell, F.col("row").alias("q"))
+    met = left.join(right, cell).where((F.col("_a") < F.col("_b")) | (F.col("p.n") < F.col("q.n")))
+    return met.select(F.least("p", "q").alias("l"), F.greatest("p", "q").alias("r"))
+
+
+def cooccurrence(sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """i, j, co: groups (g, n: each node once) that have both nodes. Counts are summed up before they are dealt out, so a busy pair is one row a task; a group with many nodes is many tasks."""
+    return _cooccurrence(Workspace(sets.sparkSession, "pairs").keep(sets.select("g", "n"), "sets"), block)
+
+
+def _cooccurrence(table: DataFrame, block: int) -> DataFrame:
+    return _meet(table.withColumn("x", F.lit(1)), "g", block).groupBy(F.col("l.n").alias("i"), F.col("r.n").alias("j")).agg(F.count("*").alias("co"))
 
 
-def jaccard(sets: DataFrame) -> DataFrame:
+def jaccard(sets: DataFrame, block: int = BLOCK) -> DataFrame:
     """Shared groups over all groups of either node; pairs without a shared group are absent."""
+    sets = Workspace(sets.sparkSession, "pairs").keep(sets.select("g", "n"), "sets")
     occ = sets.groupBy("n").agg(F.count("*").alias("c"))
     return (
-        cooccurrence(sets).join(occ.select(F.col("n").alias("i"), F.col("c").alias("ci")), "i").join(occ.select(F.col("n").alias("j"), F.col("c").alias("cj")), "j")
+        _cooccurrence(sets, block).join(occ.select(F.col("n").alias("i"), F.col("c").alias("ci")), "i").join(occ.select(F.col("n").alias("j"), F.col("c").alias("cj")), "j")
         .select("i", "j", (F.col("co") / (F.col("ci") + F.col("cj") - F.col("co"))).alias("v"))
     )
 
 
-def count_cosine(counts: DataFrame) -> DataFrame:
-    """Cosine of sparse rows given as n, k, c (node, coordinate, count); pairs without a shared coordinate are absent."""
+def count_cosine(counts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Cosine of sparse rows given as n, k, c (node, coordinate, count; each coordinate of a node once); pairs without a shared coordinate are absent."""
+    counts = Workspace(counts.sparkSession, "pairs").keep(counts.select("n", "k", "c"), "counts")
     norm = counts.groupBy("n").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("z"))
-    a, b = counts.select("k", F.col("n").alias("i"), F.col("c").alias("x")), counts.select("k", F.col("n").alias("j"), F.col("c").alias("y"))
-    dot = a.join(b, "k").where("i < j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("d"))
+    dot = _meet(counts.withColumnRenamed("c", "x"), "k", block).groupBy(F.col("l.n").alias("i"), F.col("r.n").alias("j")).agg(F.sum(F.col("l.x") * F.col("r.x")).alias("d"))
     return (
         dot.join(norm.select(F.col("n").alias("i"), F.col("z").alias("zi")), "i").join(norm.select(F.col("n").alias("j"), F.col("z").alias("zj")), "j")
         .select("i", "j", (F.col("d") / (F.col("zi") * F.col("zj"))).alias("v"))

@@ -2,25 +2,80 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from seamline.functions.text import action_token, query_action, query_params
 
 
-def resolve(values: DataFrame, rules: DataFrame, fold: bool = True) -> DataFrame:
+#: Bytes of rules that one automaton is made of; more rules make more automata.
+RULE_BYTES = 1 << 25
+
+
+def matches(words: DataFrame, rules: DataFrame, rule_bytes: int = RULE_BYTES) -> DataFrame:
+    """field, value, kind, pattern, node: the rules that fit each value (field, value): its beginning (prefix), a part of it (contains), or the longest such part (longest; of equal ones the least). Empty and null patterns fit nothing.
+
+    The patterns of a field are one automaton, which a value passes through once, however many rules there are. Rules are counted before they are sent out: `rule_bytes` at a time.
+    """
+    kind = rules.schema["node"].dataType.simpleString()
+    loose = rules.where("kind in ('prefix', 'contains', 'longest') and pattern <> ''").select("field", "kind", "pattern", "node")
+    total = loose.agg(F.sum(F.octet_length("pattern") + F.octet_length(F.col("node").cast("string")) + 64)).first()[0] or 0
+    parts, out = max(1, -(-total // rule_bytes)), None
+
+    def through(chosen) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automata = {}
+            for field, patterns in chosen.value.items():
+                automata[field] = ahocorasick.Automaton()
+                for pattern, of in patterns.items():
+                    automata[field].add_word(pattern, (pattern, of))
+                automata[field].make_automaton()
+            for batch in batches:
+                found = []
+                for field, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    hits, longest = {}, None
+                    for end, (pattern, of) in automata[field].iter(value) if field in automata else ():
+                        for k, node in of:
+                            if k == "longest":
+                                longest = min(longest or (0, ""), (-len(pattern), pattern))
+                            elif k == "contains" or end + 1 == len(pattern):
+                                hits[k, pattern, node] = None
+                    found += [(field, value, *h) for h in hits]
+                    if longest:
+                        found += [(field, value, k, longest[1], node) for k, node in chosen.value[field][longest[1]] if k == "longest"]
+                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], batch.schema.field(0).type if c < 4 else node_type) for c in range(5)], names=["field", "value", "kind", "pattern", "node"])
+
+        return words.select(F.col("field").cast("string"), F.col("value").cast("string")).mapInArrow(run, f"field string, value string, kind string, pattern string, node {kind}")
+
+    node_type = to_arrow_type(rules.schema["node"].dataType)
+    for part in range(parts):
+        held: dict = {}
+        for r in loose.where(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == part).distinct().orderBy("field", "pattern", "kind", "node").collect():
+            held.setdefault(r["field"], {}).setdefault(r["pattern"], []).append((r["kind"], r["node"]))
+        one = through(words.sparkSession.sparkContext.broadcast(held))  # about rule_bytes
+        out = one if out is None else out.unionByName(one)
+    if parts == 1:
+        return out
+    best = F.min(F.when(F.col("kind") == "longest", F.struct((-F.length("pattern")).alias("l"), "pattern"))).over(Window.partitionBy("field", "value"))
+    return out.withColumn("best", best["pattern"]).where("kind <> 'longest' or pattern = best").drop("best")
+
+
+def resolve(values: DataFrame, rules: DataFrame, fold: bool = True, rule_bytes: int = RULE_BYTES) -> DataFrame:
     """id, node: nodes of all rules that fit a span's fields. values: id, field, value. rules: field, kind (exact, prefix, contains, longest), pattern, node.
 
-    Exact rules are an equi-join. The others meet distinct values only, field by field; of `longest` rules only the longest pattern of a field counts (then the least). fold: case doesn't count.
+    Exact rules are an equi-join. The others meet distinct values only; of `longest` rules only the longest pattern of a field counts (then the least). fold: case doesn't count.
     """
     v, r = values.where("value is not null"), rules
     if fold:
         v, r = v.withColumn("value", F.lower("value")), r.withColumn("pattern", F.lower("pattern"))
     exact = v.join(r.where("kind = 'exact'").select("field", F.col("pattern").alias("value"), "node"), ["field", "value"])
-    words = v.select("field", "value").distinct()
-    loose = words.join(r.where("kind <> 'exact' and pattern <> ''"), "field").where(F.when(F.col("kind") == "prefix", F.startswith("value", "pattern")).otherwise(F.contains("value", "pattern")))
-    best = F.min(F.when(F.col("kind") == "longest", F.struct((-F.length("pattern")).alias("l"), "pattern"))).over(Window.partitionBy("field", "value"))
-    loose = loose.withColumn("best", best["pattern"]).where("kind <> 'longest' or pattern = best")
+    loose = matches(v.select("field", "value").distinct(), r, rule_bytes)
     return exact.select("id", "node").union(v.join(loose.select("field", "value", "node"), ["field", "value"]).select("id", "node")).distinct()
 
 
@@ -75,18 +130,23 @@ def backend_names(spans: DataFrame) -> DataFrame:
 
 def longest_rule(values: DataFrame, rules: DataFrame) -> DataFrame:
     """id, node: the node of the longest pattern (then the least) a value contains. values: id, value. rules: pattern, node."""
-    words = values.select("value").where("value is not null").distinct()
-    hit = words.join(rules, F.contains("value", "pattern")).groupBy("value").agg(F.min(F.struct((-F.length("pattern")).alias("l"), "pattern", "node")).alias("m"))
-    return values.join(hit, "value").select("id", F.col("m.node").alias("node"))
+    words = values.select(F.lit("").alias("field"), "value").where("value is not null").distinct()
+    hit = matches(words, rules.select(F.lit("").alias("field"), F.lit("longest").alias("kind"), "pattern", "node")).groupBy("value").agg(F.min("node").alias("node"))
+    return values.join(hit, "value").select("id", "node")
 
 
 def call_chains(spans: DataFrame) -> DataFrame:
-    """w, n_spans, services, routes, signature: each window's spans in order of start. spans: w, start, span_id, service, route."""
-    rows = F.array_sort(F.collect_list(F.struct("start", "span_id", "service", "route")))
+    """w, n_spans, services, routes, scopes, code, signature: what each window's spans name, each once, in order of start, end and span_id. spans: w, start, end, span_id, service, route, scope, namespace, function.
+
+    code: namespace.function where both are known; empty names are none. signature: the routes, then the scopes, between bars.
+    """
+    name = lambda c: F.nullif(F.col(c), F.lit(""))
+    code = F.when(name("namespace").isNotNull() & name("function").isNotNull(), F.concat_ws(".", "namespace", "function"))
+    rows = F.array_sort(F.collect_list(F.struct("start", "end", "span_id", name("service").alias("service"), name("route").alias("route"), name("scope").alias("scope"), code.alias("code"))))
     x = spans.groupBy("w").agg(F.count("*").alias("n_spans"), rows.alias("r"))
-    ordered = lambda c: F.array_distinct(F.filter(F.transform("r", lambda s: s[c]), lambda y: y.isNotNull()))
-    out = x.select("w", "n_spans", ordered("service").alias("services"), ordered("route").alias("routes"))
-    return out.withColumn("signature", F.concat(F.array_join("services", ">"), F.lit("|"), F.array_join("routes", ">")))
+    ordered = lambda c: F.array_distinct(F.array_compact(F.transform("r", lambda s: s[c])))
+    out = x.select("w", "n_spans", ordered("service").alias("services"), ordered("route").alias("routes"), ordered("scope").alias("scopes"), ordered("code").alias("code"))
+    return out.withColumn("signature", F.array_join(F.concat("routes", "scopes"), "|"))
 
 
 def alignment(samples: DataFrame, matches: DataFrame, key: str) -> DataFrame:
@@ -97,6 +157,6 @@ def alignment(samples: DataFrame, matches: DataFrame, key: str) -> DataFrame:
 
 
 def best_trace(candidates: DataFrame) -> DataFrame:
-    """w, trace_id: the trace of each window with the most spans, then route hits, then the least id. candidates: w, trace_id, spans, hits."""
+    """w, trace_id, spans, hits: of each window's traces that have the route at all, the one with the most spans, then route hits, then the least id; none if no trace has it. candidates: w, trace_id, spans, hits."""
     nth = F.row_number().over(Window.partitionBy("w").orderBy(F.desc("spans"), F.desc("hits"), "trace_id"))
-    return candidates.withColumn("_k", nth).where("_k = 1").drop("_k")
+    return candidates.where("hits > 0").withColumn("_k", nth).where("_k = 1").drop("_k")

@@ -138,9 +138,9 @@ def reordered_matrix(spark, d):
     return diagnose.reordered(struct(spark, d), brand_truth(spark, d))
 
 
-@query("SELECT w, trace_id, spans, hits FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY spans DESC, hits DESC, trace_id) AS k FROM (SELECT strftime(ts, '%Y-%m-%d') AS w, user_id AS trace_id, count(*) AS spans, count(*) FILTER (WHERE event_type = 'view') AS hits FROM events GROUP BY ALL)) WHERE k = 1")
+@query("SELECT w, trace_id, spans, hits FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY spans DESC, hits DESC, trace_id) AS k FROM (SELECT strftime(ts, '%Y-%m-%d') AS w, user_id AS trace_id, count(*) AS spans, count(*) FILTER (WHERE event_type = 'purchase' AND value > 100) AS hits FROM events GROUP BY ALL) WHERE hits > 0) WHERE k = 1")
 def best_trace_window(spark, d):
-    e = table(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("w"), F.col("user_id").alias("trace_id")).agg(F.count("*").alias("spans"), F.count_if(F.col("event_type") == "view").alias("hits"))
+    e = table(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("w"), F.col("user_id").alias("trace_id")).agg(F.count("*").alias("spans"), F.count_if((F.col("event_type") == "purchase") & (F.col("value") > 100)).alias("hits"))
     return spans.best_trace(e)
 
 

@@ -701,6 +701,14 @@ def louvain(spark, d):
     return cluster.swept(normalize.knn_graph(full(spark, d), 4), [1.0])
 
 
+#: The lines of an order all belong together, so each order is a cluster, whatever way nodes move.
+@query("WITH n AS (SELECT DISTINCT l_orderkey AS o, 8 * l_orderkey + l_linenumber AS n FROM lineitem) SELECT n, min(n) OVER (PARTITION BY o) AS cluster FROM n QUALIFY count(*) OVER (PARTITION BY o) > 1")
+def louvain_lines(spark, d):
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("g"), (8 * F.col("l_orderkey") + F.col("l_linenumber")).alias("n")).distinct()
+    together = pairs.cooccurrence(lines).select("i", "j", F.col("co").cast("double").alias("v"))
+    return cluster.swept(together, [1.0]).select("n", "cluster")
+
+
 @query()
 def merge_tiny(spark, d):
     return cluster.swept(normalize.knn_graph(full(spark, d), 4), [2.0], 3)
@@ -791,10 +799,22 @@ def matrix_fingerprint(spark, d):
     return maps.fingerprint(struct(spark, d))
 
 
-@query()
+#: A list's values, each where it stands first.
+FIRSTS = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+
+
+@query(f"""WITH e AS (SELECT user_id || ':' || strftime(ts, '%Y-%m-%d') AS w, epoch_us(ts) AS s, epoch_us(ts) + CAST(floor(value) AS BIGINT) AS t, event_id, event_type, json_extract_string(props, '$.k') AS k FROM events),
+n AS (SELECT *, CASE WHEN event_type <> 'error' THEN k END AS route, CASE WHEN event_type <> 'view' THEN left(k, 1) END AS scope, event_type || '.' || nullif(k, '1') AS code FROM e),
+l AS (SELECT w, count(*) AS n_spans, list(event_type ORDER BY s, t, event_id) AS sv, coalesce(list(route ORDER BY s, t, event_id) FILTER (WHERE route IS NOT NULL), []) AS ro,
+  coalesce(list(scope ORDER BY s, t, event_id) FILTER (WHERE scope IS NOT NULL), []) AS sc, coalesce(list(code ORDER BY s, t, event_id) FILTER (WHERE code IS NOT NULL), []) AS co FROM n GROUP BY w)
+SELECT w, n_spans, {FIRSTS.format('sv')} AS services, {FIRSTS.format('ro')} AS routes, {FIRSTS.format('sc')} AS scopes, {FIRSTS.format('co')} AS code,
+  array_to_string(list_concat({FIRSTS.format('ro')}, {FIRSTS.format('sc')}), '|') AS signature FROM l""")
 def call_chain_summary(spark, d):
-    e = table(spark, d, "events")
-    rows = e.select(F.concat_ws(":", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("w"), micros().alias("start"), F.col("event_id").alias("span_id"), F.col("event_type").alias("service"), F.get_json_object("props", "$.k").alias("route"))
+    k, kind = F.get_json_object("props", "$.k"), F.col("event_type")
+    rows = table(spark, d, "events").select(
+        F.concat_ws(":", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("w"), micros().alias("start"), (micros() + F.floor("value")).alias("end"), F.col("event_id").alias("span_id"), kind.alias("service"),
+        F.when(kind != "error", k).alias("route"), F.when(kind != "view", F.left(k, F.lit(1))).alias("scope"), kind.alias("namespace"), F.when(k != "1", k).alias("function"),
+    )
     return spans.call_chains(rows)
 
 
