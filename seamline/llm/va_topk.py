@@ -162,16 +162,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, bits: int = 5, bl
     """query_id, rank (from 1), vec_id, score: the k rows of vectors with the highest inner product of floor(SCALE * x) for each row of queries (both vec_id, embedding).
 
     Rows with the query's own id don't count; equal scores go to the smaller vec_id, and fewer than k rows are all returned. Only vectors of one length compare. Equal rows are candidates each; a
-    query that stands several times is answered once, by its first row by content. Vectors that are null, or hold null or non-finite components, take no part, nor do null ids; finite ones of any
+    query that stands several times is answered once, by its shortest vector and of those the first by content. Vectors that are null, or hold null or non-finite components, take no part, nor do null ids; finite ones of any
     size do. A score beyond a long is the long next to it. Empty tables: no rows. Other columns are ignored.
 
     `block`: queries and vectors of a cell of the grid. Of few rows the blocks are smaller, so that there are `cells` cells for the tasks.
     """
     work = Workspace(vectors.sparkSession, "topk")
-    # Of equal vectors only those with the least ids can be among the k best, besides the query's own row.
+    # Of equal rows k can be among the k best of a query. Of equal vectors 2k can, by the least ids: at most k rows have the query's own id, and k are left.
+    own = F.row_number().over(Window.partitionBy("dim", "data", "vec_id").orderBy(F.lit(0)))
     nth = F.row_number().over(Window.partitionBy("dim", "data").orderBy("vec_id"))
-    v = work.keep(prepared(vectors).withColumn("nth", nth).where(F.col("nth") <= k + 1).drop("nth"), "vectors")
-    asked = prepared(queries).groupBy("vec_id", "dim").agg(F.min("data").alias("data"))
+    v = work.keep(prepared(vectors).withColumn("own", own).where(F.col("own") <= k).withColumn("nth", nth).where(F.col("nth") <= 2 * k).select("vec_id", "dim", "data"), "vectors")
+    first = F.min(F.struct("dim", "data")).alias("first")
+    asked = prepared(queries).groupBy("vec_id").agg(first).select("vec_id", "first.dim", "first.data")
     q = work.keep(with_floors(asked, v, k, sample_bytes), "queries")
     n, m = v.count(), q.count()
     rows = max(1, -(-m // block))

@@ -1,5 +1,6 @@
 import math
 import random
+import struct
 from fractions import Fraction
 
 from seamline.llm import va_topk
@@ -11,7 +12,8 @@ def brute(vectors, queries, k):
     asked = {}
     for i, e in queries:
         if i is not None and ok(e):
-            asked.setdefault(i, [math.floor(64 * Fraction(x)) for x in e])
+            asked[i] = min(asked.get(i, e), e, key=lambda x: (len(x), struct.pack(f"<{len(x)}d", *x)))
+    asked = {i: [math.floor(64 * Fraction(x)) for x in e] for i, e in asked.items()}
     out = []
     for q, e in asked.items():
         long = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
@@ -82,3 +84,21 @@ def test_many_equal_vectors(spark, rows):
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
     got = rows(va_topk.top_k(df, df.where("vec_id % 50 = 0"), k=7, block=64))
     assert got == brute(data, [(i, e) for i, e in data if i % 50 == 0], 7)
+
+
+def test_more_equal_rows_than_are_asked_for(spark, rows):
+    """Rows of the query's own id, however many, hide no other row with the same vector."""
+    v = [1.0, 0.5]
+    data = [(5, v)] * 25 + [(6, v), (7, [0.5, 0.25])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    assert rows(va_topk.top_k(df, df.where("vec_id = 5"))) == [(5, 1, 6, 5120), (5, 2, 7, 2560)]
+    data = [(5, v)] * 30 + [(i, v) for i in range(10, 60) for _ in range(1 + 25 * (i == 12))]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(6)
+    for asked in (5, 12, 40):
+        assert rows(va_topk.top_k(df, df.where(f"vec_id = {asked}"))) == brute(data, [(asked, v)], 20)
+
+
+def test_a_query_of_two_lengths_is_answered_once(spark, rows):
+    data = [(0, [2.0, 1.0]), (0, [1.0]), (0, [1.0, 1.0]), (1, [1.0]), (2, [3.0, 3.0]), (3, [2.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    assert rows(va_topk.top_k(df, df.where("vec_id = 0"))) == brute(data, [r for r in data if r[0] == 0], 20) == [(0, 1, 3, 8192), (0, 2, 1, 4096)]
