@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seamline.operators import ranges
+from seamline.sources.objects import json_texts
 
 
 def _whole(spark: SparkSession, path: str) -> DataFrame:
@@ -39,44 +36,6 @@ def read_graph(spark: SparkSession, path: str) -> DataFrame:
     return _whole(spark, path).select(F.explode(F.from_json("value", schema)["edges"]).alias("e")).select("e.source", "e.target")
 
 
-def json_texts(spark: SparkSession, path: str) -> DataFrame:
-    """value: each object, as JSON text, of files that are an array, lines of JSON, or objects one after another over any number of lines.
-
-    Files whose lines are objects are read in parts. Any other file is one value, gone through in one task; where it has no JSON, reading goes on with the next line.
-    """
-    lines = spark.read.text(path).where("trim(value) <> ''")
-    # A line is an object by itself if a parser takes it; two objects on a line are told by the text between them.
-    single = F.try_parse_json("value").isNotNull() & F.col("value").rlike(r"^\s*\{") & ~F.col("value").rlike(r"\}\s*\{")
-    if not lines.where(~F.coalesce(single, F.lit(False))).limit(1).collect():
-        return lines.select("value")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = json.JSONDecoder()
-        for batch in batches:
-            for content in batch.column(0):
-                text, at, out, size = content.as_py().decode("utf-8", "replace"), 0, [], 0
-                while at < len(text):
-                    if text[at].isspace():
-                        at += 1
-                        continue
-                    try:
-                        value, at = decoder.raw_decode(text, at)
-                    except json.JSONDecodeError:
-                        at = text.find("\n", at) + 1 or len(text)
-                        continue
-                    for x in value if isinstance(value, list) else [value]:
-                        if isinstance(x, dict):
-                            out.append(json.dumps(x, ensure_ascii=False))
-                            size += len(out[-1])
-                        if size > 1 << 22:
-                            yield pa.RecordBatch.from_arrays([pa.array(out)], names=["value"])
-                            out, size = [], 0
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(out)], names=["value"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "value string")
-
-
 def read_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a JSON array, of lines of JSON, or of objects written one after another."""
     return json_texts(spark, path).select(F.from_json("value", schema).alias("r")).where("r is not null").select("r.*")
