@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from seamline.functions.text import leaf_package
 from seamline.operators import ranges
 from seamline.operators.components import connected_components
+from seamline.operators.spectral import spectral  # noqa: F401
 
 
 def degrees(sim: DataFrame) -> DataFrame:
@@ -140,35 +139,6 @@ def diagnosis(rows: DataFrame) -> DataFrame:
     return rows.withColumn("diagnosis", v.otherwise("depends on the system"))
 
 
-def spectral(sim: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """n, cluster: spectral clustering of one graph in one task; its matrix has a row and a column for each node. k-means on the first k eigenvectors from well-spread starts, so reruns agree."""
-    kind = sim.schema["i"].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = np.unique(np.concatenate([pdf["i"], pdf["j"]]))
-        at = {n: x for x, n in enumerate(names)}
-        w = np.eye(len(names))
-        i, j = pdf["i"].map(at).to_numpy(), pdf["j"].map(at).to_numpy()
-        w[i, j] = w[j, i] = pdf["v"]
-        z = 1 / np.sqrt(w.sum(axis=1))
-        x = np.linalg.eigh(z[:, None] * w * z)[1][:, -k:]
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        centers = [x[0]]
-        while len(centers) < min(k, len(x)):
-            centers.append(x[np.min([((x - c) ** 2).sum(axis=1) for c in centers], axis=0).argmax()])
-        c = np.array(centers)
-        for _ in range(100):
-            own = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
-            new = np.array([x[own == m].mean(axis=0) if (own == m).any() else c[m] for m in range(len(c))])
-            if np.allclose(new, c):
-                break
-            c = new
-        first = {m: names[np.flatnonzero(own == m)[0]] for m in set(own.tolist())}
-        return pd.DataFrame({"n": names, "cluster": [first[m] for m in own]})
-
-    return sim.where("v > 0").groupBy("i", "j").agg(F.max("v").alias("v")).withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(run, f"n {kind}, cluster {kind}")
-
-
 def cluster_report(part: DataFrame) -> DataFrame:
     """cluster, size, members in order."""
     return part.groupBy("cluster").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("n")).alias("members"))

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from seamline.workspace import Workspace
+
 
 def contingency(pred: DataFrame, truth: DataFrame) -> DataFrame:
     """p, t, n: common nodes for each pair of predicted and true cluster. pred and truth: n, cluster."""
@@ -44,24 +46,47 @@ def bcubed(pred: DataFrame, truth: DataFrame) -> DataFrame:
     return row.select(F.coalesce("precision", F.lit(0.0)).alias("precision"), F.coalesce("recall", F.lit(0.0)).alias("recall")).withColumn("f1", _f1(F.col("precision"), F.col("recall")))
 
 
-def mojo(pred: DataFrame, truth: DataFrame) -> DataFrame:
-    """moves, n, mojosim: predicted clusters by size (then id) take the unused true cluster they share most with (then the smaller id); the rest moves."""
+#: Rows of a contingency table that one task may well hold.
+LIGHT = 1 << 16
+
+
+def mojo(pred: DataFrame, truth: DataFrame, light: int = LIGHT) -> DataFrame:
+    """moves, n, mojosim: predicted clusters by size (then id) take the unused true cluster they share most with (then the smaller id); the rest moves.
+
+    Every predicted cluster asks for the best true one that hasn't refused it, and that keeps the first in order of those that ask and refuses all behind it for good; rounds go on until nobody is refused. That ends as taking
+    in order does, since all true clusters want the same. Once `light` rows are left, one task goes through them in order. No common nodes: no row.
+    """
+    work = Workspace(pred.sparkSession, "mojo")
+    x = contingency(pred, truth)
+    table = work.keep(x.join(x.groupBy("p").agg(F.sum("c").alias("cp")), "p").select("p", "t", "c", (-F.col("cp")).alias("late")), "table0")
+    total, step = table.agg(F.sum("c")).first()[0], 0
+    names = f"p {table.schema['p'].dataType.simpleString()}, t {table.schema['t'].dataType.simpleString()}, c long"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, kept = set(), 0
-        sizes = pdf.groupby("p")["c"].sum()
-        for p in sorted(sizes.index, key=lambda k: (-sizes[k], k)):
-            rows = pdf[pdf["p"] == p].sort_values(["c", "t"], ascending=[False, True])
-            for t, c in zip(rows["t"], rows["c"]):
-                if t not in used:
-                    used.add(t)
-                    kept += c
-                    break
-        n = int(pdf["c"].sum())
-        return pd.DataFrame({"moves": [n - int(kept)], "n": [n], "mojosim": [(1 - (n - kept) / n) * 100]})
-
-    # One task sees the table of clusters, never the nodes.
-    return contingency(pred, truth).withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(run, "moves long, n long, mojosim double")
+        used, kept = set(), []
+        for _, rows in pdf.sort_values(["late", "p", "c", "t"], ascending=[True, True, False, True]).groupby(["late", "p"], sort=True):
+            took = next(((t, c) for t, c in zip(rows["t"], rows["c"]) if t not in used), None)
+            if took:
+                used.add(took[0])
+                kept.append((rows["p"].iloc[0], *took))
+        return pd.DataFrame(kept, columns=["p", "t", "c"])
+
+    while True:
+        if table.count() <= light:
+            kept = table.groupBy(F.lit(1).alias("_one")).applyInPandas(run, names)
+            break
+        asks = table.groupBy("p", "late").agg(F.min(F.struct((-F.col("c")).alias("c"), "t")).alias("best")).select("p", "late", "best.t", (-F.col("best.c")).alias("c"))
+        asks = work.keep(asks, f"asks{step}")
+        holds = asks.groupBy("t").agg(F.min(F.struct("late", "p")).alias("holder"), F.count("*").alias("n"))
+        if not holds.where("n > 1").limit(1).collect():
+            kept = asks
+            break
+        left = table.join(holds.select("t", "holder"), "t", "left").where(F.col("holder").isNull() | (F.struct("late", "p") <= F.col("holder")))
+        step += 1
+        table = work.keep(left.select("p", "t", "c", "late"), f"table{step}")
+        work.drop(f"table{step - 1}")
+    row = kept.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("kept")).select((F.lit(total) - F.col("kept")).cast("long").alias("moves"), F.lit(total).cast("long").alias("n"), ((1 - (F.lit(total) - F.col("kept")) / F.lit(total)) * 100).alias("mojosim"))
+    return row.where(F.lit(total is not None))
 
 
 def _crossed(deps: DataFrame, part: DataFrame) -> DataFrame:

@@ -160,3 +160,28 @@ def best_trace(candidates: DataFrame) -> DataFrame:
     """w, trace_id, spans, hits: of each window's traces that have the route at all, the one with the most spans, then route hits, then the least id; none if no trace has it. candidates: w, trace_id, spans, hits."""
     nth = F.row_number().over(Window.partitionBy("w").orderBy(F.desc("spans"), F.desc("hits"), "trace_id"))
     return candidates.where("hits > 0").withColumn("_k", nth).where("_k = 1").drop("_k")
+
+
+def _code(k: str):
+    return F.nullif(F.col("attrs")[f"code.{k}"], F.lit(""))
+
+
+def _coded(spans: DataFrame) -> DataFrame:
+    sound = spans.where("start_us > 0 and end_us > 0 and end_us >= start_us")
+    return sound.withColumn("_any", F.coalesce(*(_code(k) for k in ("namespace", "function", "class", "method"))).isNotNull())
+
+
+def code_presence(spans: DataFrame) -> DataFrame:
+    """One row: spans, and how many name code at all (any, ratio) or a namespace, function, class or method. spans: attrs (map), start_us, end_us; those without sound times don't count."""
+    row = _coded(spans).agg(F.count("*").alias("spans"), F.count_if("_any").alias("any"), *(F.count(_code(k)).alias(k) for k in ("namespace", "function", "class", "method")))
+    return row.withColumn("ratio", F.when(F.col("spans") > 0, F.col("any") / F.col("spans")).otherwise(F.lit(0.0)))
+
+
+def code_tops(spans: DataFrame, top: int = 30) -> DataFrame:
+    """kind, rank, name, n: where spans name code: the most frequent namespaces, services, scopes and routes of the spans that do, `top` of each, ties by name. Spans without a service, scope or route count as <missing>."""
+    get = lambda k: F.coalesce(F.nullif(F.col("attrs")[k], F.lit("")), F.lit("<missing>"))
+    kinds = {"code.namespace": _code("namespace"), **{k: get(k) for k in ("service.name", "otel.scope.name", "http.route")}}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("name")) for k, v in kinds.items())))
+    counts = _coded(spans).where("_any").select(each.alias("x")).select("x.*").where("name is not null").groupBy("kind", "name").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "name"))
+    return counts.withColumn("rank", rank).where(F.col("rank") <= top).select("kind", "rank", "name", "n")

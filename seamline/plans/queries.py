@@ -655,7 +655,11 @@ def bcubed(spark, d):
     return rounded(metrics.bcubed(vec_pred(spark, d), vec_truth(spark, d)))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT vec_id % 7 AS p, label AS t, count(*) AS c FROM embeddings WHERE label IS NOT NULL GROUP BY ALL), o AS (SELECT p, row_number() OVER (ORDER BY sum(c) DESC, p) AS k FROM c GROUP BY p), x AS (SELECT k, t, c FROM c JOIN o USING (p)),
+r AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS INTEGER[]) AS used, CAST(0 AS HUGEINT) AS kept UNION ALL
+  SELECT r.k + 1, list_concat(any_value(r.used), list_filter([arg_min(x.t, (-x.c, x.t)) FILTER (WHERE NOT list_contains(r.used, x.t))], lambda y: y IS NOT NULL)), any_value(r.kept) + coalesce(max(x.c) FILTER (WHERE NOT list_contains(r.used, x.t)), 0)
+  FROM r JOIN x ON x.k = r.k + 1 GROUP BY r.k),
+n AS (SELECT sum(c) AS n FROM c) SELECT CAST(n - max(kept) AS BIGINT) AS moves, CAST(n AS BIGINT) AS n, round((1 - (n - max(kept)) / n) * 100, 6) AS mojosim FROM r, n GROUP BY n""")
 def mojosim(spark, d):
     return rounded(metrics.mojo(vec_pred(spark, d), vec_truth(spark, d)))
 
@@ -818,6 +822,27 @@ def call_chain_summary(spark, d):
     return spans.call_chains(rows)
 
 
+CODE = """c AS (SELECT epoch_us(ts) AS s, epoch_us(ts) + CAST(floor(value) AS BIGINT) - 3 AS t, CASE WHEN event_type = 'view' THEN 'N' || CAST(k AS INT) % 40 END AS ns, CASE WHEN event_type IN ('view', 'click') THEN k END AS fn, CASE WHEN event_type = 'signup' AND CAST(k AS INT) > 90 THEN 'C' END AS cl,
+  'u' || user_id % 50 AS sv, CASE WHEN CAST(k AS INT) % 2 = 0 THEN event_type END AS sc, k AS ro FROM (SELECT *, json_extract_string(props, '$.k') AS k FROM events)), g AS (SELECT *, coalesce(ns, fn, cl) IS NOT NULL AS a FROM c WHERE s > 0 AND t > 0 AND t >= s)"""
+
+
+def code_spans(spark, d):
+    k, kind = F.get_json_object("props", "$.k"), F.col("event_type")
+    named = {"code.namespace": F.when(kind == "view", F.concat(F.lit("N"), k.cast("int") % 40)), "code.function": F.when(kind.isin("view", "click"), k), "code.class": F.when((kind == "signup") & (k.cast("int") > 90), "C"), "service.name": F.concat(F.lit("u"), F.col("user_id") % 50), "otel.scope.name": F.when(k.cast("int") % 2 == 0, kind), "http.route": k}
+    return table(spark, d, "events").select(F.create_map(*(x for c, v in named.items() for x in (F.lit(c), v))).alias("attrs"), micros().alias("start_us"), (micros() + F.floor("value") - 3).alias("end_us"))
+
+
+@query(f"WITH {CODE} SELECT count(*) AS spans, count(*) FILTER (WHERE a) AS any, count(ns) AS namespace, count(fn) AS function, count(cl) AS class, CAST(0 AS BIGINT) AS method, round(count(*) FILTER (WHERE a) / count(*), 6) AS ratio FROM g")
+def code_presence(spark, d):
+    return rounded(spans.code_presence(code_spans(spark, d)))
+
+
+@query(f"""WITH {CODE}, e AS (SELECT 'code.namespace' AS kind, ns AS name FROM g WHERE a AND ns IS NOT NULL UNION ALL SELECT 'service.name', sv FROM g WHERE a UNION ALL SELECT 'otel.scope.name', coalesce(sc, '<missing>') FROM g WHERE a UNION ALL SELECT 'http.route', ro FROM g WHERE a)
+SELECT * FROM (SELECT kind, CAST(row_number() OVER (PARTITION BY kind ORDER BY count(*) DESC, name) AS INTEGER) AS rank, name, count(*) AS n FROM e GROUP BY kind, name) WHERE rank <= 30""")
+def code_tops(spark, d):
+    return spans.code_tops(code_spans(spark, d))
+
+
 @query()
 def edl_infer(spark, d):
     s, m, t = struct(spark, d), sem(spark, d), temp(spark, d)
