@@ -242,14 +242,14 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "pattern string, toxic long, other long").groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 2.0) -> np.ndarray:
-    """Logistic weights, drawn to FIRST; the constant hardly so."""
+def _fit(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 2.0) -> np.ndarray:
+    """Logistic weights for rows that count n times, drawn to FIRST; the constant hardly so."""
     x, w = np.column_stack([np.ones(len(x)), x]), FIRST.copy()
     pull = np.full(len(w), ridge)
     pull[0] = 0.1
     for _ in range(50):
         p = 1 / (1 + np.exp(-(x @ w)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(pull), x.T @ (y - p) - pull * (w - FIRST))
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.diag(pull), x.T @ (n * (y - p)) - pull * (w - FIRST))
         w += np.clip(step, -2, 2)
         if abs(step).max() < 1e-8:
             break
@@ -297,8 +297,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_stems:
             x = [start.features(t.as_py(), finder) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
-    data = rows.mapInArrow(run, "y double, x array<double>").orderBy("y", F.xxhash64("x")).collect()  # `sample` rows of a few numbers
-    start.weights = _fit(np.array([r["x"] for r in data]), np.array([r["y"] for r in data]))
+    # Equal rows are counted where they are; `sample` rows of a few numbers at most.
+    data = rows.mapInArrow(run, "y double, x array<double>").groupBy("y", "x").agg(F.count("*").alias("n")).collect()
+    data.sort(key=lambda r: (r["y"], r["x"]))
+    start.weights = _fit(np.array([r["x"] for r in data]), np.array([r["y"] for r in data]), np.array([float(r["n"]) for r in data]))
     return start
 
 
