@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from seamline.functions.text import owner
+from seamline.operators import java
 from seamline.operators.filters import is_stored_entity
 
 
@@ -101,40 +102,14 @@ def assembled_prompt(system: str, packages: DataFrame, classes: DataFrame, low:
 
 
 def methods(files: DataFrame) -> DataFrame:
-    """path, fqcn, name, first, last, text: methods of the first type of each file, by their braces; a name that comes again has its own lines. files: path, text.
-
-    Comments are blanked out where they stand, so places hold for the original; braces inside string literals are not told apart.
-    """
-    schema = "path string, name string, first int, last int, text string"
-
-    def run(frames):
-        import re
-
-        import pandas as pd
-
-        head = re.compile(r"\b([A-Za-z_]\w*)\s*\(([^()]*)\)\s*(?:throws\s+[\w.,\s]+)?\{")
-        for f in frames:
-            out = []
-            for path, text in zip(f["path"], f["text"]):
-                text = text or ""
-                blank = re.sub(r"/\*.*?\*/|//[^\n]*", lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
-                for m in head.finditer(blank):
-                    if m[1] in ("if", "for", "while", "switch", "catch", "synchronized", "try", "return", "new"):
-                        continue
-                    depth, at = 1, m.end()
-                    while at < len(blank) and depth:
-                        depth += {"{": 1, "}": -1}.get(blank[at], 0)
-                        at += 1
-                    out.append((path, m[1], blank.count("\n", 0, m.start(1)) + 1, blank.count("\n", 0, at) + 1, text[m.start(1) : at]))
-            yield pd.DataFrame(out, columns=["path", "name", "first", "last", "text"])
-
-    found = files.select("path", "text").mapInPandas(run, schema)
-    return found.join(types(files).select("path", "fqcn"), "path").select("path", "fqcn", "name", "first", "last", "text").dropDuplicates(["fqcn", "name", "first", "last"])
+    """path, fqcn, name, first, last, text: methods of all types of each file, nested ones too, by a lexer that knows literals and comments; a name that comes again has its own lines. files: path, text."""
+    found = java.declarations(files).where("kind = 'method'")
+    return found.select("path", F.col("type").alias("fqcn"), "name", "first", "last", "text").dropDuplicates(["fqcn", "name", "first", "last"])
 
 
 def call_edges(found: DataFrame) -> DataFrame:
     """source, target: methods (fqcn.name) that call a method's name which one class alone has, or else the caller's own class; other calls have no sure target and are left out. found: fqcn, name, text."""
-    called = F.array_distinct(F.regexp_extract_all(F.regexp_replace("text", r"^\w+", ""), F.lit(r"\b([A-Za-z_]\w*)\s*\("), F.lit(1)))
+    called = F.array_distinct(F.regexp_extract_all(F.regexp_replace("text", r"^[^(]*", ""), F.lit(r"\b([A-Za-z_]\w*)\s*\("), F.lit(1)))
     calls = found.select("fqcn", F.concat_ws(".", "fqcn", "name").alias("source"), F.explode(called).alias("name")).distinct()
     owners = found.select("fqcn", "name").distinct().groupBy("name").agg(F.min("fqcn").alias("only"), F.count("*").alias("k"))
     own = found.select("fqcn", "name", F.lit(True).alias("own")).distinct()
