@@ -50,43 +50,85 @@ def bcubed(pred: DataFrame, truth: DataFrame) -> DataFrame:
 LIGHT = 1 << 16
 
 
-def mojo(pred: DataFrame, truth: DataFrame, light: int = LIGHT) -> DataFrame:
-    """moves, n, mojosim: predicted clusters by size (then id) take the unused true cluster they share most with (then the smaller id); the rest moves.
+def mojo(pred: DataFrame, truth: DataFrame, light: int = LIGHT, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, moves, n, mojosim: predicted clusters by size (then id) take the unused true cluster they share most with (then the smaller id); the rest moves. by: columns of pred that tell partitions apart.
 
     Every predicted cluster asks for the best true one that hasn't refused it, and that keeps the first in order of those that ask and refuses all behind it for good; rounds go on until nobody is refused. That ends as taking
-    in order does, since all true clusters want the same. Once `light` rows are left, one task goes through them in order. No common nodes: no row.
+    in order does, since all true clusters want the same. Once `light` rows are left, a task for each partition goes through them in order. No common nodes: no row.
     """
-    work = Workspace(pred.sparkSession, "mojo")
-    x = contingency(pred, truth)
-    table = work.keep(x.join(x.groupBy("p").agg(F.sum("c").alias("cp")), "p").select("p", "t", "c", (-F.col("cp")).alias("late")), "table0")
-    total, step = table.agg(F.sum("c")).first()[0], 0
-    names = f"p {table.schema['p'].dataType.simpleString()}, t {table.schema['t'].dataType.simpleString()}, c long"
+    return _mojo(_contingency(pred, truth, by), light, by)
+
+
+def _contingency(pred: DataFrame, truth: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    both = pred.select(*by, "n", F.col("cluster").alias("p")).join(truth.select("n", F.col("cluster").alias("t")), "n")
+    return both.groupBy(*by, "p", "t").agg(F.count("*").alias("c"))
+
+
+def _mojo(x: DataFrame, light: int, by: tuple[str, ...]) -> DataFrame:
+    work = Workspace(x.sparkSession, "mojo")
+    table, step = work.keep(x.join(x.groupBy(*by, "p").agg(F.sum("c").alias("cp")), [*by, "p"]).select(*by, "p", "t", "c", (-F.col("cp")).alias("late")), "table0"), 0
+    totals = work.keep(table.groupBy(*by).agg(F.sum("c").alias("n")).where("n is not null"), "totals")
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in table.schema if f.name in (*by, "p", "t")) + "c long"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, kept = set(), []
+        used, kept, key = set(), [], pdf[list(by)].iloc[0].tolist()
         for _, rows in pdf.sort_values(["late", "p", "c", "t"], ascending=[True, True, False, True]).groupby(["late", "p"], sort=True):
             took = next(((t, c) for t, c in zip(rows["t"], rows["c"]) if t not in used), None)
             if took:
                 used.add(took[0])
-                kept.append((rows["p"].iloc[0], *took))
-        return pd.DataFrame(kept, columns=["p", "t", "c"])
+                kept.append((*key, rows["p"].iloc[0], *took))
+        return pd.DataFrame(kept, columns=[*by, "p", "t", "c"])
 
     while True:
         if table.count() <= light:
-            kept = table.groupBy(F.lit(1).alias("_one")).applyInPandas(run, names)
+            kept = table.groupBy(*(by or [F.lit(1).alias("_one")])).applyInPandas(run, schema)
             break
-        asks = table.groupBy("p", "late").agg(F.min(F.struct((-F.col("c")).alias("c"), "t")).alias("best")).select("p", "late", "best.t", (-F.col("best.c")).alias("c"))
+        asks = table.groupBy(*by, "p", "late").agg(F.min(F.struct((-F.col("c")).alias("c"), "t")).alias("best")).select(*by, "p", "late", "best.t", (-F.col("best.c")).alias("c"))
         asks = work.keep(asks, f"asks{step}")
-        holds = asks.groupBy("t").agg(F.min(F.struct("late", "p")).alias("holder"), F.count("*").alias("n"))
-        if not holds.where("n > 1").limit(1).collect():
+        holds = asks.groupBy(*by, "t").agg(F.min(F.struct("late", "p")).alias("holder"), F.count("*").alias("asking"))
+        if not holds.where("asking > 1").limit(1).collect():
             kept = asks
             break
-        left = table.join(holds.select("t", "holder"), "t", "left").where(F.col("holder").isNull() | (F.struct("late", "p") <= F.col("holder")))
+        left = table.join(holds.drop("asking"), [*by, "t"], "left").where(F.col("holder").isNull() | (F.struct("late", "p") <= F.col("holder")))
         step += 1
-        table = work.keep(left.select("p", "t", "c", "late"), f"table{step}")
+        table = work.keep(left.select(*by, "p", "t", "c", "late"), f"table{step}")
         work.drop(f"table{step - 1}")
-    row = kept.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("kept")).select((F.lit(total) - F.col("kept")).cast("long").alias("moves"), F.lit(total).cast("long").alias("n"), ((1 - (F.lit(total) - F.col("kept")) / F.lit(total)) * 100).alias("mojosim"))
-    return row.where(F.lit(total is not None))
+    sums = kept.groupBy(*by).agg(F.sum("c").alias("kept"))
+    rows = totals.join(sums, list(by)) if by else totals.join(F.broadcast(sums))  # one row each
+    return rows.select(*by, (F.col("n") - F.col("kept")).cast("long").alias("moves"), F.col("n").cast("long").alias("n"), ((1 - (F.col("n") - F.col("kept")) / F.col("n")) * 100).alias("mojosim"))
+
+
+def measures(parts: DataFrame, truth: DataFrame, deps: DataFrame, by: tuple[str, ...], light: int = LIGHT) -> DataFrame:
+    """by, k, gt_k, k_diff, bcubed, pairwise, mojosim, ifn, icp, ned, sm: all figures of a table of results, for all partitions (by, n, cluster) at once.
+
+    truth: n, cluster; deps: source, target, w. Accuracy is over the nodes that both have, coupling over the edges both of whose ends have a cluster; without any of those a figure is null. ned and sm as ned() and structural_modularity().
+    A null in `by` tells no partition.
+    """
+    work = Workspace(parts.sparkSession, "measures")
+    parts = work.keep(parts.select(*by, "n", "cluster"), "parts")
+    keys = list(by)
+    cells = work.keep(_contingency(parts, truth, by), "cells")
+    p, t = cells.groupBy(*by, "p").agg(F.sum("c").alias("cp")), cells.groupBy(*by, "t").agg(F.sum("c").alias("ct"))
+    pairs = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
+    whole = cells.join(p, [*by, "p"]).join(t, [*by, "t"]).groupBy(*by).agg(
+        (F.sum(F.col("c") * F.col("c") / F.col("cp")) / F.sum("c")).alias("bp"), (F.sum(F.col("c") * F.col("c") / F.col("ct")) / F.sum("c")).alias("br"), pairs("c").alias("tp"), F.count_distinct("p").alias("k_common"), F.count_distinct("t").alias("gt_k")
+    )
+    whole = whole.join(p.groupBy(*by).agg(pairs("cp").alias("pp")), keys).join(t.groupBy(*by).agg(pairs("ct").alias("tt")), keys)
+    share = lambda of: F.when(F.col(of) > 0, F.col("tp") / F.col(of)).otherwise(F.lit(0.0))
+    accuracy = whole.select(*by, "gt_k", (F.col("k_common") - F.col("gt_k")).alias("k_diff"), _f1(F.col("bp"), F.col("br")).alias("bcubed"), _f1(share("pp"), share("tt")).alias("pairwise"))
+    sizes = work.keep(parts.groupBy(*by, "cluster").agg(F.count("*").alias("size")), "sizes")
+    spread = sizes.groupBy(*by).agg(F.count("*").alias("k"), F.coalesce(F.stddev_pop("size") / F.avg("size"), F.lit(0.0)).alias("ned"), F.sum("size").alias("nodes"))
+    crossed = work.keep(deps.join(parts.select(*by, F.col("n").alias("source"), F.col("cluster").alias("cs")), "source").join(parts.select(*by, F.col("n").alias("target"), F.col("cluster").alias("ct")), [*by, "target"]).groupBy(*by, "cs", "ct", (F.col("source") == F.col("target")).alias("loop")).agg(F.sum("w").alias("w"), F.count("*").alias("edges")), "crossed")
+    apart = F.col("cs") != F.col("ct")
+    coupled = crossed.groupBy(*by).agg(F.sum(F.when(apart, F.col("w")).otherwise(0)).cast("double").alias("ifn"), (F.sum(F.when(apart, F.col("edges")).otherwise(0)) / F.sum("edges")).alias("icp"))
+    flows = crossed.where("not loop").groupBy(*by, F.col("cs").alias("cluster")).agg(F.sum(F.when(apart, 0).otherwise(F.col("w"))).alias("inside"), F.sum(F.when(apart, F.col("w")).otherwise(0)).alias("outside"))
+    each = sizes.join(flows, [*by, "cluster"], "left").fillna(0, ["inside", "outside"]).join(spread, keys)
+    others = F.col("nodes") - F.col("size")
+    cohesion = F.when(F.col("size") > 1, F.col("inside") / (F.col("size") * (F.col("size") - 1))).otherwise(F.lit(0.0))
+    out = F.when(others > 0, F.col("outside") / (F.col("size") * others)).otherwise(F.lit(0.0))
+    shape = each.groupBy(*by).agg(F.when(F.max("k") > 1, F.avg(cohesion) - F.avg(out)).otherwise(F.lit(0.0)).alias("sm"))
+    found = spread.drop("nodes").join(shape, keys).join(accuracy, keys, "left").join(_mojo(cells, light, by).select(*by, "mojosim"), keys, "left").join(coupled, keys, "left")
+    return found.select(*by, "k", "gt_k", "k_diff", "bcubed", "pairwise", "mojosim", "ifn", "icp", "ned", "sm")
 
 
 def _crossed(deps: DataFrame, part: DataFrame) -> DataFrame:

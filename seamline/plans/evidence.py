@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from seamline.functions import math, text
 from seamline.operators import cluster, diagnose, edl, filters, fusion, metrics, normalize, pairs, ranges, report, sampling, sessions, spans, structure, terms
 from seamline.plans.queries import (
-    BRANDS, CAMEL, CONT, F1, IDF, MODALITIES, SEM, STOP, STRUCT, TEMP, TRUTH, brand_pred, brand_truth, camel_name, certainty, full, kept, n_brands, query, rounded, sem, struct, table, temp, trimodal, vec_pred, vec_truth,
+    BRANDS, CAMEL, CONT, F1, IDF, MODALITIES, SEM, STOP, STRUCT, TEMP, TRUTH, brand_pred, brand_truth, camel_name, certainty, full, kept, n_brands, nation_deps, query, rounded, sem, struct, table, temp, trimodal, vec_pred, vec_truth,
 )
 
 # Spans and logs. A page is a span: its URL has route, path and query, and some have a collection, a namespace or a log record.
@@ -354,7 +354,7 @@ def settings(spark, d):
 
 @query()
 def table_runner(spark, d):
-    """setting, resolution, and quality of its chosen partition: clusters, modularity, accuracy against the truth, crossing edges. A setting without a solution says so."""
+    """setting, resolution, and all measures of its chosen partition: clusters, modularity, accuracy against the truth, coupling over the structural links. A setting without a solution says so."""
     graphs, truth, by = settings(spark, d), brand_truth(spark, d), ("setting",)
     near = kept(spark, graphs.withColumn("k", F.row_number().over(ranked_by("setting", "i"))).where("k <= 6").drop("k"), "near")
     parts = kept(spark, cluster.swept(near, cluster.resolutions(0.1, 8.0, 0.1), by=by), "parts")
@@ -362,16 +362,35 @@ def table_runner(spark, d):
     best = table_.where("k between 2 and 8").groupBy("setting").agg(F.max(F.struct((F.col("q") > 0).alias("positive"), F.round("score", 9).alias("score"), (-F.col("resolution")).alias("r"), "q", "ratio", "k")).alias("b"))
     chosen = kept(spark, best.select("setting", (-F.col("b.r")).alias("resolution"), "b.k", "b.q", "b.ratio"), "best")
     picked = kept(spark, parts.join(F.broadcast(chosen.select("setting", "resolution")), ["setting", "resolution"]), "picked")  # one row for each setting
-    out = None
-    for r in chosen.select("setting").orderBy("setting").collect():
-        part = picked.where(F.col("setting") == r[0]).select("n", "cluster")
-        figures = metrics.bcubed(part, truth).select(F.col("f1").alias("bcubed")).join(F.broadcast(metrics.pairwise_f1(part, truth).select(F.col("f1").alias("pairwise")))).join(F.broadcast(metrics.k_report(part, truth).select("gt_k", "k_diff")))
-        one = figures.withColumn("setting", F.lit(r[0]))
-        out = one if out is None else out.unionByName(one)
-    done = chosen if out is None else chosen.join(out, "setting")
+    deps = graphs.where("setting = 'struct'").select(F.col("i").alias("source"), F.col("j").alias("target"), F.col("v").alias("w"))
+    done = chosen.drop("k").join(metrics.measures(picked, truth, deps, by), "setting")
     return rounded(graphs.select("setting").distinct().join(done, "setting", "left").withColumn("status", F.when(F.col("resolution").isNull(), "no solution").otherwise("chosen")))
 
 
+@query("""WITH RECURSIVE deps AS (SELECT c_nationkey AS s, s_nationkey AS t, count(*) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
+pt AS (SELECT m AS setting, n_nationkey AS n, n_nationkey % m AS c FROM nation, (VALUES (2), (3), (4), (5), (7)) v(m)), ce AS (SELECT setting, c AS p, n_regionkey AS t, count(*) AS c FROM pt JOIN nation ON n = n_nationkey GROUP BY ALL),
+cp AS (SELECT setting, p, sum(c) AS n FROM ce GROUP BY ALL), cl AS (SELECT setting, t, sum(c) AS n FROM ce GROUP BY ALL),
+a AS (SELECT setting, sum(ce.c) AS n, sum(ce.c * ce.c / cp.n) / sum(ce.c) AS bp, sum(ce.c * ce.c / cl.n) / sum(ce.c) AS br, sum(ce.c * (ce.c - 1) / 2) AS tp, count(DISTINCT p) AS k, count(DISTINCT t) AS gt_k FROM ce JOIN cp USING (setting, p) JOIN cl USING (setting, t) GROUP BY setting),
+b AS (SELECT a.*, tp / (SELECT sum(cp.n * (cp.n - 1) / 2) FROM cp WHERE cp.setting = a.setting) AS pp, tp / (SELECT sum(cl.n * (cl.n - 1) / 2) FROM cl WHERE cl.setting = a.setting) AS pr FROM a),
+o AS (SELECT setting, p, row_number() OVER (PARTITION BY setting ORDER BY n DESC, p) AS o FROM cp), x AS (SELECT setting, o, t, c FROM ce JOIN o USING (setting, p)),
+r AS (SELECT setting, CAST(0 AS BIGINT) AS o, CAST([] AS INTEGER[]) AS used, CAST(0 AS HUGEINT) AS kept FROM a UNION ALL
+  SELECT r.setting, r.o + 1, list_concat(any_value(used), list_filter([arg_min(t, (-c, t)) FILTER (WHERE NOT list_contains(used, t))], lambda y: y IS NOT NULL)), any_value(kept) + coalesce(max(c) FILTER (WHERE NOT list_contains(used, t)), 0)
+  FROM r JOIN x ON x.setting = r.setting AND x.o = r.o + 1 GROUP BY r.setting, r.o), mj AS (SELECT setting, max(kept) AS kept FROM r GROUP BY setting),
+cr AS (SELECT p1.setting, p1.c AS cs, p2.c AS ct, s = t AS lp, w FROM deps JOIN pt p1 ON p1.n = s JOIN pt p2 ON p2.n = t AND p2.setting = p1.setting),
+cu AS (SELECT setting, CAST(sum(CASE WHEN cs <> ct THEN w ELSE 0 END) AS DOUBLE) AS ifn, count(*) FILTER (WHERE cs <> ct) / count(*) AS icp FROM cr GROUP BY setting), sz AS (SELECT setting, c, count(*) AS z FROM pt GROUP BY ALL),
+sp AS (SELECT setting, count(*) AS k, stddev_pop(z) / avg(z) AS ned, sum(z) AS nodes FROM sz GROUP BY setting),
+fl AS (SELECT setting, cs AS c, sum(CASE WHEN cs = ct THEN w ELSE 0 END) AS i, sum(CASE WHEN cs <> ct THEN w ELSE 0 END) AS e FROM cr WHERE NOT lp GROUP BY ALL),
+sm AS (SELECT setting, avg(CASE WHEN z > 1 THEN coalesce(i, 0) / (z * (z - 1)) ELSE 0 END) - avg(CASE WHEN nodes > z THEN coalesce(e, 0) / (z * (nodes - z)) ELSE 0 END) AS sm FROM sz JOIN sp USING (setting) LEFT JOIN fl USING (setting, c) GROUP BY setting)
+SELECT setting, sp.k AS k, gt_k, b.k - gt_k AS k_diff, round(2 * bp * br / (bp + br), 6) AS bcubed, round(CASE WHEN pp + pr > 0 THEN 2 * pp * pr / (pp + pr) ELSE 0 END, 6) AS pairwise, round(CAST(100 * kept / n AS DOUBLE), 6) AS mojosim,
+  ifn, round(icp, 6) AS icp, round(ned, 6) AS ned, round(sm, 6) AS sm FROM b JOIN sp USING (setting) JOIN mj USING (setting) JOIN cu USING (setting) JOIN sm USING (setting)""")
+def partition_measures(spark, d):
+    """All measures of several partitions of the nations at once, against their regions."""
+    nations = table(spark, d, "nation")
+    settings_ = F.explode(F.array(*map(F.lit, (2, 3, 4, 5, 7))))
+    parts = nations.select(settings_.alias("setting"), F.col("n_nationkey").alias("n")).withColumn("cluster", F.col("n") % F.col("setting"))
+    return rounded(metrics.measures(parts, nations.select(F.col("n_nationkey").alias("n"), F.col("n_regionkey").cast("int").alias("cluster")), nation_deps(spark, d), ("setting",)))
+
+
 def ranked_by(*keys):
     from pyspark.sql.window import Window
 

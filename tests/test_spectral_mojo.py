@@ -53,3 +53,20 @@ def test_rounds_of_asking_equal_taking_in_order(spark, seed):
         got = metrics.mojo(*frames, light=light).first()
         assert (got["moves"], got["n"]) == (len(common) - kept, len(common)) and got["mojosim"] == pytest.approx(100 * kept / len(common))
     assert metrics.mojo(frames[0].limit(0), frames[1], light=light).count() == 0
+
+
+def test_all_measures_at_once_equal_each_by_itself(spark):
+    rng = random.Random(4)
+    parts = [(s, n, rng.randrange(k)) for s, k in (("a", 5), ("b", 1), ("c", 12)) for n in range(60) if rng.random() < 0.9]
+    truth = spark.createDataFrame([(n, rng.randrange(6)) for n in range(55)], "n long, cluster long")
+    deps = spark.createDataFrame([(rng.randrange(70), rng.randrange(60), float(rng.randint(1, 4))) for _ in range(300)], "source long, target long, w double")
+    every = spark.createDataFrame(parts, "setting string, n long, cluster long")
+    for light in (1 << 16, 0):
+        got = {r["setting"]: r for r in metrics.measures(every, truth, deps, ("setting",), light).collect()}
+        assert set(got) == {"a", "b", "c"}
+        for s in got:
+            part = every.where(f"setting = '{s}'").select("n", "cluster")
+            k = metrics.k_report(part, truth).first()
+            n, c, m = metrics.ned(part).first(), metrics.coupling(deps, part).first(), metrics.structural_modularity(deps, part).first()
+            want = (n["k"], k["gt_k"], k["k_diff"], metrics.bcubed(part, truth).first()["f1"], metrics.pairwise_f1(part, truth).first()["f1"], metrics.mojo(part, truth).first()["mojosim"], c["ifn"], c["icp"], n["ned"], m["sm"])
+            assert tuple(got[s])[1:] == pytest.approx(want)
