@@ -15,7 +15,7 @@ from seamline.operators.skew import HOT_SHARE, join_counted
 from seamline.workspace import Workspace
 
 #: Links that one task may well hold and go through.
-LIGHT = 1 << 16
+LIGHT = 1 << 15
 
 
 def local(i: np.ndarray, j: np.ndarray, v: np.ndarray, resolution: float = 1.0) -> dict:
