@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -139,11 +141,28 @@ def cosine_intra_inter(vectors: DataFrame) -> DataFrame:
 
     The cosines of a set add up to the square of the sum of its unit vectors, less what each has with itself, by two.
     """
-    size = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x))
-    unit = vectors.where("label >= 0").withColumn("z", size).select("label", (F.col("z") > 0).cast("long").alias("own"), F.when(F.col("z") > 0, F.transform("e", lambda x: x / F.col("z"))).otherwise(F.col("e")).alias("u"))
-    sums = unit.select("label", F.posexplode("u").alias("k", "x")).groupBy("label", "k").agg(F.sum("x").alias("s"))
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, label = np.asarray(pc.list_value_length(batch.column(1)).fill_null(0)), np.asarray(batch.column(0))
+            out = []
+            for dim in np.unique(size).tolist():
+                at = np.flatnonzero(size == dim)
+                e = np.asarray(batch.column(1).take(pa.array(at)).flatten()).astype(float).reshape(len(at), dim)
+                z = np.linalg.norm(e, axis=1)
+                names, of = np.unique(label[at], return_inverse=True)
+                s = np.zeros((len(names), dim))
+                np.add.at(s, of, e / np.where(z > 0, z, 1.0)[:, None])
+                out += list(zip(names.tolist(), np.bincount(of).tolist(), np.bincount(of, z > 0).astype(np.int64).tolist(), s.tolist()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64())))], names=["label", "c", "own", "s"])
+
+    # A batch leaves one row for each label and length of vector.
+    part = vectors.where("label >= 0").select(F.col("label").cast("long").alias("label"), F.col("e").cast("array<double>").alias("e")).mapInArrow(added, "label long, c long, own long, s array<double>")
+    part = Workspace(vectors.sparkSession, "intra").keep(part, "sums")
+    sums = part.select("label", F.posexplode("s").alias("k", "x")).groupBy("label", "k").agg(F.sum("x").alias("s"))
     squares = sums.groupBy("label").agg(F.sum(F.col("s") * F.col("s")).alias("q"))
-    counts = unit.groupBy("label").agg(F.count("*").alias("c"), F.sum("own").alias("own"))
+    counts = part.groupBy("label").agg(F.sum("c").alias("c"), F.sum("own").alias("own"))
     labels = counts.join(squares, "label", "left").fillna(0.0, ["q"])
     inside = labels.agg(F.sum((F.col("q") - F.col("own")) / 2).alias("cos_in"), F.sum(F.col("c") * (F.col("c") - 1) / 2).cast("long").alias("n_intra"), F.sum("c").alias("c"), F.sum("own").alias("own"))
     whole = sums.groupBy("k").agg(F.sum("s").alias("s")).agg(F.coalesce(F.sum(F.col("s") * F.col("s")), F.lit(0.0)).alias("q"))

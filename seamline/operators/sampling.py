@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+#: Bits of a hash that orders rows, and how many rows of equal leading bits are sorted by one task.
+HASH_BITS, SORTED = 53, 1 << 16
+
+
 def uniform(*keys: str | Column, seed: int = 42) -> Column:
     """A number in [0, 1) from the keys and the seed."""
     return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
@@ -48,17 +52,46 @@ def _matched(places: DataFrame, values: DataFrame) -> DataFrame:
     return places.withColumn("_k", nth).join(values.withColumn("_k", nth).drop("_o"), ["_b", "_k"]).select("i", "j", "v")
 
 
+def least_hashed(df: DataFrame, n: int, *keys: str, seed: int = 42) -> DataFrame:
+    """The n rows with the least hashes of their keys, then by the keys; all rows if there are fewer.
+
+    The nth hash is found by counts of hash ranges, each time within the range that holds it, so no task sorts all rows. Rows with equal keys are told apart by nothing: any of them may be taken.
+    """
+    if n <= 0:
+        return df.limit(0)
+    rows = df.withColumn("_h", F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << HASH_BITS)))
+    low, bits, left = 0, HASH_BITS, n  # the nth hash is in [low, low + 2^bits), where `left` rows are wanted
+    while bits > 0:
+        step = max(0, bits - 12)
+        inside = rows.where((F.col("_h") >= low) & (F.col("_h") < low + (1 << bits)))
+        bins = inside.groupBy(F.shiftright(F.col("_h") - low, step).alias("b")).agg(F.count("*").alias("c")).orderBy("b").collect()  # at most 4096 rows
+        if sum(r["c"] for r in bins) <= left:
+            low, left = low + (1 << bits), 0
+            break
+        for r in bins:
+            if r["c"] > left:
+                low, bits = low + (r["b"] << step), step
+                break
+            left -= r["c"]
+        if not left or r["c"] <= SORTED:
+            break
+    whole = rows.where(F.col("_h") < low)
+    if left:
+        whole = whole.union(rows.where((F.col("_h") >= low) & (F.col("_h") < low + (1 << bits))).orderBy("_h", *keys).limit(left))
+    return whole.drop("_h")
+
+
 def balanced_pairs(pairs: DataFrame, hard_share: float = 0.3, ratio: float = 2.0, seed: int = 42) -> DataFrame:
     """All positive pairs (y = 1) and a sample of the negative ones: hard ones (static >= 0.6, temp <= 0.3) up to a share of the positives, others up to `ratio` times them in all."""
     n = pairs.agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if((F.col("y") == 0) & (F.col("static") >= 0.6) & (F.col("temp") <= 0.3)).alias("hard")).first()
     hard_n = min(n["hard"], int(n["pos"] * hard_share))
     is_hard = (F.col("static") >= 0.6) & (F.col("temp") <= 0.3)
-    neg = pairs.where("y = 0").withColumn("_u", uniform("i", "j", seed=seed))
-    hard = neg.where(is_hard).orderBy("_u", "i", "j").limit(hard_n).drop("_u")
-    plain = neg.where(~is_hard).orderBy("_u", "i", "j").limit(max(0, int(n["pos"] * ratio) - hard_n)).drop("_u")
+    neg = pairs.where("y = 0")
+    hard = least_hashed(neg.where(is_hard), hard_n, "i", "j", seed=seed)
+    plain = least_hashed(neg.where(~is_hard), max(0, int(n["pos"] * ratio) - hard_n), "i", "j", seed=seed)
     return pairs.where("y = 1").union(hard).union(plain)
 
 
 def capped(df: DataFrame, cap: int, *keys: str, seed: int = 42) -> DataFrame:
     """At most `cap` rows, those with the least hashes of their keys (which tell rows apart)."""
-    return df.withColumn("_u", uniform(*keys, seed=seed)).orderBy("_u", *keys).limit(cap).drop("_u")
+    return least_hashed(df, cap, *keys, seed=seed)

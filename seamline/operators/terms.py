@@ -60,3 +60,24 @@ def hashed_vectors(docs: DataFrame, dim: int = 64) -> DataFrame:
     counts = docs.select("d", F.explode(cell).alias("c")).groupBy("d", "c").agg(F.count("*").alias("n"))
     table = counts.groupBy("d").agg(F.map_from_entries(F.collect_list(F.struct("c", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("z"))
     return table.select("d", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.coalesce(F.col("m")[k.cast("long")], F.lit(0)) / F.col("z")).alias("e"))
+
+
+def learned_vectors(docs: DataFrame, dim: int = 64, cells: int = 512) -> DataFrame:
+    """d, e: a text as its place along the `dim` principal directions of all texts' weighted words, of unit length; an encoder learnt from the corpus. docs: d, text.
+
+    Words (three letters or more, no stopwords) are counted in hashed cells, weighted by inverse document frequency and brought to unit length. What goes to the driver is the cells x cells covariance,
+    summed up by partitions. Words that stand together in the corpus point the same way, so texts about one thing are near even without a word in common. Texts without words, and all texts where there are fewer than two, are zero vectors.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer
+    from pyspark.ml.functions import vector_to_array
+
+    words = F.filter(ascii_words(F.coalesce("text", F.lit(""))), lambda w: (F.length(w) >= 3) & ~w.isin(*STOPWORDS))
+    rows = docs.select("d", words.alias("words"))
+    zero = F.array_repeat(F.lit(0.0), dim)
+    if len(rows.limit(2).collect()) < 2:
+        return rows.select("d", zero.alias("e"))
+    steps = [HashingTF(numFeatures=cells, inputCol="words", outputCol="counts"), IDF(inputCol="counts", outputCol="weighed"), Normalizer(inputCol="weighed", outputCol="unit"), PCA(k=dim, inputCol="unit", outputCol="place")]
+    place = Pipeline(stages=steps).fit(rows).transform(rows).select("d", vector_to_array("place").alias("e"))
+    length = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x))
+    return place.withColumn("z", length).select("d", F.when(F.col("z") > 1e-12, F.transform("e", lambda x: x / F.col("z"))).otherwise(zero).alias("e"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seamline.functions import text, words
-from seamline.operators import code, diagnose, filters, metrics, normalize, pairs, spans, terms
+from seamline.operators import code, diagnose, filters, metrics, normalize, pairs, sampling, sessions, spans, terms
 from seamline.plans.queries import BRANDS, COSINES, STRUCT, TRUTH, UNCERTAINTY, brand_truth, kept, labelled_vectors, micros, n_brands, query, rounded, sem, struct, table, uncertainty, user_events, vec_truth
 
 
@@ -211,3 +211,32 @@ def hit_sizes(spark, d):
     x = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     per = x.groupBy(F.col("l_orderkey").alias("g")).agg(F.count_distinct("p_brand").alias("c"), F.count("*").alias("k"))
     return rounded(per.groupBy("k").agg(F.avg("c").alias("mean"), F.max("c").alias("most")))
+
+
+@query()
+def learned_embeddings(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("d"), "text")
+    return terms.learned_vectors(docs).select("d", F.transform("e", lambda x: F.round(x, 6)).alias("e"))
+
+
+@query("SELECT DISTINCT l_discount AS rho, replace(printf('%.2f', l_discount), '.', 'p') AS name FROM lineitem UNION SELECT l_tax, replace(printf('%.2f', l_tax), '.', 'p') FROM lineitem")
+def rho_names(spark, d):
+    lines = table(spark, d, "lineitem")
+    return lines.select(F.col("l_discount").alias("rho")).union(lines.select("l_tax")).distinct().select("rho", text.rho_name(F.col("rho")).alias("name"))
+
+
+@query("""WITH p AS (SELECT l_returnflag = 'R' AS pos, l_discount * 10 >= 0.6 AND l_tax * 10 <= 0.3 AS hard FROM lineitem), n AS (SELECT count(*) FILTER (WHERE pos) AS pos, count(*) FILTER (WHERE NOT pos AND hard) AS hard, count(*) FILTER (WHERE NOT pos AND NOT hard) AS plain FROM p),
+k AS (SELECT pos, plain, least(hard, CAST(floor(pos * 0.3) AS BIGINT)) AS hard FROM n) SELECT pos AS positive, hard, least(plain, greatest(0, pos * 2 - hard)) AS plain FROM k""")
+def balanced_sample(spark, d):
+    """Lines stand for pairs: how many of each kind the balanced sample takes."""
+    x = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("i"), F.col("l_linenumber").alias("j"), (F.col("l_returnflag") == "R").cast("int").alias("y"), (F.col("l_discount") * 10).alias("static"), (F.col("l_tax") * 10).alias("temp"))
+    hard = (F.col("static") >= 0.6) & (F.col("temp") <= 0.3)
+    return sampling.balanced_pairs(x).agg(F.count_if(F.col("y") == 1).alias("positive"), F.count_if((F.col("y") == 0) & hard).alias("hard"), F.count_if((F.col("y") == 0) & ~hard).alias("plain"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT epoch_ms(ts) AS t, event_id FROM events), a AS (SELECT min(t) AS t FROM e UNION ALL SELECT (SELECT min(t) FROM e WHERE e.t > a.t + 86400000) FROM a WHERE a.t IS NOT NULL), s AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS session FROM a WHERE t IS NOT NULL)
+SELECT session, count(*) AS n, min(event_id) AS least, max(event_id) AS most FROM e ASOF JOIN s ON e.t >= s.t GROUP BY session""")
+def global_sessions(spark, d):
+    """All users' events as one stream."""
+    e = table(spark, d, "events").select(F.struct("ts", "event_id").alias("seq"), F.floor(micros() / 1000).alias("t"), F.col("event_id").alias("n"))
+    return sessions.stream_sessions(e, 86_400_000).groupBy("session").agg(F.count("*").alias("n"), F.min("n").alias("least"), F.max("n").alias("most"))
