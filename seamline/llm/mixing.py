@@ -7,9 +7,11 @@ at its target, up to one document. Groups of bounded size settle all but one doc
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import random
+import zlib
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -50,14 +52,10 @@ def source_targets(sizes: DataFrame, share: float = 1.5, weights: tuple[float, .
     return table.join(F.broadcast(first)).withColumn("target", target).select("source", "source_size", "target", rate.alias("rate"))
 
 
-def settle(rows: pd.DataFrame, seed: int, last: bool) -> pd.DataFrame:
-    """Rows (doc_id, source, size, p, extra) of one group with p settled to 0 or 1, moved into extra; at most one keeps its p, and none if it is the last group of its source."""
-    import random
-    import zlib
-
-    rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], na_position="last", kind="stable").reset_index(drop=True)
-    size, p = rows["size"].tolist(), rows["p"].tolist()
-    coin = random.Random(zlib.crc32(f"{seed}/{rows['source'].iloc[0]!r}/{len(rows)}/{rows['doc_id'].iloc[0]}".encode()))
+def settle(doc_id: list[int | None], source: str | None, size: list[int], p: list[float], seed: int, last: bool) -> list[float]:
+    """Probabilities of one group's documents, in order of size, settled to 0 or 1; at most one keeps its own, and none if it is the last group of its source."""
+    p = list(p)
+    coin = random.Random(zlib.crc32(f"{seed}/{source!r}/{len(p)}/{doc_id[0]}".encode()))
     open_ = -1
     for i in range(len(p)):
         if not 0 < p[i] < 1:
@@ -79,18 +77,47 @@ def settle(rows: pd.DataFrame, seed: int, last: bool) -> pd.DataFrame:
         open_ = next((j for j in (open_, i) if 0 < p[j] < 1), -1)
     if last and open_ >= 0:
         p[open_] = float(coin.random() < p[open_])
-    rows["extra"] += [int(x >= 1) for x in p]
-    rows["p"] = [0.0 if x >= 1 or x <= 0 else x for x in p]
-    return rows
-
-
-def _settler(seed: int, last: bool) -> Callable[[pa.Table], pa.Table]:
-    def run(rows: pa.Table) -> pa.Table:
-        # Nullable whole numbers, so that a null beside an id never makes it a rounded double.
-        frame = rows.select(COLUMNS).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
-        return pa.Table.from_pandas(settle(frame, seed, last)[COLUMNS], SCHEMA, preserve_index=False)
-
-    return run
+    return p
+
+
+def _settled(rows: DataFrame, seed: int, last: bool) -> DataFrame:
+    """rows (COLUMNS and _g) with p settled group by group of (source, _g) and moved into extra. Groups stream one after another, so many small ones cost no more than a few large ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None  # the group that may go on in the next batch
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            yield from done(table, False)
+            rest = table.slice(starts(table)[-1]) if len(table) else None
+        if rest is not None:
+            yield from done(rest, True)
+
+    def starts(table: pa.Table) -> list[int]:
+        """Where the groups begin."""
+        source, g = table.column("source").combine_chunks().dictionary_encode(), np.asarray(table.column("_g"))
+        code = np.asarray(source.indices.fill_null(-1))
+        return np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (g[1:] != g[:-1])])).tolist()
+
+    def done(table: pa.Table, ended: bool) -> Iterator[pa.RecordBatch]:
+        if not len(table):
+            return
+        first = starts(table)
+        ends = [*first[1:], *([len(table)] if ended else [])]
+        stop = ends[-1] if ends else 0
+        table = table.slice(0, stop)
+        if not stop:
+            return
+        doc_id, source, size, p = (table.column(c).to_pylist() for c in ("doc_id", "source", "size", "p"))
+        out = []
+        for lo, hi in zip(first, ends):
+            out += settle(doc_id[lo:hi], source[lo], size[lo:hi], p[lo:hi], seed, last)
+        out = np.array(out)
+        extra = np.asarray(table.column("extra")) + (out >= 1)
+        columns = [table.column(c) for c in COLUMNS[:4]] + [pa.array(np.where(out >= 1, 0.0, np.maximum(out, 0.0))), pa.array(extra)]
+        yield from pa.table(columns, schema=SCHEMA).combine_chunks().to_batches()
+
+    order = [F.col("source"), F.col("_g"), F.col("size").desc_nulls_last(), F.col("doc_id").asc_nulls_last(), F.col("n"), F.col("p")]
+    return rows.select(*COLUMNS, "_g").repartition("source", "_g").sortWithinPartitions(*order).mapInArrow(run, ROWS)
 
 
 def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1, 2), most: float = 2.0, group: int = 500, seed: int = 7) -> DataFrame:
@@ -117,7 +144,7 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1,
         last = groups == 1
 
         spread = rows.withColumn("_g", F.pmod(F.xxhash64("doc_id", "size", F.lit(level)), F.lit(groups)))
-        settled = work.keep(spread.groupBy("source", "_g").applyInArrow(_settler(seed + level, last), ROWS), f"level{level}")
+        settled = work.keep(_settled(spread, seed + level, last), f"level{level}")
         done.append(settled.where("p = 0"))
         if last:
             break

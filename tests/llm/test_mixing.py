@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -43,15 +44,12 @@ def test_targets_and_taken(documents, seed):
 
 
 def test_probability_is_kept():
-    import pandas as pd
-
-    total = [0] * 6
+    total, chances = [0] * 6, [0.5, 0.3, 0.7, 0.7, 0.1, 0.9]
     for seed in range(3000):
-        f = pd.DataFrame({"doc_id": range(6), "source": "a", "size": [5, 4, 3, 3, 2, 1], "n": 1, "p": [0.5, 0.3, 0.7, 0.7, 0.1, 0.9], "extra": 0})
-        out = mixing.settle(f, seed, True).sort_values("doc_id")
-        assert set(out["p"]) == {0.0}
-        total = [a + b for a, b in zip(total, out["extra"])]
-    assert all(abs(t / 3000 - p) < 0.04 for t, p in zip(total, [0.5, 0.3, 0.7, 0.7, 0.1, 0.9]))
+        out = mixing.settle(list(range(6)), "a", [5, 4, 3, 3, 2, 1], chances, seed, True)
+        assert set(out) <= {0.0, 1.0}
+        total = [a + b for a, b in zip(total, out)]
+    assert all(abs(t / 3000 - p) < 0.04 for t, p in zip(total, chances))
 
 
 def test_repeated_rows_share_their_copies(documents):
@@ -81,5 +79,24 @@ def test_many_sources(documents):
     assert got == pytest.approx(want)
 
 
+def test_groups_over_batches(spark, documents):
+    """Groups that go on in the next batch are settled as a whole, a null source's too."""
+    rng = random.Random(4)
+    docs = documents([(i, " ".join(["w"] * rng.randrange(1, 9)), rng.choice([None, "a", "b", f"s{i // 3}"])) for i in range(400)]).coalesce(1)
+    want = sorted(map(str, mixing.mix(docs).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(map(str, mixing.mix(docs).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_sources_as_many_as_documents(documents):
+    """Small sources cost no Python group each: 20,000 of three words settle within the time of a few jobs."""
+    began = time.time()
+    got = mixing.mix(documents([(i, "a b c", f"host{i}") for i in range(20_000)])).groupBy("copies").count().collect()
+    assert sum(r["count"] for r in got) == 20_000 and time.time() - began < 60
+
+
 def test_empty(odd):
     assert mixing.mix(odd.limit(0)).count() == 0 and mixing.mix(odd).count() == odd.count()
