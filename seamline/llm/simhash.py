@@ -347,22 +347,24 @@ def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3) -> Dat
     """
     work = Workspace(docs.sparkSession, "simhash")
     marked = work.keep(fingerprints(docs, shingle), "fingerprints")
-    nodes = work.keep(marked.groupBy("fp").agg(F.min("doc_id").alias("root")), "nodes")
+    nodes = work.keep(marked.groupBy("fp").agg(F.min("doc_id").alias("root"), F.count("*").alias("n")), "nodes")
     labels = work.keep(connected_components(near_links(nodes.select("fp"), distance), contracted=True), "labels")
-    return marked.join(_named(nodes, labels, "fp"), "fp").select("doc_id", "fp", "component_id")
+    return join_counted(marked, _named(nodes, labels, "fp", work), "fp", marked.count()).select("doc_id", "fp", "component_id")
 
 
-def _named(nodes: DataFrame, labels: DataFrame, key: str) -> DataFrame:
-    """key, label, component_id for nodes (key, root) and the labels of those that have links."""
-    named = nodes.join(labels.withColumnRenamed("node", key), key, "left").select(key, "root", F.coalesce("label", key).alias("label"))
+def _named(nodes: DataFrame, labels: DataFrame, key: str, work: Workspace) -> DataFrame:
+    """key, label, component_id, n for nodes (key, root, n) and the labels of those that have links. Neither a component of most nodes nor a key of most rows is a hot key of a join."""
+    joined = labels.select(F.col("node").alias(key), "label").union(labels.select(F.col("label").alias(key), "label")).distinct()
     # Only nodes with links need another root than their own.
-    joined = labels.select(F.col("node").alias(key), "label").union(labels.select(F.col("label").alias(key), "label").distinct())
-    roots = joined.join(nodes, key).groupBy("label").agg(F.min("root").alias("component"))
-    return named.join(roots, "label", "left").select(key, "label", F.coalesce("component", "root").alias("component_id"))
+    linked = work.keep(joined.join(nodes, key), "linked")
+    roots = work.keep(linked.groupBy("label").agg(F.min("root").alias("component_id"), F.count("*").alias("members")), "roots")
+    together = join_counted(linked, roots, "label", linked.count(), "members").select(key, "label", "component_id", "n")
+    alone = nodes.join(joined.select(key), key, "left_anti").select(key, F.col(key).alias("label"), F.col("root").alias("component_id"), "n")
+    return work.keep(together.union(alone), "components")
 
 
-#: Shingles that a side of a cell of texts to compare has, about; a group with more is large.
-CELL = 1 << 19
+#: Shingles, and texts, that a side of a cell of texts to compare has, about; a group with more of either is large. 4096 one-shingle texts against as many take about two seconds.
+CELL, TEXTS = 1 << 19, 4096
 
 
 #: Bytes of text hashed at once.
@@ -575,10 +577,11 @@ def _led(rows: DataFrame, least: float) -> DataFrame:
 def _similar(sets: DataFrame, distance: int, least: float, work: Workspace) -> DataFrame:
     """Links a, b of texts (group, th, fp, bands, shingles, n) of one group that are within the distance or share a band, and are similar.
 
-    A group of few shingles is one cell. Of a large one each text is first compared with the group's leaders, which joins most copies of one text at once; the texts that
+    A group of few shingles and texts is one cell. Of a large one each text is first compared with the group's leaders, which joins most copies of one text at once; the texts that
     joined the largest part of the group need no comparison with each other, and only the rest meet all others, in a grid of cells.
     """
-    sizes = sets.groupBy("group").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("parts"), F.count("*").alias("k")).where("parts > 1")
+    sides = F.greatest(F.ceil(F.sum("n") / CELL), F.ceil(F.count("*") / TEXTS)).cast("int")
+    sizes = sets.groupBy("group").agg(sides.alias("parts"), F.count("*").alias("k")).where("parts > 1")
     large = work.keep(sizes, "large")
     few = sets.join(large, "group", "left_anti").withColumns({"a": F.lit(0), "b": F.lit(0), "side": F.lit(2)})
     links = _cells(few, distance, least)
@@ -592,7 +595,7 @@ def _similar(sets: DataFrame, distance: int, least: float, work: Workspace) -> D
     named = work.keep(large.join(main, "group"), "main")  # each leader joins itself
     rest = work.keep(join_counted(found, named, "group", total, "k").where("lead is null or lead <> main").select("th"), "rest")
     others = rows.join(rest, "th", "left_semi")
-    open_ = work.keep(others.groupBy("group").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / CELL)).cast("int").alias("rest_parts")).join(large, "group").select("group", "rest_parts", "k"), "open")
+    open_ = work.keep(others.groupBy("group").agg(sides.alias("rest_parts")).join(large, "group").select("group", "rest_parts", "k"), "open")
     part = lambda seed, n: F.pmod(F.xxhash64("th", F.lit(seed)), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     grid = join_counted(rows, open_, "group", total, "k")
@@ -614,7 +617,7 @@ def similar_documents(docs: DataFrame, least: float = 0.8, shingle: int = 5, dis
     work = Workspace(docs.sparkSession, "similar")
     bands = band_count(least)
     marked = work.keep(_signatures(docs, shingle, bands), "fingerprints")
-    texts = work.keep(marked.groupBy("th", "fp").agg(F.min("doc_id").alias("root"), F.first("bands").alias("bands")), "texts")
+    texts = work.keep(marked.groupBy("th", "fp").agg(F.min("doc_id").alias("root"), F.first("bands").alias("bands"), F.count("*").alias("n")), "texts")
     fps = work.keep(texts.groupBy("fp").agg(F.count("*").alias("n")), "fps")
     groups = work.keep(connected_components(near_links(fps.select("fp"), distance).union(_band_links(texts)), contracted=True), "groups")
     grouped = work.keep(fps.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", F.coalesce("label", "fp").alias("group")), "grouped")
@@ -638,5 +641,5 @@ def similar_documents(docs: DataFrame, least: float = 0.8, shingle: int = 5, dis
     sets = one.join(picked, "th").select("group", "th", "fp", "text").mapInArrow(run, "group long, th long, fp long, bands binary, shingles binary, n long")
     labels = work.keep(connected_components(_similar(work.keep(sets, "sets"), distance, least, work), contracted=True), "labels")
     work.drop("fps", "groups", "grouped", "many", "named", "candidates", "sets")
-    nodes = texts.select("th", "root")
-    return marked.select("doc_id", "th").join(_named(nodes, labels, "th"), "th").select("doc_id", "th", "label", "component_id")
+    named = _named(texts.select("th", "root", "n"), labels, "th", work)
+    return join_counted(marked.select("doc_id", "th"), named, "th", marked.count()).select("doc_id", "th", "label", "component_id")

@@ -199,3 +199,25 @@ def test_a_large_group_of_copies(documents, monkeypatch):
     for r in simhash.similar_documents(documents([(d, t, "s") for d, t in docs])).collect():
         got.setdefault(r["component_id"], set()).add(r["doc_id"])
     assert {frozenset(g) for g in got.values()} == jaccard_components(docs, 0.8, 5)
+
+
+def test_many_short_texts_of_a_group(spark, monkeypatch):
+    """Texts of one shingle each, all with a band in common: cells are bounded by their texts too, and every pair of equal shingles is found."""
+    monkeypatch.setattr(simhash, "TEXTS", 50)
+    cells = []
+    whole = simhash._cells
+    monkeypatch.setattr(simhash, "_cells", lambda rows, *a: cells.append(rows) or whole(rows, *a))
+    rows = [(1, t, 0, bytes(4), np.array([t // 2], np.uint64).tobytes(), 2) for t in range(1, 601)]  # 2k and 2k + 1 are equal
+    sets = spark.createDataFrame(rows, "group long, th long, fp long, bands binary, shingles binary, n long")
+    work = Workspace(spark, "test")
+    found = {frozenset((r["a"], r["b"])) for r in simhash._similar(work.keep(sets, "sets"), 3, 0.8, work).collect()}
+    assert found == {frozenset((t, t + 1)) for t in range(2, 600, 2)}
+    assert max(r["count"] for r in cells[-1].groupBy("a", "b").count().collect()) < 4 * 50
+
+
+def test_most_rows_in_one_fingerprint(documents):
+    """Half of the rows have one text, and a quarter none."""
+    rows = [(i, ["alpha beta gamma delta epsilon"] * 2 + [None, f"one {i} two {i * 7} three {i * 3} four {i + 5}"] , "s") for i in range(2000)]
+    got = simhash.near_duplicates(documents([(i, t[i % 4], s) for i, t, s in rows])).collect()
+    assert len(got) == 2000
+    assert {r["component_id"] for r in got if r["doc_id"] % 4 < 2} == {0} and len({r["component_id"] for r in got if r["doc_id"] % 4 == 2}) == 1
