@@ -4,6 +4,7 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +81,35 @@ def test_traces_and_chains(spark):
     rows = [("w", 1, 9, "s2", "a", "/y", "lib", "N", "f"), ("w", 1, 3, "s1", "b", "/x", "", "N", None), ("w", 0, 5, "s3", None, "/y", "lib2", None, "g"), ("w", 2, 2, "s4", "a", None, None, "N", "f")]
     got = spans.call_chains(spark.createDataFrame(rows, "w string, start long, end long, span_id string, service string, route string, scope string, namespace string, function string")).first()
     assert tuple(got) == ("w", 4, ["b", "a"], ["/y", "/x"], ["lib2", "lib"], ["N.f"], "/y|/x|lib2|lib")
+
+
+def test_cosines_by_cells_and_tiles(spark, monkeypatch):
+    """Vectors are dealt out SIDES times at most, not once for each 1024 of them; every pair is met once, whatever the tiles."""
+    rng = np.random.default_rng(3)
+    e = np.round(rng.normal(0, 1, (90, 5)), 2)
+    e[7], e[50], e[60:64] = 0, e[3], e[9]
+    label = [None if n == 11 else int(n % 4) - 1 for n in range(90)]
+    df = spark.createDataFrame([(1000 - 7 * n, e[n].tolist(), label[n]) for n in range(90)], "n long, e array<float>, label long")
+    u = e.astype(np.float32).astype(float)
+    u = u / np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-300)
+    v = (u @ u.T + 1) / 2
+    all_pairs = [(1000 - 7 * b, 1000 - 7 * a, v[a, b], label[a], label[b]) for a in range(90) for b in range(a + 1, 90)]
+    monkeypatch.setattr(pairs, "SIDES", 3)
+    assert pairs._cells(df, 4).count() == 3 * 90
+    monkeypatch.setattr(pairs, "SIDE", 8 * 5 * 18)
+    assert pairs._cells(df, 4).count() == 5 * 90
+    for block, tile in ((1024, 512), (4, 7), (30, 3)):
+        monkeypatch.setattr(pairs, "TILE", tile)
+        got = {(r["i"], r["j"]): r["v"] for r in pairs.dense_cosine(df, block).collect()}
+        assert got == pytest.approx({(i, j): 2 * x - 1 for i, j, x, *_ in all_pairs})
+        top = [(r["i"], r["j"], r["same"]) for r in pairs.cosine_top(df, 12, block).collect()]
+        best = sorted(all_pairs, key=lambda p: (-round(p[2], 9), p[0], p[1]))[:12]
+        assert top == [(i, j, a == b) for i, j, _, a, b in best]
+        want = Counter((a == b, min(int(round(x, 9) * 60), 59)) for _, _, x, a, b in all_pairs)
+        assert {(r["same"], r["bin"]): r["n"] for r in pairs.cosine_histogram(df, 60, block).collect()} == want
+        above = {r["same"]: (r["n"], r["total"]) for r in pairs.cosine_above(df, 0.55, block).collect()}
+        known = [(x, a == b) for _, _, x, a, b in all_pairs if x > 0.55 and None not in (a, b) and min(a, b) >= 0]
+        assert above == {same: (sum(s == same for _, s in known), pytest.approx(sum(x for x, s in known if s == same))) for same in (True, False)}
+        weak = {(r["i"], r["j"]): r["v"] for r in pairs.cosine_deemphasised(df.select("n", "e", (F.col("label") < 1).alias("entity")), block=block).collect()}
+        factor = lambda *ls: (1, 0.8, 0.6)[sum(x is not None and x < 1 for x in ls)]
+        assert weak == pytest.approx({(i, j): x * factor(a, b) for i, j, x, a, b in all_pairs})
