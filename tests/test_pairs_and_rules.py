@@ -113,3 +113,10 @@ def test_cosines_by_cells_and_tiles(spark, monkeypatch):
         weak = {(r["i"], r["j"]): r["v"] for r in pairs.cosine_deemphasised(df.select("n", "e", (F.col("label") < 1).alias("entity")), block=block).collect()}
         factor = lambda *ls: (1, 0.8, 0.6)[sum(x is not None and x < 1 for x in ls)]
         assert weak == pytest.approx({(i, j): x * factor(a, b) for i, j, x, a, b in all_pairs})
+
+
+def test_weakened_cosines_are_not_dealt_out_again(spark):
+    from seamline.plans.queries import semantic_deemphasis
+
+    plan = semantic_deemphasis(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
