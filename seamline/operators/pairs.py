@@ -13,9 +13,14 @@ from pyspark.sql.window import Window
 from seamline.workspace import Workspace
 
 
+def members(df: DataFrame, group: Column, node: Column) -> DataFrame:
+    """The nodes of each group, repeats and all: g, n."""
+    return df.select(group.alias("g"), node.alias("n")).where("g is not null and n is not null")
+
+
 def items(df: DataFrame, group: Column, node: Column) -> DataFrame:
     """The set of nodes of each group: g, n."""
-    return df.select(group.alias("g"), node.alias("n")).where("g is not null and n is not null").distinct()
+    return members(df, group, node).distinct()
 
 
 #: Members of a group that meet each other in one piece.
@@ -38,23 +43,35 @@ def _meet(rows: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
     return met.select(F.least("p", "q").alias("l"), F.greatest("p", "q").alias("r"))
 
 
-def cooccurrence(sets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """i, j, co: groups (g, n: each node once) that have both nodes. Counts are summed up before they are dealt out, so a busy pair is one row a task; a group with many nodes is many tasks."""
-    return _cooccurrence(Workspace(sets.sparkSession, "pairs").keep(sets.select("g", "n"), "sets"), block)
-
-
-def _cooccurrence(table: DataFrame, block: int) -> DataFrame:
-    return _meet(table.withColumn("x", F.lit(1)), "g", block).groupBy(F.col("l.n").alias("i"), F.col("r.n").alias("j")).agg(F.count("*").alias("co"))
+def _together(rows: DataFrame, block: int) -> DataFrame:
+    """i, j, co with i <= j: groups (g, n: a node may stand several times) that have both nodes; of a node with itself, all its groups.
 
-
-def jaccard(sets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Shared groups over all groups of either node; pairs without a shared group are absent."""
-    sets = Workspace(sets.sparkSession, "pairs").keep(sets.select("g", "n"), "sets")
-    occ = sets.groupBy("n").agg(F.count("*").alias("c"))
-    return (
-        _cooccurrence(sets, block).join(occ.select(F.col("n").alias("i"), F.col("c").alias("ci")), "i").join(occ.select(F.col("n").alias("j"), F.col("c").alias("cj")), "j")
-        .select("i", "j", (F.col("co") / (F.col("ci") + F.col("cj") - F.col("co"))).alias("v"))
-    )
+    A group of at most `block` rows becomes one list, put together where its rows lie first, and makes its pairs itself; a larger one meets in cells. Counts are summed up before they are dealt out, so a busy pair is one row a task.
+    """
+    work = Workspace(rows.sparkSession, "pairs")
+    rows = work.keep(rows.select("g", "n"), "rows")
+    large = work.keep(rows.groupBy("g").agg(F.count("*").alias("_m")).where(F.col("_m") > block).select("g"), "large")
+    any_large = bool(large.limit(1).collect())
+    lists = (rows.join(large, "g", "left_anti") if any_large else rows).groupBy("g").agg(F.array_sort(F.collect_set("n")).alias("ns"))
+    left = lists.select("ns", F.posexplode("ns").alias("k", "i"))
+    out = left.select("i", F.explode(F.slice("ns", F.col("k") + 1, F.size("ns"))).alias("j"))
+    if any_large:
+        sets = work.keep(rows.join(large, "g", "left_semi").distinct(), "sets")
+        met = _meet(sets.withColumn("x", F.lit(1)), "g", block).select(F.col("l.n").alias("i"), F.col("r.n").alias("j"))
+        out = out.union(met).union(sets.select(F.col("n").alias("i"), F.col("n").alias("j")))
+    return out.groupBy("i", "j").agg(F.count("*").alias("co"))
+
+
+def cooccurrence(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """i, j, co: groups (g, n) that have both nodes; a group with many nodes is many tasks."""
+    return _together(rows, block).where("i < j")
+
+
+def jaccard(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Shared groups over all groups (g, n) of either node; pairs without a shared group are absent. The counts are a table, so whoever reads the result several times joins no group again."""
+    co = Workspace(rows.sparkSession, "pairs").keep(_together(rows, block), "co")
+    own = lambda n, c: co.where("i = j").select(F.col("i").alias(n), F.col("co").alias(c))
+    return co.where("i < j").join(own("i", "ci"), "i").join(own("j", "cj"), "j").select("i", "j", (F.col("co") / (F.col("ci") + F.col("cj") - F.col("co"))).alias("v"))
 
 
 def count_cosine(counts: DataFrame, block: int = BLOCK) -> DataFrame:

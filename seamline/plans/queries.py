@@ -53,21 +53,27 @@ def millis() -> Column:
 # Inputs that several queries share, on both sides.
 
 
+def order_brands(spark, d):
+    """Orders with the brands of their lines, repeats and all."""
+    return pairs.members(table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")), F.col("l_orderkey"), F.col("p_brand"))
+
+
 def order_items(spark, d):
-    return pairs.items(table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")), F.col("l_orderkey"), F.col("p_brand"))
+    return order_brands(spark, d).distinct()
 
 
-def day_items(spark, d):
-    day = F.concat_ws(":", "l_suppkey", F.date_format("l_shipdate", "yyyy-MM-dd"))
-    return pairs.items(table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")), day, F.col("p_brand"))
+def day_brands(spark, d):
+    day = F.struct("l_suppkey", F.to_date("l_shipdate").alias("day"))
+    day = F.when(F.col("l_suppkey").isNotNull() & F.col("l_shipdate").isNotNull(), day)
+    return pairs.members(table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")), day, F.col("p_brand"))
 
 
 def struct(spark, d):
-    return pairs.jaccard(order_items(spark, d))
+    return pairs.jaccard(order_brands(spark, d))
 
 
 def temp(spark, d):
-    return pairs.jaccard(day_items(spark, d))
+    return pairs.jaccard(day_brands(spark, d))
 
 
 def sem(spark, d):
@@ -84,9 +90,9 @@ def kept(spark, df, name):
     return Workspace(spark, "queries").keep(df, name)
 
 
-def uncertainty(spark, d, s=None):
-    static = fusion.fuse([(struct(spark, d) if s is None else s, 0.5), (sem(spark, d), 0.5)])
-    return normalize.minmax(kept(spark, fusion.disagreement(static, temp(spark, d)), "gap"), least_range=0.0)
+def uncertainty(spark, d, s=None, m=None, t=None):
+    static = fusion.fuse([(struct(spark, d) if s is None else s, 0.5), (sem(spark, d) if m is None else m, 0.5)])
+    return normalize.minmax(kept(spark, fusion.disagreement(static, temp(spark, d) if t is None else t), "gap"), least_range=0.0)
 
 
 def certainty(spark, d):
@@ -189,7 +195,7 @@ def basket_topk_pairs(spark, d):
 
 @query(f"WITH {STRUCT} SELECT i, j, co FROM struct_co")
 def cooccurrence_counts(spark, d):
-    return pairs.cooccurrence(order_items(spark, d))
+    return pairs.cooccurrence(order_brands(spark, d))
 
 
 @query(f"WITH {SEM} SELECT i, j, round(v, 6) AS v FROM sem")
@@ -403,7 +409,7 @@ SELECT a, b, len(x) + len(y) - 2 * (SELECT count(*) FROM generate_series(1, leas
 def package_distance(spark, d):
     """Of brands that meet in orders, as paths of their letters and digits."""
     path = lambda c: F.concat_ws(".", F.substring(c, 1, 5), F.substring(c, 7, 1), F.substring(c, 8, 9))
-    return pairs.cooccurrence(order_items(spark, d)).select(F.col("i").alias("a"), F.col("j").alias("b"), math.package_distance(path("i"), F.concat(path("j"), F.lit(".x"))).cast("long").alias("dist"))
+    return pairs.cooccurrence(order_brands(spark, d)).select(F.col("i").alias("a"), F.col("j").alias("b"), math.package_distance(path("i"), F.concat(path("j"), F.lit(".x"))).cast("long").alias("dist"))
 
 
 # Normalisation and summaries.
@@ -572,13 +578,13 @@ def structural_fusion(spark, d):
 TRI = f"{MODALITIES}, p AS (SELECT i, j, v * 0.4 AS v FROM struct UNION ALL SELECT i, j, v * 0.4 FROM sem UNION ALL SELECT i, j, v * 0.2 FROM temp), tri AS (SELECT i, j, least(greatest(sum(v), 0), 1) AS v FROM p GROUP BY ALL)"
 
 
-def trimodal(spark, d):
-    return fusion.fuse([(struct(spark, d), 0.4), (sem(spark, d), 0.4), (temp(spark, d), 0.2)])
+def trimodal(s, m, t):
+    return fusion.fuse([(s, 0.4), (m, 0.4), (t, 0.2)])
 
 
 @query(f"WITH {TRI} SELECT i, j, round(v, 6) AS v FROM tri")
 def trimodal_fusion(spark, d):
-    return rounded(trimodal(spark, d))
+    return rounded(trimodal(struct(spark, d), sem(spark, d), temp(spark, d)))
 
 
 @query(f"WITH {MODALITIES}, b AS (SELECT coalesce(x.i, y.i) AS i, coalesce(x.j, y.j) AS j, coalesce(x.v, 0) AS a, coalesce(y.v, 0) AS b FROM struct x FULL JOIN sem y ON x.i = y.i AND x.j = y.j) SELECT round(g.k / 10, 6) AS mu, i, j, round(g.k / 10 * a + (1 - g.k / 10) * b, 6) AS v FROM b, generate_series(0, 10) g(k)")

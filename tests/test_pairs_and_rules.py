@@ -120,3 +120,21 @@ def test_weakened_cosines_are_not_dealt_out_again(spark):
 
     plan = semantic_deemphasis(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_groups_become_lists(spark, block):
+    """Repeated nodes count once, and who reads the similarities reads counts, not the groups again."""
+    rng = random.Random(block)
+    rows = [(f"g{g}", f"n{rng.randrange(9)}") for g in range(40) for _ in range(rng.choice([1, 3, 12]))]
+    groups = {}
+    for g, n in rows:
+        groups.setdefault(g, set()).add(n)
+    occ = Counter(n for ns in groups.values() for n in ns)
+    co = Counter(p for ns in groups.values() for p in combinations(sorted(ns), 2))
+    df = spark.createDataFrame(rows, "g string, n string")
+    assert {(r["i"], r["j"]): r["co"] for r in pairs.cooccurrence(df, block).collect()} == co
+    v = pairs.jaccard(df, block)
+    assert {(r["i"], r["j"]): r["v"] for r in v.collect()} == pytest.approx({(i, j): c / (occ[i] + occ[j] - c) for (i, j), c in co.items()})
+    plan = v._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Join") == 2
