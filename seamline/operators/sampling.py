@@ -14,23 +14,32 @@ def uniform(*keys: str | Column, seed: int = 42) -> Column:
     return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
 
 
-def drop_exact(df: DataFrame, key: str, rate: float, seed: int = 42) -> DataFrame:
-    """Rows of exactly round((1 - rate) * n) of the n distinct keys, half to even; the keys with the least hashes.
+def hashed(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """The distinct keys with their hashes and the hash range of each, for several calls of drop_exact as a table."""
+    return df.select(key).distinct().withColumn("_u", uniform(F.col(key), seed=seed)).withColumn("_b", F.floor(F.col("_u") * 4096))
 
-    The nth hash is found by counts of hash ranges, then within one range, so no task sorts all keys.
+
+def drop_exact(df: DataFrame, key: str, rate: float, seed: int = 42, keys: DataFrame | None = None) -> DataFrame:
+    """Rows of exactly round((1 - rate) * n) of the n distinct keys, half to even; the keys with the least hashes. keys: what `hashed` makes of df.
+
+    The nth hash is found by counts of hash ranges, then within one range, so no task sorts all keys; rows are then told by their own hashes, and join nothing.
     """
-    keys = df.select(key).distinct().withColumn("_u", uniform(F.col(key), seed=seed)).withColumn("_b", F.floor(F.col("_u") * 4096))
+    keys = hashed(df, key, seed) if keys is None else keys
     bins = keys.groupBy("_b").agg(F.count("*").alias("c")).orderBy("_b").collect()  # at most 4096 rows
-    left = round((1 - rate) * sum(r["c"] for r in bins))
-    whole = []
+    left, below = round((1 - rate) * sum(r["c"] for r in bins)), 0
+    cut = None
     for r in bins:
         if r["c"] > left:
+            cut, below = r["_b"], r["_b"]
             break
-        whole.append(r["_b"])
-        left -= r["c"]
-    full = keys.where(F.col("_b") <= (whole[-1] if whole else -1)).select(key)
-    part = keys.where(F.col("_b") == (bins[len(whole)]["_b"] if len(whole) < len(bins) else -1)).orderBy("_u", key).limit(left).select(key)
-    return df.join(full.union(part), key, "left_semi")
+        left, below = left - r["c"], r["_b"] + 1
+    u = uniform(F.col(key), seed=seed)
+    keep = F.floor(u * 4096) < below
+    if cut is not None and left:
+        last = keys.where(F.col("_b") == cut).orderBy("_u", key).limit(left).agg(F.max(F.struct("_u", key)).alias("last"))  # one row
+        within = F.struct(u.alias("_u"), F.col(key)) <= F.col("last")
+        return df.crossJoin(F.broadcast(last)).where(F.col(key).isNotNull() & (keep | ((F.floor(u * 4096) == cut) & within))).select(*df.columns)
+    return df.where(F.col(key).isNotNull() & keep)
 
 
 def drop_items(df: DataFrame, keys: list[str], rate: float, seed: int = 42) -> DataFrame:

@@ -756,8 +756,9 @@ def uncertainty_shuffle(spark, d):
 @query()
 def cold_start(spark, d):
     items, out = kept(spark, order_items(spark, d), "items"), None
+    keys = kept(spark, sampling.hashed(items, "g"), "keys")
     for rate in (0.0, 0.2, 0.4, 0.6, 0.8, 0.9):
-        left = pairs.jaccard(sampling.drop_exact(items, "g", rate))
+        left = pairs.jaccard(sampling.drop_exact(items, "g", rate, keys=keys))
         part = normalize.intra_inter(left, brand_truth(spark, d).withColumnRenamed("cluster", "label")).withColumn("rate", F.lit(rate))
         out = part if out is None else out.union(part)
     return rounded(out)

@@ -138,3 +138,16 @@ def test_groups_become_lists(spark, block):
     assert {(r["i"], r["j"]): r["v"] for r in v.collect()} == pytest.approx({(i, j): c / (occ[i] + occ[j] - c) for (i, j), c in co.items()})
     plan = v._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and plan.count("Join") == 2
+
+
+def test_exact_drops_join_no_keys(spark):
+    from seamline.operators import sampling
+
+    df = spark.createDataFrame([(k % 97 if k else None, k) for k in range(500)], "g long, n long")
+    keys = [(r["g"], r["_u"]) for r in sampling.hashed(df, "g").collect()]
+    for rate in (0.0, 0.37, 0.5, 0.995, 1.0):
+        got = sampling.drop_exact(df, "g", rate)
+        least = sorted(keys, key=lambda x: (x[1], x[0] is not None, x[0] or 0))[: round((1 - rate) * len(keys))]
+        want = {k for k, _ in least} - {None}
+        assert sorted(r["n"] for r in got.collect()) == [k for k in range(1, 500) if k % 97 in want]
+        assert "LeftSemi" not in got._jdf.queryExecution().optimizedPlan().toString()
