@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from seamline.operators.components import connected_components
 from seamline.operators.skew import HOT_SHARE, join_counted
 from seamline.workspace import Workspace
 
@@ -18,8 +19,8 @@ from seamline.workspace import Workspace
 LIGHT = 1 << 15
 
 
-def local(i: np.ndarray, j: np.ndarray, v: np.ndarray, resolution: float = 1.0) -> dict:
-    """Node -> cluster (the least node of it), node after node. Nodes are visited in order, ties go to the smaller cluster, so reruns agree. A link of a node with itself is weight inside."""
+def local(i: np.ndarray, j: np.ndarray, v: np.ndarray, resolution: float = 1.0, two_m: float | None = None) -> dict:
+    """Node -> cluster (the least node of it), node after node. Nodes are visited in order, ties go to the smaller cluster, so reruns agree. A link of a node with itself is weight inside. two_m: the weight of all ends where the links are a part of a graph that no link joins with the rest."""
     names, at = np.unique(np.concatenate([i, j]), return_inverse=True)
     links: list[dict[int, float]] = [{} for _ in names]
     for a, b, w in zip(at[: len(i)].tolist(), at[len(i) :].tolist(), v.tolist()):
@@ -28,7 +29,7 @@ def local(i: np.ndarray, j: np.ndarray, v: np.ndarray, resolution: float = 1.0)
     group = list(range(len(names)))
     inner = [0.0] * len(names)
     while True:
-        com, moved = _one_level(links, inner, resolution)
+        com, moved = _one_level(links, inner, resolution, two_m)
         if not moved:
             break
         ids = {c: k for k, c in enumerate(sorted(set(com)))}
@@ -50,9 +51,9 @@ def local(i: np.ndarray, j: np.ndarray, v: np.ndarray, resolution: float = 1.0)
     return {names[k]: names[first[g]] for k, g in enumerate(group)}
 
 
-def _one_level(links: list[dict[int, float]], inner: list[float], resolution: float) -> tuple[list[int], bool]:
+def _one_level(links: list[dict[int, float]], inner: list[float], resolution: float, two_m: float | None = None) -> tuple[list[int], bool]:
     deg = [sum(row.values()) + inner[a] for a, row in enumerate(links)]
-    two_m = sum(deg) or 1.0
+    two_m = two_m or sum(deg) or 1.0
     com, total, any_ = list(range(len(links))), deg[:], False
     for _ in range(100):
         moved = False
@@ -138,10 +139,24 @@ class _Level:
         return out, {p for p, (_, k) in best.items() if k == 0}
 
 
+def _parted(work: Workspace, pairs: DataFrame, n_links: int, light: int) -> DataFrame:
+    """pairs (p, src, dst, v) with `part`: connected components of at most `light` links share a number with others, about `light` links each; links of larger components get null.
+
+    No gain depends on other components but by the weight of all links, so parts can be clustered one by one. Nodes are told by hashes; two with one hash are taken for one, which makes a part larger and changes nothing else.
+    """
+    one = lambda c: F.xxhash64("p", c)
+    found = connected_components(pairs.select(one("src").alias("a"), one("dst").alias("b"))).withColumnRenamed("node", "_a")
+    named = pairs.withColumn("_a", one("src")).join(found, "_a", "left").select("p", "src", "dst", "v", F.coalesce("label", "_a").alias("label"))
+    named = work.keep(named, "labelled")
+    huge = named.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > light).select("label", F.lit(True).alias("huge"))  # one row for each `light` links at most
+    parts = F.pmod(F.xxhash64("label", F.lit(7)), F.lit(-(-n_links // max(1, light)))).cast("int")
+    return work.keep(named.join(F.broadcast(huge), "label", "left").select("p", "src", "dst", "v", F.when(F.col("huge").isNull(), parts).alias("part")), "parted")
+
+
 def louvain(graphs: DataFrame, resolutions: dict[int, float], light: int = LIGHT, calm: float = 0.03, patience: int = 3, rounds: int = 30, polish: int = 8) -> DataFrame:
     """p, n, cluster (its least node): Louvain of each graph (p, i, j, v), whose resolution is that of p. Weights are above zero; a pair may stand several times, either way round.
 
-    A graph of at most `light` links is ended by one task. A level ends for a point when two rounds, one for each half of the nodes, each move a share of `calm` or less, or when `patience` rounds gain nothing.
+    A graph of at most `light` links is ended by one task, and so are connected components of a larger one, some `light` links a task. A level ends for a point when two rounds, one for each half of the nodes, each move a share of `calm` or less, or when `patience` rounds gain nothing.
     In the end up to `polish` rounds move single nodes between the clusters found. Nodes with many links and clusters with many nodes
     are hot keys of joins and are broadcast, fewer than a thousand of them. Reruns agree but for sums of doubles in their last digits. No links: no rows.
     """
@@ -154,8 +169,9 @@ def louvain(graphs: DataFrame, resolutions: dict[int, float], light: int = LIGHT
 
     def end(part: DataFrame) -> pd.DataFrame:
         part = part.sort_values(["src", "dst"])
-        found = local(part["src"].to_numpy(), part["dst"].to_numpy(), part["v"].to_numpy(), resolutions[int(part["p"].iloc[0])])
-        return pd.DataFrame({"p": part["p"].iloc[0], "n": list(found), "cluster": list(found.values())})
+        p = int(part["p"].iloc[0])
+        found = local(part["src"].to_numpy(), part["dst"].to_numpy(), part["v"].to_numpy(), resolutions[p], ends[p])
+        return pd.DataFrame({"p": p, "n": list(found), "cluster": list(found.values())})
 
     def add(rows: DataFrame) -> None:
         """Final clusters of some points: p, n (of this level), cluster."""
@@ -170,7 +186,15 @@ def louvain(graphs: DataFrame, resolutions: dict[int, float], light: int = LIGHT
         names = found.groupBy("p", "c").agg(F.min("n").alias("cluster"), F.count("*").alias("rows"))
         return join_counted(found.select("p", "n", "c", "inner", "links"), names, ["p", "c"], n_nodes, "rows").select("p", "n", "cluster", "inner", "links")
 
-    counts = {r["p"]: r["n"] for r in pairs.groupBy("p").agg(F.count("*").alias("n")).collect()}
+    stats = pairs.groupBy("p").agg(F.count("*").alias("n"), F.sum(F.when(F.col("src") == F.col("dst"), F.col("v")).otherwise(2 * F.col("v"))).alias("ends")).collect()  # one row for each point
+    counts, ends, apart = {r["p"]: r["n"] for r in stats}, {r["p"]: r["ends"] for r in stats}, None
+    large = {p for p, n in counts.items() if n > light}
+    if large:
+        parted = _parted(work, pairs.where(_only(large)), sum(counts[p] for p in large), light)
+        alone = parted.where("part is not null")
+        apart = work.keep(alone.groupBy("p", "part").applyInPandas(end, f"p int, n {kind}, cluster {kind}"), "apart")
+        pairs = pairs.where(~_only(large)).unionByName(parted.where("part is null").drop("part"))
+        counts = {r["p"]: r["n"] for r in pairs.groupBy("p").agg(F.count("*").alias("n")).collect()}
     while counts:
         few = {p for p, n in counts.items() if n <= light}
         if few:
@@ -185,15 +209,15 @@ def louvain(graphs: DataFrame, resolutions: dict[int, float], light: int = LIGHT
         nodes = sides.groupBy("p", "n").agg((F.sum("v") + F.sum("inner")).alias("deg"), F.sum("inner").alias("inner"), F.sum("links").alias("links"))
         nodes = work.keep(nodes, f"nodes{level}")
         both, n_links = work.keep(both, f"both{level}"), 2 * sum(counts[p] for p in many)
-        sums = nodes.groupBy("p").agg(F.sum("deg").alias("m2"), F.max("links").alias("links"), F.count("*").alias("nodes")).collect()  # one row for each point
-        m2, n_nodes, hubs = {r["p"]: r["m2"] for r in sums}, sum(r["nodes"] for r in sums), max(r["links"] for r in sums) * HOT_SHARE > n_links
+        sums = nodes.groupBy("p").agg(F.max("links").alias("links"), F.count("*").alias("nodes")).collect()  # one row for each point
+        n_nodes, hubs = sum(r["nodes"] for r in sums), max(r["links"] for r in sums) * HOT_SHARE > n_links
 
         def met(rows: DataFrame, of: DataFrame, end: str, n_links: int = n_links, hubs: bool = hubs) -> DataFrame:
             """Rows of links with what is known of the nodes at one end; without hubs no key is hot."""
             return join_counted(rows, of, ["p", end], n_links, "links") if hubs else rows.join(of.drop("links"), ["p", end])
 
         links = work.keep(met(both, nodes.select("p", F.col("n").alias("src"), "deg", "links"), "src"), f"links{level}")
-        rates = spark.createDataFrame([(p, resolutions[p] / m, m) for p, m in m2.items()], "p int, rate double, m2 double")
+        rates = spark.createDataFrame([(p, resolutions[p] / ends[p], ends[p]) for p in sorted(many)], "p int, rate double, m2 double")
         wide = wide or {r["p"]: r["nodes"] for r in sums}
         first = first or (links, nodes, rates, met, n_nodes)
         found, same = _Level(work, f"level{level}", links, nodes.withColumn("c", F.col("n")), rates, met).run({r["p"]: int(calm * r["nodes"]) for r in sums}, patience, rounds)
@@ -213,12 +237,15 @@ def louvain(graphs: DataFrame, resolutions: dict[int, float], light: int = LIGHT
         pairs = work.keep(merged.groupBy("p", "src", "dst").agg(F.sum("v").alias("v")), f"pairs{level + 1}")
         level += 1
         counts = {r["p"]: r["n"] for r in pairs.groupBy("p").agg(F.count("*").alias("n")).collect()}
+    if done is None and apart is not None:
+        return apart
     if done is None:
         return graphs.select("p", F.col("i").alias("n"), F.col("i").alias("cluster")).where("false")
     if first is None or not polish:
-        return done
+        return done if apart is None else done.unionByName(apart)
     links, nodes, rates, met, n_nodes = first
     coarse = work.keep(done, "coarse")
     start = nodes.join(coarse.withColumnRenamed("cluster", "c"), ["p", "n"])
     better, _ = _Level(work, "polish", links, start, rates, met).run({p: int(calm * n / 10) for p, n in wide.items()}, patience, polish)
-    return coarse.where(~_only(set(wide))).unionByName(named(better, n_nodes).select("p", "n", "cluster"))
+    out = coarse.where(~_only(set(wide))).unionByName(named(better, n_nodes).select("p", "n", "cluster"))
+    return out if apart is None else out.unionByName(apart)

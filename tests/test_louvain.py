@@ -73,3 +73,20 @@ def test_merging_over_tables_equals_one_after_another(spark, light):
         parts += [(p, x, c) for x, c in part.items()]
     got = cluster.merge_tables(spark.createDataFrame(parts, "p int, n long, cluster long"), spark.createDataFrame(links, "p int, i long, j long, v double"), 3, light).collect()
     assert {(r["p"], r["n"]): r["cluster"] for r in got} == want and len(got) == len(want)
+
+
+def test_small_components_need_no_rounds(spark, monkeypatch):
+    """Many small components of a large graph are clustered a part at a time, as all of them are by one task; one large component beside them still goes through tables."""
+    rng = random.Random(4)
+    links = [(f"c{c:03}-{a}", f"c{c:03}-{b}", float(rng.randint(1, 3))) for c in range(60) for a in range(6) for b in range(a) if rng.random() < 0.7]
+    df = spark.createDataFrame([(0, *x) for x in links], "p int, i string, j string, v double")
+    want = louvain.local(*(np.array(c) for c in zip(*sorted((min(a, b), max(a, b), w) for a, b, w in links))), 1.0)
+    rounds = []
+    run = louvain._Level.run
+    monkeypatch.setattr(louvain._Level, "run", lambda self, *a: rounds.append(self.name) or run(self, *a))
+    got = {r["n"]: r["cluster"] for r in louvain.louvain(df, {0: 1.0}, light=40).collect()}
+    assert got == want and not rounds
+    chain = [(f"z{a:03}", f"z{a + 1:03}", 1.0) for a in range(80)]
+    more = louvain.louvain(df.union(spark.createDataFrame([(0, *x) for x in chain], df.schema)), {0: 1.0}, light=40, rounds=4, polish=2).collect()
+    assert rounds and len(more) == len(want) + 81 and len({r["n"] for r in more}) == len(more)
+    assert all(r["cluster"][0] == r["n"][0] for r in more)
