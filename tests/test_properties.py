@@ -7,6 +7,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from seamline.operators import cluster, components, edl, metrics, pairs
+from seamline.workspace import Workspace
 
 
 def test_metrics_ignore_names_and_order(spark):
@@ -90,6 +91,19 @@ def test_components_of_chains_stars_and_noise(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_look_at_all_links_once(spark, monkeypatch):
+    """Of a graph with many links a node, all tables after the links together have fewer rows than the links, as no round goes over all of them."""
+    kept, keep = {}, Workspace.keep
+    monkeypatch.setattr(components, "LIGHT", 1000)
+    monkeypatch.setattr(Workspace, "keep", lambda self, df, name: kept.setdefault(name, keep(self, df, name)))
+    monkeypatch.setattr(Workspace, "drop", lambda self, *names: None)
+    links = spark.range(400_000).selectExpr("pmod(xxhash64(id), 5000) + 20000 * pmod(id, 2) as a", "10000 + pmod(xxhash64(id, 1), 5000) + 20000 * pmod(id, 2) as b")
+    got = {r["node"]: r["label"] for r in components.connected_components(links).collect()}
+    assert got == {n: m for n, m in union(links.collect()).items() if n != m}
+    sizes = [t.count() for name, t in kept.items()]
+    assert max(sizes) == 400_000 and sum(sizes) < 800_000
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(2)
     net = edl.Network(4, sizes=(5, 3, 2))
