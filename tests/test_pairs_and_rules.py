@@ -5,9 +5,12 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from seamline.operators import pairs, spans
 
 
@@ -151,3 +154,29 @@ def test_exact_drops_join_no_keys(spark):
         want = {k for k, _ in least} - {None}
         assert sorted(r["n"] for r in got.collect()) == [k for k in range(1, 500) if k % 97 in want]
         assert "LeftSemi" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("tiles", [0, 1, 64, 65, 130])
+def test_rounded_tiles_hold_all_pairs(tiles):
+    rng, want, given = np.random.default_rng(tiles), {}, []
+    for k in range(tiles):
+        i, j, s = 10 * k + np.array([0, 4, 8]), 10 * k + np.array([1, 5, 6, 7]), rng.uniform(-1, 1, (3, 4))
+        s[0, 1], s[1, 1], s[2, 1], s[2, 2] = -1e-9, 1, -1, np.nan
+        pick = None if k % 2 else i[:, None] < j[None, :]
+        want |= {(min(x, y), max(x, y), k): np.round(s[a, b], 6) + 0.0 for a, x in enumerate(i.tolist()) for b, y in enumerate(j.tolist()) if pick is None or pick[a, b]}
+        given.append((i, j, None, None, s.copy(), pick))
+    got = [(x, y, x // 10, v) for c in pairs._rounded_tiles(iter(given), 6) for x, y, v in zip(*(a.tolist() for a in c))]
+    assert len(got) == len(want) and {(x, y, k): str(v) for x, y, k, v in got} == {k: str(float(v)) for k, v in want.items()}
+
+
+def test_all_pairs_take_less_room(spark, tmp_path):
+    """A file of all pairs takes less than the eight bytes a pair of their values alone."""
+    e = np.random.default_rng(4).normal(size=(3000, 64)).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": pa.array(range(3000), pa.int64()), "embedding": pa.array(e.tolist(), pa.list_(pa.float32()))}), tmp_path / "embeddings.parquet")
+    entry.queries()["cosine_pairs"](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    t = pq.read_table(tmp_path / "out")
+    i, j, v = (np.asarray(t[c]) for c in "ijv")
+    u = e.astype(float) / np.linalg.norm(e.astype(float), axis=1, keepdims=True)
+    assert len(t) == 3000 * 2999 // 2 == len(set(zip(i.tolist(), j.tolist()))) and (i < j).all()
+    assert np.abs(v - np.einsum("nd,nd->n", u[i], u[j])).max() < 5.1e-7
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 7.6 * len(t)
