@@ -1,4 +1,4 @@
-"""Evidential pair classifier: features of pairs, training on a bounded sample with numpy, inference where the pairs lie."""
+"""Evidential pair classifier: features of pairs, training on all of them with numpy, a block of pairs a task, inference where the pairs lie."""
 
 from __future__ import annotations
 
@@ -7,9 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from seamline.workspace import Workspace
+
 SIZES = (256, 128, 2)
+#: Pairs that are trained on one after another, bytes of their features at most, and numbers of a network that are averaged together.
+BLOCK, BLOCK_BYTES, PIECE = 20_000, 32 << 20, 2048
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
@@ -60,29 +65,41 @@ def train(x: np.ndarray, y: np.ndarray, epochs: int = 30, rate: float = 1e-3, ba
     dropout: share of the first layer's units that are left out in a step. hard: weight of the same loss over the batch's negative pairs (y = 0), added to it.
     """
     net = Network(x.shape[1], seed, sizes)
-    net.mean, net.sd = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
-    rng, target = np.random.default_rng(seed), np.eye(2)[y.astype(int)]
-    params = [*net.w, *net.b]
-    m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
+    if len(x):
+        net.mean, net.sd = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
+    rng, state = np.random.default_rng(seed), _Adam(net)
     for epoch in range(epochs):
-        weight = kl_weight * min(1.0, epoch / 10)
-        order = rng.permutation(len(x))
-        for lo in range(0, len(x), batch):
-            at = order[lo : lo + batch]
-            mask = (rng.random((len(at), net.w[0].shape[1])) >= dropout) / (1 - dropout) if dropout and len(net.w) > 1 else None
-            share = np.full(len(at), 1 / len(at))
-            negative = y[at] == 0
-            if hard and negative.any():
-                share = share + hard * negative / negative.sum()
-            grads = _gradients(net, x[at], target[at], weight, share, mask)
-            t += 1
-            for k, g in enumerate(grads):
-                m[k] = 0.9 * m[k] + 0.1 * g
-                v[k] = 0.999 * v[k] + 0.001 * g * g
-                params[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+        _epoch(net, state, x, y, rng, epoch, rate, batch, kl_weight, dropout, hard)
     return net
 
 
+class _Adam:
+    """Moments of the gradients of a network's layers, and the steps done."""
+
+    def __init__(self, net: Network):
+        self.m, self.v = ([np.zeros_like(p) for p in (*net.w, *net.b)] for _ in range(2))
+        self.t = 0
+
+
+def _epoch(net: Network, state: _Adam, x: np.ndarray, y: np.ndarray, rng: np.random.Generator, epoch: int, rate: float = 1e-3, batch: int = 256, kl_weight: float = 0.1, dropout: float = 0.2, hard: float = 0.0) -> None:
+    """All pairs once, in the order that rng gives; net and state are changed."""
+    params, target, weight = [*net.w, *net.b], np.eye(2)[y.astype(int)], kl_weight * min(1.0, epoch / 10)
+    order = rng.permutation(len(x))
+    for lo in range(0, len(x), batch):
+        at = order[lo : lo + batch]
+        mask = (rng.random((len(at), net.w[0].shape[1])) >= dropout) / (1 - dropout) if dropout and len(net.w) > 1 else None
+        share = np.full(len(at), 1 / len(at))
+        negative = y[at] == 0
+        if hard and negative.any():
+            share = share + hard * negative / negative.sum()
+        grads = _gradients(net, x[at], target[at], weight, share, mask)
+        state.t += 1
+        for k, g in enumerate(grads):
+            state.m[k] = 0.9 * state.m[k] + 0.1 * g
+            state.v[k] = 0.999 * state.v[k] + 0.001 * g * g
+            params[k] -= rate * (state.m[k] / (1 - 0.9**state.t)) / (np.sqrt(state.v[k] / (1 - 0.999**state.t)) + 1e-8)
+
+
 def loss(net: Network, x: np.ndarray, target: np.ndarray, weight: float) -> float:
     alpha = net.forward(x)[1]
     s = alpha.sum(axis=1, keepdims=True)
@@ -151,10 +168,100 @@ def smoothing_sensitivity(features: DataFrame, net: Network, smooths: tuple[floa
     return out
 
 
-def train_sample(features: DataFrame, sample: int = 20_000, seed: int = 42, **settings) -> Network:
-    """Fit on at most `sample` pairs (i, j, x, y), those with the least hashes."""
-    rows = features.orderBy(F.xxhash64("i", "j", F.lit(seed)), "i", "j").limit(sample).select("x", "y").collect()
-    return train(np.array([r["x"] for r in rows], float), np.array([r["y"] for r in rows]), seed=seed, **settings)
+def _flat(net: Network, state: _Adam) -> np.ndarray:
+    """Layers and moments as one row of numbers."""
+    return np.concatenate([p.ravel() for p in (*net.w, *net.b, *state.m, *state.v)])
+
+
+def _unflat(net: Network, state: _Adam, flat: np.ndarray) -> None:
+    """Into net and state, as copies."""
+    at = 0
+    for held in (net.w, net.b, state.m, state.v):
+        for k, p in enumerate(held):
+            held[k] = flat[at : at + p.size].reshape(p.shape).copy()
+            at += p.size
+
+
+def _packed(features: DataFrame, blocks: int, seed: int) -> DataFrame:
+    """block, n, x, y, mean, m2: the pairs (i, j, x, y) that a hash deals to each block as one row, in the order of i, j, with each component's mean and squared deviations."""
+
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("i", "ascending"), ("j", "ascending")])
+        x = np.asarray(t["x"].combine_chunks().flatten()).astype(float).reshape(len(t), -1)
+        mean, y = x.mean(axis=0), np.asarray(t["y"]).astype(np.int8)
+        row = {"block": t["block"][0].as_py(), "n": len(t), "x": x.tobytes(), "y": y.tobytes(), "mean": mean.tolist(), "m2": ((x - mean) ** 2).sum(axis=0).tolist()}
+        return pa.Table.from_pylist([row], pa.schema([("block", pa.int32()), ("n", pa.int64()), ("x", pa.binary()), ("y", pa.binary()), ("mean", pa.list_(pa.float64())), ("m2", pa.list_(pa.float64()))]))
+
+    dealt = features.select(F.pmod(F.xxhash64("i", "j", F.lit(seed)), F.lit(blocks)).cast("int").alias("block"), "i", "j", "x", "y")
+    return dealt.repartition(blocks, "block").groupBy("block").applyInArrow(pack, "block int, n long, x binary, y binary, mean array<double>, m2 array<double>")
+
+
+def _moments(packed: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population deviation of each component over the pairs of all blocks; blocks are added up in their order, so reruns agree."""
+
+    def add(t: pa.Table) -> pa.Table:
+        t = t.sort_by("block")
+        n, mean, m2 = (np.asarray(t[c]) for c in ("n", "mean", "m2"))
+        of_all = (n * mean).sum() / n.sum()
+        sd = math.sqrt((m2 + n * (mean - of_all) ** 2).sum() / n.sum())
+        return pa.table({"k": t["k"].slice(0, 1), "mean": [of_all], "sd": [sd]})
+
+    each = packed.select("block", "n", F.posexplode(F.arrays_zip("mean", "m2")).alias("k", "s")).select("block", "n", "k", "s.mean", "s.m2")
+    rows = {r["k"]: r for r in each.groupBy("k").applyInArrow(add, "k int, mean double, sd double").collect()}  # a row for each component
+    return np.array([rows[k]["mean"] for k in range(dim)]), np.array([rows[k]["sd"] or 1.0 for k in range(dim)])
+
+
+def train_all(features: DataFrame, epochs: int = 30, seed: int = 42, sizes: tuple[int, ...] = SIZES, block: int = BLOCK, **settings) -> Network:
+    """Fit on all pairs (i, j, x, y). They are read several times, so they should be a table.
+
+    Up to `block` pairs are trained on one after another. More are dealt to blocks of about as many, and each block is an epoch's steps from the same network; the network and the moments it goes on from are the means of what the blocks end with, by their pairs.
+    So every pair counts in every epoch. The result doesn't depend on how blocks are dealt to tasks, and only networks come to the driver.
+    """
+    have = features.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("dim")).first()
+    dim = have["dim"] or 1
+    each = max(1, min(block, BLOCK_BYTES // (8 * dim)))
+    if have["n"] <= each:
+        rows = features.orderBy(F.xxhash64("i", "j", F.lit(seed)), "i", "j").select("x", "y").collect()
+        return train(np.array([r["x"] for r in rows], float).reshape(len(rows), dim), np.array([r["y"] for r in rows], int), epochs=epochs, seed=seed, sizes=sizes, **settings)
+    blocks = -(-have["n"] // each)
+    work = Workspace(features.sparkSession, "train")
+    packed = work.keep(_packed(features, blocks, seed), "packed")
+    net = Network(dim, seed, sizes)
+    net.mean, net.sd = _moments(packed, dim)
+    state = _Adam(net)
+    for epoch in range(epochs):
+        flat, state.t = _mean_epoch(packed, net, state, epoch, seed, settings)
+        _unflat(net, state, flat)
+    work.drop("packed")
+    return net
+
+
+def _mean_epoch(packed: DataFrame, net: Network, state: _Adam, epoch: int, seed: int, settings: dict) -> tuple[np.ndarray, int]:
+    """What the blocks' networks and moments are in the mean after an epoch, by their pairs, and the most steps of a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, steps = _flat(net, state), state.t
+        for b in batches:
+            for block, n, x, y in zip(*(b.column(c) for c in ("block", "n", "x", "y"))):
+                _unflat(net, state, start)
+                state.t = steps
+                block, n = block.as_py(), n.as_py()
+                _epoch(net, state, np.frombuffer(x.as_buffer()).reshape(n, -1), np.frombuffer(y.as_buffer(), np.int8), np.random.default_rng((seed, epoch, block)), epoch, **settings)
+                flat = _flat(net, state)
+                pieces = [flat[at : at + PIECE].tobytes() for at in range(0, len(flat), PIECE)]
+                same = lambda v, kind: pa.array([v] * len(pieces), kind)
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), same(block, pa.int32()), same(n, pa.int64()), same(state.t, pa.int64()), pa.array(pieces, pa.binary())], names=["k", "block", "n", "t", "w"])
+
+    def mean(t: pa.Table) -> pa.Table:
+        total = 0.0
+        t = t.sort_by("block")
+        for n, w in zip(t["n"], t["w"]):
+            total = total + n.as_py() * np.frombuffer(w.as_buffer())
+        return pa.table({"k": t["k"].slice(0, 1), "t": [max(t["t"].to_pylist())], "w": pa.array([(total / sum(t["n"].to_pylist())).tobytes()], pa.binary())})
+
+    parts = packed.select("block", "n", "x", "y").mapInArrow(run, "k int, block int, n long, t long, w binary")
+    rows = sorted(parts.groupBy("k").applyInArrow(mean, "k int, t long, w binary").collect())  # one network, its moments
+    return np.concatenate([np.frombuffer(r["w"]) for r in rows]), rows[0]["t"]
 
 
 def standardised(rows: DataFrame, column: str = "x") -> DataFrame:

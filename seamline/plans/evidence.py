@@ -419,7 +419,7 @@ def smoothing_sensitivity(spark, d):
     truth = brand_truth(spark, d)
     x = x.join(truth.select(F.col("n").alias("i"), F.col("cluster").alias("a")), "i").join(truth.select(F.col("n").alias("j"), F.col("cluster").alias("b")), "j").withColumn("y", (F.col("a") == F.col("b")).cast("int"))
     x = kept(spark, x, "features")
-    return rounded(edl.smoothing_sensitivity(x, edl.train_sample(x, hard=0.5)), 4)
+    return rounded(edl.smoothing_sensitivity(x, edl.train_all(x, hard=0.5)), 4)
 
 
 @query("SELECT event_type AS label, count(*) AS n, event_type IN ('view', 'purchase', 'error') AS hit FROM events GROUP BY ALL")

@@ -856,4 +856,5 @@ def edl_infer(spark, d):
     x = edl.pair_features(vectors, both.withColumn("fused", 0.4 * F.col("struct") + 0.4 * F.col("sem") + 0.2 * F.col("temp")))
     truth = brand_truth(spark, d)
     x = x.join(truth.select(F.col("n").alias("i"), F.col("cluster").alias("a")), "i").join(truth.select(F.col("n").alias("j"), F.col("cluster").alias("b")), "j").withColumn("y", (F.col("a") == F.col("b")).cast("int"))
-    return rounded(edl.infer(x, edl.train_sample(x)), 4)
+    x = kept(spark, x, "features")
+    return rounded(edl.infer(x, edl.train_all(x)), 4)

@@ -81,6 +81,30 @@ def test_network_is_kept_and_has_hard_negatives(spark, tmp_path):
         assert grad[at] == pytest.approx((up - down) / 2e-6, rel=1e-3, abs=1e-6)
 
 
+def test_training_takes_all_pairs(spark):
+    """More pairs than a block holds: each counts, whatever tasks they lie in."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 4))
+    x[:, 3] = 7.0  # a component without any deviation
+    y = (x[:, 0] + x[:, 1] > 0).astype(int)
+    rows = [(f"a{k % 30}", f"b{k // 30}", x[k].tolist(), int(y[k])) for k in range(900)]
+    pairs = spark.createDataFrame(rows, "i string, j string, x array<double>, y int")
+    how = {"epochs": 12, "rate": 2e-2, "batch": 64, "sizes": (16, 8, 2)}
+    net = edl.train_all(pairs, block=200, **how)
+    assert np.allclose(net.mean, x.mean(axis=0), atol=1e-12) and np.allclose(net.sd, np.append(x[:, :3].std(axis=0), 1.0))  # of all pairs
+    assert (net.forward(x)[1].argmax(axis=1) == y).mean() > 0.95
+    again = edl.train_all(pairs.repartition(7), block=200, **how)
+    assert all(np.array_equal(a, b) for a, b in zip([*net.w, *net.b], [*again.w, *again.b]))
+    few = {"epochs": 1, "rate": 5e-3, "sizes": (16, 8, 2)}
+    base = edl.train_all(pairs, block=200, **few)
+    for k in range(0, 900, 450):  # any pair's label moves the network
+        other = edl.train_all(spark.createDataFrame([(*r[:3], 1 - r[3]) if n == k else r for n, r in enumerate(rows)], pairs.schema), block=200, **few)
+        assert any(not np.array_equal(a, b) for a, b in zip(base.w, other.w))
+    # all in one block: one after another, as without tables
+    whole, plain = edl.train_all(pairs, **few), [r.x for r in pairs.orderBy(F.xxhash64("i", "j", F.lit(42)), "i", "j").collect()]
+    assert np.allclose(whole.mean, np.mean(plain, axis=0)) and edl.train_all(pairs.where("false"), **few).w[0].shape == (1, 16)
+
+
 def test_reports_are_written(spark, tmp_path):
     part = spark.createDataFrame([("b", 1), ("a", 0)], "n string, cluster int")
     report.write_partition(part, str(tmp_path / "p"))
