@@ -8,8 +8,8 @@ import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
-from seamline.operators import components, edl, structure
-from seamline.plans import queries as plans
+from seamline.operators import cluster, components, edl, structure
+from seamline.plans import evidence, queries as plans
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data absent")
@@ -81,3 +81,14 @@ def test_uncertainty_of_all_pairs(spark, monkeypatch):
     for of in (plans.struct, plans.sem, plans.temp):
         want |= {(r["i"], r["j"]) for r in of(spark, SF).select("i", "j").collect()}
     assert got == want and len(want) > 1 and asked[0].get("epochs", 30) == 30
+
+
+def test_runner_takes_all_partners(spark, monkeypatch):
+    """Each setting's whole graph is clustered, however many partners a node has."""
+    seen, swept = [], cluster.swept
+    monkeypatch.setattr(cluster, "swept", lambda edges, *args, **settings: seen.append(edges) or swept(edges, *args, **settings))
+    got = {r["setting"]: r for r in entry.queries()["table_runner"](spark, SF).collect()}
+    pairs = lambda rows: {(r["setting"], r["i"], r["j"]) for r in rows}
+    graphs = evidence.settings(spark, SF).collect()
+    assert pairs(seen[0].collect()) == pairs(graphs) and set(got) == {r["setting"] for r in graphs}
+    assert max(Counter((r["setting"], r["i"]) for r in graphs).values()) > 6
