@@ -180,3 +180,18 @@ def test_all_pairs_take_less_room(spark, tmp_path):
     assert len(t) == 3000 * 2999 // 2 == len(set(zip(i.tolist(), j.tolist()))) and (i < j).all()
     assert np.abs(v - np.einsum("nd,nd->n", u[i], u[j])).max() < 5.1e-7
     assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 7.6 * len(t)
+
+
+def test_all_weakened_pairs_take_less_room(spark, tmp_path):
+    """A file of all pairs takes less than the eight bytes a pair of their values alone."""
+    rng = np.random.default_rng(5)
+    e, label = rng.normal(size=(3000, 64)).astype(np.float32), rng.integers(0, 6, 3000).astype(np.int32)
+    pq.write_table(pa.table({"vec_id": pa.array(range(3000), pa.int64()), "embedding": pa.array(e.tolist(), pa.list_(pa.float32())), "label": label}), tmp_path / "embeddings.parquet")
+    entry.queries()["semantic_deemphasis"](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    t = pq.read_table(tmp_path / "out")
+    i, j, v = (np.asarray(t[c]) for c in "ijv")
+    u = e.astype(float) / np.linalg.norm(e.astype(float), axis=1, keepdims=True)
+    factor = np.array([1, 0.8, 0.6])[(label[i] < 3).astype(int) + (label[j] < 3)]
+    assert len(t) == 3000 * 2999 // 2 == len(set(zip(i.tolist(), j.tolist()))) and (i < j).all()
+    assert np.abs(v - np.clip((np.einsum("nd,nd->n", u[i], u[j]) + 1) / 2 * factor, 0, 1)).max() < 5.1e-7
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 7.6 * len(t)
