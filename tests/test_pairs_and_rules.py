@@ -195,3 +195,12 @@ def test_all_weakened_pairs_take_less_room(spark, tmp_path):
     assert len(t) == 3000 * 2999 // 2 == len(set(zip(i.tolist(), j.tolist()))) and (i < j).all()
     assert np.abs(v - np.clip((np.einsum("nd,nd->n", u[i], u[j]) + 1) / 2 * factor, 0, 1)).max() < 5.1e-7
     assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 7.6 * len(t)
+
+
+def test_vectors_are_dealt_out_twelve_times(spark):
+    """However many there are; and few tasks have pairs of two cells."""
+    df = spark.range(30_000).select(F.col("id").alias("n"), F.array(F.col("id").cast("double")).alias("e"), F.lit(0).alias("label"))
+    cells = pairs._cells(df, 1024)
+    assert cells.count() == 12 * 30_000
+    of = Counter(r["p"] for r in cells.select(F.spark_partition_id().alias("p"), "a", "b").distinct().collect())
+    assert sum(of.values()) == 78 and len(of) > 55
